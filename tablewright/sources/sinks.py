@@ -12,13 +12,15 @@ from tablewright.core.types import SchemaError, quoted, require_columns, spark_t
 LOAD_TS = "load_ts"
 
 
-def snapshot(df: DataFrame, target: str, ts_col: str = LOAD_TS, mode: str = "errorifexists") -> None:
+def snapshot(df: DataFrame, target: str, ts_col: str = LOAD_TS, mode: str = "errorifexists",
+             path: str | None = None) -> None:
     """Copy a table in one consistent scan, stamping the load time."""
-    df.withColumn(ts_col, F.current_timestamp()).write.mode(mode).saveAsTable(target)
+    writer = df.withColumn(ts_col, F.current_timestamp()).write.mode(mode)
+    (writer.option("path", path) if path else writer).saveAsTable(target)
 
 
 def create_table(spark: SparkSession, rows, fields: Sequence[tuple[str, str]], target: str,
-                 ts_col: str = LOAD_TS) -> DataFrame:
+                 ts_col: str = LOAD_TS, path: str | None = None) -> DataFrame:
     """Create a managed table from supplied rows or from a DataFrame."""
     if isinstance(rows, DataFrame):
         require_columns(rows, [n for n, _ in fields])
@@ -26,7 +28,7 @@ def create_table(spark: SparkSession, rows, fields: Sequence[tuple[str, str]], t
     else:
         schema = ", ".join(f"`{n}` {spark_type(t).simpleString()}" for n, t in fields)
         df = spark.createDataFrame(rows, schema)
-    snapshot(df, target, ts_col)
+    snapshot(df, target, ts_col, path=path)
     return spark.table(target)
 
 
