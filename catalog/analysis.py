@@ -77,13 +77,13 @@ def _(t):
     return analyze.ci_table(t("orders"), "o_totalprice").withColumn("value", F.round("value", 6))
 
 
-_R = "r AS (SELECT corr(l_quantity, l_extendedprice) AS r, count(*)::DOUBLE AS n FROM lineitem)"
-_TWO = ["l_quantity", "l_extendedprice"]
-_MANY = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+_R = f"{_SUP}, r AS (SELECT corr(volume, lines) AS r, count(*)::DOUBLE AS n FROM sup)"
+_TWO = ["volume", "lines"]
+_MANY = ["volume", "discount", "lines"]
 
 
 def _pca(t, columns=_TWO):
-    return analyze.pca_analyze(t("lineitem"), columns)
+    return analyze.pca_analyze(suppliers(t), columns)
 
 
 @query("a02_pca_kmo", f"WITH {_R} SELECT 0.5::DOUBLE AS kmo, round(-(n - 1 - 1.5) * ln(1 - r * r), 1) AS bartlett_chi2, 0.0::DOUBLE AS bartlett_p FROM r")
@@ -102,13 +102,13 @@ def _(t):
 
 
 @query("a02_pca_loading", f"""
-WITH {_R} SELECT f AS feature, round(sqrt((1 + r) / 2), 3) AS component_1, round((1 + r) / 2, 6) AS communality FROM r, (SELECT unnest(['l_quantity', 'l_extendedprice']) AS f)""")
+WITH {_R} SELECT f AS feature, round(sqrt((1 + r) / 2), 3) AS component_1, round((1 + r) / 2, 6) AS communality FROM r, (SELECT unnest(['volume', 'lines']) AS f)""")
 def _(t):
     return _pca(t)["loading_table"].withColumn("communality", F.round("communality", 6))
 
 
 @query("a02_pca_liner", """
-SELECT f AS feature, 0.7071::DOUBLE AS component_1, 0.7071::DOUBLE AS score, 50.0::DOUBLE AS weight_pct FROM (SELECT DISTINCT unnest(['l_quantity', 'l_extendedprice']) AS f FROM lineitem)""")
+SELECT f AS feature, 0.7071::DOUBLE AS component_1, 0.7071::DOUBLE AS score, 50.0::DOUBLE AS weight_pct FROM (SELECT DISTINCT unnest(['volume', 'lines']) AS f FROM lineitem)""")
 def _(t):
     return _pca(t)["liner_table"].withColumn("score", F.round("score", 4))
 
@@ -124,29 +124,29 @@ def _(t):
 
 
 @query("a03_factor_component", f"""
-WITH {_R} SELECT f AS feature, round(sqrt((1 + r) / 2) / (1 + r), 3) AS component_1 FROM r, (SELECT unnest(['l_quantity', 'l_extendedprice']) AS f)""")
+WITH {_R} SELECT f AS feature, round(sqrt((1 + r) / 2) / (1 + r), 3) AS component_1 FROM r, (SELECT unnest(['volume', 'lines']) AS f)""")
 def _(t):
-    return analyze.factor_analyze(t("lineitem"), _TWO)["component_table"]
+    return analyze.factor_analyze(suppliers(t), _TWO)["component_table"]
 
 
 @query("a03_factor_variance")
 def _(t):
-    return analyze.factor_analyze(t("lineitem"), _MANY)["variance_table"]
+    return analyze.factor_analyze(suppliers(t), _MANY)["variance_table"]
 
 
 @query("a03_factor_loading")
 def _(t):
-    return analyze.factor_analyze(t("lineitem"), _MANY)["loading_table"]
+    return analyze.factor_analyze(suppliers(t), _MANY)["loading_table"]
 
 
 @query("a03_factor_kmo")
 def _(t):
-    return analyze.factor_analyze(t("lineitem"), _MANY)["kmo"]
+    return analyze.factor_analyze(suppliers(t), _MANY)["kmo"]
 
 
 @query("a03_factor_liner")
 def _(t):
-    return analyze.factor_analyze(t("lineitem"), _MANY)["liner_table"]
+    return analyze.factor_analyze(suppliers(t), _MANY)["liner_table"]
 
 
 @query("a04_critic", f"{_CRITIC} SELECT feature, variability, conflict, round(information, 6) AS information, round(share * 100, 2) AS weight_pct FROM w")

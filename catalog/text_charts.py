@@ -10,7 +10,7 @@ from tablewright.plans.compose import Flow, insight, insight_summary
 
 _STOP = "[" + ", ".join("'" + c.replace("'", "''") + "'" for c in sorted(set(text.STOP_CHARACTERS)) if c != "\n") + ", chr(10)]"
 _TOKEN = r"([a-zA-Z0-9]+(?:\.[0-9]+)?%?|[^a-zA-Z0-9])"
-_CUT = f"list_filter(regexp_extract_all(text, '{_TOKEN}', 1), x -> NOT list_contains({_STOP}, x))"
+_CUT = f"[x FOR x IN regexp_extract_all(text, '{_TOKEN}', 1) IF NOT list_contains({_STOP}, x)]"
 
 
 @query("t01_cut_word", f"SELECT doc_id, CASE WHEN length(text) > 0 THEN array_to_string({_CUT}, '、') END AS seg_result FROM documents")

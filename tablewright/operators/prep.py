@@ -76,39 +76,42 @@ def boxcox_expression(col: Column, lam: float) -> Column:
     return F.ln(col) if abs(lam) < 1e-12 else (F.pow(col, F.lit(lam)) - 1) / F.lit(lam)
 
 
-def boxcox_lambda(df: DataFrame, column: str, lo: float = -5.0, hi: float = 5.0,
-                  points: int = 41, tol: float = 1e-7) -> float:
-    """Maximum-likelihood lambda: a grid per pass, each pass zooming in."""
+def boxcox_lambda(df: DataFrame, column: str, bound: float = 5.0) -> float:
+    """Maximum-likelihood lambda: a coarse grid, then parabolas through ever closer points."""
     x = quoted(column).cast("double")
     base = df.select(x.alias("x")).na.drop()
-    first = base.agg(F.min("x"), F.max("x"), F.avg(F.ln("x"))).first()
-    if first[0] is None or first[0] <= 0:
+    low, high, mean_log = base.agg(F.min("x"), F.max("x"), F.avg(F.when(F.col("x") > 0, F.ln("x")))).first()
+    if low is None or low <= 0:
         raise ValueError(f"{column} must be positive")
-    if first[0] == first[1]:
+    if low == high:
         raise ValueError(f"{column} is constant")
-    mean_log = first[2]
     # Dividing by the geometric mean keeps powers near 1; it shifts the
-    # likelihood by a constant only.
+    # likelihood by a constant only and leaves its variance term.
+    u = F.col("u")
     scaled = hold(base.select((F.ln("x") - F.lit(mean_log)).alias("u")))
+
+    def loss(points: np.ndarray) -> np.ndarray:
+        spread = [F.var_pop(u if abs(g) < 1e-9 else F.exp(u * float(g)) / float(g)) for g in points]
+        with np.errstate(divide="ignore"):
+            return np.log(np.array(scaled.agg(*spread).first(), dtype=float))
+
     try:
-        while hi - lo > tol:
-            grid = np.linspace(lo, hi, points)
-            spread = [
-                F.var_pop(F.col("u") if abs(g) < 1e-12 else F.exp(F.col("u") * float(g)) / float(g))
-                for g in grid
-            ]
-            var = np.array(scaled.agg(*spread).first(), dtype=float)
-            # mean log is 0 after scaling, so only the variance term is left
-            best = int(np.argmin(np.where(var > 0, np.log(np.maximum(var, 1e-300)), np.inf)))
-            step = grid[1] - grid[0]
-            at_edge = best in (0, points - 1)
-            half = (hi - lo) / 2 if at_edge else step
-            lo, hi = grid[best] - half, grid[best] + half
-            if at_edge and abs(grid[best]) > 1e3:
+        while True:
+            grid = np.linspace(-bound, bound, 21)
+            values = loss(grid)
+            best = int(np.argmin(values))
+            if best not in (0, 20) or bound > 100:
                 break
+            bound *= 3
+        lam, step = float(grid[best]), float(grid[1] - grid[0])
+        for width in (step, 0.1 * step, 0.01 * step, 0.004 * step):
+            at = lam + width * np.array([-1.0, 0.0, 1.0])
+            a, b, c = loss(at) if width != step or best in (0, 20) else values[best - 1:best + 2]
+            if a - 2 * b + c > 0:
+                lam += float(np.clip(width * (a - c) / (2 * (a - 2 * b + c)), -width, width))
     finally:
         scaled.unpersist()
-    return float((lo + hi) / 2)
+    return lam
 
 
 def column_process(df: DataFrame, plan: Mapping[str, str]):

@@ -200,10 +200,16 @@ def fit_svr(df: DataFrame, x: Sequence[str], y: str, C: float = 1.0, epsilon: fl
     rows = hold(_complete(df, [*x, y]).select(*cols, (quoted(y).cast("double") - F.lit(my)).alias("t")))
     z = [F.col(f"z{i}") for i in range(p)] + [F.lit(1.0)]
     penalty = np.append(1.0 / sd**2, 0.0)
-
-    def step(v: np.ndarray, width: float):
-        fit = sum((z[i] * F.lit(float(v[i])) for i in range(p + 1)), F.lit(0.0))
-        staged = rows.select("*", (F.col("t") - fit).alias("r"))
+    spark = df.sparkSession
+    schema = ", ".join([f"v{i} double" for i in range(p + 1)] + ["width double"])
+
+    def step(at: np.ndarray, smooth: float):
+        # Parameters arrive as a one-row table, so every step runs the same compiled plan.
+        now = spark.createDataFrame([(*map(float, at), float(smooth))], schema)
+        v, width = [F.col(f"v{i}") for i in range(p + 1)], F.col("width")
+        fit = sum((z[i] * v[i] for i in range(p + 1)), F.lit(0.0))
+        staged = rows.join(F.broadcast(now), how="cross").select(
+            *rows.columns, "width", (F.col("t") - fit).alias("r"))
         over = F.greatest(F.abs("r") - F.lit(epsilon), F.lit(0.0))
         inside = over < width
         loss = F.when(inside, over * over / (2 * width)).otherwise(over - width / 2)
@@ -216,32 +222,38 @@ def fit_svr(df: DataFrame, x: Sequence[str], y: str, C: float = 1.0, epsilon: fl
         hess = np.zeros((p + 1, p + 1))
         hess[np.triu_indices(p + 1)] = got[p + 2:]
         hess = hess + np.triu(hess, 1).T
-        value = 0.5 * float(penalty @ v**2) + C * got[0]
-        return value, penalty * v - C * got[1:p + 2], np.diag(penalty) + C * hess
+        value = 0.5 * float(penalty @ at**2) + C * got[0]
+        return value, penalty * at - C * got[1:p + 2], np.diag(penalty) + C * hess
 
     try:
         v = np.append(_ridge_weights(m, x, y, 1e-8 * m.n) * sd, 0.0)
-        width, steps = spread, 0
-        limit = max_iter if max_iter and max_iter > 0 else 200
+        limit = max_iter if max_iter and max_iter > 0 else 500
+        width, steps = spread, 1
         value, grad, hess = step(v, width)
         while steps < limit:
-            move = np.linalg.lstsq(hess + 1e-10 * np.trace(hess) * np.eye(p + 1), -grad, rcond=None)[0]
-            scale = 1.0
-            while True:
-                trial = step(v + scale * move, width)
-                steps += 1
-                if trial[0] <= value + 1e-4 * scale * float(grad @ move) or scale < 1e-4:
-                    break
-                scale /= 2
-            gain = value - trial[0]
-            if gain > 0:
-                v, (value, grad, hess) = v + scale * move, trial
-            if gain <= tol * 1e-3 * max(abs(value), 1.0):
-                if width <= tol * spread * 1e-2:
-                    break
-                width /= 4
-                value, grad, hess = step(v, width)
-                steps += 1
+            ridge = 1e-12 * np.trace(hess) * np.eye(p + 1)
+            move = np.linalg.lstsq(hess + ridge, -grad, rcond=None)[0]
+            slope = float(grad @ move)
+            if -slope > 0.01 * tol * max(abs(value), 1e-12):
+                scale = 1.0
+                while steps < limit:
+                    trial = step(v + scale * move, width)
+                    steps += 1
+                    if trial[0] <= value + 1e-4 * scale * slope:
+                        v, (value, grad, hess) = v + scale * move, trial
+                        break
+                    if scale < 1e-6:
+                        slope = 0.0
+                        break
+                    scale /= 2
+                if slope:
+                    continue
+            # the smoothed loss is below the true one by at most this much
+            if C * m.n * width / 2 <= 0.1 * tol * max(abs(value), 1e-12):
+                break
+            width /= 4
+            value, grad, hess = step(v, width)
+            steps += 1
     finally:
         rows.unpersist()
     w = v[:p] / sd

@@ -79,14 +79,17 @@ def predicate(df: DataFrame, rule: tuple) -> Column:
     col = quoted(actual)
     null = col.isNull()
     if isinstance(df.schema[actual].dataType, (T.FloatType, T.DoubleType)):
-        null = null | F.isnan(col)
+        null = null | F.isnan(col)  # NaN is missing too
     if comparator == "is_null":
         return null
     if comparator == "is_not_null":
         return ~null
     if comparator not in COMPARATORS:
         raise SchemaError(f"unknown comparator {comparator!r}")
-    return COMPARATORS[comparator](col, _literal(rest[0] if rest else None, logical))
+    holds = COMPARATORS[comparator](col, _literal(rest[0] if rest else None, logical))
+    if isinstance(df.schema[actual].dataType, (T.FloatType, T.DoubleType)):
+        return holds & ~F.isnan(col)
+    return holds
 
 
 def data_filter(df: DataFrame, rules: Sequence[tuple], mode: str = "all") -> DataFrame:
