@@ -176,7 +176,7 @@ def _fit(curve: Curve, rows: DataFrame, keys: list[str], guesses: Callable[[tupl
             [(*g, *map(float, p), float(names[g]["k"]), int(names[g]["n"]), float(s))
              for g, (p, s) in fits.items()], out_schema))
     if keys:
-        def fit_one(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        def fit_one(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
             x, y = pdf["_x"].to_numpy(float), pdf["_y"].to_numpy(float)
             k = float(y.sum())
             p, sse = _fit_arrays(curve, x, y, k, guesses(tuple(key)), max_iter)

@@ -84,7 +84,7 @@ def _block_udf(cuts: list[list[float]]):
 def _inside(cells: DataFrame, block: str, a: str) -> DataFrame:
     """Discordant pairs counted inside each block of at most about BLOCK_ROWS rows."""
 
-    def count(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def count(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         d = discordant(pdf["a"].to_numpy(), pdf["b"].to_numpy(), pdf["w"].to_numpy())
         return pd.DataFrame({"pair": [key[0]], "d": [d]})
 

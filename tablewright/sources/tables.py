@@ -43,7 +43,8 @@ def read_csv(spark: SparkSession, path: str, schema, **options) -> DataFrame:
     """
     if schema is None:
         raise SchemaError("CSV needs a schema")
-    settings = {"header": True, "mode": "FAILFAST", "nullValue": "", **options}
+    settings = {"header": True, "mode": "FAILFAST", "nullValue": "", "positiveInf": "inf",
+                "negativeInf": "-inf", **options}
     df = spark.read.options(**settings).schema(schema).csv(path)
     fixes = {}
     for f in df.schema.fields:
