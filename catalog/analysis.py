@@ -64,7 +64,7 @@ WITH g AS {_Q}, s AS (SELECT sum(x.w * y.w * sign(x.l_quantity - y.l_quantity) *
 SELECT 'l_quantity' AS a, 'l_discount' AS b, round(c / sqrt(p * q), 6) AS tau FROM s""")
 def _(t):
     # small blocks so that every part of the counting is used
-    return kendall.kendall_pairs(t("lineitem"), ["l_quantity", "l_discount"], 5_000).withColumn("tau", F.round("tau", 6))
+    return kendall.kendall_pairs(t("lineitem"), ["l_quantity", "l_discount"], 20_000).withColumn("tau", F.round("tau", 6))
 
 
 _Z = ", ".join(f"({c}, {NormalDist().inv_cdf(c)!r})" for c in analyze.confidence_levels())

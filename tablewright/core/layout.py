@@ -12,7 +12,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tablewright.core.session import GROUP_LIMIT, largest_group, stable
+from tablewright.core.session import GROUP_LIMIT, largest_group, settled, stable
 
 _POS_BITS = 33  # monotonically_increasing_id keeps the partition above bit 33
 
@@ -86,7 +86,7 @@ def row_index(df: DataFrame, order_by, by=None, name: str = "row_index",
 
     ``order_by`` should identify rows within a series; ties are in any order.
     """
-    by, order = _names(by), _sort_columns(order_by)
+    by, order, df = _names(by), _sort_columns(order_by), settled(df)
     if largest_group(df, by) <= limit:
         return df.withColumn(name, F.row_number().over(window(by, order)).cast("long"))
     rows = _with_offsets(_laid_out(df, by, order), by, [])
@@ -97,7 +97,7 @@ def row_index(df: DataFrame, order_by, by=None, name: str = "row_index",
 def running_sum(df: DataFrame, columns: dict[str, str], order_by, by=None,
                 limit: int = GROUP_LIMIT) -> DataFrame:
     """Add running totals {new column: source column} in series order."""
-    by, order = _names(by), _sort_columns(order_by)
+    by, order, df = _names(by), _sort_columns(order_by), settled(df)
     upto = (Window.unboundedPreceding, Window.currentRow)
     if largest_group(df, by) <= limit:
         w = window(by, order).rowsBetween(*upto)

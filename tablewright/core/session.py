@@ -10,6 +10,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 # Rows one task may hold when a group has to be processed as a whole.
 GROUP_LIMIT = 1_000_000
 
+# Inputs estimated below this are read twice rather than copied.
+CHEAP_BYTES = 64 * 1024 * 1024
+
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Directory for reliable checkpoints.
@@ -39,6 +42,31 @@ def stable(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def estimated_bytes(df: DataFrame) -> int:
+    """The optimizer's size estimate; joins make it very large, filters leave it alone."""
+    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    return int(str(size))
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """``df`` itself while recomputing it is cheap, else a reliable copy computed once.
+
+    Callers that have to look at a table twice start from this.
+    """
+    return df if estimated_bytes(df) <= CHEAP_BYTES else stable(df)
+
+
+def spread_out(df: DataFrame, *keys: str) -> DataFrame:
+    """Give costly per-row work enough tasks when the input is too small to split well.
+
+    Inputs with a split for at least half the cores are left as they are.
+    """
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    split = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
+    return df.repartition(cores, *keys) if estimated_bytes(df) < split * cores / 2 else df
+
+
 def hold(df: DataFrame) -> DataFrame:
     """Keep the input of an iterative fit; lost blocks are recomputed from lineage."""
     return df.persist(StorageLevel.MEMORY_AND_DISK)

@@ -17,6 +17,7 @@ Every unit of work is bounded by the block size or by the number of blocks.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -112,10 +113,13 @@ def _across(cells: DataFrame, digits: int) -> DataFrame:
     return summed.select("pair", d.alias("d"))
 
 
-def _tied(cells: DataFrame, keys: Sequence[str], name: str) -> DataFrame:
-    t = cells.groupBy("pair", *keys).agg(F.sum("w").alias("t"))
-    pairs = F.sum(F.col("t") * (F.col("t") - 1) / 2).alias(name)
-    return t.groupBy("pair").agg(pairs)
+def _term(rows: DataFrame, name: str, value: Column) -> DataFrame:
+    return rows.select("pair", F.lit(name).alias("term"), value.alias("v"))
+
+
+def _tied(cells: DataFrame, key: str, name: str) -> DataFrame:
+    t = cells.groupBy("pair", key).agg(F.sum("w").alias("t"))
+    return _term(t, name, F.col("t") * (F.col("t") - 1) / 2)
 
 
 def kendall_pairs(df: DataFrame, columns: Sequence[str], block_rows: int = BLOCK_ROWS) -> DataFrame:
@@ -145,18 +149,19 @@ def kendall_pairs(df: DataFrame, columns: Sequence[str], block_rows: int = BLOCK
     }))
     most = max(2 * len(c) + 1 for c in cuts.values())
     by_b = cells.groupBy("pair", "block_a", "block_b", "b").agg(F.sum("w").alias("w"))
-    found = _inside(cells, "block_a", "a").unionByName(_inside(by_b, "block_b", "block_a"))
+    parts = [_term(_inside(cells, "block_a", "a"), "d", F.col("d"))]
     if most > 1:
-        found = found.unionByName(_across(cells, (most - 1).bit_length()))
-    d = found.groupBy("pair").agg(F.sum("d").alias("d"))
-    n = cells.groupBy("pair").agg(F.sum("w").alias("n"))
-    stats = n.join(d, "pair", "left").fillna(0.0, ["d"])
-    for keys, name in ((["a"], "n1"), (["b"], "n2"), (["a", "b"], "n3")):
-        stats = stats.join(_tied(cells, keys, name), "pair")
+        parts.append(_term(_inside(by_b, "block_b", "block_a"), "d", F.col("d")))
+        parts.append(_term(_across(cells, (most - 1).bit_length()), "d", F.col("d")))
+    parts += [_term(cells, "n", F.col("w")), _term(cells, "n3", F.col("w") * (F.col("w") - 1) / 2)]
+    parts += [_tied(cells, "a", "n1"), _tied(cells, "b", "n2")]
+    terms = reduce(DataFrame.unionByName, parts).groupBy("pair").agg(
+        *[F.coalesce(F.sum(F.when(F.col("term") == k, F.col("v"))), F.lit(0.0)).alias(k)
+          for k in ("d", "n", "n1", "n2", "n3")])
     n0 = F.col("n") * (F.col("n") - 1) / 2
     c = n0 - F.col("n1") - F.col("n2") + F.col("n3") - F.col("d")
     below = F.sqrt((n0 - F.col("n1")) * (n0 - F.col("n2")))
-    rows = stats.select("pair", F.try_divide(c - F.col("d"), below).alias("tau")).collect()
+    rows = terms.select("pair", F.try_divide(c - F.col("d"), below).alias("tau")).collect()
     cells.unpersist()
     tau = {r["pair"]: r["tau"] for r in rows}  # one row per pair of columns
     out = [(columns[i], columns[j], tau.get(k)) for k, (i, j) in enumerate(pairs)]

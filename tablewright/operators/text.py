@@ -9,6 +9,7 @@ import pandas as pd
 import regex
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from tablewright.core.session import spread_out
 from tablewright.core.types import quoted
 
 SEPARATOR = "、"
@@ -26,26 +27,22 @@ STOP_WORDS = (
 ).split()
 
 # Latin letters and digits, with a decimal part and a percent sign; otherwise one character.
-TOKEN = r"[a-zA-Z0-9]+(?:\.[0-9]+)?%?|[^a-zA-Z0-9]"
+_WORD = r"[a-zA-Z0-9]+(?:\.[0-9]+)?%?"
+# Stop characters match no branch, so they never become tokens.
+TOKEN = _WORD + "|[^a-zA-Z0-9" + "".join("\\" + c if c in r"[]^-\&" else c for c in sorted(set(STOP_CHARACTERS))) + "]"
 _HAN = regex.compile(r"([一-鿕]+)")
 
 
-def _stop_array() -> Column:
-    return F.lit(sorted(set(STOP_CHARACTERS)))
-
-
 def tokens(col: Column, dictionary: Mapping[str, float] | None = None) -> Column:
-    """Tokens of a text as an array, stop characters removed; null for empty text.
+    """Tokens of a text as an array, stop characters left out; null for empty text.
 
     Without a dictionary every Chinese character is a token. With one (word ->
     frequency) runs of Chinese characters are cut along the most probable path.
     """
     text = F.when(F.length(col) > 0, col)
     if dictionary is None:
-        cut = F.regexp_extract_all(text, F.lit(f"({TOKEN})"), 1)
-    else:
-        cut = _dictionary_udf(dict(dictionary))(text)
-    return F.filter(cut, lambda t: ~F.array_contains(_stop_array(), t))
+        return F.regexp_extract_all(text, F.lit(f"({TOKEN})"), 1)
+    return _dictionary_udf(dict(dictionary))(text)
 
 
 def cut_run(run: str, logp: Mapping[str, float], longest: int) -> list[str]:
@@ -89,12 +86,12 @@ def _dictionary_udf(dictionary: Mapping[str, float]):
 
 def cut_word(df: DataFrame, col: str, dictionary: Mapping[str, float] | None = None) -> DataFrame:
     """Add ``seg_result``: the tokens joined by an ideographic comma."""
-    return df.withColumn("seg_result", F.array_join(tokens(quoted(col).cast("string"), dictionary), SEPARATOR))
+    return spread_out(df).withColumn("seg_result", F.array_join(tokens(quoted(col).cast("string"), dictionary), SEPARATOR))
 
 
 def token_counts(df: DataFrame, id: str, col: str, dictionary: Mapping[str, float] | None = None) -> DataFrame:
     """(id, word, n) per document."""
-    words = df.select(quoted(id), F.explode(tokens(quoted(col).cast("string"), dictionary)).alias("word"))
+    words = spread_out(df.select(quoted(id), quoted(col)), id).select(quoted(id), F.explode(tokens(quoted(col).cast("string"), dictionary)).alias("word"))
     return words.groupBy(id, "word").agg(F.count(F.lit(1)).alias("n"))
 
 
