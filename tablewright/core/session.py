@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -37,9 +38,15 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def stable(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` reliably so that every later reader sees the same rows."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint()
+    """Compute ``df`` once into a table on shared storage and continue from that table.
+
+    Every later reader sees the same rows, also after executors are lost, reads
+    only the columns it needs, and the optimizer knows the true size.
+    """
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def estimated_bytes(df: DataFrame) -> int:

@@ -9,7 +9,7 @@ import pandas as pd
 import regex
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tablewright.core.session import spread_out
+from tablewright.core.session import spread_out, stable
 from tablewright.core.types import quoted
 
 SEPARATOR = "、"
@@ -110,32 +110,39 @@ def word_count(df: DataFrame, id: str, col: str, dictionary: Mapping[str, float]
     return parents.unionByName(children, allowMissingColumns=True)
 
 
+def _is_keyword(word: Column) -> Column:
+    return (F.length(F.trim(word)) >= 2) & ~F.lower(word).isin(*STOP_WORDS)
+
+
 def word_tag(df: DataFrame, id: str, col: str, top_k: int = 20,
              dictionary: Mapping[str, float] | None = None, idf: DataFrame | None = None) -> DataFrame:
-    """Add ``tag_result``: the top_k words of each document by TF-IDF.
+    """Add ``tag_result``: the top_k words of each document by TF-IDF; ``id`` names rows uniquely.
 
     Words have at least two characters and are not stop words. ``idf`` is a
     (word, idf) table, unknown words get its median; without it the inverse
     document frequencies come from the table itself.
     """
-    counts = token_counts(df, id, col, dictionary)
-    counts = counts.where((F.length(F.trim("word")) >= 2) & ~F.lower("word").isin(*STOP_WORDS))
-    total = counts.groupBy(id).agg(F.sum("n").alias("_total"))
+    counts = token_counts(df, id, col, dictionary).where(_is_keyword(F.col("word")))
     if idf is None:
-        n_docs = df.agg(F.count(F.lit(1)).alias("_docs"))
-        df_table = counts.groupBy("word").agg(F.count(F.lit(1)).alias("_df"))
-        idf = df_table.join(F.broadcast(n_docs), how="cross").select(
-            "word", F.ln(F.col("_docs") / F.col("_df")).alias("idf"))  # one-row side
-        weighted = counts.join(idf, "word")
+        # Used twice, and much smaller than the texts: cut them once.
+        counts = stable(counts)
+        n_docs = df.count()
+        idf = counts.groupBy("word").agg(F.count(F.lit(1)).alias("_df")).select(
+            "word", F.ln(F.lit(float(n_docs)) / F.col("_df")).alias("idf"))
+        middle = 0.0
     else:
-        middle = idf.agg(F.percentile_approx("idf", 0.5).alias("_mid")).first()[0]
-        weighted = counts.join(idf.select("word", "idf"), "word", "left").fillna({"idf": middle})
-    weighted = weighted.join(total, id).withColumn("_w", F.round(F.col("n") * F.col("idf") / F.col("_total"), 12))
+        middle = idf.agg(F.percentile_approx("idf", 0.5)).first()[0]
+    # Neither side is known to be small: sort-merge, where hot words can be split.
+    weighted = counts.hint("merge").join(idf.select("word", "idf"), "word", "left")
+    # Dividing by the length of the document would not change the order of its words.
+    weight = F.round(F.col("n") * F.coalesce("idf", F.lit(middle)), 9)
     w = Window.partitionBy(id).orderBy(F.col("_w").desc(), "word")
-    top = weighted.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= top_k)
-    ordered = F.array_sort(F.collect_list(F.struct("_r", "word")))
+    top = weighted.withColumn("_w", weight).withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= top_k)
+    ordered = F.array_sort(F.collect_list(F.struct("_r", "word")))  # top_k entries
     tags = top.groupBy(F.col(id).alias("_tag_id")).agg(
         F.array_join(F.transform(ordered, lambda s: s["word"]), SEPARATOR).alias("_tags"))
-    text = quoted(col).cast("string")
-    value = F.when(F.length(text) > 0, F.coalesce(F.col("_tags"), F.lit("")))
-    return df.join(tags, quoted(id) == F.col("_tag_id"), "left").withColumn("tag_result", value).drop("_tag_id", "_tags")
+    # The text itself takes no part in the join unless the caller keeps it.
+    marked = df.withColumn("_has_text", F.length(quoted(col).cast("string")) > 0)
+    value = F.when(F.col("_has_text"), F.coalesce(F.col("_tags"), F.lit("")))
+    joined = marked.join(tags, quoted(id) == F.col("_tag_id"), "left").withColumn("tag_result", value)
+    return joined.drop("_tag_id", "_tags", "_has_text")
