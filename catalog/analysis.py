@@ -77,6 +77,22 @@ def _(t):
     return analyze.ci_table(t("orders"), "o_totalprice").withColumn("value", F.round("value", 6))
 
 
+def _three(source: str, a: str, b: str, c: str) -> str:
+    """CTEs k (correlations), e (eigenvalues of the rounded ones) and v (leading eigenvector) of three columns."""
+    return f"""
+k AS (SELECT corr({a}, {b}) r12, corr({a}, {c}) r13, corr({b}, {c}) r23, count(*)::DOUBLE n FROM {source}),
+t AS (SELECT *, round(r12, 3) q12, round(r13, 3) q13, round(r23, 3) q23 FROM k),
+g AS (SELECT *, sqrt((q12 * q12 + q13 * q13 + q23 * q23) / 3) sq, sqrt((r12 * r12 + r13 * r13 + r23 * r23) / 3) sr FROM t),
+e AS (SELECT i, 1 + 2 * sq * cos((acos(q12 * q13 * q23 / power(sq, 3)) - 2 * pi() * j) / 3) AS eig FROM g, (VALUES (1, 0), (2, 1), (3, 2)) o(i, j)),
+l AS (SELECT *, 1 + 2 * sr * cos(acos(r12 * r13 * r23 / power(sr, 3)) / 3) AS lam FROM g),
+w AS (SELECT lam, r12 * r23 - r13 * (1 - lam) AS x, r12 * r13 - r23 * (1 - lam) AS y, power(1 - lam, 2) - r12 * r12 AS z FROM l),
+u AS (SELECT *, sqrt(x * x + y * y + z * z) * CASE WHEN abs(x) >= abs(y) AND abs(x) >= abs(z) THEN sign(x) WHEN abs(y) >= abs(z) THEN sign(y) ELSE sign(z) END AS norm FROM w),
+v AS (SELECT lam, unnest(['{a}', '{b}', '{c}']) AS feature, unnest([x / norm, y / norm, z / norm]) AS v FROM u)"""
+
+
+_EIG3 = f"WITH {_SUP}, {_three('sup', 'volume', 'discount', 'lines')}, rk AS (SELECT *, row_number() OVER (ORDER BY eig DESC) AS pos, sum(eig) OVER () AS s FROM e)"
+_LINER3 = f"{_EIG3} SELECT feature, round(v, 4) AS component_1, round(round(v, 4), 4) AS score, round(round(v, 4) / sum(round(v, 4)) OVER () * 100, 2) AS weight_pct FROM v"
+
 _R = f"{_SUP}, r AS (SELECT corr(volume, lines) AS r, count(*)::DOUBLE AS n FROM sup)"
 _TWO = ["volume", "lines"]
 _MANY = ["volume", "discount", "lines"]
@@ -118,9 +134,9 @@ def _(t):
     return _pca(t)["eigenvalue"]
 
 
-@query("a02_pca_liner_many")
+@query("a02_pca_liner_many", _LINER3)
 def _(t):
-    return _pca(t, _MANY)["liner_table"]
+    return _pca(t, _MANY)["liner_table"].withColumn("score", F.round("score", 4))
 
 
 @query("a03_factor_component", f"""
@@ -129,24 +145,32 @@ def _(t):
     return analyze.factor_analyze(suppliers(t), _TWO)["component_table"]
 
 
-@query("a03_factor_variance")
+@query("a03_factor_variance", f"""{_EIG3}
+SELECT round(eig, 6) AS eigenvalue, round(eig / s * 100, 3) AS variance_pct, round(sum(round(eig / s * 100, 3)) OVER (ORDER BY pos), 3) AS cumulative_pct,
+ CASE WHEN pos = 1 THEN round(lam, 3) END AS unrotated_eigenvalue, CASE WHEN pos = 1 THEN round(lam / 3 * 100, 3) END AS unrotated_variance_pct,
+ CASE WHEN pos = 1 THEN round(lam / 3 * 100, 3) END AS unrotated_cumulative_pct, CASE WHEN pos = 1 THEN round(lam, 3) END AS rotated_eigenvalue,
+ CASE WHEN pos = 1 THEN round(lam / 3 * 100, 3) END AS rotated_variance_pct, CASE WHEN pos = 1 THEN round(lam / 3 * 100, 3) END AS rotated_cumulative_pct FROM rk, l""")
 def _(t):
-    return analyze.factor_analyze(suppliers(t), _MANY)["variance_table"]
+    out = analyze.factor_analyze(suppliers(t), _MANY)["variance_table"]
+    return out.withColumns({"eigenvalue": F.round("eigenvalue", 6), "cumulative_pct": F.round("cumulative_pct", 3)})
 
 
-@query("a03_factor_loading")
+@query("a03_factor_loading", f"{_EIG3} SELECT feature, round(v * sqrt(lam), 3) AS component_1, round(v * v * lam, 6) AS communality FROM v")
 def _(t):
-    return analyze.factor_analyze(suppliers(t), _MANY)["loading_table"]
+    return analyze.factor_analyze(suppliers(t), _MANY)["loading_table"].withColumn("communality", F.round("communality", 6))
 
 
-@query("a03_factor_kmo")
+@query("a03_factor_kmo", f"""{_EIG3},
+p AS (SELECT *, power(r12 - r13 * r23, 2) / (1 - r13 * r13) / (1 - r23 * r23) + power(r13 - r12 * r23, 2) / (1 - r12 * r12) / (1 - r23 * r23)
+ + power(r23 - r12 * r13, 2) / (1 - r12 * r12) / (1 - r13 * r13) AS q, r12 * r12 + r13 * r13 + r23 * r23 AS r FROM k)
+SELECT round(r / (r + q), 3) AS kmo, round(-(n - 1 - 11 / 6.0) * ln(1 + 2 * r12 * r13 * r23 - r), 1) AS bartlett_chi2, 0.0::DOUBLE AS bartlett_p FROM p""")
 def _(t):
-    return analyze.factor_analyze(suppliers(t), _MANY)["kmo"]
+    return analyze.factor_analyze(suppliers(t), _MANY)["kmo"].withColumn("bartlett_chi2", F.round("bartlett_chi2", 1))
 
 
-@query("a03_factor_liner")
+@query("a03_factor_liner", _LINER3)
 def _(t):
-    return analyze.factor_analyze(suppliers(t), _MANY)["liner_table"]
+    return analyze.factor_analyze(suppliers(t), _MANY)["liner_table"].withColumn("score", F.round("score", 4))
 
 
 @query("a04_critic", f"{_CRITIC} SELECT feature, variability, conflict, round(information, 6) AS information, round(share * 100, 2) AS weight_pct FROM w")
@@ -232,14 +256,18 @@ def _(t):
     return prep.kpi_weights(kpis, weights)
 
 
-@query("a08_kpi_pca_weights")
+_KPI_LINER = f"""WITH {_KPI.replace(" a,", " av,").replace(" n,", " nv,").replace(" r FROM", " rv FROM")}, {_three('kpi', 'av', 'nv', 'rv')}
+SELECT upper(feature[1]) AS "kpiName", round(round(v, 4) / sum(round(v, 4)) OVER () * 100, 2) AS value FROM v"""
+
+
+@query("a08_kpi_pca_weights", _KPI_LINER)
 def _(t):
     kpis = _kpis(t)
     weights = analyze.pca_analyze(prep.kpi_rows(kpis, ["A", "N", "R"]), ["A", "N", "R"])["liner_table"]
     return prep.kpi_weights(kpis, weights)
 
 
-@query("a08_kpi_factor_weights")
+@query("a08_kpi_factor_weights", _KPI_LINER)
 def _(t):
     kpis = _kpis(t)
     weights = analyze.factor_analyze(prep.kpi_rows(kpis, ["A", "N", "R"]), ["A", "N", "R"])["liner_table"]

@@ -106,6 +106,42 @@ def _(t):
     return _scores(t, trees.fit_decision_tree(t("lineitem"), ["l_quantity", "l_discount", "l_tax"], Y, max_depth=4))
 
 
+# Two leaves on one column with few values: the best cut leaves the least squared error.
+_STUMP = """
+g AS (SELECT l_discount AS x, count(*) n, sum({y}) s FROM lineitem GROUP BY 1),
+c AS (SELECT x, sum(n) OVER w AS nl, sum(s) OVER w AS sl, sum(n) OVER () AS na, sum(s) OVER () AS sa FROM g WINDOW w AS (ORDER BY x)),
+b AS (SELECT * FROM c WHERE nl < na ORDER BY sl * sl / nl + (sa - sl) * (sa - sl) / (na - nl) DESC LIMIT 1)"""
+_STUMP_Y = _STUMP.format(y="l_extendedprice")
+_STUMP_SQL = f"WITH {_STUMP_Y} SELECT l_discount, round(CASE WHEN l_discount <= x THEN sl / nl ELSE (sa - sl) / (na - nl) END, 2) AS prediction, count(*) AS n FROM lineitem, b GROUP BY 1, 2"
+
+
+def _by_discount(t, model, digits=2):
+    done = model.predict(t("lineitem", "l_discount"))
+    return done.groupBy("l_discount", F.round("prediction", digits).alias("prediction")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("m05_tree_one_cut", _STUMP_SQL)
+def _(t):
+    return _by_discount(t, trees.fit_decision_tree(t("lineitem"), ["l_discount"], Y, max_depth=1))
+
+
+@query("m06_forest_one_cut", _STUMP_SQL)
+def _(t):
+    return _by_discount(t, trees.fit_random_forest(t("lineitem"), ["l_discount"], Y, 1, 1, bootstrap=False, max_features="all"))
+
+
+@query("m07_boosted_one_cut", _STUMP_SQL)
+def _(t):
+    return _by_discount(t, trees.fit_boosted(t("lineitem"), ["l_discount"], Y, num_leaves=2, num_boost_round=1))
+
+
+@query("m07_binary_one_cut", f"""WITH {_STUMP.format(y="(l_linestatus = 'O')::INT")}
+SELECT l_discount, (CASE WHEN l_discount <= x THEN sl / nl ELSE (sa - sl) / (na - nl) END > 0.5)::INT::DOUBLE AS prediction, count(*) AS n FROM lineitem, b GROUP BY 1, 2""")
+def _(t):
+    li = t("lineitem").withColumn("late", (F.col("l_linestatus") == "O").cast("double"))
+    return _by_discount(t, trees.fit_boosted(li, ["l_discount"], "late", "binary", num_leaves=2, num_boost_round=1))
+
+
 @query("m06_random_forest")
 def _(t):
     return _scores(t, trees.fit_random_forest(t("lineitem"), ["l_quantity", "l_discount", "l_tax"], Y, 8, 4))
@@ -191,25 +227,44 @@ def daily(t):
 _DAILY = "daily AS (SELECT event_type, ts::DATE AS day, round(sum(value), 2) AS total, count(*) AS n FROM events GROUP BY 1, 2)"
 
 
-@query("m13_weibull", f"""
-WITH RECURSIVE {_DAILY}, d AS (SELECT event_type, total AS y, row_number() OVER (PARTITION BY event_type ORDER BY day)::DOUBLE AS t, sum(total) OVER (PARTITION BY event_type) AS k FROM daily),
-it(event_type, s, m, a) AS (
- SELECT DISTINCT event_type, 0, 1.5::DOUBLE, 0.02::DOUBLE FROM d UNION ALL
- SELECT event_type, s + 1, m + 0.5 * (hb * ga - hab * gb) / (ha * hb - hab * hab), a + 0.5 * (ha * gb - hab * ga) / (ha * hb - hab * hab) FROM (
-  SELECT event_type, s, m, a, sum(jm * jm) ha, sum(jm * ja) hab, sum(ja * ja) hb, sum(jm * r) ga, sum(ja * r) gb FROM (
+def _weibull_sql(series: str, m: float, a: float) -> str:
+    """Damped Gauss-Newton steps over (g, t, y, k) rows; table ``it`` holds step s."""
+    return f"""{series},
+it(g, s, m, a) AS (
+ SELECT DISTINCT g, 0, {m}::DOUBLE, {a}::DOUBLE FROM d UNION ALL
+ SELECT g, s + 1, m + 0.5 * (hb * ga - hab * gb) / (ha * hb - hab * hab), a + 0.5 * (ha * gb - hab * ga) / (ha * hb - hab * hab) FROM (
+  SELECT g, s, m, a, sum(jm * jm) ha, sum(jm * ja) hab, sum(ja * ja) hb, sum(jm * r) ga, sum(ja * r) gb FROM (
    SELECT *, y - f AS r, f * (1 / m + ln(t) - a * power(t, m) * ln(t)) AS jm, f * (1 / a - power(t, m)) AS ja FROM (
-    SELECT it.event_type, s, m, a, t, y, k * m * a * power(t, m - 1) * exp(-a * power(t, m)) AS f FROM it JOIN d USING (event_type) WHERE s < 120)) GROUP BY ALL))
-SELECT event_type, 1 AS peak, round(m, 4) AS m, round(a, 5) AS a FROM it WHERE s = 120""")
+    SELECT it.g, s, m, a, t, y, k * m * a * power(t, m - 1) * exp(-a * power(t, m)) AS f FROM it JOIN d ON it.g = d.g WHERE s < 120)) GROUP BY ALL))"""
+
+
+_PER_TYPE = _weibull_sql(_DAILY + """, d AS (SELECT event_type AS g, total AS y, row_number() OVER (PARTITION BY event_type ORDER BY day)::DOUBLE AS t,
+ sum(total) OVER (PARTITION BY event_type) AS k FROM daily)""", 1.5, 0.02)
+
+
+@query("m13_weibull", f"WITH RECURSIVE {_PER_TYPE} SELECT g AS event_type, 1 AS peak, round(m, 4) AS m, round(a, 5) AS a FROM it WHERE s = 120")
 def _(t):
     out = curvefit.fit_weibull(daily(t), "total", "day", guess=((1.5, 0.02),), by="event_type")
     return out.select("event_type", "peak", F.round("m", 4).alias("m"), F.round("a", 5).alias("a"))
 
 
-@query("m13_weibull_two_peaks")
+_TWO_PEAKS = _weibull_sql("""q AS (SELECT ts::DATE AS day, sum(value) AS y FROM events GROUP BY 1), o AS (SELECT y, row_number() OVER (ORDER BY day) AS i FROM q WHERE day IS NOT NULL),
+d AS (SELECT (i > 15)::INT + 1 AS g, y, (CASE WHEN i > 15 THEN i - 15 ELSE i END)::DOUBLE AS t, sum(y) OVER (PARTITION BY i > 15) AS k FROM o WHERE i <= 31)""", 1.2, 0.05)
+
+
+@query("m13_weibull_two_peaks", f"WITH RECURSIVE {_TWO_PEAKS} SELECT g AS peak, round(m, 3) AS m, round(a, 4) AS a FROM it WHERE s = 120")
 def _(t):
     all_days = t("events").groupBy(F.to_date("ts").alias("day")).agg(F.sum("value").alias("total"))
     out = curvefit.fit_weibull(all_days, "total", "day", regions=[(1, 15), (16, 31)], guess=((1.2, 0.05), (1.2, 0.05)))
-    return out.select("peak", F.round("m", 3).alias("m"), F.round("a", 4).alias("a"), F.round("k", 2).alias("k"))
+    return out.select("peak", F.round("m", 3).alias("m"), F.round("a", 4).alias("a"))
+
+
+@query("m14_arima_020", f"""
+WITH {_DAILY}, d AS (SELECT event_type, total AS y, lag(total) OVER (PARTITION BY event_type ORDER BY day) AS p, row_number() OVER (PARTITION BY event_type ORDER BY day DESC) AS r FROM daily)
+SELECT event_type, k::INT AS step, round(y + k * (y - p), 2) AS total FROM d, range(1, 5) s(k) WHERE r = 1""")
+def _(t):
+    out = series.arima_forecast(daily(t), "total", "day", 0, 2, 0, 4, by="event_type")
+    return out.withColumn("total", F.round("total", 2))
 
 
 @query("m14_arima_ar1", f"""
@@ -342,7 +397,7 @@ def _(t):
     return out.withColumn("predicted", F.round("predicted", 4))
 
 
-@query("k04_model_versions")
+@query("k04_model_versions", "SELECT unnest([1, 2, 3])::INT AS version")
 def _(t):
     root = scratch(t, "models")
     tree = trees.fit_decision_tree(t("lineitem"), X2, Y, max_depth=2)

@@ -161,23 +161,30 @@ def sobol(spark: SparkSession, model, bounds: Mapping[str, tuple[float, float]],
     """(name, value): first-order sensitivity of a model's prediction to each feature.
 
     Pairs of sample points A and B are drawn; AB_i is A with feature i from B.
-    All predictions and moments come from one pass over the design.
+    Moments come from two passes over the predictions, whatever their number.
     """
     names = list(bounds)
     p = len(names)
     base, u = spread_points(spark, n, 2 * p)
     scale = {c: (float(lo), float(hi) - float(lo)) for c, (lo, hi) in bounds.items()}
 
-    def point(which: Sequence[int]) -> Column:
-        return F.struct(*[(F.lit(scale[c][0]) + F.lit(scale[c][1]) * u[j]).alias(c) for c, j in zip(names, which)])
+    def value(c: str, j: int) -> Column:
+        return F.lit(scale[c][0]) + F.lit(scale[c][1]) * u[j]
 
     first, second = list(range(p)), list(range(p, 2 * p))
     designs = [first, second] + [first[:i] + [second[i]] + first[i + 1:] for i in range(p)]
-    rows = base.select("id", F.posexplode(F.array(*[point(d) for d in designs])).alias("_d", "_s"))
-    rows = rows.select("id", "_d", "_s.*")
-    out = model.predict(rows, "_f").select("id", "_d", "_f")
-    per = out.groupBy("id").agg(*[F.max(F.when(F.col("_d") == k, F.col("_f"))).alias(f"f{k}")
-                                  for k in range(len(designs))])
+    if hasattr(model, "outputs"):
+        # An expression model is evaluated on all designs of a point in one row.
+        cells = {(c, j): f"{c}_{j}" for i, c in enumerate(names) for j in (i, p + i)}
+        rows = base.select("id", *[value(c, j).alias(name) for (c, j), name in cells.items()])
+        per = rows.select("id", *[model.outputs([cells[c, j] for c, j in zip(names, d)])[0].alias(f"f{k}")
+                                  for k, d in enumerate(designs)])
+    else:
+        points = F.array(*[F.struct(*[value(c, j).alias(c) for c, j in zip(names, d)]) for d in designs])
+        rows = base.select("id", F.posexplode(points).alias("_d", "_s")).select("id", "_d", "_s.*")
+        out = model.predict(rows, "_f").select("id", "_d", "_f")
+        per = out.groupBy("id").agg(*[F.max(F.when(F.col("_d") == k, F.col("_f"))).alias(f"f{k}")
+                                      for k in range(len(designs))])
     m = per.agg(F.avg("f0"), F.avg("f1")).first()
     mid = (m[0] + m[1]) / 2
     f0, f1 = F.col("f0") - F.lit(mid), F.col("f1") - F.lit(mid)

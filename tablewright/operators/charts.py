@@ -58,9 +58,8 @@ def chart_pie(df: DataFrame, dimension: str, value: str, mode: str = "rows") ->
     if _rows(df, [dimension, value], mode):
         return df.select(quoted(dimension), quoted(value))
     slices = df.groupBy(dimension).agg(F.sum(quoted(value)).alias(value))
-    total = df.agg(F.sum(quoted(value)).alias("_total"))
-    joined = slices.join(F.broadcast(total), how="cross")  # one-row side
-    return joined.select(dimension, value, F.try_divide(quoted(value), F.col("_total")).alias("share"))
+    total = slices.agg(F.sum(quoted(value))).first()[0]
+    return slices.withColumn("share", F.try_divide(quoted(value), F.lit(total)))
 
 
 def chart_spider(df: DataFrame, dimensions: Sequence[str], mode: str = "rows") -> DataFrame:
