@@ -90,6 +90,11 @@ u AS (SELECT *, sqrt(x * x + y * y + z * z) * CASE WHEN abs(x) >= abs(y) AND abs
 v AS (SELECT lam, unnest(['{a}', '{b}', '{c}']) AS feature, unnest([x / norm, y / norm, z / norm]) AS v FROM u)"""
 
 
+def _tail(x: str) -> str:
+    """Upper tail of chi-square with one degree of freedom, by the midpoint rule."""
+    return f"(SELECT sqrt(2 / pi()) * sum(exp(-power(sqrt({x}) + (i + 0.5) / 2000, 2) / 2)) / 2000 FROM range(20000) r(i))"
+
+
 _EIG3 = f"WITH {_SUP}, {_three('sup', 'volume', 'discount', 'lines')}, rk AS (SELECT *, row_number() OVER (ORDER BY eig DESC) AS pos, sum(eig) OVER () AS s FROM e)"
 _LINER3 = f"{_EIG3} SELECT feature, round(v, 4) AS component_1, round(round(v, 4), 4) AS score, round(round(v, 4) / sum(round(v, 4)) OVER () * 100, 2) AS weight_pct FROM v"
 
@@ -102,7 +107,7 @@ def _pca(t, columns=_TWO):
     return analyze.pca_analyze(suppliers(t), columns)
 
 
-@query("a02_pca_kmo", f"WITH {_R} SELECT 0.5::DOUBLE AS kmo, round(-(n - 1 - 1.5) * ln(1 - r * r), 1) AS bartlett_chi2, 0.0::DOUBLE AS bartlett_p FROM r")
+@query("a02_pca_kmo", f"WITH {_R} SELECT 0.5::DOUBLE AS kmo, round(x, 1) AS bartlett_chi2, round({_tail('x')}, 3) AS bartlett_p FROM (SELECT -(n - 1 - 1.5) * ln(1 - r * r) AS x FROM r)")
 def _(t):
     return _pca(t)["kmo"].withColumn("bartlett_chi2", F.round("bartlett_chi2", 1))
 
@@ -163,7 +168,8 @@ def _(t):
 @query("a03_factor_kmo", f"""{_EIG3},
 p AS (SELECT *, power(r12 - r13 * r23, 2) / (1 - r13 * r13) / (1 - r23 * r23) + power(r13 - r12 * r23, 2) / (1 - r12 * r12) / (1 - r23 * r23)
  + power(r23 - r12 * r13, 2) / (1 - r12 * r12) / (1 - r13 * r13) AS q, r12 * r12 + r13 * r13 + r23 * r23 AS r FROM k)
-SELECT round(r / (r + q), 3) AS kmo, round(-(n - 1 - 11 / 6.0) * ln(1 + 2 * r12 * r13 * r23 - r), 1) AS bartlett_chi2, 0.0::DOUBLE AS bartlett_p FROM p""")
+SELECT round(kmo, 3) AS kmo, round(x, 1) AS bartlett_chi2, round({_tail('x')} + sqrt(2 * x / pi()) * exp(-x / 2), 3) AS bartlett_p
+FROM (SELECT r / (r + q) AS kmo, -(n - 1 - 11 / 6.0) * ln(1 + 2 * r12 * r13 * r23 - r) AS x FROM p)""")
 def _(t):
     return analyze.factor_analyze(suppliers(t), _MANY)["kmo"].withColumn("bartlett_chi2", F.round("bartlett_chi2", 1))
 
@@ -230,7 +236,7 @@ def _(t):
     li = t("lineitem")
     model = reg.fit_ridge(li, ["l_quantity", "l_discount"], "l_extendedprice")
     bounds = prep.fit_min_max(li, ["l_quantity", "l_discount"])
-    out = analyze.sobol(t.spark, model, bounds, n=li.count())
+    out = analyze.sobol(t.spark, model, bounds, n=16 * li.count())
     return out.withColumn("value", F.round("value", 2) + 0.0)
 
 

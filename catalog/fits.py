@@ -303,12 +303,16 @@ q AS (SELECT event_type, max(CASE WHEN i = 1 THEN y END) AS base, sum(b * b) FIL
  FROM (SELECT *, -(y1 - y / 2) AS b, NOT later AND i > 1 AS u FROM c) GROUP BY 1),
 s AS (SELECT event_type, base, (xx * yb - bx * yx) / (bb * xx - bx * bx) AS al, (bb * yx - bx * yb) / (bb * xx - bx * bx) AS be FROM q),
 f AS (SELECT c.*, (base - be * x1 / al) / exp(al * i) + be * x1 / al AS f FROM c JOIN s USING (event_type))
-SELECT event_type, day, n, round(g, 3) AS gm1n_pre FROM (SELECT *, f - coalesce(lag(f) OVER (PARTITION BY event_type ORDER BY i), 0) AS g FROM f) WHERE later""")
+SELECT event_type, day, n, CASE WHEN g = 0 THEN 0 ELSE round(g / power(10, floor(log10(abs(g)))), 3) END AS mantissa
+FROM (SELECT *, round(f - coalesce(lag(f) OVER (PARTITION BY event_type ORDER BY i), 0), 3) AS g FROM f) WHERE later""")
 def _(t):
     d = daily(t)
     cut = t("events").agg(F.date_sub(F.max(F.to_date("ts")), 4)).first()[0]
     out = series.gm1n(d.where(F.col("day") < F.lit(cut)), d.where(F.col("day") >= F.lit(cut)), ["n"], "total", "day", by="event_type")
-    return out
+    # forecasts may be very large: compare leading digits
+    g = F.col("gm1n_pre")
+    lead = F.round(g / F.pow(F.lit(10.0), F.floor(F.log10(F.abs(g)))), 3)
+    return out.select("event_type", "day", "n", F.when(g == 0, 0.0).otherwise(lead).alias("mantissa"))
 
 
 _FEATURES = """(SELECT p_partkey, any_value(p_brand) AS p_brand, any_value(p_size)::DOUBLE AS size, count(l_orderkey)::DOUBLE AS uses, round(coalesce(sum(l_quantity), 0), 2) AS volume, any_value(p_retailprice) AS price
