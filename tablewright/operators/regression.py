@@ -201,21 +201,30 @@ def fit_svr(df: DataFrame, x: Sequence[str], y: str, C: float = 1.0, epsilon: fl
     z = [F.col(f"z{i}") for i in range(p)] + [F.lit(1.0)]
     penalty = np.append(1.0 / sd**2, 0.0)
     spark = df.sparkSession
-    schema = ", ".join([f"v{i} double" for i in range(p + 1)] + ["width double"])
+    scales = [2.0**-k for k in range(12)]
 
-    def step(at: np.ndarray, smooth: float):
+    def attached(**params: Sequence[float]):
         # Parameters arrive as a one-row table, so every step runs the same compiled plan.
-        now = spark.createDataFrame([(*map(float, at), float(smooth))], schema)
-        v, width = [F.col(f"v{i}") for i in range(p + 1)], F.col("width")
-        fit = sum((z[i] * v[i] for i in range(p + 1)), F.lit(0.0))
-        staged = rows.join(F.broadcast(now), how="cross").select(
-            *rows.columns, "width", (F.col("t") - fit).alias("r"))
+        names = [f"{k}{i}" for k, vals in params.items() for i in range(len(vals))]
+        row = [float(x) for vals in params.values() for x in vals]
+        now = spark.createDataFrame([tuple(row)], ", ".join(f"{n} double" for n in names))
+        return rows.join(F.broadcast(now), how="cross")
+
+    def dot(name: str):
+        return sum((z[i] * F.col(f"{name}{i}") for i in range(p + 1)), F.lit(0.0))
+
+    def loss(r, width):
+        over = F.greatest(F.abs(r) - F.lit(epsilon), F.lit(0.0))
+        return F.when(over < width, over * over / (2 * width)).otherwise(over - width / 2)
+
+    def newton(at: np.ndarray, width: float):
+        """Objective, gradient and curvature at a point: one pass."""
+        w = F.col("w0")
+        staged = attached(v=at, w=[width]).withColumn("r", F.col("t") - dot("v"))
         over = F.greatest(F.abs("r") - F.lit(epsilon), F.lit(0.0))
-        inside = over < width
-        loss = F.when(inside, over * over / (2 * width)).otherwise(over - width / 2)
-        slope = F.signum("r") * F.least(over / width, F.lit(1.0))
-        curve = F.when((over > 0) & inside, 1.0 / width).otherwise(0.0)
-        staged = staged.select("*", loss.alias("l"), slope.alias("g"), curve.alias("h"))
+        slope = F.signum("r") * F.least(over / w, F.lit(1.0))
+        curve = F.when((over > 0) & (over < w), 1.0 / w).otherwise(0.0)
+        staged = staged.select(*rows.columns, loss(F.col("r"), w).alias("l"), slope.alias("g"), curve.alias("h"))
         aggs = [F.sum("l")] + [F.sum(F.col("g") * z[i]) for i in range(p + 1)]
         aggs += [F.sum(F.col("h") * z[i] * z[j]) for i in range(p + 1) for j in range(i, p + 1)]
         got = np.array(staged.agg(*aggs).first(), dtype=float)
@@ -225,35 +234,33 @@ def fit_svr(df: DataFrame, x: Sequence[str], y: str, C: float = 1.0, epsilon: fl
         value = 0.5 * float(penalty @ at**2) + C * got[0]
         return value, penalty * at - C * got[1:p + 2], np.diag(penalty) + C * hess
 
+    def along(at: np.ndarray, move: np.ndarray, width: float) -> np.ndarray:
+        """Objective at every step length: one pass."""
+        staged = attached(v=at, m=move, w=[width]).select(
+            (F.col("t") - dot("v")).alias("r"), dot("m").alias("d"), "w0")
+        sums = staged.agg(*[F.sum(loss(F.col("r") - F.col("d") * k, F.col("w0"))) for k in scales]).first()
+        fixed = [0.5 * float(penalty @ (at + k * move) ** 2) for k in scales]
+        return np.array(fixed) + C * np.array(sums, dtype=float)
+
     try:
         v = np.append(_ridge_weights(m, x, y, 1e-8 * m.n) * sd, 0.0)
+        width, steps = spread, 0
         limit = max_iter if max_iter and max_iter > 0 else 500
-        width, steps = spread, 1
-        value, grad, hess = step(v, width)
         while steps < limit:
-            ridge = 1e-12 * np.trace(hess) * np.eye(p + 1)
+            value, grad, hess = newton(v, width)
+            steps += 1
+            ridge = 1e-10 * np.trace(hess) * np.eye(p + 1)
             move = np.linalg.lstsq(hess + ridge, -grad, rcond=None)[0]
-            slope = float(grad @ move)
-            if -slope > 0.01 * tol * max(abs(value), 1e-12):
-                scale = 1.0
-                while steps < limit:
-                    trial = step(v + scale * move, width)
-                    steps += 1
-                    if trial[0] <= value + 1e-4 * scale * slope:
-                        v, (value, grad, hess) = v + scale * move, trial
-                        break
-                    if scale < 1e-6:
-                        slope = 0.0
-                        break
-                    scale /= 2
-                if slope:
+            if -float(grad @ move) > 0.01 * tol * abs(value):
+                trials = along(v, move, width)
+                best = int(np.argmin(trials))
+                if trials[best] < value - 1e-3 * tol * abs(value):
+                    v = v + scales[best] * move
                     continue
             # the smoothed loss is below the true one by at most this much
-            if C * m.n * width / 2 <= 0.1 * tol * max(abs(value), 1e-12):
+            if C * m.n * width / 2 <= 0.3 * tol * max(abs(value), 1e-12):
                 break
             width /= 4
-            value, grad, hess = step(v, width)
-            steps += 1
     finally:
         rows.unpersist()
     w = v[:p] / sd

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from tablewright.core.gram import moment_aggregates
 from tablewright.core.layout import as_names, lagged, row_index, running_sum
-from tablewright.core.session import GROUP_LIMIT, hold
+from tablewright.core.session import GROUP_LIMIT, stable
 from tablewright.core.types import quoted, require_numeric
 
 
@@ -168,7 +168,7 @@ def arima_forecast(df: DataFrame, y: str, order_by, p: int, d: int, q: int, step
     src = df.select(*keys, *(order_by if isinstance(order_by, list) else [order_by]),
                     quoted(y).cast("double").alias("_y")).where(F.col("_y").isNotNull())
     rows = row_index(src, order_by, by=by, name="_i", limit=limit)
-    rows = hold(rows.select(*keys, "_i", "_y"))
+    rows = stable(rows.select(*keys, "_i", "_y"))  # read several times below
     size = (rows.groupBy(*keys) if keys else rows).agg(F.max("_i").alias("_n_all"))
     rows = _join_keys(rows, size, keys)
     # d-th difference as a weighted sum of the value and its d lags
@@ -275,7 +275,7 @@ def gm1n(train: DataFrame, future: DataFrame, x: Sequence[str], y: str, order_by
     ahead = future.select(*cols, *vals, F.lit(0.0).alias("_y"), F.lit(1).alias("_later"))
     rows = row_index(known.unionByName(ahead), ["_later", order_by], by=by, name="_i", limit=limit)
     sums = {"_y1": "_y", **{f"_x1_{j}": c for j, c in enumerate(x)}}
-    rows = hold(running_sum(rows, sums, "_i", by=by, limit=limit))
+    rows = stable(running_sum(rows, sums, "_i", by=by, limit=limit))  # read for the fit and the response
     b = [-(F.col("_y1") - F.col("_y") / 2), *[F.col(f"_x1_{j}") for j in range(len(x))]]
     k = len(b)
     use = (F.col("_later") == 0) & (F.col("_i") > 1)
