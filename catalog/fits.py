@@ -286,6 +286,25 @@ def _(t):
     return out.withColumn("total", F.round("total", 1))
 
 
+_NOISE = "w - th * l1 + th * th * l2 - power(th, 3) * l3 + power(th, 4) * l4"
+
+
+@query("m14_arima_ma1", f"""
+WITH {_DAILY}, d AS (SELECT event_type, total AS w, lag(total, 1) OVER o AS l1, lag(total, 2) OVER o AS l2, lag(total, 3) OVER o AS l3, lag(total, 4) OVER o AS l4,
+ row_number() OVER (PARTITION BY event_type ORDER BY day DESC) AS r FROM daily WINDOW o AS (PARTITION BY event_type ORDER BY day)),
+f AS (SELECT * FROM d WHERE l4 IS NOT NULL),
+g0 AS (SELECT event_type, th, var_pop({_NOISE}) AS v FROM f, (SELECT i / 1000.0 AS th FROM range(-998, 999) r(i)) GROUP BY 1, 2),
+b0 AS (SELECT event_type, arg_min(th, v) AS t0 FROM g0 GROUP BY 1),
+g1 AS (SELECT event_type, th, var_pop({_NOISE}) AS v, avg({_NOISE}) / (1 - any_value(th) + any_value(th) * any_value(th) - power(any_value(th), 3) + power(any_value(th), 4)) AS mu
+ FROM (SELECT f.*, t0 + i / 1000000.0 AS th FROM f JOIN b0 USING (event_type), range(-1000, 1001) r(i)) GROUP BY 1, 2),
+b1 AS (SELECT event_type, arg_min(th, v) AS th, arg_min(mu, v) AS mu FROM g1 GROUP BY 1),
+e AS (SELECT event_type, mu, th, {_NOISE} - mu * (1 - th + th * th - power(th, 3) + power(th, 4)) AS e FROM f JOIN b1 USING (event_type) WHERE r = 1)
+SELECT event_type, k::INT AS step, round(mu + CASE WHEN k = 1 THEN th * e ELSE 0 END, 0) AS total FROM e, range(1, 4) s(k)""")
+def _(t):
+    out = series.arima_forecast(daily(t), "total", "day", 0, 0, 1, 3, by="event_type", long_order=4)
+    return out.withColumn("total", F.round("total", 0))
+
+
 @query("m14_arima_111")
 def _(t):
     out = series.arima_forecast(daily(t), "total", "day", 1, 1, 1, 5, by="event_type", long_order=4)

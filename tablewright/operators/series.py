@@ -132,6 +132,66 @@ def _exact_ar(n: float, mean: np.ndarray, cov: np.ndarray, first: np.ndarray,
     return _from_partial(np.tanh(best[:p])), float(best[p]) if constant else 0.0
 
 
+def _lag_moments(n: int, lags: int, total: float, products: np.ndarray, head: np.ndarray,
+                 tail: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Means and covariances of (w_t, w_t-1, ..., w_t-lags) over t = lags+1..n.
+
+    Sums of w_t and of w_t * w_t-k are enough: a shifted sum differs from them by
+    values at the two ends only.
+    """
+    rows = n - lags
+
+    def first(t: int) -> float:  # 1-based position within the first `lags` values
+        return head[t - 1]
+
+    def last(t: int) -> float:  # position counted back from the end, 0 is the newest
+        return tail[len(tail) - 1 - t]
+
+    mean = np.array([total - sum(last(t) for t in range(i)) + sum(first(lags - t) for t in range(i))
+                     for i in range(lags + 1)]) / rows
+    raw = np.zeros((lags + 1, lags + 1))
+    for k in range(lags + 1):
+        value = products[k]
+        for i in range(lags + 1 - k):
+            if i:  # one step further back: drop the newest pair, take in an older one
+                value += first(lags + 1 - i) * first(lags + 1 - i - k) - last(i - 1) * last(i - 1 + k)
+            raw[i, i + k] = raw[i + k, i] = value / rows
+    return mean, raw - np.outer(mean, mean)
+
+
+def _noise_weights(phi: np.ndarray, theta: np.ndarray, lags: int) -> np.ndarray:
+    """Weights u with noise e_t = sum of u_k * w_t-k, cut off after ``lags``."""
+    u = np.zeros(lags + 1)
+    u[0] = 1.0
+    for k in range(1, lags + 1):
+        ar = phi[k - 1] if k <= len(phi) else 0.0
+        u[k] = -ar - sum(theta[j - 1] * u[k - j] for j in range(1, min(k, len(theta)) + 1))
+    return u
+
+
+def _conditional_arma(mean: np.ndarray, cov: np.ndarray, p: int, q: int,
+                      constant: bool) -> tuple[np.ndarray, np.ndarray, float]:
+    """AR and MA coefficients and mean of least noise, from lag moments alone."""
+    lags = len(mean) - 1
+
+    def parts(v: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+        t = np.tanh(v[:p + q])
+        return _from_partial(t[:p]), -_from_partial(t[p:]), float(v[p + q]) if constant else 0.0
+
+    def loss(v: np.ndarray) -> float:
+        phi, theta, mu = parts(v)
+        u = _noise_weights(phi, theta, lags)
+        return math.log(max(float(u @ cov @ u + (u @ mean - mu * u.sum()) ** 2), 1e-300))
+
+    scale = math.sqrt(max(cov[0, 0], 1e-12))
+    step = np.append(np.full(p + q, 0.2), [0.1 * scale + 1e-9] if constant else [])
+    starts = []
+    for side in (0.0, 0.5, -0.5):
+        x0 = np.append(np.append(np.full(p, 0.1), np.full(q, side)), [mean[0]] if constant else [])
+        starts.append(_minimise(loss, x0, step))
+    return parts(min(starts, key=loss))
+
+
 def _tails(rows: DataFrame, keys: list[str], value: str, count: int, name: str,
            newest: bool = True) -> DataFrame:
     """The last (or first) ``count`` values per series, oldest first; at most ``count`` rows each."""
@@ -156,9 +216,10 @@ def arima_forecast(df: DataFrame, y: str, order_by, p: int, d: int, q: int, step
     """Forecast ``steps`` values of each series with an ARIMA(p, d, q): (by..., step, y).
 
     Without a moving-average part the coefficients maximise the exact Gaussian
-    likelihood, which needs only lag moments and the first p values. With one,
-    residuals of a long autoregression stand in for the noise (two-stage least
-    squares). Undifferenced models have a mean, differenced ones have none.
+    likelihood, which needs only lag moments and the first p values. With one
+    they minimise the conditional sum of squares, the noise being a weighted sum
+    of ``long_order`` past values, so lag moments are again enough.
+    Undifferenced models have a mean, differenced ones have none.
     """
     keys = as_names(by)
     require_numeric(df, [y])
@@ -169,69 +230,62 @@ def arima_forecast(df: DataFrame, y: str, order_by, p: int, d: int, q: int, step
                     quoted(y).cast("double").alias("_y")).where(F.col("_y").isNotNull())
     rows = row_index(src, order_by, by=by, name="_i", limit=limit)
     rows = stable(rows.select(*keys, "_i", "_y"))  # read several times below
-    size = (rows.groupBy(*keys) if keys else rows).agg(F.max("_i").alias("_n_all"))
+    centre = F.avg("_y") if constant else F.lit(0.0)
+    size = (rows.groupBy(*keys) if keys else rows).agg(F.max("_i").alias("_n_all"), centre.alias("_centre"))
+    if q and long_order is None:
+        shortest = size.agg(F.min("_n_all")).first()[0] or 0
+        long_order = max(p, q) + max(2, min(40, (shortest - d) // 4))
     rows = _join_keys(rows, size, keys)
     # d-th difference as a weighted sum of the value and its d lags
     work = lagged(rows, ["_y"], d, "_i", by, limit) if d else rows
     diff = sum((F.col(f"_y_lag{k}") * float((-1) ** k * math.comb(d, k)) for k in range(1, d + 1)), F.col("_y"))
-    work = work.withColumn("_w", diff).where(F.col("_i") > d).select(*keys, "_i", "_n_all", "_w")
+    work = work.withColumn("_w", diff).where(F.col("_i") > d).select(*keys, "_i", "_n_all", "_centre", "_w")
     work = work.withColumn("_i_min", F.lit(d + 1))
-    lags = max(p, long_order or (max(p, q) + 8)) if q else p
+    if q:  # moments of many lags: better conditioned around the mean
+        work = work.withColumn("_w", F.col("_w") - F.col("_centre"))
+    lags = long_order if q else p
     wide = lagged(work, ["_w"], lags, "_i", by, limit) if lags else work
-
-    def fitted(table: DataFrame, names: list[str]) -> DataFrame:
-        aggs = moment_aggregates(names)
-        return table.groupBy(*keys).agg(*aggs) if keys else table.agg(*aggs)
-
-    tails = _tails(work, keys, "_w", max(p, 1), "_tail_w")
-    heads = _tails(work, keys, "_w", max(p, 1), "_head_w", newest=False)
-    last = _tails(rows, keys, "_y", max(d, 1), "_tail_y")
-    if q == 0:
-        names = ["_w", *[f"_w_lag{k}" for k in range(1, p + 1)]]
-        stats = fitted(wide.where(F.col("_i") > d + p), names)
-        model = _join_keys(_join_keys(_join_keys(stats, tails, keys), heads, keys), last, keys)
-        tail_e = None
+    full = wide.where(F.col("_i") > d + lags)
+    if q:
+        aggs = [F.max("_n_all").alias("_n_all"), F.max("_centre").alias("_centre"), F.sum("_w").alias("_total")]
+        aggs += [F.sum(F.col("_w") * F.col(f"_w_lag{k}" if k else "_w")).alias(f"_g{k}") for k in range(lags + 1)]
     else:
-        long_names = ["_w", *[f"_w_lag{k}" for k in range(1, lags + 1)]]
-        stage1 = fitted(wide.where(F.col("_i") > d + lags), long_names)
-        coefs = _long_ar(stage1, keys, lags, constant)
-        joined = _join_keys(wide.where(F.col("_i") > d + lags), coefs, keys)
-        pred = F.col("_c0") + sum((F.col(f"_w_lag{k}") * F.col("_phi")[k - 1] for k in range(1, lags + 1)), F.lit(0.0))
-        resid = joined.withColumn("_e", F.col("_w") - pred).drop("_phi", "_c0")
-        resid = lagged(resid, ["_e"], q, "_i", by, limit)
-        names = ["_w", *[f"_w_lag{k}" for k in range(1, p + 1)], *[f"_e_lag{k}" for k in range(1, q + 1)]]
-        stats = fitted(resid.where(F.col("_i") > d + lags + q), names)
-        tail_e = _tails(resid, keys, "_e", q, "_tail_e")
-        model = _join_keys(_join_keys(_join_keys(stats, tails, keys), tail_e, keys), last, keys)
-        model = model.withColumn("_head_w", F.array(F.lit(0.0)))
-    if tail_e is None:
-        model = model.withColumn("_tail_e", F.array(F.lit(0.0)))
+        aggs = moment_aggregates(["_w", *[f"_w_lag{k}" for k in range(1, p + 1)]])
+    model = full.groupBy(*keys).agg(*aggs) if keys else full.agg(*aggs)
+    ends = max(2 * lags, 1) if q else max(p, 1)
+    for part in (_tails(work, keys, "_w", ends, "_tail_w"), _tails(work, keys, "_w", max(lags, 1), "_head_w", newest=False),
+                 _tails(rows, keys, "_y", max(d, 1), "_tail_y")):
+        model = _join_keys(model, part, keys)
     key_schema = [f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*keys).schema.fields] if keys else []
     schema = ", ".join([*key_schema, "step int", f"`{y}` double"])
-    width = 1 + p + q
 
     def forecast(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
             out = []
             for _, row in pdf.iterrows():  # one row per series
-                n, mean, cov = _unpack(row, width)
-                w, e = list(row["_tail_w"]), list(row["_tail_e"])
-                theta = np.zeros(0)
-                if width == 1:
-                    phi, mu = np.zeros(0), mean[0] if constant else 0.0
-                elif q == 0:
-                    phi, mu = _exact_ar(n, mean, cov, np.array(row["_head_w"], dtype=float), constant)
+                w, head = list(row["_tail_w"]), np.array(row["_head_w"], dtype=float)
+                theta, e, shift = np.zeros(0), [], 0.0
+                if q:
+                    g = np.array([row[f"_g{k}"] for k in range(lags + 1)], dtype=float)
+                    mean, cov = _lag_moments(int(row["_n_all"]) - d, lags, float(row["_total"]), g, head, np.array(w))
+                    phi, theta, mu = _conditional_arma(mean, cov, p, q, constant)
+                    u = _noise_weights(phi, theta, lags)
+                    for back in range(q - 1, -1, -1):  # the newest q noise values
+                        at = len(w) - 1 - back
+                        e.append(sum(u[k] * (w[at - k] - mu) for k in range(min(lags, at) + 1)))
+                    shift = float(row["_centre"])
                 else:
-                    coef, c = _least_squares(mean, cov, constant)
-                    phi, theta = coef[:p], coef[p:]
-                    mu = c / (1 - phi.sum()) if constant else 0.0
+                    n, mean, cov = _unpack(row, 1 + p)
+                    phi, mu = np.zeros(0), mean[0] if constant else 0.0
+                    if p:
+                        phi, mu = _exact_ar(n, mean, cov, head, constant)
                 level = [float(v) for v in row["_tail_y"]]
                 for s in range(1, steps + 1):
                     nxt = mu + sum(phi[k] * (w[-1 - k] - mu) for k in range(p))
-                    nxt += sum(theta[k] * e[-1 - k] for k in range(q) if k < len(e))
+                    nxt += sum(theta[k] * e[-1 - k] for k in range(q))
                     w.append(nxt)
                     e.append(0.0)
-                    value = nxt
+                    value = nxt + shift
                     if d:
                         value -= sum((-1) ** k * math.comb(d, k) * level[-k] for k in range(1, d + 1))
                         level.append(value)
@@ -241,23 +295,6 @@ def arima_forecast(df: DataFrame, y: str, order_by, p: int, d: int, q: int, step
     return model.mapInPandas(forecast, schema)
 
 
-def _long_ar(stats: DataFrame, keys: list[str], lags: int, constant: bool) -> DataFrame:
-    """Long autoregression per series: intercept _c0 and coefficients _phi."""
-    key_schema = [f"`{f.name}` {f.dataType.simpleString()}" for f in stats.schema.fields if f.name in keys]
-    schema = ", ".join([*key_schema, "_c0 double", "_phi array<double>"])
-
-    def solve(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in frames:
-            out = []
-            for _, row in pdf.iterrows():  # one row per series
-                _, mean, cov = _unpack(row, lags + 1)
-                w, c = _least_squares(mean, cov, constant)
-                out.append([*[row[k] for k in keys], c, w.tolist()])
-            yield pd.DataFrame(out, columns=[*keys, "_c0", "_phi"])
-
-    return stats.mapInPandas(solve, schema)
-
-
 def gm1n(train: DataFrame, future: DataFrame, x: Sequence[str], y: str, order_by: str, by=None,
          limit: int = GROUP_LIMIT) -> DataFrame:
     """Grey GM(1,N) forecast of the future rows: (by..., order_by, x..., gm1n_pre).

@@ -75,6 +75,40 @@ def test_moving_average_part_is_recovered(spark, limit):
     assert out[1].y == pytest.approx(10, abs=0.15)
 
 
+def test_lag_moments_from_sums_and_ends():
+    rng = np.random.default_rng(5)
+    w, lags = rng.normal(size=50) + 3, 6
+    x = np.column_stack([w[lags - k: len(w) - k] for k in range(lags + 1)])
+    products = np.array([(x[:, 0] * x[:, k]).sum() for k in range(lags + 1)])
+    mean, cov = series._lag_moments(50, lags, x[:, 0].sum(), products, w[:lags], w[-2 * lags:])
+    assert np.allclose(mean, x.mean(axis=0)) and np.allclose(cov, np.cov(x.T, ddof=0))
+
+
+def test_noise_weights_invert_the_model():
+    rng = np.random.default_rng(6)
+    e = rng.normal(size=400)
+    phi, theta = np.array([0.5, -0.2]), np.array([0.4, 0.3])
+    w = np.zeros(400)
+    for t in range(400):
+        w[t] = e[t] + sum(phi[i] * w[t - 1 - i] for i in range(2) if t > i) + sum(theta[i] * e[t - 1 - i] for i in range(2) if t > i)
+    u = series._noise_weights(phi, theta, 60)
+    assert sum(u[k] * w[-1 - k] for k in range(61)) == pytest.approx(e[-1], abs=1e-6)
+
+
+def test_mixed_model_is_recovered(spark):
+    rng = np.random.default_rng(9)
+    e = rng.normal(size=4000)
+    w = np.zeros(4000)
+    for t in range(1, 4000):
+        w[t] = 0.7 * w[t - 1] + e[t] + 0.4 * e[t - 1]
+    level = np.cumsum(w) + 100
+    df = spark.createDataFrame([("a", i, float(v)) for i, v in enumerate(level)], "s string, i int, y double")
+    out = series.arima_forecast(df, "y", "i", 1, 1, 1, 2, by="s").orderBy("step").collect()
+    one = 0.7 * w[-1] + 0.4 * e[-1]
+    assert out[0].y == pytest.approx(level[-1] + one, abs=0.25)
+    assert out[1].y == pytest.approx(level[-1] + one + 0.7 * one, abs=0.5)
+
+
 def grey(x, y, ahead):
     """Textbook GM(1,N) written out step by step."""
     full = np.vstack([x, ahead])
