@@ -241,7 +241,7 @@ def _(t):
 
 
 def _kpis(t):
-    """Quarterly totals per supplier nation group as KPI arrays."""
+    """Monthly volume per return flag as KPI arrays."""
     cells = F.transform(F.array_sort(F.collect_list(F.struct("m", "q"))), lambda s: s["q"])  # 12 values
     monthly = t("lineitem").groupBy("l_returnflag", F.month("l_shipdate").alias("m")).agg(F.round(F.sum("l_quantity"), 2).alias("q"))
     return monthly.groupBy(F.col("l_returnflag").alias("kpiName")).agg(cells.alias("value"))
