@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tablewright.llm import decontaminate, exact_dedup, packing, simhash, toxicity
+from tablewright.llm import decontaminate, exact_dedup, packing, secret_scan, sharding, simhash, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -41,6 +41,17 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", simhash.hexadecimal(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+@query("op5_warc", r"""
+with p as (select page_id, octet_length(encode(coalesce(html, ''))) as payload_bytes, sha256(coalesce(html, '')) as payload_digest from pages),
+g as (select payload_digest, min(page_id) as first_id from p where payload_bytes >= 100 group by 1)
+select page_id, payload_bytes, payload_digest, case when first_id <> page_id then 'revisit' else 'response' end as record_type,
+  case when first_id <> page_id then first_id end as refers_to
+from p left join g using (payload_digest)
+""")
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
 @query("op6_toxicity")
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
@@ -59,6 +70,15 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_file())
 
 
+@query("op8_secret_scan")
+def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scan.find(table(spark, sf_dir, "documents"))
+    number = {k: F.expr(f"size(filter(spans, s -> s.kind = '{k}'))").cast("bigint").alias(f"n_{k}") for k in secret_scan.KINDS[:3]}
+    base = F.filter("spans", lambda s: s["kind"] != "random")
+    return found.select("doc_id", *number.values(), F.sha2(secret_scan.joined(base), 256).alias("base_sha256"),
+                        secret_scan.joined(F.col("spans")).alias("spans"))
+
+
 @query("op9_decontamination", r"""
 with words as (
   select 'd' as kind, doc_id as id, list_filter(string_split(regexp_replace(translate(coalesce(text, ''),
@@ -78,3 +98,10 @@ group by d.id, item_id having count(*) >= 0.8 * any_value(item_shingles) - 1e-9
 """)
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op10_sharding")
+def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.assign(table(spark, sf_dir, "documents")).select(
+        "row.doc_id", "size", "text_crc32", F.lit("rows").alias("law"), F.col("shard").cast("int").alias("shard"),
+        F.col("slot").cast("bigint").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
