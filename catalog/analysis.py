@@ -67,7 +67,8 @@ def _(t):
     return kendall.kendall_pairs(t("lineitem"), ["l_quantity", "l_discount"], 20_000).withColumn("tau", F.round("tau", 6))
 
 
-_Z = ", ".join(f"({c}, {NormalDist().inv_cdf(c)!r})" for c in analyze.confidence_levels())
+# two-sided: the share c lies within z standard errors, so 1 - (1 - c) / 2 lies below
+_Z = ", ".join(f"({i / 20}, {NormalDist().inv_cdf(1 - (1 - i / 20) / 2)!r})" for i in range(1, 20))
 
 
 @query("a01_confidence_limits", f"""

@@ -161,12 +161,20 @@ def _(t):
 
 @query("m07_boosted_multiclass")
 def _(t):
-    e = t("embeddings").select(*[F.col("embedding")[i].cast("double").alias(f"e{i}") for i in range(4)],
+    e = t("embeddings").select(*[F.col("embedding")[i].cast("double").alias(f"e{i}") for i in range(64)],
                                (F.col("label") % 3).cast("double").alias("label"))
-    model = trees.fit_boosted(e, [f"e{i}" for i in range(4)], "label", "multiclass", num_leaves=4, num_boost_round=2)
+    model = trees.fit_boosted(e, [f"e{i}" for i in range(64)], "label", "multiclass", num_leaves=4, num_boost_round=2)
     return model.predict(e).groupBy("label", "prediction").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("m07_forest_classifier", """
+SELECT l_discount, (l_discount > 0.05)::INT::DOUBLE AS prediction, count(*) AS n FROM lineitem GROUP BY 1, 2""")
+def _(t):
+    # the feature decides the label, so every tree finds the same cut
+    li = t("lineitem").withColumn("high", (F.col("l_discount") > 0.05).cast("double"))
+    return _by_discount(t, trees.fit_boosted(li, ["l_discount"], "high", "binary", "rf", num_leaves=4, num_boost_round=9))
+
+
 @query("m08_k_means")
 def _(t):
     e = t("embeddings").select("vec_id", *[F.col("embedding")[i].cast("double").alias(f"e{i}") for i in range(64)])
@@ -363,14 +371,22 @@ def _(t):
 
 
 @query("m17_custom_per_group", """
-SELECT event_type, round(median(value), 4) AS mid FROM events GROUP BY 1""")
+SELECT event_type, round(regr_slope(value, user_id), 6) AS slope, round(regr_intercept(value, user_id), 4) AS intercept FROM events GROUP BY 1""")
 def _(t):
-    def middle(key, pdf):
-        import pandas as pd
+    def sums(pdf):
+        x, y = pdf["user_id"].astype(float), pdf["value"]
+        return len(pdf), x.sum(), y.sum(), (x * x).sum(), (x * y).sum()
+
+    def add(a, b):
+        return tuple(p + q for p, q in zip(a, b, strict=True))
 
-        return pd.DataFrame({"event_type": [key[0]], "mid": [round(float(pdf["value"].median()), 4)]})
+    def line(key, s):
+        n, x, y, xx, xy = s
+        slope = (n * xy - x * y) / (n * xx - x * x)
+        return {"event_type": key[0], "slope": round(slope, 6), "intercept": round((y - slope * x) / n, 4)}
 
-    return custom.fit_per_group(t("events", "event_type", "value"), "event_type", middle, "event_type string, mid double")
+    return custom.fit_per_group(t("events", "event_type", "value", "user_id"), "event_type", sums, add, line,
+                                "event_type string, slope double, intercept double")
 
 
 _APPLY = f"WITH {_RIDGE} SELECT l_quantity AS q, l_discount AS d, round(my - w0 * m1 - w1 * m2 + w0 * l_quantity + w1 * l_discount, 4) AS predicted FROM lineitem, w"
@@ -454,6 +470,15 @@ def _(t):
     return out.withColumn("value", digits.otherwise(F.round("value", 4)))
 
 
+@query("e05_incomplete_rows", """
+WITH s AS (SELECT l_extendedprice y, CASE WHEN l_linenumber > 2 THEN l_quantity * 1500 END AS p FROM lineitem), k AS (SELECT * FROM s WHERE p IS NOT NULL),
+m AS (SELECT avg(power(y - p, 2)) mse, avg(abs(y - p)) mae, var_pop(y) v FROM k)
+SELECT unnest(['r2', 'mse', 'rmse', 'mae']) AS evaluate, round(unnest([1 - mse / v, mse, sqrt(mse), mae]), 4) AS value FROM m""")
+def _(t):
+    src = t("lineitem").selectExpr("l_extendedprice y", "if(l_linenumber > 2, l_quantity * 1500, null) p")
+    return evaluate.regression_evaluate(src, "y", "p").withColumn("value", F.round("value", 4))
+
+
 @query("e06_icc", f"""
 WITH d AS ({_PRED}), s AS (SELECT count(*)::DOUBLE n, avg(y) - avg(p) AS g, covar_pop(y, y) * count(*) yy, covar_pop(y, p) * count(*) yp, covar_pop(p, p) * count(*) pp FROM d),
 m AS (SELECT n, (yy + 2 * yp + pp) / 2 / (n - 1) AS b, n * g * g / 2 AS j, (yy - 2 * yp + pp) / 2 / (n - 1) AS e, ((yy - 2 * yp + pp) / 2 + n * g * g / 2) / n AS w FROM s)

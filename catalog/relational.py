@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from catalog.registry import query
 from tablewright.core.layout import row_index, running_sum
 from tablewright.operators import aggregate as agg, relational as rel
-from tablewright.sources.tables import page
+from tablewright.sources.tables import page, page_with_total
 
 
 def flagship(t):
@@ -62,12 +62,13 @@ def _(t):
 
 
 @query("j01_inner_null_keys", """
-SELECT c_custkey AS c_custkey_l, s_suppkey AS s_suppkey_r FROM customer JOIN supplier
-ON nullif(c_nationkey, 3) IS NOT DISTINCT FROM nullif(s_nationkey, 3)""")
+SELECT o_orderkey AS o_orderkey_l, c_name AS c_name_r FROM orders JOIN customer
+ON nullif(o_custkey, 3) IS NOT DISTINCT FROM nullif(c_custkey, 3)""")
 def _(t):
-    c = t("customer").selectExpr("c_custkey", "nullif(c_nationkey, 3) k")
-    s = t("supplier").selectExpr("s_suppkey", "nullif(s_nationkey, 3) k")
-    return rel.data_join(c, s, "k", "k", "inner", ["c_custkey_l", "s_suppkey_r"])
+    # customer 3 and its orders have no key, and meet all the same
+    o = t("orders").selectExpr("o_orderkey", "nullif(o_custkey, 3) k")
+    c = t("customer").selectExpr("c_name", "nullif(c_custkey, 3) k")
+    return rel.data_join(o, c, "k", "k", "inner", ["o_orderkey_l", "c_name_r"])
 
 
 @query("j02_left_join", """
@@ -197,6 +198,12 @@ def _(t):
     return page(t("orders", "o_orderkey", "o_totalprice"), [F.col("o_totalprice").desc(), F.col("o_orderkey")], 3, 25)
 
 
+@query("l02_page_total", """
+SELECT o_orderkey, o_totalprice, (SELECT count(*) FROM orders) AS total FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 25 OFFSET 50""")
+def _(t):
+    return page_with_total(t("orders", "o_orderkey", "o_totalprice"), [F.col("o_totalprice").desc(), F.col("o_orderkey")], 3, 25)
+
+
 @query("l03_top_k_per_group", """
 SELECT o_orderpriority, o_orderkey, ranking FROM (SELECT *, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_totalprice DESC, o_orderkey) AS ranking
 FROM orders) WHERE ranking <= 3""")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from catalog.registry import query
+from tablewright.functions.convert import to_text_column
 from tablewright.operators import prep, relational as rel
 
 
@@ -51,10 +52,22 @@ def _(t):
     return rel.type_convert(src, {"o_orderkey": "VARCHAR2", "v": "VARCHAR2"})
 
 
+@query("p05_to_text_sizes", """
+SELECT o_orderkey, (o_totalprice * 1000)::BIGINT::DECIMAL(30, 1)::VARCHAR AS v FROM orders""")
+def _(t):
+    src = t("orders").selectExpr("o_orderkey", "double(bigint(round(o_totalprice * 1000))) v")
+    return rel.type_convert(src, {"v": "VARCHAR2"})
+
+
 @query("p07_role_setting", """
-SELECT * FROM (VALUES ('l_quantity', 'l_quantity', 'X'), ('l_discount', 'l_discount', 'X'), ('l_extendedprice', 'l_extendedprice', 'Y')) v(name, nick_name, role_type)""")
+SELECT l_orderkey, l_linenumber, l_quantity AS l_quantity_l, l_discount AS l_discount_l, l_extendedprice AS l_extendedprice_l
+FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_quantity > 10""")
 def _(t):
-    return rel.roles_table(rel.role_setting(t("lineitem"), ["l_quantity", "l_discount"], ["l_extendedprice"]))
+    # the roles travel through a filter and a join, and say what is taken out
+    li = rel.role_setting(t("lineitem"), ["l_quantity", "l_discount"], ["l_extendedprice"])
+    li = li.with_df(rel.data_filter(li.df, [("l_quantity", "NUMBER", "great_than", 10)]))
+    both = rel.join_datasets(li, rel.role_setting(t("orders"), [], []), "l_orderkey", "o_orderkey", "inner")
+    return both.df.select(F.col("l_orderkey_l").alias("l_orderkey"), F.col("l_linenumber_l").alias("l_linenumber"), *both.roles.x, *both.roles.y)
 
 
 @query("p08_replicate", "SELECT n_nationkey, n_name FROM nation UNION ALL SELECT n_nationkey, n_name FROM nation")
@@ -71,6 +84,15 @@ def _(t):
     return prep.min_max_scale(src, ["l_quantity", "l_extendedprice"])[0]
 
 
+@query("p09_min_max_nan", """
+WITH s AS (SELECT o_orderkey, CASE WHEN o_orderstatus <> 'F' THEN o_totalprice END AS p FROM orders)
+SELECT o_orderkey, coalesce(round((p - lo) / (hi - lo), 10)::VARCHAR, 'nan') AS p FROM s, (SELECT min(p) lo, max(p) hi FROM s)""")
+def _(t):
+    src = t("orders").selectExpr("o_orderkey", "if(o_orderstatus = 'F', double('NaN'), o_totalprice) p")
+    scaled = prep.min_max_scale(src, ["p"])[0]
+    return scaled.select("o_orderkey", F.coalesce(to_text_column(F.col("p"), True), F.lit("nan")).alias("p"))
+
+
 @query("p09_min_max_manual", "SELECT p_partkey, round((p_size - 10.0) / 20.0, 10) AS p_size FROM part")
 def _(t):
     return prep.min_max_scale(t("part", "p_partkey", "p_size"), ["p_size"], {"p_size": (10.0, 30.0)})[0]
@@ -171,6 +193,15 @@ def _(t):
     return out.groupBy(F.col("l_returnflag").alias("part")).agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("l_quantity"), 2).alias("q"))
 
 
+@query("p17_split_one_override", """
+SELECT 'test' AS part, count(*) AS n FROM orders WHERE ('0x' || substr(md5(o_orderkey || ':42'), 1, 8))::BIGINT % 10000 >= 8000
+UNION ALL SELECT 'train', count(*) FROM orders WHERE o_orderstatus = 'O'""")
+def _(t):
+    parts = prep.data_split(t("orders"), "o_orderkey", 80, 20, seed=42, override={"train": t("orders").where("o_orderstatus = 'O'")})
+    return parts["train"].select(F.lit("train").alias("part")).unionAll(parts["test"].select(F.lit("test").alias("part"))).groupBy("part").agg(
+        F.count(F.lit(1)).alias("n"))
+
+
 @query("p18_rename", 'SELECT r_regionkey AS "k.id", r_name AS "n.id" FROM region')
 def _(t):
     return rel.rename(rel.rename(t("region"), ["k", "n"]), suffix=".id")

@@ -41,10 +41,20 @@ def _(t):
     return charts.chart_scatter(t("lineitem"), "l_quantity", "l_extendedprice")
 
 
-@query("c01_scatter_share", """
+@query("c01_scatter_bins", """
+WITH e AS (SELECT min(o_custkey)::DOUBLE a, (max(o_custkey) - min(o_custkey)) / 20.0 w, min(o_totalprice) b, (max(o_totalprice) - min(o_totalprice)) / 20.0 h FROM orders),
+c AS (SELECT least(floor((o_custkey - a) / w), 19) i, least(floor((o_totalprice - b) / h), 19) j FROM orders, e)
+SELECT round(a + i * w, 4) AS x_low, round(a + (i + 1) * w, 4) AS x_high, round(b + j * h, 4) AS y_low, round(b + (j + 1) * h, 4) AS y_high, count(*) AS n
+FROM c, e GROUP BY 1, 2, 3, 4""")
+def _(t):
+    cells = charts.chart_scatter(t("orders"), "o_custkey", "o_totalprice", "aggregate", 20)
+    return cells.select(*[F.round(c, 4).alias(c) for c in ("x_low", "x_high", "y_low", "y_high")], "n")
+
+
+@query("c01_sample_share", """
 SELECT o_custkey, o_totalprice FROM orders WHERE ('0x' || substr(md5(o_orderkey || ':0'), 1, 8))::BIGINT % 10000 < 2500""")
 def _(t):
-    return charts.chart_scatter(t("orders"), "o_custkey", "o_totalprice", "aggregate", 0.25, key="o_orderkey")
+    return charts.sample_share(t("orders"), "o_orderkey", 0.25).select("o_custkey", "o_totalprice")
 
 
 @query("c02_line", "SELECT l_quantity, round(avg(l_extendedprice), 4) AS l_extendedprice FROM lineitem GROUP BY 1")

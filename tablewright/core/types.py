@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterable, Mapping, Sequence
 from dataclasses import dataclass, field, replace
 
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 VARCHAR2 = "VARCHAR2"
 NUMBER = "NUMBER"
@@ -111,6 +111,11 @@ def numeric_columns(df: DataFrame) -> list[str]:
     return [f.name for f in df.schema.fields if isinstance(f.dataType, T.NumericType)]
 
 
+def known(name: str) -> Column:
+    """A numeric column with NaN as null, for aggregates."""
+    return F.when(~F.isnan(quoted(name)), quoted(name))
+
+
 def quoted(name: str):
     """Column reference that is safe for names with dots or spaces."""
     return F.col("`" + name.replace("`", "``") + "`")

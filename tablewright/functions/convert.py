@@ -2,14 +2,29 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, functions as F
 
+# Free-form layouts tried after those; where day and month could change places, the month comes first.
+FREE_LAYOUTS = (
+    "yyyy/M/d", "yyyy.M.d", "yyyyMMdd", "d MMM yyyy", "d MMMM yyyy", "MMM d, yyyy", "MMMM d, yyyy", "MMM d yyyy",
+    "d-MMM-yyyy", "M/d/yyyy", "M-d-yyyy", "d/M/yyyy", "d.M.yyyy",
+)
+FREE_CLOCKS = ("", " H:mm", " H:mm:ss", " h:mm a")
 # Date layouts tried in order.
 DATE_LAYOUTS = ("yyyy-MM-dd HH:mm:ss", "HH:mm:ss", "yyyy-MM-dd")
 # Cells that stand for a missing date.
 NO_DATE = ("nan", "NaT", "NaN", "")
 
 
+def _shape(layout: str) -> str:
+    """Regular expression of texts a layout may fit, so that few layouts are tried on a cell."""
+    parts = {"yyyy": r"\d{4}", "MMMM": "[A-Za-z]{3,9}", "MMM": "[A-Za-z]{3}", "MM": r"\d{2}", "dd": r"\d{2}", "M": r"\d{1,2}", "d": r"\d{1,2}",
+             "H": r"\d{1,2}", "h": r"\d{1,2}", "mm": r"\d{2}", "ss": r"\d{2}", "a": "[AaPp][Mm]"}
+    return "^" + re.sub(r"y+|M+|d+|H|h|m+|s+|a|\W", lambda m: parts.get(m[0], re.escape(m[0])), layout) + "$"
+
+
 def to_date_column(col: Column, strict: bool = True) -> Column:
     """Parse text as a timestamp; a bad cell raises when ``strict``."""
     text = F.trim(col.cast("string"))
@@ -25,7 +40,9 @@ def to_date_column(col: Column, strict: bool = True) -> Column:
         layout(present, full),
         layout(on_first_day, f"yyyy-MM-dd {clock}"),
         layout(present, day),
-        present.try_cast("timestamp_ntz"),
+        F.when(~present.rlike(r"^\d{5,}$"), present.try_cast("timestamp_ntz")),
+        *[layout(F.when(present.rlike(_shape(day_part + clock_part)), present), day_part + clock_part)
+          for day_part in FREE_LAYOUTS for clock_part in FREE_CLOCKS],
     )
     if not strict:
         return value
@@ -43,6 +60,16 @@ def to_number_column(col: Column, is_date: bool, strict: bool = True) -> Column:
 
 
 def to_text_column(col: Column, is_float: bool) -> Column:
-    """Text form; NaN becomes null."""
+    """Text form; NaN becomes null. Floats are written out from 0.0001 up to 1e16, as scripts write them."""
     text = col.cast("string")
-    return F.when(~F.isnan(col), text) if is_float else text
+    if not is_float:
+        return text
+    size = F.abs(text.cast("double"))
+    plain = F.regexp_replace(text.try_cast("decimal(38,22)").cast("string"), r"0+$", "")
+    plain = F.when(plain.endswith("."), F.concat(plain, F.lit("0"))).otherwise(plain)
+    power = F.substring_index(text, "E", -1).try_cast("int")
+    far = F.concat(F.regexp_replace(F.substring_index(text, "E", 1), r"\.0$", ""), F.lit("e"), F.when(power < 0, "-").otherwise("+"),
+                   F.when(F.abs(power) < 10, F.lpad(F.abs(power).cast("string"), 2, "0")).otherwise(F.abs(power).cast("string")))
+    written = (F.when(F.isnan(col), F.lit(None)).when(size == float("inf"), F.when(col > 0, "inf").otherwise("-inf"))
+               .when(~text.contains("E") & ((size >= 1e-4) | (size == 0)), text).when((size >= 1e-4) & (size < 1e16), plain))
+    return written.otherwise(F.when(text.contains("E"), far).otherwise(text))

@@ -17,11 +17,33 @@ class ExpressionError(ValueError):
     """An expression uses something outside the algebraic subset."""
 
 
+def _within(name: str, fn, ok):
+    """``fn`` that stops with an error outside its domain, as an expression without a value must."""
+    def checked(x: Column) -> Column:
+        bad = F.raise_error(F.concat(F.lit(f"{name} has no value at "), x.cast("string"))).cast("double")
+        return F.when(x.isNull() | F.isnan(x) | ok(x), fn(x)).otherwise(bad)
+
+    return checked
+
+
+def _not_negative(x: Column) -> Column:
+    return x >= 0
+
+
+def _positive(x: Column) -> Column:
+    return x > 0
+
+
+def _unit(x: Column) -> Column:
+    return F.abs(x) <= 1
+
+
 # Functions users may call in an expression.
 FUNCTIONS = {
-    "sqrt": F.sqrt, "exp": F.exp, "log": F.ln, "ln": F.ln,
+    "sqrt": _within("sqrt", F.sqrt, _not_negative), "exp": F.exp,
+    "log": _within("log", F.ln, _positive), "ln": _within("ln", F.ln, _positive),
     "sin": F.sin, "cos": F.cos, "tan": F.tan,
-    "asin": F.asin, "acos": F.acos, "atan": F.atan,
+    "asin": _within("asin", F.asin, _unit), "acos": _within("acos", F.acos, _unit), "atan": F.atan,
     "sinh": F.sinh, "cosh": F.cosh, "tanh": F.tanh,
     "abs": F.abs, "Abs": F.abs, "sign": F.signum, "floor": F.floor, "ceiling": F.ceil,
 }
@@ -65,7 +87,7 @@ def _column(node: ast.expr, names: Sequence[str]) -> Column:
         if node.func.id in VARIADIC and len(args) > 1:
             return VARIADIC[node.func.id](*args)
         if node.func.id == "log" and len(args) == 2:
-            return F.ln(args[0]) / F.ln(args[1])
+            return FUNCTIONS["ln"](args[0]) / FUNCTIONS["ln"](args[1])
         if node.func.id in FUNCTIONS and len(args) == 1:
             return FUNCTIONS[node.func.id](args[0])
     raise ExpressionError(f"unsupported expression {ast.unparse(node)!r}")
@@ -77,4 +99,6 @@ def compile_expression(expression: str, names: Sequence[str]) -> Column:
         tree = ast.parse(expression.replace("^", "**"), mode="eval")
     except SyntaxError as exc:
         raise ExpressionError(f"cannot read {expression!r}") from exc
-    return _column(tree.body, names)
+    value = _column(tree.body, names)
+    endless = F.raise_error(F.lit(f"{expression} has no finite value")).cast("double")
+    return F.when(F.abs(value) == math.inf, endless).otherwise(value)

@@ -7,13 +7,13 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tablewright.core.layout import as_names
-from tablewright.core.types import quoted, require_numeric
+from tablewright.core.types import known, require_numeric
 
 
 def _per_column(df: DataFrame, columns: Sequence[str], stats: Mapping[str, object]) -> DataFrame:
-    """One pass over the table, then one output row per column."""
+    """One pass over the table, then one output row per column; NaN cells don't count."""
     require_numeric(df, columns)
-    one = df.agg(*[fn(quoted(c)).alias(f"{name}_{i}")
+    one = df.agg(*[fn(known(c)).alias(f"{name}_{i}")
                    for i, c in enumerate(columns) for name, fn in stats.items()])
     rows = [F.struct(F.lit(c).alias("name"), *[F.col(f"{s}_{i}").alias(s) for s in stats])
             for i, c in enumerate(columns)]

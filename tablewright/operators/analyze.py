@@ -20,12 +20,12 @@ def confidence_levels() -> list[float]:
 
 
 def ci_table(df: DataFrame, col: str | None = None) -> DataFrame:
-    """(ci, value): upper limit mean + z * s / sqrt(n) of a column, the last by default."""
+    """(ci, value): upper end mean + z * s / sqrt(n) of the two-sided interval, of the last column by default."""
     col = col or df.columns[-1]
     require_numeric(df, [col])
     one = df.agg(F.avg(quoted(col)).alias("m"), F.stddev_samp(quoted(col)).alias("s"),
                  F.count(quoted(col)).alias("n"))
-    z = {c: NormalDist().inv_cdf(c) for c in confidence_levels()}
+    z = {c: NormalDist().inv_cdf((1 + c) / 2) for c in confidence_levels()}
     rows = [F.struct(F.lit(c).alias("ci"),
                      (F.col("m") + F.lit(v) * F.col("s") / F.sqrt("n")).alias("value")) for c, v in z.items()]
     return one.select(F.inline(F.array(*rows)))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from tablewright.core.layout import as_names, running_sum
 from tablewright.core.session import GROUP_LIMIT, stable
-from tablewright.core.types import quoted, require_columns, require_numeric
+from tablewright.core.types import known, quoted, require_columns, require_numeric
 from tablewright.operators.prep import hash_unit
 
 
@@ -19,14 +19,30 @@ def _rows(df: DataFrame, columns: Sequence[str], mode: str) -> bool:
     return mode == "rows"
 
 
-def chart_scatter(df: DataFrame, x: str, y: str, mode: str = "rows", share: float = 0.1, seed: int = 0,
-                  key=None) -> DataFrame:
-    """Points, or a share of them chosen by the hash of ``key`` (the whole row by default)."""
-    points = df.select(quoted(x), quoted(y))
+def chart_scatter(df: DataFrame, x: str, y: str, mode: str = "rows", bins: int = 50) -> DataFrame:
+    """Points, or how many of them fall in each cell of a ``bins`` by ``bins`` grid.
+
+    Cells come with their edges; points without a number on either side are left out.
+    """
     if _rows(df, [x, y], mode):
-        return points
-    bucket = hash_unit(key or df.columns, seed, 10_000)
-    return df.where(bucket < int(round(share * 10_000))).select(quoted(x), quoted(y))
+        return df.select(quoted(x), quoted(y))
+    require_numeric(df, [x, y])
+    ends = df.where(known(x).isNotNull() & known(y).isNotNull()).agg(
+        *[f(quoted(c)).cast("double") for c in (x, y) for f in (F.min, F.max)]).first()
+    at, edges = {}, {}
+    for c, name, lo, hi in ((x, "x", *ends[:2]), (y, "y", *ends[2:])):
+        lo, width = lo or 0.0, ((hi or 0.0) - (lo or 0.0)) / bins or 1.0
+        cell = F.floor((known(c).cast("double") - F.lit(lo)) / F.lit(width))
+        at[name] = F.when(cell < bins, cell).when(cell.isNotNull(), bins - 1).cast("int")
+        edges |= {f"{name}_low": F.lit(lo) + F.col(f"_{name}") * width, f"{name}_high": F.lit(lo) + (F.col(f"_{name}") + 1) * width}
+    cells = df.select(at["x"].alias("_x"), at["y"].alias("_y")).where("_x is not null and _y is not null")
+    counts = cells.groupBy("_x", "_y").agg(F.count(F.lit(1)).alias("n"))
+    return counts.select(*[v.alias(k) for k, v in edges.items()], "n")
+
+
+def sample_share(df: DataFrame, key, share: float, seed: int = 0) -> DataFrame:
+    """The rows whose key hashes into the given share."""
+    return df.where(hash_unit(key, seed, 10_000) < int(round(share * 10_000)))
 
 
 def chart_line(df: DataFrame, x: str, y: str, mode: str = "rows") -> DataFrame:
@@ -57,9 +73,9 @@ def chart_pie(df: DataFrame, dimension: str, value: str, mode: str = "rows") ->
     """Rows, or each slice's sum and share of the total."""
     if _rows(df, [dimension, value], mode):
         return df.select(quoted(dimension), quoted(value))
+    total = df.agg(F.sum(quoted(value)).alias("_total"))  # one row; grouped and total sums share the scan
     slices = df.groupBy(dimension).agg(F.sum(quoted(value)).alias(value))
-    total = slices.agg(F.sum(quoted(value))).first()[0]
-    return slices.withColumn("share", F.try_divide(quoted(value), F.lit(total)))
+    return slices.crossJoin(F.broadcast(total)).withColumn("share", F.try_divide(quoted(value), F.col("_total"))).drop("_total")
 
 
 def chart_spider(df: DataFrame, dimensions: Sequence[str], mode: str = "rows") -> DataFrame:

@@ -22,13 +22,13 @@ def _as_rows(one: DataFrame, metrics: Sequence[str]) -> DataFrame:
 
 def regression_evaluate(df: DataFrame, y: str, pred: str,
                         metrics: Sequence[str] = REGRESSION_METRICS) -> DataFrame:
-    """(evaluate, value) rows of r2, mse, rmse and mae."""
+    """(evaluate, value) rows of r2, mse, rmse and mae over the rows that have both values."""
     require_numeric(df, [y, pred])
     unknown = [m for m in metrics if m not in REGRESSION_METRICS]
     if unknown:
         raise ValueError(f"unknown metrics {unknown}")
     t, e = quoted(y).cast("double"), quoted(y).cast("double") - quoted(pred).cast("double")
-    one = df.agg(F.avg(e * e).alias("mse"), F.avg(F.abs(e)).alias("mae"), F.var_pop(t).alias("_var"))
+    one = df.where(t.isNotNull() & e.isNotNull() & ~F.isnan(e)).agg(F.avg(e * e).alias("mse"), F.avg(F.abs(e)).alias("mae"), F.var_pop(t).alias("_var"))
     perfect = F.when(F.col("mse") == 0, 1.0).otherwise(0.0)
     r2 = F.when(F.col("_var") == 0, perfect).otherwise(1 - F.try_divide("mse", "_var"))
     one = one.withColumns({"rmse": F.sqrt("mse"), "r2": r2})

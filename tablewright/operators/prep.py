@@ -17,12 +17,12 @@ from tablewright.core.gram import moments
 from tablewright.core.layout import as_names, row_index
 from tablewright.core.numeric import fix_signs
 from tablewright.core.session import hold
-from tablewright.core.types import Scaler, quoted, require_columns, require_numeric
+from tablewright.core.types import Scaler, known, quoted, require_columns, require_numeric
 
 
 def fit_min_max(df: DataFrame, columns: Sequence[str],
                 manual: Mapping[str, tuple[float, float]] | None = None) -> Scaler:
-    """Observed or given (min, max) per column, in one pass."""
+    """Observed or given (min, max) per column, in one pass; NaN cells don't count."""
     require_numeric(df, columns)
     manual = dict(manual or {})
     for name, bounds in manual.items():
@@ -31,7 +31,7 @@ def fit_min_max(df: DataFrame, columns: Sequence[str],
     seen = [c for c in columns if c not in manual]
     row = []
     if seen:
-        row = df.agg(*[f(quoted(c)) for c in seen for f in (F.min, F.max)]).first()
+        row = df.agg(*[f(known(c)) for c in seen for f in (F.min, F.max)]).first()
     observed = {c: (row[2 * i], row[2 * i + 1]) for i, c in enumerate(seen)}
     return {c: tuple(float(v) for v in (manual.get(c) or observed[c])) for c in columns}
 
@@ -187,12 +187,14 @@ def data_split(df: DataFrame, key, train: int = 80, test: int = 20, valid: int =
 
     By default each row goes where the hash of its key falls, so the split is
     stable and needs no shuffle. ``exact`` sizes the parts by rank of the hash.
-    ``override`` replaces computed parts with given tables.
+    ``override`` replaces computed parts with given tables; the other parts are computed.
     """
     if train + test + valid != 100:
         raise ValueError("percentages must add up to 100")
-    if override:
-        return dict(override)
+    override = dict(override or {})
+    wanted = {"train", "test", *(["valid"] if valid else [])}
+    if wanted <= set(override):
+        return override
     names = as_names(key)
     require_columns(df, names)
     if exact:
@@ -212,7 +214,7 @@ def data_split(df: DataFrame, key, train: int = 80, test: int = 20, valid: int =
     }
     if valid:
         parts["valid"] = ranked.where(at >= cut2)
-    return {k: v.drop(*drop) for k, v in parts.items()}
+    return {k: v.drop(*drop) for k, v in parts.items()} | override
 
 
 def to_vector(df: DataFrame, columns: Sequence[str], out: str = "features") -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.ml.classification import GBTClassifier, OneVsRest
+from pyspark.ml.classification import GBTClassifier, OneVsRest, RandomForestClassifier
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressor, RandomForestRegressor
@@ -44,8 +44,17 @@ def _smallest_node(min_samples_split, min_samples_leaf, n) -> int:
 
 def fit_decision_tree(df: DataFrame, x: Sequence[str], y: str, max_depth: int = 5,
                       min_samples_split: float = 2, min_samples_leaf: float = 1,
-                      max_leaf_nodes: int | None = None, max_bins: int = 64, seed: int = 0) -> SparkModel:
-    """Regression tree; a leaf limit becomes a depth limit."""
+                      max_leaf_nodes: int | None = None, max_bins: int = 64, seed: int = 0,
+                      max_features: str | float | None = None, criterion: str = "squared_error") -> SparkModel:
+    """Regression tree; a leaf limit becomes a depth limit.
+
+    With ``max_features`` each split looks at that many features, as one tree of a forest
+    that takes every row once.
+    """
+    _squared(criterion)
+    if max_features is not None:
+        return fit_random_forest(df, x, y, 1, max_depth, min_samples_split, min_samples_leaf, max_features=str(max_features),
+                                 max_leaf_nodes=max_leaf_nodes, bootstrap=False, random_state=seed, max_bins=max_bins)
     data = _ready(df, x, y)
     tree = DecisionTreeRegressor(
         featuresCol="_features", labelCol="_label", maxDepth=depth_for(max_depth, max_leaf_nodes),
@@ -54,12 +63,20 @@ def fit_decision_tree(df: DataFrame, x: Sequence[str], y: str, max_depth: int =
     return SparkModel(tuple(x), tree.fit(data))
 
 
+def _squared(criterion: str) -> None:
+    """Spark ML splits by variance, which is the squared error; other criteria are refused."""
+    if criterion not in ("squared_error", "mse", "variance"):
+        raise ValueError(f"criterion {criterion!r} is not offered")
+
+
 def fit_random_forest(df: DataFrame, x: Sequence[str], y: str, n_estimators: int = 20, max_depth: int = 5,
                       min_samples_split: float = 2, min_samples_leaf: float = 1,
                       min_weight_fraction_leaf: float = 0.0, max_features: str = "sqrt",
                       max_leaf_nodes: int | None = None, min_impurity_decrease: float = 0.0,
-                      bootstrap: bool = True, random_state: int = 0, max_bins: int = 64) -> SparkModel:
+                      bootstrap: bool = True, random_state: int = 0, max_bins: int = 64,
+                      criterion: str = "squared_error") -> SparkModel:
     """Random forest regression; a leaf limit becomes a depth limit."""
+    _squared(criterion)
     data = _ready(df, x, y)
     forest = RandomForestRegressor(
         featuresCol="_features", labelCol="_label", numTrees=int(n_estimators),
@@ -74,11 +91,23 @@ def fit_boosted(df: DataFrame, x: Sequence[str], y: str, objective: str = "regre
                 boosting_type: str = "gbdt", num_leaves: int = 31, max_depth: int = -1,
                 learning_rate: float = 0.1, feature_fraction: float = 1.0, bagging_fraction: float = 1.0,
                 num_boost_round: int = 20, seed: int = 0) -> SparkModel:
-    """Boosted trees: regression, ``binary`` or ``multiclass``; type ``rf`` is a random forest."""
+    """Boosted trees: regression, ``binary`` or ``multiclass``; type ``rf`` is a random forest.
+
+    Other boosting types drop or sample trees in ways Spark ML does not offer, and are refused.
+    """
+    if boosting_type not in ("gbdt", "rf"):
+        raise ValueError(f"boosting type {boosting_type!r} is not offered")
+    if objective not in ("regression", "binary", "multiclass"):
+        raise ValueError(f"unknown objective {objective!r}")
     depth = depth_for(max_depth, num_leaves)
     if boosting_type == "rf" and objective == "regression":
         return fit_random_forest(df, x, y, num_boost_round, depth, random_state=seed,
                                  max_features=str(feature_fraction) if feature_fraction < 1 else "all")
+    if boosting_type == "rf":
+        forest = RandomForestClassifier(
+            featuresCol="_features", labelCol="_label", numTrees=int(num_boost_round), maxDepth=depth, subsamplingRate=bagging_fraction,
+            featureSubsetStrategy=str(feature_fraction) if feature_fraction < 1 else "all", seed=seed)
+        return SparkModel(tuple(x), forest.fit(_ready(df, x, y)))
     common = dict(featuresCol="_features", labelCol="_label", maxDepth=depth, maxIter=int(num_boost_round),
                   stepSize=learning_rate, subsamplingRate=bagging_fraction,
                   featureSubsetStrategy=str(feature_fraction) if feature_fraction < 1 else "all", seed=seed)

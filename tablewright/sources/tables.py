@@ -112,6 +112,12 @@ def page(df: DataFrame, order_by, page: int = 1, size: int = 10) -> DataFrame:
     return df.orderBy(*keys).offset((page - 1) * size).limit(size)
 
 
+def page_with_total(df: DataFrame, order_by, page_no: int = 1, size: int = 10, name: str = "total") -> DataFrame:
+    """One page of an ordered table with the number of all rows beside each row."""
+    total = df.agg(F.count(F.lit(1)).alias(name))  # one row
+    return page(df, order_by, page_no, size).crossJoin(F.broadcast(total))
+
+
 def preview(df: DataFrame, order_by, search_key: str | None = None, page_no: int = 1,
             size: int = 10) -> DataFrame:
     """Ordered page of the rows matching ``search_key``."""

@@ -221,3 +221,14 @@ def test_k_means_finds_groups(spark):
     df = spark.createDataFrame([tuple(map(float, p)) for p in pts], "a double, b double")
     sizes = trees.k_means(df, ["a", "b"], 3, seed=1).groupBy("cluster").count().collect()
     assert sorted(r["count"] for r in sizes) == [50, 50, 50]
+
+
+def test_boosting_types(spark):
+    df = spark.createDataFrame([(float(i), float(i % 7 > 3)) for i in range(60)], "x double, y double")
+    forest = trees.fit_boosted(df, ["x"], "y", "binary", "rf", num_leaves=16, num_boost_round=5)
+    assert {r.prediction for r in forest.predict(df).select("prediction").distinct().collect()} <= {0.0, 1.0}
+    for kind in ("dart", "goss"):
+        with pytest.raises(ValueError):
+            trees.fit_boosted(df, ["x"], "y", boosting_type=kind)
+    with pytest.raises(ValueError):
+        trees.fit_random_forest(df, ["x"], "y", criterion="absolute_error")

@@ -125,6 +125,13 @@ def test_split_rules(spark):
     assert set(prep.data_split(df, "id")) == {"train", "test"}
     given = {"train": df, "test": df.limit(0)}
     assert prep.data_split(df, "id", override=given)["train"].count() == 10
+    one = prep.data_split(df, "id", override={"train": df})
+    assert set(one) == {"train", "test"} and one["test"].count() == prep.data_split(df, "id")["test"].count()
+
+
+def test_min_max_skips_nan(spark):
+    df = spark.createDataFrame([(1.0,), (float("nan"),), (3.0,), (None,)], "x double")
+    assert prep.fit_min_max(df, ["x"]) == {"x": (1.0, 3.0)}
 
 
 def test_kpi_transpose_and_weights(spark):

@@ -160,3 +160,30 @@ def test_row_wise_operators_run_on_streams(spark, tmp_path):
     q = done.writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start(out)
     q.awaitTermination(60)
     assert spark.read.parquet(out).count() == 15
+
+
+def test_text_of_floats(spark):
+    values = [12345678.0, 0.5, 1e16, 1.5e-5, 123456789012345.6, 0.0001, 0.00012345, 3.0, -2.5e7, 0.0, float("inf")]
+    df = spark.createDataFrame([(v,) for v in values] + [(float("nan"),), (None,)], "v double")
+    got = [r.v for r in rel.type_convert(df, {"v": "VARCHAR2"}).collect()]
+    assert got == [str(v) for v in values] + [None, None]
+
+
+def test_free_form_dates(spark):
+    cells = ["2024/3/5", "20240305", "5 Mar 2024", "Mar 5, 2024", "March 5, 2024", "3/5/2024", "25/3/2024", "5.3.2024", "2024/3/5 7:08"]
+    df = spark.createDataFrame([(c,) for c in cells], "d string")
+    got = [str(r.d) for r in rel.type_convert(df, {"d": "DATE"}).collect()]
+    assert got == ["2024-03-05 00:00:00"] * 6 + ["2024-03-25 00:00:00", "2024-03-05 00:00:00", "2024-03-05 07:08:00"]
+
+
+@pytest.mark.parametrize("expression", ["sqrt(a)", "log(a)", "ln(a+1)", "asin(a*2)", "exp(a*-1000)"])
+def test_expressions_without_a_value_stop(spark, expression):
+    df = spark.createDataFrame([(-1.0,), (None,)], "a double")
+    with pytest.raises(Exception, match="value"):
+        rel.column_add(df, [("b", expression)]).collect()
+    assert rel.column_add(df.where("a is null"), [("b", expression)]).first().b is None
+
+
+def test_page_with_total(spark):
+    rows = tables.page_with_total(spark.range(25), "id", 3, 10).collect()
+    assert [(r.id, r.total) for r in rows] == [(i, 25) for i in range(20, 25)]

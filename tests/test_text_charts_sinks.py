@@ -137,5 +137,17 @@ def test_custom_functions(spark):
         custom.apply_custom("nothing", spark.range(1))
     with pytest.raises(TypeError):
         custom.register("text", "print(1)")
-    with pytest.raises(ValueError):
-        custom.fit_per_group(spark.range(5).withColumn("g", F.lit(1)), "g", lambda pdf: pdf, "id long, g int", limit=4)
+
+
+def test_fit_per_group_any_size(spark):
+    df = spark.range(5_000).selectExpr("id", "if(id % 3 = 0, null, id % 3) g").repartition(7)
+    out = custom.fit_per_group(df, "g", lambda pdf: pdf["id"].sum(), lambda a, b: a + b,
+                               lambda key, state: {"g": key[0], "total": int(state)}, "g long, total long", fan_in=2).collect()
+    want = {g: sum(i for i in range(5_000) if (i % 3 or None) == g) for g in (None, 1, 2)}
+    assert {r.g: r.total for r in out} == want
+
+
+def test_scatter_bins(spark):
+    df = spark.createDataFrame([(0.0, 0.0), (1.0, 1.0), (0.1, 0.2), (float("nan"), 1.0), (None, 2.0)], "x double, y double")
+    rows = charts.chart_scatter(df, "x", "y", "aggregate", 2).collect()
+    assert {(r.x_low, r.y_low): r.n for r in rows} == {(0.0, 0.0): 2, (0.5, 0.5): 1}
