@@ -6,8 +6,8 @@ symbols. The three p-values are combined; the higher the result, the more the to
 drawn at random. What ordinary text reaches is learned from decoys, one a document: letters
 of the text itself, written in an encoding and a length that the text's checksum chooses.
 Per encoding and length class the share of decoys that reach a token's value is the token's
-chance of being ordinary text, and a step-up rule over the whole table keeps the expected
-share of false finds at ``rate``. Only counts by class and value reach the driver.
+chance of being ordinary text, and a step-up rule over all tokens of the class keeps the
+expected share of false finds at ``rate``. Only counts by class and value reach the driver.
 
 Defined results: a null text counts as empty and has no spans; positions are code points,
 end exclusive; spans come by start, then kind as in ``KINDS``; random tokens that touch a
@@ -141,21 +141,24 @@ def decoy(text: str) -> tuple[int, int] | None:
 
 
 def cut_offs(tokens: dict[tuple[int, int], int], decoys: dict[tuple[int, int], int], rate: float) -> dict[int, int]:
-    """Least accepted bin of each class: step-up over the classes' tail shares of decoys."""
-    chance: dict[tuple[int, int], float] = {}
-    for c in {c for c, _ in tokens}:
-        total = sum(n for (k, _), n in decoys.items() if k == c)
-        for b in {b for k, b in tokens if k == c}:
-            chance[c, b] = (1 + sum(n for (k, x), n in decoys.items() if k == c and x >= b)) / (1 + total)
-    everything, so_far, limit = sum(tokens.values()), 0, 0.0
-    for p in sorted(set(chance.values())):
-        so_far = sum(n for key, n in tokens.items() if chance[key] <= p)
-        if everything * p <= rate * so_far:
-            limit = p
+    """Least accepted bin of each class by a step-up rule inside the class.
+
+    A token's chance is the share of decoys that reach its bin, of its own encoding and of
+    its own or a shorter length: shorter text looks more random, so they only make it larger.
+    """
     out: dict[int, int] = {}
-    for (c, b), p in chance.items():
-        if p <= limit:
-            out[c] = min(out.get(c, BINS), b)
+    for c in {c for c, _ in tokens}:
+        own = {b: n for (k, b), n in tokens.items() if k == c}
+        null = np.zeros(BINS)
+        for (k, b), n in decoys.items():
+            if k // len(LENGTHS) == c // len(LENGTHS) and k <= c:
+                null[b] += n
+        everything, so_far = sum(own.values()), 0
+        for b in sorted(own, reverse=True):
+            so_far += own[b]
+            chance = (1 + null[b:].sum()) / (1 + null.sum())
+            if everything * chance <= rate * so_far:
+                out[c] = b
     return out
 
 
