@@ -137,10 +137,14 @@ def _(t):
 
 
 @query("s13_describe_columns", """
-SELECT * FROM (VALUES (0, 'o_orderkey', 'NUMBER'), (1, 'o_custkey', 'NUMBER'), (2, 'o_orderstatus', 'VARCHAR2'),
-(3, 'o_totalprice', 'NUMBER'), (4, 'o_orderdate', 'DATE'), (5, 'o_orderpriority', 'VARCHAR2')) v("position", name, data_type)""")
-def _(t):
-    return tables.describe_source(t.spark, "parquet", f"{t.sf_dir}/orders.parquet").select("position", "name", "data_type")
+WITH k AS (SELECT unnest([0, 1, 2, 3, 4, 5]) AS "position", unnest(['o_orderkey', 'o_custkey', 'o_orderstatus', 'o_totalprice', 'o_orderdate', 'o_orderpriority']) AS name,
+ unnest(['NUMBER', 'NUMBER', 'VARCHAR2', 'NUMBER', 'DATE', 'VARCHAR2']) AS data_type,
+ unnest([count(o_orderkey), count(o_custkey), count(o_orderstatus), count(o_totalprice), count(o_orderdate), count(o_orderpriority)]) AS present,
+ unnest([count(DISTINCT o_orderkey), count(DISTINCT o_custkey), count(DISTINCT o_orderstatus), count(DISTINCT o_totalprice), count(DISTINCT o_orderdate), count(DISTINCT o_orderpriority)]) AS different FROM orders)
+SELECT * FROM k""")
+def _(t):
+    described = tables.describe_source(t.spark, "parquet", f"{t.sf_dir}/orders.parquet").select("position", "name", "data_type")
+    return described.join(tables.column_counts(t("orders")), "name")
 
 
 @query("s14_preview_search", """

@@ -1,20 +1,22 @@
 """Ordered computations that stay distributed when one series is huge.
 
-A window over one long series runs in a single task. Everything here first
-checks the largest series; small ones use a plain window, long ones are laid
-out by range partitioning, made stable with a checkpoint, solved per partition
-and stitched together with per-partition offsets.
+A window over one long series would run in a single task. Rows are therefore laid out by
+range over (series, order, row hash), so that ties and hot series spread too, and written
+once; each partition is solved by itself. Only the first series of a partition can have
+begun earlier, so what earlier partitions add is at most one row per partition.
+One way for every size: results and plans do not change as a table grows.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
-from tablewright.core.session import GROUP_LIMIT, largest_group, settled, stable
+from tablewright.core.session import stable
 
 _POS_BITS = 33  # monotonically_increasing_id keeps the partition above bit 33
+LAG_BLOCK = 1_000_000  # rows of a series that one task looks at to find lags
 
 
 def _names(value) -> list[str]:
@@ -37,10 +39,15 @@ def window(by, order_by) -> "Window":
     return Window.partitionBy(*_names(by)).orderBy(*_sort_columns(order_by))
 
 
+def _row_hash(df: DataFrame) -> Column:
+    plain = [f.name for f in df.schema.fields if isinstance(f.dataType, T.AtomicType)]
+    return F.xxhash64(*[F.col(f"`{c}`") for c in plain]) if plain else F.lit(0)
+
+
 def _laid_out(df: DataFrame, by: list[str], order: list[Column]) -> DataFrame:
     """Rows in global (by, order) order with stable partition and position columns."""
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    keys = [F.col(c) for c in by] + order
+    keys = [*[F.col(c) for c in by], *order, _row_hash(df)]
     spread = df.repartitionByRange(parts, *keys).sortWithinPartitions(*keys)
     marked = stable(spread.withColumn("_mid", F.monotonically_increasing_id()))
     return marked.select(
@@ -51,70 +58,54 @@ def _laid_out(df: DataFrame, by: list[str], order: list[Column]) -> DataFrame:
 
 
 def _with_offsets(rows: DataFrame, by: list[str], sums: Sequence[str]) -> DataFrame:
-    """Join to each row the totals of its series in earlier partitions."""
+    """Join to each row the totals of its series in earlier partitions, and its place in this one."""
     per_part = rows.groupBy(*by, "_part").agg(
         F.min("_pos").alias("_first"),
         F.count(F.lit(1)).alias("_rows"),
         *[F.sum(c).alias(f"_tot_{i}") for i, c in enumerate(sums)],
     )
-    # One row per (series, partition it touches); a series never touches more
-    # partitions than the shuffle has, so this window is bounded by that number.
+    # One row per (series, partition it touches): bounded by the partitions for any one series.
     before = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    if not by:
-        per_part = per_part.coalesce(1)
-    offsets = per_part.select(
-        *[F.col(c).alias(f"_by_{c}") for c in by],
-        F.col("_part").alias("_of_part"),
-        "_first",
-        F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_skip"),
-        *[
-            F.coalesce(F.sum(f"_tot_{i}").over(before), F.lit(0)).alias(f"_carry_{i}")
-            for i, _ in enumerate(sums)
-        ],
-    )
+    offsets = per_part.withColumns({
+        "_skip": F.sum("_rows").over(before),
+        **{f"_carry_{i}": F.sum(f"_tot_{i}").over(before) for i, _ in enumerate(sums)},
+    })
+    # Only a series that goes on from an earlier partition carries something: one a partition.
+    carried = offsets.where("_skip > 0").select(
+        F.col("_part").alias("_of_part"), *[F.col(c).alias(f"_by_{c}") for c in by], "_skip",
+        *[f"_carry_{i}" for i, _ in enumerate(sums)])
     cond = F.col("_part") == F.col("_of_part")
     for c in by:
         cond = cond & F.col(c).eqNullSafe(F.col(f"_by_{c}"))
-    if not by:
-        offsets = F.broadcast(offsets)  # at most one row per shuffle partition
-    return rows.join(offsets, cond)
+    return rows.join(F.broadcast(carried), cond, "left").fillna(0, ["_skip"])
 
 
-def row_index(df: DataFrame, order_by, by=None, name: str = "row_index",
-              limit: int = GROUP_LIMIT) -> DataFrame:
+def row_index(df: DataFrame, order_by, by=None, name: str = "row_index") -> DataFrame:
     """Add the 1-based position of each row in its series.
 
-    ``order_by`` should identify rows within a series; ties are in any order.
+    ``order_by`` should identify rows within a series; ties are in the order of a row hash.
     """
-    by, order, df = _names(by), _sort_columns(order_by), settled(df)
-    if largest_group(df, by) <= limit:
-        return df.withColumn(name, F.row_number().over(window(by, order)).cast("long"))
+    by, order = _names(by), _sort_columns(order_by)
     rows = _with_offsets(_laid_out(df, by, order), by, [])
-    index = F.col("_skip") + F.col("_pos") - F.col("_first") + 1
-    return rows.withColumn(name, index.cast("long")).select(*df.columns, name)
+    here = F.row_number().over(Window.partitionBy("_part", *by).orderBy("_pos"))
+    return rows.withColumn(name, (F.col("_skip") + here).cast("long")).select(*df.columns, name)
 
 
-def running_sum(df: DataFrame, columns: dict[str, str], order_by, by=None,
-                limit: int = GROUP_LIMIT) -> DataFrame:
+def running_sum(df: DataFrame, columns: dict[str, str], order_by, by=None) -> DataFrame:
     """Add running totals {new column: source column} in series order."""
-    by, order, df = _names(by), _sort_columns(order_by), settled(df)
-    upto = (Window.unboundedPreceding, Window.currentRow)
-    if largest_group(df, by) <= limit:
-        w = window(by, order).rowsBetween(*upto)
-        return df.withColumns({new: F.sum(src).over(w) for new, src in columns.items()})
+    by, order = _names(by), _sort_columns(order_by)
     rows = _with_offsets(_laid_out(df, by, order), by, list(columns.values()))
-    w = Window.partitionBy(*by, "_part").orderBy("_pos").rowsBetween(*upto)
-    out = rows.withColumns(
-        {
-            new: F.sum(src).over(w) + F.col(f"_carry_{i}")
-            for i, (new, src) in enumerate(columns.items())
-        }
-    )
+    w = Window.partitionBy("_part", *by).orderBy("_pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    out = rows.withColumns({
+        new: F.when(F.col(f"_carry_{i}").isNull(), F.sum(src).over(w)).otherwise(
+            F.coalesce(F.sum(src).over(w), F.lit(0)) + F.col(f"_carry_{i}"))
+        for i, (new, src) in enumerate(columns.items())
+    })
     return out.select(*df.columns, *columns)
 
 
 def lagged(df: DataFrame, columns: Sequence[str], lags: int, index: str, by=None,
-           block: int = GROUP_LIMIT) -> DataFrame:
+           block: int = LAG_BLOCK) -> DataFrame:
     """Add ``{c}_lag{k}`` for k = 1..lags, using a gap-free row index.
 
     Rows are windowed in blocks of the index; the last ``lags`` rows of a block

@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
+from pyarrow import fs
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 # Rows one task may hold when a group has to be processed as a whole.
 GROUP_LIMIT = 1_000_000
 
-# Inputs estimated below this are read twice rather than copied.
-CHEAP_BYTES = 64 * 1024 * 1024
+_MADE: list[str] = []
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
@@ -45,33 +46,21 @@ def stable(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/table-{uuid.uuid4().hex}"
+    _MADE.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def estimated_bytes(df: DataFrame) -> int:
-    """The optimizer's size estimate; joins make it very large, filters leave it alone."""
-    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    return int(str(size))
+def release() -> None:
+    """Delete the tables written by ``stable``; done when the process ends."""
+    while _MADE:
+        path = _MADE.pop()
+        store, plain = fs.FileSystem.from_uri(path if "://" in path else "file://" + path.removeprefix("file:"))
+        if store.get_file_info(plain).type == fs.FileType.Directory:
+            store.delete_dir(plain)
 
 
-def settled(df: DataFrame) -> DataFrame:
-    """``df`` itself while recomputing it is cheap, else a reliable copy computed once.
-
-    Callers that have to look at a table twice start from this.
-    """
-    return df if estimated_bytes(df) <= CHEAP_BYTES else stable(df)
-
-
-def spread_out(df: DataFrame, *keys: str) -> DataFrame:
-    """Give costly per-row work enough tasks when the input is too small to split well.
-
-    Inputs with a split for at least half the cores are left as they are.
-    """
-    spark = df.sparkSession
-    cores = spark.sparkContext.defaultParallelism
-    split = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
-    return df.repartition(cores, *keys) if estimated_bytes(df) < split * cores / 2 else df
+atexit.register(release)
 
 
 def hold(df: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, functions as F
 
 from tablewright.core.layout import as_names, running_sum
-from tablewright.core.session import GROUP_LIMIT, stable
+from tablewright.core.session import stable
 from tablewright.core.types import known, quoted, require_columns, require_numeric
 from tablewright.operators.prep import hash_unit
 
@@ -120,7 +120,7 @@ def chart_tree(df: DataFrame, id: str, pid: str, name: str, value: str, mode: st
     return out.join(totals, quoted(id) == F.col("_node"), "left").drop("_node")
 
 
-def chart_box(df: DataFrame, dimension, value: str, mode: str = "rows", limit: int = GROUP_LIMIT) -> DataFrame:
+def chart_box(df: DataFrame, dimension, value: str, mode: str = "rows") -> DataFrame:
     """Rows, or exact (low, q1, median, q3, high) per group by linear interpolation.
 
     Equal values are counted first; a quantile is where the running count passes it.
@@ -132,7 +132,7 @@ def chart_box(df: DataFrame, dimension, value: str, mode: str = "rows", limit: i
     counts = df.select(*keys, v).where("_v is not null and not isnan(_v)").groupBy(*keys, "_v").agg(
         F.count(F.lit(1)).alias("_n"))
     size = counts.groupBy(*keys).agg(F.sum("_n").alias("_all"))
-    upto = running_sum(counts, {"_upto": "_n"}, "_v", by=keys, limit=limit)
+    upto = running_sum(counts, {"_upto": "_n"}, "_v", by=keys)
     named = size.select(*[F.col(k).alias(f"_g_{k}") for k in keys], "_all")
     rows = upto.join(named, [F.col(k).eqNullSafe(F.col(f"_g_{k}")) for k in keys])
     aggs = []

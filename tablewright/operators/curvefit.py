@@ -13,9 +13,9 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from tablewright.core.layout import as_names, row_index
+from tablewright.core.layout import as_names, row_index, running_sum
 from tablewright.core.session import GROUP_LIMIT, hold
 from tablewright.core.types import quoted, require_columns, require_numeric
 from tablewright.operators.models import ExponentialModel, LogarithmModel, WeibullModel
@@ -288,10 +288,11 @@ def weibull_curve(costs: DataFrame, model: WeibullModel | DataFrame, peak: str =
             "_peak int, _m double, _a double")
     else:
         params = model.select(F.col("peak").alias("_peak"), F.col("m").alias("_m"), F.col("a").alias("_a"))
-    used = costs.join(F.broadcast(params), quoted(peak) == F.col("_peak"))  # one row per peak
-    # Peaks are few, so one window may add up their lengths.
-    before = Window.orderBy(peak).rowsBetween(Window.unboundedPreceding, -1)
-    placed = used.withColumn("_skip", F.coalesce(F.sum(F.col("time").cast("long")).over(before), F.lit(0)))
+    used = costs.join(params, quoted(peak) == F.col("_peak"), "left")
+    lacking = F.raise_error(F.concat(F.lit("no parameters for peak "), quoted(peak).cast("string"))).cast("double")
+    used = used.withColumn("_m", F.when(F.col("_peak").isNull(), lacking).otherwise(F.col("_m")))
+    placed = running_sum(used.withColumn("_len", F.col("time").cast("long")), {"_upto": "_len"}, peak)
+    placed = placed.withColumn("_skip", F.col("_upto") - F.col("_len"))
     steps = placed.withColumn("_t", F.explode(F.sequence(F.lit(1), F.col("time").cast("int"))))
     t = F.col("_t").cast("double")
     return steps.select((F.col("_skip") + F.col("_t")).cast("long").alias("a"),

@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
 from tablewright.core.gram import Moments, grouped_moments, moments
-from tablewright.core.layout import row_index
+from tablewright.core.layout import as_names, row_index
 from tablewright.core.numeric import elastic_net
 from tablewright.core.session import hold
 from tablewright.core.types import quoted, require_numeric
@@ -42,7 +42,7 @@ def _complete(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def with_folds(df: DataFrame, folds: int, order_by=None, name: str = "_fold") -> DataFrame:
-    """Fold number per row: equal runs of ``order_by``, or the hash of the whole row."""
+    """Fold number per row: equal runs of ``order_by``, or the hash of the row."""
     if order_by is None:
         return df.withColumn(name, hash_unit(df.columns, 0, folds).cast("int"))
     n = df.count()
@@ -59,7 +59,9 @@ def with_folds(df: DataFrame, folds: int, order_by=None, name: str = "_fold") ->
 def _cross_validated(df: DataFrame, x: list[str], y: str, l1_ratio: float, n_alphas: int,
                      max_iter: int, folds: int, order_by, eps: float = 1e-3,
                      tol: float = 1e-4) -> tuple[LinearModel, float]:
-    ready = with_folds(_complete(df, [*x, y]), folds, order_by)
+    order = [c for c in as_names(order_by) if c not in (*x, y)]
+    # Only what the fit and the folds need is read; rows are told apart by these values.
+    ready = with_folds(_complete(df, [*x, y]).select(*[quoted(c) for c in dict.fromkeys([*x, y, *order])]), folds, order_by)
     parts = [p for p in grouped_moments(ready, [*x, y], "_fold", folds).values() if p.n > 0]
     if len(parts) < 2:
         raise ValueError("not enough rows to cross-validate")

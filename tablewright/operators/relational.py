@@ -137,18 +137,20 @@ def data_join(left: DataFrame, right: DataFrame, left_on: str, right_on: str, ho
     """Single-key join; null keys match each other unless ``null_safe`` is off.
 
     Columns get a side suffix; ``display`` names the suffixed columns to keep.
-    Adaptive execution splits hot keys of inner and left joins. It cannot split
-    a full outer join, so that one is a left join plus the unmatched right rows.
+    Adaptive execution splits hot keys on both sides of an inner join only, so outer
+    joins are an inner join plus the unmatched rows of either side, found against the
+    distinct keys of the other.
     """
     if how not in ("inner", "left", "full"):
         raise ValueError(f"unknown join {how!r}")
     a, b = rename(left, suffix=suffixes[0]), rename(right, suffix=suffixes[1])
     ka, kb = quoted(left_on + suffixes[0]), quoted(right_on + suffixes[1])
     match = ka.eqNullSafe(kb) if null_safe else ka == kb
-    out = a.join(b, match, "inner" if how == "inner" else "left")
+    out = a.join(b, match, "inner")
+    if how != "inner":
+        out = out.unionByName(a.join(b.select(kb).distinct(), match, "left_anti"), allowMissingColumns=True)
     if how == "full":
-        rest = b.join(a.select(ka).distinct(), match, "left_anti")
-        out = out.unionByName(rest, allowMissingColumns=True)
+        out = out.unionByName(b.join(a.select(ka).distinct(), match, "left_anti"), allowMissingColumns=True)
     if display is None:
         return out
     keep = [c for c in sorted(out.columns) if c in set(display)]

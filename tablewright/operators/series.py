@@ -10,8 +10,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from tablewright.core.gram import moment_aggregates
-from tablewright.core.layout import as_names, lagged, row_index, running_sum
-from tablewright.core.session import GROUP_LIMIT, stable
+from tablewright.core.layout import LAG_BLOCK, as_names, lagged, row_index, running_sum
+from tablewright.core.session import stable
 from tablewright.core.types import quoted, require_numeric
 
 
@@ -212,13 +212,16 @@ def _join_keys(left: DataFrame, right: DataFrame, keys: list[str], how: str = "i
 
 
 def arima_forecast(df: DataFrame, y: str, order_by, p: int, d: int, q: int, steps: int, by=None,
-                   limit: int = GROUP_LIMIT, long_order: int | None = None) -> DataFrame:
+                   limit: int = LAG_BLOCK, long_order: int | None = None, long_memory: int = 40) -> DataFrame:
     """Forecast ``steps`` values of each series with an ARIMA(p, d, q): (by..., step, y).
 
     Without a moving-average part the coefficients maximise the exact Gaussian
     likelihood, which needs only lag moments and the first p values. With one
     they minimise the conditional sum of squares, the noise being a weighted sum
-    of ``long_order`` past values, so lag moments are again enough.
+    of past values, so lag moments are again enough. How many past values follows
+    each series' own length: a quarter of it up to ``long_memory``, or ``long_order``
+    where that is given; what further values would add shrinks geometrically.
+    No series has any part in the forecast of another.
     Undifferenced models have a mean, differenced ones have none.
     """
     keys = as_names(by)
@@ -228,26 +231,28 @@ def arima_forecast(df: DataFrame, y: str, order_by, p: int, d: int, q: int, step
     constant = d == 0
     src = df.select(*keys, *(order_by if isinstance(order_by, list) else [order_by]),
                     quoted(y).cast("double").alias("_y")).where(F.col("_y").isNotNull())
-    rows = row_index(src, order_by, by=by, name="_i", limit=limit)
+    rows = row_index(src, order_by, by=by, name="_i")
     rows = stable(rows.select(*keys, "_i", "_y"))  # read several times below
     centre = F.avg("_y") if constant else F.lit(0.0)
     size = (rows.groupBy(*keys) if keys else rows).agg(F.max("_i").alias("_n_all"), centre.alias("_centre"))
-    if q and long_order is None:
-        shortest = size.agg(F.min("_n_all")).first()[0] or 0
-        long_order = max(p, q) + max(2, min(40, (shortest - d) // 4))
+    lags = (long_order or max(p, q) + max(2, long_memory)) if q else p
+    if q:
+        own = F.least(F.lit(long_memory), F.floor((F.col("_n_all") - d) / 4))
+        size = size.withColumn("_lags", F.lit(long_order).cast("int") if long_order else (F.greatest(own, F.lit(2)) + max(p, q)).cast("int"))
+    else:
+        size = size.withColumn("_lags", F.lit(p))
     rows = _join_keys(rows, size, keys)
     # d-th difference as a weighted sum of the value and its d lags
     work = lagged(rows, ["_y"], d, "_i", by, limit) if d else rows
     diff = sum((F.col(f"_y_lag{k}") * float((-1) ** k * math.comb(d, k)) for k in range(1, d + 1)), F.col("_y"))
-    work = work.withColumn("_w", diff).where(F.col("_i") > d).select(*keys, "_i", "_n_all", "_centre", "_w")
+    work = work.withColumn("_w", diff).where(F.col("_i") > d).select(*keys, "_i", "_n_all", "_centre", "_lags", "_w")
     work = work.withColumn("_i_min", F.lit(d + 1))
     if q:  # moments of many lags: better conditioned around the mean
         work = work.withColumn("_w", F.col("_w") - F.col("_centre"))
-    lags = long_order if q else p
     wide = lagged(work, ["_w"], lags, "_i", by, limit) if lags else work
-    full = wide.where(F.col("_i") > d + lags)
+    full = wide.where(F.col("_i") > d + F.col("_lags"))
     if q:
-        aggs = [F.max("_n_all").alias("_n_all"), F.max("_centre").alias("_centre"), F.sum("_w").alias("_total")]
+        aggs = [F.max("_n_all").alias("_n_all"), F.max("_centre").alias("_centre"), F.max("_lags").alias("_lags"), F.sum("_w").alias("_total")]
         aggs += [F.sum(F.col("_w") * F.col(f"_w_lag{k}" if k else "_w")).alias(f"_g{k}") for k in range(lags + 1)]
     else:
         aggs = moment_aggregates(["_w", *[f"_w_lag{k}" for k in range(1, p + 1)]])
@@ -266,6 +271,7 @@ def arima_forecast(df: DataFrame, y: str, order_by, p: int, d: int, q: int, step
                 w, head = list(row["_tail_w"]), np.array(row["_head_w"], dtype=float)
                 theta, e, shift = np.zeros(0), [], 0.0
                 if q:
+                    lags = int(row["_lags"])
                     g = np.array([row[f"_g{k}"] for k in range(lags + 1)], dtype=float)
                     mean, cov = _lag_moments(int(row["_n_all"]) - d, lags, float(row["_total"]), g, head, np.array(w))
                     phi, theta, mu = _conditional_arma(mean, cov, p, q, constant)
@@ -296,7 +302,7 @@ def arima_forecast(df: DataFrame, y: str, order_by, p: int, d: int, q: int, step
 
 
 def gm1n(train: DataFrame, future: DataFrame, x: Sequence[str], y: str, order_by: str, by=None,
-         limit: int = GROUP_LIMIT) -> DataFrame:
+         limit: int = LAG_BLOCK) -> DataFrame:
     """Grey GM(1,N) forecast of the future rows: (by..., order_by, x..., gm1n_pre).
 
     Accumulated series are running sums; the background value of a row is its
@@ -310,9 +316,9 @@ def gm1n(train: DataFrame, future: DataFrame, x: Sequence[str], y: str, order_by
     vals = [quoted(c).cast("double").alias(c) for c in x]
     known = train.select(*cols, *vals, quoted(y).cast("double").alias("_y"), F.lit(0).alias("_later"))
     ahead = future.select(*cols, *vals, F.lit(0.0).alias("_y"), F.lit(1).alias("_later"))
-    rows = row_index(known.unionByName(ahead), ["_later", order_by], by=by, name="_i", limit=limit)
+    rows = row_index(known.unionByName(ahead), ["_later", order_by], by=by, name="_i")
     sums = {"_y1": "_y", **{f"_x1_{j}": c for j, c in enumerate(x)}}
-    rows = stable(running_sum(rows, sums, "_i", by=by, limit=limit))  # read for the fit and the response
+    rows = stable(running_sum(rows, sums, "_i", by=by))  # read for the fit and the response
     b = [-(F.col("_y1") - F.col("_y") / 2), *[F.col(f"_x1_{j}") for j in range(len(x))]]
     k = len(b)
     use = (F.col("_later") == 0) & (F.col("_i") > 1)

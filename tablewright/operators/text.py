@@ -9,7 +9,7 @@ import pandas as pd
 import regex
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tablewright.core.session import spread_out, stable
+from tablewright.core.session import stable
 from tablewright.core.types import quoted
 
 SEPARATOR = "、"
@@ -86,12 +86,12 @@ def _dictionary_udf(dictionary: Mapping[str, float]):
 
 def cut_word(df: DataFrame, col: str, dictionary: Mapping[str, float] | None = None) -> DataFrame:
     """Add ``seg_result``: the tokens joined by an ideographic comma."""
-    return spread_out(df).withColumn("seg_result", F.array_join(tokens(quoted(col).cast("string"), dictionary), SEPARATOR))
+    return df.withColumn("seg_result", F.array_join(tokens(quoted(col).cast("string"), dictionary), SEPARATOR))
 
 
 def token_counts(df: DataFrame, id: str, col: str, dictionary: Mapping[str, float] | None = None) -> DataFrame:
     """(id, word, n) per document."""
-    words = spread_out(df.select(quoted(id), quoted(col)), id).select(quoted(id), F.explode(tokens(quoted(col).cast("string"), dictionary)).alias("word"))
+    words = df.select(quoted(id), F.explode(tokens(quoted(col).cast("string"), dictionary)).alias("word"))
     return words.groupBy(id, "word").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -132,8 +132,8 @@ def word_tag(df: DataFrame, id: str, col: str, top_k: int = 20,
         middle = 0.0
     else:
         middle = idf.agg(F.percentile_approx("idf", 0.5)).first()[0]
-    # Neither side is known to be small: sort-merge, where hot words can be split.
-    weighted = counts.hint("merge").join(idf.select("word", "idf"), "word", "left")
+    # The optimizer knows the true size of the written counts; hot words are split where it sorts and merges.
+    weighted = counts.join(idf.select("word", "idf"), "word", "left")
     # Dividing by the length of the document would not change the order of its words.
     weight = F.round(F.col("n") * F.coalesce("idf", F.lit(middle)), 9)
     w = Window.partitionBy(id).orderBy(F.col("_w").desc(), "word")

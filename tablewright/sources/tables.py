@@ -90,6 +90,14 @@ def describe_columns(df: DataFrame) -> DataFrame:
               "storage_type string, nullable boolean")
 
 
+def column_counts(df: DataFrame) -> DataFrame:
+    """(name, present, different): cells that are not null, and distinct values, per column; one pass of the long form."""
+    cells = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("name"), quoted(c).cast("string").alias("cell")) for c in df.columns])).alias("c"))
+    per_value = cells.select("c.*").groupBy("name", "cell").agg(F.count(F.lit(1)).alias("n"))
+    there = F.col("cell").isNotNull()
+    return per_value.groupBy("name").agg(F.coalesce(F.sum(F.when(there, F.col("n"))), F.lit(0)).alias("present"), F.count_if(there).alias("different"))
+
+
 def describe_source(spark: SparkSession, fmt: str, source: str, **options) -> DataFrame:
     """Columns of a source; only its schema is read."""
     return describe_columns(read_table(spark, fmt, source, **options))

@@ -138,3 +138,15 @@ def test_gm1n(spark, limit):
     for s in want:
         got = [r.gm1n_pre for r in sorted(out, key=lambda r: r.i) if r.s == s]
         assert got == pytest.approx(list(np.round(want[s], 3)), abs=2e-3)
+
+
+def test_series_are_fitted_by_themselves(spark):
+    rng = np.random.default_rng(8)
+    e = rng.normal(size=201)
+    long = [("a", i, float(5 + e[i] + 0.6 * e[i - 1])) for i in range(1, 201)]
+    short = [("b", i, float(rng.normal())) for i in range(9)]
+    def forecast(rows):
+        df = spark.createDataFrame(rows, "g string, t int, y double")
+        out = series.arima_forecast(df, "y", "t", 0, 0, 1, 2, by="g").where("g = 'a'").orderBy("step").collect()
+        return [r.y for r in out]
+    assert forecast(long) == pytest.approx(forecast(long + short), abs=1e-9)

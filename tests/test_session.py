@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+from pathlib import Path
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -16,17 +18,12 @@ def test_stable_copies_live_in_the_named_folder(spark):
     assert kept.exceptAll(kept).count() == 0 and kept.columns == ["id", "r"]
 
 
-def test_cheap_inputs_are_not_copied(spark):
-    df = spark.range(10)
-    assert session.settled(df) is df
-    wide = spark.range(10**9).crossJoin(spark.range(10**9))
-    assert session.estimated_bytes(wide) > session.CHEAP_BYTES
-
-
-def test_small_inputs_are_spread(spark):
-    df = spark.range(100).coalesce(1)
-    assert session.spread_out(df, "id").rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
-    assert session.spread_out(spark.range(10**12)).rdd.getNumPartitions() == spark.range(10**12).rdd.getNumPartitions()
+def test_copies_are_deleted(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(session, "_MADE", [])
+    kept = session.stable(spark.range(3))
+    folder = kept.inputFiles()[0].removeprefix("file://").rsplit("/", 1)[0]
+    session.release()
+    assert not Path(folder).exists() and session._MADE == []
 
 
 @pytest.mark.parametrize("by,want", [([], 6), (["k"], 4)])
