@@ -364,6 +364,35 @@ def _(t):
     return out.select("p_partkey", F.round("price", 3).alias("price"))
 
 
+_EIGHT = ("size", "uses", "volume", "money", "taxes", "discounts", "returned", "by_air")
+_EIGHT_SQL = """(SELECT p_partkey, p_brand, p_retailprice AS price, p_size::DOUBLE AS size, count(l_orderkey)::DOUBLE AS uses, coalesce(round(sum(l_quantity), 2), 0) AS volume,
+ coalesce(round(sum(l_extendedprice), 2), 0) AS money, coalesce(round(sum(l_tax), 2), 0) AS taxes, coalesce(round(sum(l_discount), 2), 0) AS discounts,
+ count(CASE WHEN l_returnflag = 'R' THEN 1 END)::DOUBLE AS returned, count(CASE WHEN l_linestatus = 'O' THEN 1 END)::DOUBLE AS by_air
+ FROM part LEFT JOIN lineitem ON p_partkey = l_partkey GROUP BY 1, 2, 3, 4)"""
+
+
+@query("m16_analogy_eight_features", f"""
+WITH f AS {_EIGHT_SQL}, m AS (SELECT {", ".join(f"max({c}) AS m_{c}" for c in _EIGHT)} FROM f),
+v AS (SELECT p_partkey, p_brand, price, {", ".join(f"coalesce({c} / nullif(m_{c}, 0), 0) * 0.125 AS {c}" for c in _EIGHT)} FROM f, m),
+s AS (SELECT t.p_partkey, k.p_partkey AS kp, k.price AS e,
+ round(({" + ".join(f"least(t.{c}, k.{c})" for c in _EIGHT)}) / ({" + ".join(f"greatest(t.{c}, k.{c})" for c in _EIGHT)}), 5) AS sim
+ FROM v t, v k WHERE t.p_brand = 'Brand#7' AND k.p_brand <> 'Brand#7'),
+r AS (SELECT *, row_number() OVER (PARTITION BY p_partkey ORDER BY sim DESC, kp) AS r FROM s),
+w AS (SELECT p_partkey, max(sim) FILTER (r = 1) b1, max(sim) FILTER (r = 2) b2, max(sim) FILTER (r = 3) b3, max(e) FILTER (r = 1) e1, max(e) FILTER (r = 2) e2, max(e) FILTER (r = 3) e3 FROM r WHERE r <= 3 GROUP BY 1)
+SELECT p_partkey, round(b1 * e1 + (1 - b1) * b2 * e2 + (1 - b1) * (1 - b2) * b3 * e3 + (1 - b1) * (1 - b2) * (1 - b3) * (e1 + e2 + e3) / 3, 3) AS price FROM w""")
+def _(t):
+    li, here = t("lineitem"), lambda c: F.count(F.when(c, 1)).cast("double")
+    per = li.groupBy("l_partkey").agg(
+        F.count(F.lit(1)).cast("double").alias("uses"), F.round(F.sum("l_quantity"), 2).alias("volume"), F.round(F.sum("l_extendedprice"), 2).alias("money"),
+        F.round(F.sum("l_tax"), 2).alias("taxes"), F.round(F.sum("l_discount"), 2).alias("discounts"), here(F.col("l_returnflag") == "R").alias("returned"),
+        here(F.col("l_linestatus") == "O").alias("by_air"))
+    f = t("part").join(per, F.col("p_partkey") == F.col("l_partkey"), "left").select(
+        "p_partkey", "p_brand", F.col("p_retailprice").alias("price"), F.col("p_size").cast("double").alias("size"),
+        *[F.coalesce(c, F.lit(0.0)).alias(c) for c in _EIGHT[1:]])
+    out = ana.analogy(f.where("p_brand <> 'Brand#7'"), f.where("p_brand = 'Brand#7'"), list(_EIGHT), "price", {c: 0.125 for c in _EIGHT}, 1.0, "p_partkey")
+    return out.select("p_partkey", F.round("price", 3).alias("price"))
+
+
 @query("m17_custom_trainer", f"WITH {_RIDGE} SELECT round(my - w0 * m1 - w1 * m2, 4) AS intercept, round(w0, 4) AS w0, round(w1, 4) AS w1 FROM w")
 def _(t):
     custom.register("my_ridge", lambda df, strength: reg.fit_ridge(df, X2, Y, strength))

@@ -1,24 +1,32 @@
 """Estimation by analogy: blend the three most similar known rows.
 
 Similarity is the weighted Jaccard ratio sum(min) / sum(max) of scaled features.
-The three best are found without comparing every pair: known rows sit in grids
-of several cell sizes, three of them from a shared cell give each target a lower
-bound on its third-best similarity, and that bound caps the distance at which a
-better row can lie. Only the cells within that distance are joined.
+Known rows that lie near each other share a block of fixed size, described by the
+bounds of its features; the bounds cap the similarity that any of its rows can reach.
+A target is sent to the blocks whose cap is not below what it is sure to reach, and is
+compared there with the block's rows at once; only its three best of each block go on.
+So rows of the two tables are never paired in a join or a shuffle, at any number of
+features, and the result is exact.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from tablewright.core.layout import row_index
+from tablewright.core.session import stable
 from tablewright.core.types import quoted, require_numeric
 
-_GRID_COLUMNS = 3
-_SMALL_LEVEL_CELLS = 4096
+BLOCK_ROWS = 10_000  # known rows compared at once
+SLICE_ROWS = 100_000  # targets that one task compares with a block
+SURE_ROWS = 512  # known rows that give every target a first bound
+BOXES = 20_000  # block descriptions sent out at once
 _DIGITS = 5
 
 
@@ -26,10 +34,22 @@ def _total(parts: Sequence[Column]) -> Column:
     return reduce(lambda a, b: a + b, parts)
 
 
-def _similarity(a: Sequence[Column], b: Sequence[Column]) -> Column:
-    low = _total([F.least(p, q) for p, q in zip(a, b)])
-    high = _total([F.greatest(p, q) for p, q in zip(a, b)])
-    return F.coalesce(F.try_divide(low, high), F.lit(0.0))
+def _similarities(u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """Similarity of every row of ``u`` with every row of ``v``."""
+    low, high = np.zeros((len(u), len(v))), np.zeros((len(u), len(v)))
+    for i in range(u.shape[1]):
+        low += np.minimum(u[:, i, None], v[None, :, i])
+        high += np.maximum(u[:, i, None], v[None, :, i])
+    return np.divide(low, high, out=np.zeros_like(low), where=high > 0)
+
+
+def _caps(u: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """The most similar that any row inside a box can be to a row of ``u``."""
+    low, high = np.zeros((len(u), len(lo))), np.zeros((len(u), len(lo)))
+    for i in range(u.shape[1]):
+        low += np.minimum(u[:, i, None], hi[None, :, i])
+        high += np.maximum(u[:, i, None], lo[None, :, i])
+    return np.divide(low, high, out=np.zeros_like(low), where=high > 0)
 
 
 def analogy_weights(base: DataFrame, x: Sequence[str]) -> dict[str, float]:
@@ -39,6 +59,43 @@ def analogy_weights(base: DataFrame, x: Sequence[str]) -> dict[str, float]:
     return {c: row[i] / total for i, c in enumerate(x)}
 
 
+def _routed(wanted: DataFrame, blocks: DataFrame, sure: np.ndarray, vecs: list[str], aims: list[str]) -> DataFrame:
+    """``_tid``, the features and ``_block`` of each target and block that may hold one of its best rows."""
+    bounds = blocks.groupBy("_block").agg(*[f(v).alias(f"_{n}{i}") for i, v in enumerate(vecs) for n, f in (("lo", F.min), ("hi", F.max))])
+    schema = ", ".join(["_tid long", *[f"{u} double" for u in aims], "_block long"])
+    p, out = len(vecs), None
+
+    def route(boxes: np.ndarray):
+        names, lo, hi = boxes[:, 0].astype(np.int64), boxes[:, 1::2], boxes[:, 2::2]
+
+        def run(batches):
+            for batch in batches:
+                u = np.column_stack([batch.column(1 + i).to_numpy(zero_copy_only=False) for i in range(p)])
+                for start in range(0, len(u), 512):
+                    part = u[start:start + 512]
+                    least = np.zeros(len(part))
+                    if len(sure) >= 3:  # rounding may lift a row by half a unit of the last digit
+                        least = np.sort(_similarities(part, sure), axis=1)[:, -3] - 10.0**-_DIGITS
+                    row, box = np.nonzero(_caps(part, lo, hi) >= least[:, None])
+                    ids = batch.column(0).take(pa.array(row + start))
+                    yield pa.RecordBatch.from_arrays([ids, *[pa.array(part[row, i]) for i in range(p)], pa.array(names[box])],
+                                                     names=["_tid", *aims, "_block"])
+
+        return run
+
+    held: list[list] = []
+    rows = bounds.select("_block", *[f"_{n}{i}" for i in range(p) for n in ("lo", "hi")]).toLocalIterator()  # a row for each 10,000 known ones
+    for r in rows:
+        held.append([float(v) for v in r])
+        if len(held) == BOXES:
+            part = wanted.select("_tid", *aims).mapInArrow(route(np.array(held)), schema)
+            out, held = part if out is None else out.unionAll(part), []
+    if held or out is None:
+        part = wanted.select("_tid", *aims).mapInArrow(route(np.array(held).reshape(-1, 1 + 2 * p)), schema)
+        out = part if out is None else out.unionAll(part)
+    return out
+
+
 def analogy(base: DataFrame, targets: DataFrame, x: Sequence[str], y: str, weights: Mapping[str, float],
             L: float = 1.0, order_by: str | None = None) -> DataFrame:
     """Estimate ``y`` for every target row from its three most similar base rows.
@@ -60,11 +117,6 @@ def analogy(base: DataFrame, targets: DataFrame, x: Sequence[str], y: str, weigh
         raise ValueError("features and weights must be present and not negative")
     scaled = {c: F.coalesce(F.try_divide(quoted(c).cast("double"), F.lit(float(tops[i]))), F.lit(0.0))
               * F.lit(float(weights[c])) for i, c in enumerate(x)}
-    grid_cols = sorted(range(len(x)), key=lambda i: -weights[x[i]])[:_GRID_COLUMNS]
-    g = len(grid_cols)
-    width = max(max(float(weights[c]) for c in x), 1e-12)
-    deepest = max(0, min(20, math.ceil(math.log2(max(n_base, 1)) / g) + 1))
-
     vecs = [f"_v{i}" for i in range(len(x))]
     known = base.select(*[scaled[c].alias(v) for c, v in zip(x, vecs)],
                         quoted(order_by).alias("_ord"), quoted(y).cast("double").alias("_y"))
@@ -75,60 +127,44 @@ def analogy(base: DataFrame, targets: DataFrame, x: Sequence[str], y: str, weigh
                             *[scaled[c].alias(f"_u{i}") for i, c in enumerate(x)]).distinct()
     aims = [f"_u{i}" for i in range(len(x))]
 
-    def cell(level: Column, value: Column) -> Column:
-        last = F.pow(F.lit(2.0), level) - 1
-        share = F.greatest(F.least(value / F.lit(width), F.lit(1.0)), F.lit(0.0))
-        return F.least(F.floor(share * F.pow(F.lit(2.0), level)), last).cast("long")
-
-    cells = [f"_c{k}" for k in range(g)]
-    every_level = F.explode(F.sequence(F.lit(0), F.lit(deepest))).alias("_level")
-
-    def placed(df: DataFrame, values: Sequence[str]) -> DataFrame:
-        spread = df.select("*", every_level)
-        return spread.select("*", *[cell(F.col("_level"), F.col(values[i])).alias(cells[k])
-                                    for k, i in enumerate(grid_cols)])
-
-    sites = placed(known, vecs)
-    # Any three rows of a cell bound the third-best similarity from below.
-    pick = Window.partitionBy("_level", *cells).orderBy("_ord")
-    few = sites.withColumn("_r", F.row_number().over(pick)).where("_r <= 3")
-    reps = few.groupBy("_level", *cells).agg(F.collect_list(F.struct(*vecs)).alias("_reps"))
-    reps = reps.where(F.size("_reps") >= min(3, n_base))
-    tries = placed(wanted, aims)
-    coarse = int(math.log2(_SMALL_LEVEL_CELLS)) // g
-
-    def bounded(t: DataFrame, r: DataFrame) -> DataFrame:
-        j = t.join(r, ["_level", *cells])
-        sims = F.transform("_reps", lambda s: _similarity([F.col(u) for u in aims], [s[v] for v in vecs]))
-        return j.select(*[c for c in wanted.columns], F.array_min(sims).alias("_tau"))
-
-    # Coarse levels have a fixed number of cells, whatever the data.
-    found = bounded(tries.where(F.col("_level") <= coarse), F.broadcast(reps.where(F.col("_level") <= coarse)))
-    if deepest > coarse:
-        found = found.unionByName(bounded(tries.where(F.col("_level") > coarse),
-                                          reps.where(F.col("_level") > coarse)))
-    bound = found.groupBy(*wanted.columns).agg(F.max("_tau").alias("_tau"))
-    # Rounding may lift a row by half a unit of the last digit.
-    slack = F.greatest(F.col("_tau") - 10.0**-_DIGITS, F.lit(0.0))
-    reach = F.coalesce(F.try_divide(_total([F.col(u) for u in aims]) * (1 - slack), slack), F.lit(math.inf))
-    aimed = bound.withColumn("_tau", slack).withColumn("_reach", reach * (1 + 1e-9) + 1e-12)
-    fit_level = F.floor(F.log2(F.lit(width) / F.least(F.col("_reach"), F.lit(width)))).cast("int")
-    aimed = aimed.withColumn("_level", F.least(fit_level, F.lit(deepest)))
-    for k, i in enumerate(grid_cols):
-        lo = cell(F.col("_level"), F.col(aims[i]) - F.col("_reach"))
-        hi = cell(F.col("_level"), F.least(F.col(aims[i]) + F.col("_reach"), F.lit(width)))
-        aimed = aimed.withColumn(cells[k], F.explode(F.sequence(lo, hi)))
-    pairs = aimed.join(sites, ["_level", *cells])
-    sim = _similarity([F.col(u) for u in aims], [F.col(v) for v in vecs])
-    pairs = pairs.withColumn("_exact", sim).where("_exact >= _tau").withColumn("_sim", F.round("_exact", _DIGITS))
+    wanted = stable(wanted.withColumn("_tid", F.monotonically_increasing_id()))
+    # Near rows share a block: order by coarse steps of the features, the heaviest first.
+    heavy = sorted(range(len(x)), key=lambda i: -weights[x[i]])
+    near = [F.floor(F.col(vecs[i]) / F.lit(max(float(weights[x[i]]), 1e-12)) * 8) for i in heavy]
+    blocks = stable(row_index(known, [*near, *vecs, "_ord"], name="_at").withColumn("_block", F.floor((F.col("_at") - 1) / BLOCK_ROWS)))
+    sure = np.array([list(r) for r in blocks.orderBy(F.xxhash64(*vecs), "_at").limit(SURE_ROWS).select(*vecs).collect()], dtype=float)
+    found = _routed(wanted, blocks, sure, vecs, aims)
+    copies = max(1, -(-wanted.count() // SLICE_ROWS))
+    shared = blocks.withColumn("_slice", F.explode(F.sequence(F.lit(0), F.lit(copies - 1))))
+    types = {f.name: f.dataType.simpleString() for f in blocks.schema.fields}
+
+    def best_of_block(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        names = ["_tid", "_sim", "_ord", "_y"]
+        if left.empty or right.empty:
+            return pd.DataFrame(columns=names)
+        right = right.sort_values("_ord", kind="stable")  # earlier rows first, so they win ties
+        u, v, out = left[aims].to_numpy(float), right[vecs].to_numpy(float), []
+        for start in range(0, len(u), 256):
+            sim = np.floor(_similarities(u[start:start + 256], v) * 10**_DIGITS + 0.5) / 10**_DIGITS
+            top = np.argsort(-sim, axis=1, kind="stable")[:, :3]
+            part = right.iloc[top.ravel()]
+            ids = np.repeat(left["_tid"].to_numpy()[start:start + 256], top.shape[1])
+            out.append(pd.DataFrame({"_tid": ids, "_sim": np.take_along_axis(sim, top, 1).ravel(),
+                                     "_ord": part["_ord"].to_numpy(), "_y": part["_y"].to_numpy()}))
+        return pd.concat(out)
+
+    routed = found.withColumn("_slice", (F.col("_tid") % copies).cast("int"))
+    best_rows = routed.groupBy("_block", "_slice").cogroup(shared.groupBy("_block", "_slice")).applyInPandas(
+        best_of_block, f"_tid long, _sim double, _ord {types['_ord']}, _y double")
     keys = [f"_t_{c}" for c in x]
-    best = Window.partitionBy(*keys).orderBy(F.col("_sim").desc(), "_ord")
-    top = pairs.withColumn("_r", F.row_number().over(best)).where("_r <= 3")
+    best = Window.partitionBy("_tid").orderBy(F.col("_sim").desc(), "_ord")
+    top = best_rows.withColumn("_r", F.row_number().over(best)).where("_r <= 3")
 
     def at(rank: int, name: str) -> Column:
         return F.max(F.when(F.col("_r") == rank, F.col(name)))
 
-    chosen = top.groupBy(*keys).agg(*[at(k, c).alias(f"{c}{k}") for k in (1, 2, 3) for c in ("_sim", "_y")])
+    chosen = top.groupBy("_tid").agg(*[at(k, c).alias(f"{c}{k}") for k in (1, 2, 3) for c in ("_sim", "_y")]).join(
+        wanted.select("_tid", *keys), "_tid")
     b = {k: F.col(f"_sim{k}") for k in (1, 2, 3)}
     e = {k: F.col(f"_y{k}") for k in (1, 2, 3)}
     one = b[1] * e[1]

@@ -79,3 +79,38 @@ def test_negative_features_are_refused(spark):
 def test_weights_are_shares(spark):
     df = spark.createDataFrame([(1.0, 3.0), (2.0, 4.0)], "a double, b double")
     assert analogy_weights(df, ["a", "b"]) == {"a": 0.3, "b": 0.7}
+
+
+@pytest.mark.parametrize("features", [1, 10])
+def test_blocks_are_exact_and_few(spark, monkeypatch, features):
+    from tablewright.operators import analogy as module
+
+    monkeypatch.setattr(module, "BLOCK_ROWS", 40)
+    monkeypatch.setattr(module, "SLICE_ROWS", 30)
+    monkeypatch.setattr(module, "BOXES", 3)
+    routed = []
+    plain = module._routed
+
+    def counted(*args):
+        out = plain(*args)
+        routed.append(out.count())
+        return out
+
+    monkeypatch.setattr(module, "_routed", counted)
+    rng = np.random.default_rng(features)
+    names = [f"f{i}" for i in range(features)]
+    base, aims = rng.random((400, features)).round(3), rng.random((70, features)).round(3)
+    known = spark.createDataFrame([(*map(float, r), i, float(i)) for i, r in enumerate(base)], [*names, "id", "y"])
+    wanted = spark.createDataFrame([(*map(float, r), 1_000 + i, None) for i, r in enumerate(aims)], ", ".join([*(f"{n} double" for n in names), "id long", "y double"]))
+    weights = dict.fromkeys(names, 1 / features)
+    got = {r.id: r.y for r in module.analogy(known, wanted, names, "y", weights, order_by="id").collect()}
+    top = np.maximum(base.max(axis=0), aims.max(axis=0))
+    for i, t in enumerate(aims):
+        a, b = t / top / features, base / top / features
+        sim = np.floor(np.minimum(a, b).sum(1) / np.maximum(a, b).sum(1) * 1e5 + 0.5) / 1e5
+        k = np.lexsort((np.arange(400), -sim))[:3]
+        s, y = sim[k], k.astype(float)
+        want = s[0] * y[0] + (1 - s[0]) * s[1] * y[1] + (1 - s[0]) * (1 - s[1]) * (s[2] * y[2] + (1 - s[2]) * y.sum() / 3)
+        assert got[1_000 + i] == pytest.approx(want, rel=1e-9)
+    # rows sent on are targets by blocks, never targets by known rows
+    assert routed[0] <= 70 * 10 and (features > 1 or routed[0] < 70 * 5)
