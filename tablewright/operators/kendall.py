@@ -1,9 +1,9 @@
 """Kendall tau-b correlation without enumerating pairs of rows.
 
-Only the number of discordant pairs is hard. Each column is cut at quantiles
-into blocks; every cut value is a block of its own, so values shared by many
-rows never land in a block that has to be counted row by row. Discordant pairs
-then fall into three disjoint kinds:
+Only the number of discordant pairs is hard. The distinct values of each column,
+with the rows up to each, are cut into blocks of about equal rows; a value shared by
+more rows than that is a block of its own, so it never lands in a block that has to
+be counted row by row. Discordant pairs then fall into three disjoint kinds:
 
 * same block of ``a``: counted inside that block;
 * other block of ``a``, same block of ``b``: counted inside the ``b`` block with
@@ -24,7 +24,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tablewright.core.session import hold
+from tablewright.core.layout import running_sum
+from tablewright.core.session import hold, stable
 from tablewright.core.types import quoted, require_numeric
 
 BLOCK_ROWS = 500_000
@@ -54,32 +55,16 @@ def discordant(a: np.ndarray, b: np.ndarray, w: np.ndarray) -> float:
     return total
 
 
-def _cut_values(df: DataFrame, columns: Sequence[str], blocks: int) -> dict[str, list[float]]:
-    """Distinct quantiles per column; their number is rows / block size."""
-    if blocks < 2:
-        return {c: [] for c in columns}
-    probs = F.lit([i / blocks for i in range(1, blocks)])
-    accuracy = F.lit(max(10_000, 20 * blocks))
-    row = df.agg(*[F.percentile_approx(quoted(c), probs, accuracy) for c in columns]).first()
-    return {c: sorted(set(row[i] or [])) for i, c in enumerate(columns)}
+def _blocks(values: DataFrame, columns: Sequence[str], block_rows: int) -> DataFrame:
+    """(kind, v, block) of each distinct value of each column; blocks rise with the value.
 
-
-def _block_udf(cuts: list[list[float]]):
-    arrays = [np.array(c, dtype=float) for c in cuts]
-
-    @F.pandas_udf("long")
-    def block(which: pd.Series, value: pd.Series) -> pd.Series:
-        # even number: open interval between cuts; odd number: exactly a cut value
-        out = np.zeros(len(value), dtype=np.int64)
-        kind, x = which.to_numpy(), value.to_numpy()
-        for k in np.unique(kind):
-            m = kind == k
-            lo = np.searchsorted(arrays[k], x[m], side="left")
-            hi = np.searchsorted(arrays[k], x[m], side="right")
-            out[m] = lo + hi
-        return pd.Series(out)
-
-    return block
+    An even number is an interval of less than two blocks' rows, an odd one a single value.
+    """
+    cells = values.select(F.inline(F.array(*[F.struct(F.lit(k).alias("kind"), (quoted(c) + 0.0).alias("v")) for k, c in enumerate(columns)])))
+    counts = cells.where("v is not null and not isnan(v)").groupBy("kind", "v").agg(F.count(F.lit(1)).alias("rows"))
+    upto = running_sum(counts, {"upto": "rows"}, "v", by="kind")
+    alone = F.when(F.col("rows") >= block_rows, 1).otherwise(0)
+    return upto.select("kind", "v", (2 * F.floor((F.col("upto") - F.col("rows")) / block_rows) + alone).alias("block"))
 
 
 def _inside(cells: DataFrame, block: str, a: str) -> DataFrame:
@@ -130,7 +115,7 @@ def kendall_pairs(df: DataFrame, columns: Sequence[str], block_rows: int = BLOCK
     columns = list(columns)
     require_numeric(df, columns)
     values = df.select(*[quoted(c).cast("double").alias(c) for c in columns])
-    cuts = _cut_values(values, columns, -(-values.count() // block_rows))
+    blocks = stable(_blocks(values, columns, block_rows))
     pairs = list(combinations(range(len(columns)), 2))
     wide = F.explode(F.array(*[
         F.struct(F.lit(k).alias("pair"), quoted(columns[i]).alias("a"), quoted(columns[j]).alias("b"))
@@ -141,13 +126,13 @@ def kendall_pairs(df: DataFrame, columns: Sequence[str], block_rows: int = BLOCK
     # -0.0 and 0.0 group together after adding 0.0
     cells = kept.groupBy("pair", (F.col("a") + 0.0).alias("a"), (F.col("b") + 0.0).alias("b")).agg(
         F.count(F.lit(1)).cast("double").alias("w"))
-    block = _block_udf([cuts[c] for c in columns])
     side_a = F.element_at(F.lit([i for i, _ in pairs]), F.col("pair") + 1)
     side_b = F.element_at(F.lit([j for _, j in pairs]), F.col("pair") + 1)
-    cells = hold(cells.withColumns({
-        "block_a": block(side_a, F.col("a")), "block_b": block(side_b, F.col("b")),
-    }))
-    most = max(2 * len(c) + 1 for c in cuts.values())
+    for name, side in (("a", side_a), ("b", side_b)):
+        of = blocks.select(F.col("kind").alias("_kind"), F.col("v").alias("_v"), F.col("block").alias(f"block_{name}"))
+        cells = cells.join(of, (side == F.col("_kind")) & (F.col(name) == F.col("_v"))).drop("_kind", "_v")
+    cells = hold(cells)
+    most = 1 + (blocks.agg(F.max("block")).first()[0] or 0)
     by_b = cells.groupBy("pair", "block_a", "block_b", "b").agg(F.sum("w").alias("w"))
     parts = [_term(_inside(cells, "block_a", "a"), "d", F.col("d"))]
     if most > 1:
