@@ -5,7 +5,9 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -59,6 +61,13 @@ def release() -> None:
 atexit.register(release)
 
 
+def sliced(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
+    """The same rows in small batches, so that what a task makes of whole texts stays small too."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, rows):
+            yield batch.slice(start, rows)
+
+
 def wrapped(df: DataFrame, **extra) -> DataFrame:
     """All columns as one struct ``row`` beside helper columns, so that no name can clash."""
     return df.select(F.struct(*[df[c] for c in df.columns]).alias("row"), *[e.alias(k) for k, e in extra.items()])

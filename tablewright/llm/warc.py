@@ -27,7 +27,7 @@ from urllib.parse import urlsplit
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from tablewright.llm.shared import filesystem, new_folder, stage
+from tablewright.llm.shared import filesystem, new_folder, sliced, stage
 
 LEAST = 100
 BLOCK_LINES = 256
@@ -115,7 +115,7 @@ def write_archives(pages: DataFrame, folder: str, least: int = LEAST, level: int
         store.create_dir(path, recursive=True)
         out, name, place = None, "", 0
         try:
-            for batch in batches:
+            for batch in sliced(batches):
                 made = []
                 for page_id, url, body, digest, best in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                     if out is None or place >= archive_bytes:
@@ -243,6 +243,8 @@ def scan_archives(captures: DataFrame, folder: str) -> DataFrame:
     """Every record read back from the archives, in ranges of about 16 MB of one archive a row."""
     ranges = captures.groupBy("file", F.floor(F.col("at") / RANGE_BYTES).alias("part")).agg(F.min("at").alias("at"), F.max(F.col("at") + F.col("bytes")).alias("end"))
     schema = T._parse_datatype_string(_READ)
+    ranges = stage(ranges, "ranges")  # a few numbers for each 16 MB; dealt one by one, whatever their own size
+    ranges = ranges.repartition(min(max(1, ranges.count()), 20_000))
 
     def run(batches):
         store, path = filesystem(folder)
