@@ -96,6 +96,22 @@ def _(t):
     return _line(t, model, digits=2)
 
 
+# Without a margin the best intercept for a slope is a median, and the objective is convex in the slope.
+@query("m04_svr_objective", """
+WITH d AS (SELECT p_size::DOUBLE AS x, p_retailprice AS y FROM part),
+a AS (SELECT w, median(y - w * x) AS b FROM d, (SELECT s / 10.0 AS w FROM range(-500, 501) r(s)) GROUP BY 1),
+f AS (SELECT w, 0.5 * w * w + sum(abs(y - w * x - b)) AS f FROM d, a GROUP BY 1),
+g AS (SELECT arg_min(w, f) AS w0 FROM f),
+a1 AS (SELECT w, median(y - w * x) AS b FROM d, (SELECT w0 + s / 1000.0 AS w FROM g, range(-150, 151) r(s)) GROUP BY 1),
+f1 AS (SELECT w, 0.5 * w * w + sum(abs(y - w * x - b)) AS f FROM d, a1 GROUP BY 1)
+SELECT (SELECT count(*) FROM d) AS n, round(min(f) / (SELECT count(*) FROM d), 1) AS objective FROM f1""")
+def _(t):
+    src = t("part").selectExpr("double(p_size) x", "p_retailprice y")
+    model = reg.fit_svr(src, ["x"], "y", C=1.0, epsilon=0.0, tol=1e-4)
+    return model.predict(src, "p").agg(F.count(F.lit(1)).alias("n"), F.sum(F.abs(F.col("y") - F.col("p"))).alias("lost")).select(
+        "n", F.round((F.col("lost") + 0.5 * float(model.coef[0]) ** 2) / F.col("n"), 1).alias("objective"))
+
+
 def _scores(t, model, y=Y):
     done = model.predict(t("lineitem", "l_quantity", "l_discount", "l_tax", "l_extendedprice"))
     return evaluate.regression_evaluate(done, y, "prediction", ["r2", "rmse"]).withColumn("value", F.round("value", 3))
