@@ -24,9 +24,11 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F, types as T
 
+from tablewright.llm.shared import sliced
+
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or 48 <= c <= 57 or c >= 128 else 32 for c in range(256))
 _STEP = np.uint64(0x9E3779B97F4A7C15)
-_WORDS_KEPT = 500_000
+_WORDS_KEPT = 300_000
 _TOP = 18
 
 
@@ -158,7 +160,7 @@ def contaminated(docs: DataFrame, items: DataFrame, size: int = 5, threshold: fl
 def _search(block, size: int, threshold: float, schema: T.StructType):
     def run(batches):
         index, hasher = Block(block.value, size, threshold), Hasher()
-        for batch in batches:
+        for batch in sliced(batches):
             at, found = [], []
             for k, text in enumerate(batch.column(1).to_pylist()):
                 for hit in index.search(words_of(text), hasher):
@@ -179,7 +181,7 @@ def keep_uncontaminated(docs: DataFrame, items: DataFrame, size: int = 5, thresh
     def kept(block):
         def run(batches):
             index, hasher = Block(block.value, size, threshold), Hasher()
-            for batch in batches:
+            for batch in sliced(batches):
                 clean = [next(index.search(words_of(t), hasher), None) is None for t in batch.column(at).cast(pa.binary()).to_pylist()]
                 yield batch.filter(pa.array(clean, pa.bool_()))
 

@@ -28,10 +28,10 @@ import pyarrow as pa
 import tiktoken
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
-from tablewright.llm.shared import stage
+from tablewright.llm.shared import sliced, stage
 
 END_ID = 1
-_WORDS_KEPT = 800_000
+_WORDS_KEPT = 500_000
 _SPACES = " \n\t\r"
 _DROP = {ord(c): None for c in _SPACES}
 _LATIN = re.compile("[\x00-\u024f]*").fullmatch
@@ -247,7 +247,7 @@ def token_table(docs: DataFrame, path: str, window: int, end_id: int = END_ID) -
     def run(batches):
         encode = Encoder(path)
         end = np.array([end_id], encode.type)
-        for batch in batches:
+        for batch in sliced(batches):
             ids = [np.concatenate([encode(t or ""), end]) for t in batch.column(2).to_pylist()]
             crcs = [[zlib.crc32(x[s:s + window].astype("<u4")) for s in range(0, len(x), window)] for x in ids]
             yield pa.RecordBatch.from_arrays(
@@ -337,7 +337,7 @@ def _pieces(tokens: DataFrame, window: int) -> DataFrame:
     columns = final.columns
 
     def sums(batches):
-        for batch in batches:
+        for batch in sliced(batches):
             get = {k: batch.column(k) for k in batch.schema.names}
             crc = []
             for raw, n, start, size in zip(*(get[k].to_pylist() for k in ("ids", "ids_n", "start", "length")), strict=True):

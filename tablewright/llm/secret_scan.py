@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from tablewright.llm.shared import stage
+from tablewright.llm.shared import sliced, stage
 
 KINDS = ("assign", "access", "hex", "random")
 # The patterns.
@@ -176,7 +176,7 @@ def find(docs: DataFrame, rate: float = 0.05) -> DataFrame:
 
     def scan(batches):
         nested = pa.list_(pa.list_(pa.int64()))
-        for batch in batches:
+        for batch in sliced(batches):
             base, maybe, decoys = [], [], []
             for text in batch.column(1).to_pylist():
                 text = text or ""

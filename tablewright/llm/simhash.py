@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from tablewright.llm.components import components
-from tablewright.llm.shared import stage
+from tablewright.llm.shared import sliced, stage
 
 SEGMENTS = 16
 CROWD = 8
@@ -49,7 +49,7 @@ def fingerprint(text: bytes | None, size: int = 3, seed: int = 42) -> int:
 def fingerprints(docs: DataFrame, size: int = 3) -> DataFrame:
     """``doc_id, fp`` (the bits as a signed long) of every row."""
     def run(batches):
-        for batch in batches:
+        for batch in sliced(batches):
             fps = np.array([fingerprint(t, size) for t in batch.column(1).to_pylist()], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps)], names=["doc_id", "fp"])
 
