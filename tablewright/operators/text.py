@@ -91,7 +91,8 @@ def cut_word(df: DataFrame, col: str, dictionary: Mapping[str, float] | None = N
 
 def token_counts(df: DataFrame, id: str, col: str, dictionary: Mapping[str, float] | None = None) -> DataFrame:
     """(id, word, n) per document."""
-    words = df.select(quoted(id), F.explode(tokens(quoted(col).cast("string"), dictionary)).alias("word"))
+    # Dealt by id once: cutting is spread evenly, and the counts need no further shuffle.
+    words = df.select(quoted(id), quoted(col)).repartition(quoted(id)).select(quoted(id), F.explode(tokens(quoted(col).cast("string"), dictionary)).alias("word"))
     return words.groupBy(id, "word").agg(F.count(F.lit(1)).alias("n"))
 
 
