@@ -11,7 +11,9 @@ again; nothing but the matches changes.
 
 Defined results: a null text stays null with no finds; what fails its kind's check (a card
 number's check digit, an account number's remainder, a calendar date, an address part over
-255) stays as it is; overlapping kinds: the first in the order of ``KINDS``.
+255, a social security number outside the ranges given out) stays as it is; phone numbers and
+e-mail addresses have no check but their form; overlapping kinds: the first in the order of
+``KINDS``.
 """
 
 from __future__ import annotations
@@ -113,19 +115,7 @@ def _card(m, key, back) -> Column:
         body = permuted_digits(F.substring(d, F.lit(1), F.length(d) - 1), key, F.lit("card"), back)
         return _with(body, lambda b: F.concat(b, ((F.lit(10) - luhn_sum(F.concat(b, F.lit("0"))) % 10) % 10).cast("string")))
 
-    # Long numbers without a right check digit are permuted whole.
-    return _with(_digits_of(m), lambda d: _refill(m, F.when(luhn_sum(d) % 10 == 0, new(d)).otherwise(
-        _other_number(d, key, back))))
-
-
-def _other_number(d, key, back) -> Column:
-    """Permute digits so that a number without a right check digit stays one: the amount it is off by is kept."""
-    def new(body):
-        off = (luhn_sum(d) % 10).cast("int")
-        return _with(permuted_digits(body, key, F.lit("number"), back),
-                     lambda b: F.concat(b, ((off + 10 - luhn_sum(F.concat(b, F.lit("0"))) % 10) % 10).cast("string")))
-
-    return _with(F.substring(d, F.lit(1), F.length(d) - 1), new)
+    return _with(_digits_of(m), lambda d: F.when(luhn_sum(d) % 10 == 0, _refill(m, new(d))).otherwise(m))
 
 
 def _iban(m, key, back) -> Column:
@@ -175,6 +165,20 @@ def _plain(label: str):
     return lambda m, key, back: _with(_digits_of(m), lambda d: _refill(m, permuted_digits(d, key, F.lit(label), back)))
 
 
+def _ssn(m, key, back) -> Column:
+    """Area 001 to 899 without 666, group from 01, serial from 0001; valid numbers go to valid ones."""
+    parts = F.transform(F.split(m, "-"), lambda p: p.cast("int"))
+    area, group, serial = parts[0], parts[1], parts[2]
+    valid = area.between(1, 899) & (area != 666) & (group > 0) & (serial > 0)
+    moved = feistel(F.when(area > 666, area - 2).otherwise(area - 1), (group - 1) * 9_999 + serial - 1, F.lit(898), F.lit(99 * 9_999), key, F.lit("ssn"), back)
+
+    def written(r):
+        new = F.when(r["a"] >= 665, r["a"] + 2).otherwise(r["a"] + 1), F.floor(r["b"] / 9_999) + 1, r["b"] % 9_999 + 1
+        return F.concat_ws("-", *[F.lpad(v.cast("int").cast("string"), n, "0") for v, n in zip(new, (3, 2, 4), strict=True)])
+
+    return F.when(valid, _with(moved, written)).otherwise(m)
+
+
 def _phone(m, key, back) -> Column:
     """The country code stays; the other digits are permuted."""
     code = F.regexp_extract(m, r"^\+\d{1,3}(?=[ .(-])", 0)
@@ -209,7 +213,7 @@ def _email(m, key, back) -> Column:
     return _with(moved, lambda r: F.concat(r["a"], r["b"], F.lit("@"), domain))
 
 
-_MOVERS = {"email": _email, "iban": _iban, "date": _date, "address": _address, "ssn": _plain("ssn"), "phone": _phone, "card": _card}
+_MOVERS = {"email": _email, "iban": _iban, "date": _date, "address": _address, "ssn": _ssn, "phone": _phone, "card": _card}
 
 
 def kind_of(m) -> Column:

@@ -73,3 +73,16 @@ def test_permutation_of_short_numbers(spark):
 
 def test_empty(spark):
     assert P.protect(spark.createDataFrame([], "doc_id long, text string"), "k").count() == 0
+
+
+def test_numbers_that_fail_their_check_stay(spark):
+    bad = ["order 1718000000123 of", "x 2123465659789240 y", "4111 1111 1111 1112", "000-12-3456 666-12-3456 900-12-3456 123-00-4567 123-45-0000"]
+    good = [f"{a:03d}-{g:02d}-{n:04d}" for a, g, n in ((1, 1, 1), (665, 99, 9999), (667, 5, 1120), (899, 99, 9999), (78, 5, 1120))]
+    df = spark.createDataFrame(list(enumerate(bad + good)), "doc_id long, text string")
+    out = P.protect(df, "key").cache()
+    new = [r for r in out.orderBy("doc_id").collect()]
+    assert [r.text for r in new[:4]] == bad and not any(r.found for r in new[:4])
+    for was, r in zip(good, new[4:], strict=True):
+        area, group, serial = map(int, re.fullmatch(r"(\d{3})-(\d{2})-(\d{4})", r.text).groups())
+        assert r.text != was and 0 < area < 900 and area != 666 and group and serial
+    assert [r.text for r in P.protect(out.drop("found"), "key", back=True).orderBy("doc_id").collect()] == bad + good
