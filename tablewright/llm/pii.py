@@ -13,7 +13,8 @@ Defined results: a null text stays null with no finds; what fails its kind's che
 number's check digit, an account number's remainder, a calendar date, an address part over
 255, a social security number outside the ranges given out) stays as it is; phone numbers and
 e-mail addresses have no check but their form; overlapping kinds: the first in the order of
-``KINDS``.
+``KINDS``. An account number has the length of its country. Where digits follow a card number,
+the ending that passes the check counts, and the rest of the match stays.
 """
 
 from __future__ import annotations
@@ -26,15 +27,32 @@ from tablewright.llm.shared import wrapped
 # Every match begins where no letter or digit stands before, and holds a digit or an @.
 _EDGE = r"(?<![\p{L}\p{N}])"
 _AFTER = r"(?![\p{L}\p{N}])"
+#: Countries by the length of their account numbers: those of the IBAN registry, and others in use.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK|FI|FK|FO|GL|NL|SD", 19: "MK|SI", 20: "AT|BA|EE|KZ|LT|LU|MN|XK", 21: "CH|HR|LI|LV",
+    22: "BG|BH|CR|DE|GB|GE|IE|ME|RS|VA", 23: "AE|GI|IL|IQ|OM|SO|TL", 24: "AD|CZ|ES|MD|PK|RO|SA|SE|SK|TN|VG", 25: "AO|CV|GW|LY|MZ|PT|ST",
+    26: "DZ|IR|IS|TR", 27: "BI|CF|CG|CM|DJ|FR|GA|GQ|GR|IT|KM|MC|MG|MR|SM|TD", 28: "AL|AZ|BF|BJ|BY|CI|CY|DO|GT|HN|HU|LB|MA|ML|NE|NI|PL|SN|SV|TG",
+    29: "BR|EG|PS|QA|UA", 30: "JO|KW|MU|YE", 31: "MT|SC", 32: "LC", 33: "RU",
+}
+
+
+def _iban_form(length: int, codes: str) -> str:
+    fours, rest = divmod(length - 4, 4)
+    return rf"(?:{codes})\d{{2}}(?: ?[A-Z0-9]{{4}}){{{fours}}}" + (f" ?[A-Z0-9]{{{rest}}}" if rest else "")
+
+
+# A card number stops before digits that go on as a date, a phone or another number, where it can, and
+# a short number before one in four groups of four is not part of it.
+_CARD = r"(?!\d{1,3}[ -](?:\d{1,3}[ -])*\d{4}(?:[ -]?\d{4}){3}(?![\p{L}\p{N}]))\d(?:[ -]?\d){12,18}"
 KINDS = (
     ("email", r"[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63})+"),
-    ("iban", r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?" + _AFTER),
+    ("iban", "(?:" + "|".join(_iban_form(n, codes) for n, codes in IBAN_LENGTHS.items()) + ")" + _AFTER),
     ("date", r"(?:\d{4}-\d{2}-\d{2}|\d{1,2}[./]\d{1,2}[./]\d{4})" + _AFTER),
     ("address", r"(?<!\.)\d{1,3}(?:\.\d{1,3}){3}(?!\.?[\p{L}\p{N}])"),
     ("ssn", r"\d{3}-\d{2}-\d{4}" + _AFTER),
     ("phone", r"\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}" + _AFTER
      + r"|\(\d{3}\) ?\d{3}[ .-]\d{4}" + _AFTER + r"|\d{3}[.-]\d{3}[.-]\d{4}" + _AFTER),
-    ("card", r"\d(?:[ -]?\d){12,18}" + _AFTER),
+    ("card", _CARD + r"(?![\p{L}\p{N}]|[./-]\d)|" + _CARD + _AFTER),
 )
 PATTERN = _EDGE + "(?:" + "|".join(f"(?:{p})" for _, p in KINDS) + ")"
 ROUNDS = 10
@@ -110,12 +128,51 @@ def _with(value, fn) -> Column:
     return F.transform(F.array(value), fn)[0]
 
 
+CARD_WALK = 24
+
+
+def _card_counts(m) -> Column:
+    """Numbers of leading digits of the match that may be a card, in the order in which they are tried.
+
+    Sixteen in four groups of four come first, then the whole match, then shorter ones that end at a separator.
+    """
+    whole = F.length(_digits_of(m))
+    fours = F.when(m.rlike(r"^\d{4}(?:[ -]?\d{4}){3}[ -]"), F.lit(16))
+    ends = [F.when(m.rlike(rf"^\d(?:[ -]?\d){{{n - 1}}}[ -]"), F.lit(n)) for n in range(18, 12, -1)]
+    return F.array_distinct(F.array_compact(F.array(fours, whole, *ends)))
+
+
+def _card_count(digits, counts) -> Column:
+    """The first of ``counts`` whose digits pass the check; null if none does."""
+    return F.get(F.filter(counts, lambda n: luhn_sum(F.substring(digits, F.lit(1), n)) % 10 == 0), F.lit(0))
+
+
+def _card_tail(m) -> Column:
+    """What follows the card in the match."""
+    def tail(n):
+        return F.coalesce(*[F.when(n == k, F.regexp_replace(m, rf"^\d(?:[ -]?\d){{{k - 1}}}", "")) for k in range(13, 20)], F.lit(""))
+
+    return _with(_card_count(_digits_of(m), _card_counts(m)), tail)
+
+
 def _card(m, key, back) -> Column:
-    def new(d):
-        body = permuted_digits(F.substring(d, F.lit(1), F.length(d) - 1), key, F.lit("card"), back)
-        return _with(body, lambda b: F.concat(b, ((F.lit(10) - luhn_sum(F.concat(b, F.lit("0"))) % 10) % 10).cast("string")))
+    def checked(b):
+        return F.concat(b, ((F.lit(10) - luhn_sum(F.concat(b, F.lit("0"))) % 10) % 10).cast("string"))
 
-    return _with(_digits_of(m), lambda d: F.when(luhn_sum(d) % 10 == 0, _refill(m, new(d))).otherwise(m))
+    def new(d, counts, n):
+        # The step is repeated while another of the counts would be taken for the new digits, so that undoing cuts at the same place.
+        rest = F.substring(d, n + 1, F.length(d))
+
+        def step(s, _):
+            moved = _with(permuted_digits(F.substring(s["d"], F.lit(1), n - 1), key, F.lit("card"), back), checked)
+            return F.when(s["done"], s).otherwise(_with(moved, lambda x: F.struct(
+                x.alias("d"), F.coalesce(_card_count(F.concat(x, rest), counts) == n, F.lit(False)).alias("done"))))
+
+        start = F.struct(F.substring(d, F.lit(1), n).alias("d"), F.lit(False).alias("done"))
+        return F.aggregate(F.sequence(F.lit(1), F.lit(CARD_WALK)), start, step, lambda s: F.concat(s["d"], rest))
+
+    return _with(F.struct(_digits_of(m).alias("d"), _card_counts(m).alias("counts")), lambda c: _with(
+        _card_count(c["d"], c["counts"]), lambda n: F.when(n.isNotNull(), _refill(m, new(c["d"], c["counts"], n))).otherwise(m)))
 
 
 def _iban(m, key, back) -> Column:
@@ -244,11 +301,17 @@ def protect(docs: DataFrame, key: str, back: bool = False) -> DataFrame:
     """
     text = F.when(docs["text"].rlike("[0-9@]"), docs["text"])  # no kind matches without
     rows = wrapped(docs, matches=F.regexp_extract_all(text, F.lit(PATTERN), 0), pieces=F.split(text, PATTERN, -1))
-    new = F.transform("matches", lambda m: F.struct(kind_of(m).alias("kind"), pseudonym(m, key, back).alias("value"), m.alias("was")))
+    def cut(m, kind):
+        """The new value without what only follows it in the match."""
+        tail = F.when(kind == "card", _card_tail(m)).otherwise("")
+        return _with(F.struct(pseudonym(m, key, back).alias("all"), tail.alias("tail")), lambda p: F.struct(
+            kind.alias("kind"), F.substring(p["all"], F.lit(1), F.length(p["all"]) - F.length(p["tail"])).alias("value"), p["tail"].alias("tail"), (p["all"] != m).alias("moved")))
+
+    new = F.transform("matches", lambda m: _with(kind_of(m), lambda kind: cut(m, kind)))
     rows = rows.select("row", "pieces", new.alias("new"))
-    joined = F.concat(F.col("pieces")[0], F.array_join(F.zip_with("new", F.slice("pieces", F.lit(2), F.size("pieces")), lambda a, b: F.concat(a["value"], b)), ""))
+    joined = F.concat(F.col("pieces")[0], F.array_join(F.zip_with("new", F.slice("pieces", F.lit(2), F.size("pieces")), lambda a, b: F.concat(a["value"], a["tail"], b)), ""))
     out = F.when(F.size("new") > 0, joined).otherwise(F.col("row.text"))
-    found = F.transform(F.filter(F.coalesce("new", F.array()), lambda a: a["value"] != a["was"]), lambda a: F.struct(a["kind"], a["value"]))
+    found = F.transform(F.filter(F.coalesce("new", F.array()), lambda a: a["moved"]), lambda a: F.struct(a["kind"], a["value"]))
     name = "found"
     while name.lower() in {c.lower() for c in docs.columns}:
         name += "_"

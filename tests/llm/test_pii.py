@@ -86,3 +86,45 @@ def test_numbers_that_fail_their_check_stay(spark):
         area, group, serial = map(int, re.fullmatch(r"(\d{3})-(\d{2})-(\d{4})", r.text).groups())
         assert r.text != was and 0 < area < 900 and area != 666 and group and serial
     assert [r.text for r in P.protect(out.drop("found"), "key", back=True).orderBy("doc_id").collect()] == bad + good
+
+
+def test_neighbours_are_not_swallowed(spark):
+    card = "4111 1111 1111 1111"
+    ibans = ["ES9121000418450200051332 EUR", "ES91 2100 0418 4502 0005 1332 BIC", "AT611904300234573201 BIC", "ES9121000418450200051332 GB82 WEST 1234 5698 7654 32"]
+    cards = [card, card + " 12/26", card + " 123", card + " 12.03.1985", card + " 743-555-3824", "3 " + card, "qty 3 4111111111111111 x", card + " 42 next", "4111-1111-1111-1111-12/26"]
+    texts = ibans + cards
+    out = P.protect(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "key").cache()
+    rows = out.orderBy("doc_id").collect()
+
+    def right(flat):
+        return int("".join(str(int(c, 36)) for c in flat[4:] + flat[:4])) % 97 == 1
+
+    for was, r in zip(ibans[:3], rows, strict=False):
+        head, word = was.rsplit(" ", 1)
+        assert r.text.endswith(" " + word) and len(r.text) == len(was) and not r.text.startswith(head)
+        assert [f.kind for f in r.found] == ["iban"] and r.found[0].value == r.text.removesuffix(" " + word) and right(r.found[0].value.replace(" ", ""))
+    assert [f.kind for f in rows[3].found] == ["iban", "iban"] and all(right(f.value.replace(" ", "")) for f in rows[3].found)
+    plain = rows[4].text.replace(" ", "")
+    for was, r in zip(cards, rows[4:], strict=True):
+        values = [re.sub(r"\D", "", f.value) for f in r.found if f.kind == "card"]
+        assert values == [plain], (was, r.text, r.found)
+    tails = [r.text for r in rows[4:]]
+    assert tails[1].endswith(" 12/26") and tails[2].endswith(" 123") and tails[5].startswith("3 ") and tails[6].startswith("qty 3 ") and tails[7].endswith(" 42 next") and tails[8].endswith("-12/26")
+    assert "1985" not in tails[3] and [f.kind for f in rows[7].found] == ["card", "date"] and [f.kind for f in rows[8].found] == ["card", "phone"]
+    assert [r.text for r in P.protect(out.drop("found"), "key", back=True).orderBy("doc_id").collect()] == texts
+
+
+def test_cards_with_any_tail_are_undone_and_linked(spark):
+    def made(n, body):
+        return next(f"{body:0{n - 1}d}{c}" for c in range(10) if luhn(f"{body:0{n - 1}d}{c}") == 0)
+
+    texts = []
+    for i in range(150):
+        d = made(16, 4_000_000_000_000_00 + i * 7_919)
+        four = " ".join(d[k:k + 4] for k in range(0, 16, 4))
+        e = made(15, 37_000_000_000_000 + i * 104_729)
+        texts += [four, f"{four} {i:03d}", f"{e[:4]} {e[4:10]} {e[10:]} {i % 10} {i % 7}"]
+    out = P.protect(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "key").cache()
+    rows = out.orderBy("doc_id").collect()
+    assert all(rows[k].text == rows[k + 1].text[:19] for k in range(0, len(rows), 3)) and all(r.text != t for r, t in zip(rows, texts, strict=True))
+    assert [r.text for r in P.protect(out.drop("found"), "key", back=True).orderBy("doc_id").collect()] == texts
