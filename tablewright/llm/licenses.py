@@ -1,7 +1,8 @@
 """Licence scan: a trained paragraph classifier, confirmed by comparison with templates.
 
-A paragraph is a line. Lines that hold none of the anchor words are no licence statements.
-The others are scored by a sparse logistic regression over the word n-grams of the
+A paragraph is a run of lines with letters or digits in them; comment marks count for nothing.
+Paragraphs that hold none of the anchor words are no licence statements. The others are read in
+overlapping windows of words, and line by line, and each such piece is scored by a sparse logistic regression over the word n-grams of the
 templates. It is trained, in numpy on the driver, on statements made from the templates
 (words left out, words of the corpus around and between them) and on lines of the corpus and
 statements of made-up licences, both of the class ``unknown``, from a bounded sample. The
@@ -11,6 +12,8 @@ pairs occur in the paragraph. Scoring is DataFrame functions alone: n-grams meet
 (a table of at most ``MOST_FEATURES`` rows) in a broadcast join.
 
 Defined results: null and empty texts have no paragraphs; repeated rows are reported each;
+``line`` is the first line of the paragraph, ``probability`` the family's against unknown,
+by the n-grams of its own templates;
 a paragraph below the least probability or without a confirming template is ``unknown``.
 """
 
@@ -58,6 +61,8 @@ FAMILIES = tuple(dict.fromkeys(f for f, _ in TEMPLATES))
 ANCHOR = r"(?i)licen[cs]e|permission|redistribut|copyright|public domain|creative commons|warrant|spdx"
 _WORDS = r"[^a-z0-9]+"
 SIZES = (1, 2, 3)
+#: Words of a window; each begins half a window after the one before.
+WINDOW = 64
 MOST_FEATURES = 5_000
 #: Least share of a template's word pairs.
 CONFIRM = 0.6
@@ -72,7 +77,17 @@ class LicenceModel:
     features: dict[str, int]
     weights: np.ndarray  # (features, classes); the last class is unknown
     bias: np.ndarray
-    least: float
+    least: float  # among all classes
+    least_own: float  # of one family against unknown alone
+
+    def own(self) -> np.ndarray:
+        """Weights of each family against unknown, on the n-grams of its own templates: what another statement says is left out."""
+        mask = np.zeros((len(self.features), len(FAMILIES)))
+        for family, text in TEMPLATES:
+            for g in ngrams(text.split()):
+                if g in self.features:
+                    mask[self.features[g], FAMILIES.index(family)] = 1
+        return mask * (self.weights[:, :-1] - self.weights[:, -1:])
 
 
 def _made(rng: random.Random, filler: list[str]) -> tuple[list[str], int]:
@@ -119,9 +134,12 @@ def fit(lines: list[str], *, statements: int = 1_500, steps: int = 150, false_ra
         seen_b += h * h
         w -= 0.3 * g / np.sqrt(seen_w + 1e-10)
         b -= 0.3 * h / np.sqrt(seen_b + 1e-10)
-    p = _softmax(x[held] @ w + b)[y[held] == len(FAMILIES), :-1].max(axis=1, initial=0)
-    least = float(np.quantile(p, 1 - false_rate)) if len(p) else 0.5
-    return LicenceModel(features, w, b, min(0.95, max(0.5, least)))
+    unknown = x[held][y[held] == len(FAMILIES)]
+    model = LicenceModel(features, w, b, 0.5, 0.5)
+    p, own = _softmax(unknown @ w + b)[:, :-1].max(axis=1, initial=0), 1 / (1 + np.exp(-(unknown @ model.own() + b[:-1] - b[-1]).max(axis=1, initial=-np.inf)))
+    if len(unknown):
+        model.least, model.least_own = (min(0.95, max(0.5, float(np.quantile(v, 1 - false_rate)))) for v in (p, own))
+    return model
 
 
 def _softmax(z: np.ndarray) -> np.ndarray:
@@ -141,41 +159,104 @@ def train(docs: DataFrame, sample_rows: int = 400, line_bytes: int = 2_000, **op
 
 
 def _weights(spark: SparkSession, model: LicenceModel) -> DataFrame:
-    rows = [(g, [float(v) for v in model.weights[k]]) for g, k in model.features.items()]
-    rows.append(("", [0.0] * (len(FAMILIES) + 1)))  # so that no paragraph is lost
+    weights = np.hstack([model.weights, model.own()])
+    rows = [(g, [float(v) for v in weights[k]]) for g, k in model.features.items()]
+    rows.append(("", [0.0] * (2 * len(FAMILIES) + 1)))  # so that no paragraph is lost
     return spark.createDataFrame(rows, "gram string, weights array<double>")
 
 
 def _pairs(spark: SparkSession) -> DataFrame:
-    rows = [(g, i, FAMILIES.index(f), float(len(ngrams(t.split(), (2,))))) for i, (f, t) in enumerate(TEMPLATES) for g in sorted(ngrams(t.split(), (2,)))]
-    return spark.createDataFrame(rows, "gram string, template int, family int, pairs double")
+    """One row for each word pair of each template: ``pair`` is its number, ``pairs`` are those of the whole template."""
+    of = [sorted(ngrams(t.split(), (2,))) for _, t in TEMPLATES]
+    number = {g: k for k, g in enumerate(sorted({g for grams in of for g in grams}))}
+    rows = [(g, number[g], i, FAMILIES.index(f), [number[x] for x in of[i]]) for i, (f, _) in enumerate(TEMPLATES) for g in of[i]]
+    return spark.createDataFrame(rows, "gram string, pair int, template int, family int, pairs array<int>")
+
+
+def _paragraphs(docs: DataFrame) -> DataFrame:
+    """``doc_id, line, lines``: runs of lines with letters or digits, in plain words, that hold an anchor word."""
+    anywhere = ANCHOR.replace(" ", "[^a-z0-9]+")  # two words may stand on two lines
+    lines = docs.filter(F.col("text").rlike(anywhere)).select("doc_id", F.split("text", "\n").alias("lines"))
+    lines = lines.withColumn("full", F.transform("lines", lambda x: x.rlike(r"[\p{L}\p{N}]")))
+    at = F.sequence(F.lit(0), F.size("lines") - 1)
+    filled = lambda i: F.coalesce(F.get("full", i), F.lit(False))
+    firsts, lasts = F.filter(at, lambda i: filled(i) & ~filled(i - 1)), F.filter(at, lambda i: filled(i) & ~filled(i + 1))
+    cut = lines.select("doc_id", "lines", F.explode(F.arrays_zip(firsts.alias("first"), lasts.alias("last"))).alias("run"))
+    own = F.slice("lines", F.col("run.first") + 1, F.col("run.last") - F.col("run.first") + 1)
+    out = cut.select("doc_id", F.col("run.first").alias("line"), F.transform(own, _plain).alias("lines"))
+    return out.filter(F.array_join("lines", " ").rlike(ANCHOR))
+
+
+def _pieces(paragraphs: DataFrame) -> DataFrame:
+    """``doc_id, line, at, piece, w``: the windows and the lines of each paragraph that hold an anchor word, as words."""
+    words = F.filter(F.split(F.array_join("lines", " "), " "), lambda x: x != "")
+    read = paragraphs.withColumn("at", F.monotonically_increasing_id()).select("doc_id", "line", "at", "lines", words.alias("words"))
+    starts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.size("words") - WINDOW // 2 - 1), F.lit(WINDOW // 2))
+    windows = F.transform(starts, lambda i: F.slice("words", i + 1, WINDOW))
+    by_line = F.transform("lines", lambda x: F.split(x, " "))
+    pieces = F.filter(F.array_distinct(F.concat(windows, by_line)), lambda w: F.array_join(w, " ").rlike(ANCHOR))
+    return read.select("doc_id", "line", "at", F.posexplode(pieces).alias("piece", "w"))
 
 
 def scan(docs: DataFrame, model: LicenceModel, confirm: float = CONFIRM) -> DataFrame:
-    """``doc_id, line, family, probability, similarity`` of every paragraph with an anchor word."""
+    """``doc_id, line, family, probability, similarity`` of every paragraph with an anchor word and every family confirmed in it."""
     spark = docs.sparkSession
-    lines = (docs.filter(F.col("text").rlike(ANCHOR)).select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "paragraph"))
-             .filter(F.col("paragraph").rlike(ANCHOR)).withColumn("at", F.monotonically_increasing_id()))
     # Only n-grams of the templates count, so long paragraphs leave few.
-    words = F.split(_plain(F.col("paragraph")), " ")
     grams = F.array_distinct(F.flatten(F.array(F.array(F.lit("")), *[F.expr(
         f"case when size(w) >= {n} then transform(sequence(1, size(w) - {n - 1}), i -> array_join(slice(w, i, {n}), ' ')) else array() end") for n in SIZES])))
-    from_words = lines.select("at", "doc_id", "line", words.alias("w")).select("at", "doc_id", "line", F.explode(grams).alias("gram"))
+    from_words = _pieces(_paragraphs(docs)).select("doc_id", "line", "at", "piece", F.explode(grams).alias("gram"))
     classes = len(FAMILIES) + 1
-    sums = [F.sum(F.col("weights")[c]).alias(f"w{c}") for c in range(classes)]
+    sums = [F.sum(F.col("weights")[c]).alias(f"w{c}") for c in range(2 * classes - 1)]
     met = stage(from_words.join(F.broadcast(_weights(spark, model)), "gram"), "grams")
-    scored = met.groupBy("at", "doc_id", "line").agg(*sums)
+    scored = met.groupBy("at", "piece", "doc_id", "line").agg(*sums)
     logits = F.array(*[F.col(f"w{c}") + float(model.bias[c]) for c in range(classes)])
+    alone = F.array(*[F.col(f"w{classes + c}") + float(model.bias[c] - model.bias[-1]) for c in range(classes - 1)])
+    scored = scored.select("at", "piece", "doc_id", "line", logits.alias("z"), alone.alias("alone"))
+    shared = (met.select("at", "piece", "gram").join(F.broadcast(_pairs(spark)), "gram").groupBy("at", "piece", "template")
+              .agg(F.first("family").alias("family"), F.first("pairs").alias("pairs"), F.collect_list("pair").alias("has"))
+              .filter(F.size("has") >= confirm * F.size("pairs"))
+              .groupBy("at", "piece").agg(F.collect_list(F.struct("template", "family", "pairs", "has")).alias("like")))
+    shared = shared.withColumnRenamed("at", "like_at").withColumnRenamed("piece", "like_piece")
+    rows = scored.join(shared, (F.col("at") == F.col("like_at")) & (F.col("piece") == F.col("like_piece")), "left")
     total = F.aggregate(F.transform("z", lambda v: F.exp(v - F.array_max("z"))), F.lit(0.0), lambda a, v: a + v)
     best = F.array_max(F.slice("z", 1, classes - 1))
-    scored = scored.withColumn("z", logits).select(
-        "at", "doc_id", "line", (F.array_position("z", best) - 1).cast("int").alias("class"), (F.exp(best - F.array_max("z")) / total).alias("probability"))
-    shared = (met.select("at", "gram").join(F.broadcast(_pairs(spark)), "gram").groupBy("at", "template", "family")
-              .agg((F.count(F.lit(1)) / F.first("pairs")).alias("part")).groupBy("at", "family").agg(F.max("part").alias("similarity")))
-    shared = shared.withColumnRenamed("at", "pair_at")
-    out = scored.join(shared, (F.col("at") == F.col("pair_at")) & (F.col("class") == F.col("family")), "left")
-    similarity = F.coalesce("similarity", F.lit(0.0))
-    sure = (F.col("probability") >= model.least) & (similarity >= confirm)
-    named = F.when(sure, F.element_at(F.array(*[F.lit(f) for f in FAMILIES]), F.col("class") + 1)).otherwise("unknown")
-    return out.select("doc_id", F.col("line").cast("int").alias("line"), named.alias("family"),
-                      F.round("probability", 6).alias("probability"), F.round(similarity, 6).alias("similarity"))
+    own = lambda c: 1 / (1 + F.exp(-F.get("alone", c)))
+    top_class = (F.array_position("z", best) - 1).cast("int")
+    like = F.transform(F.coalesce("like", F.array()), lambda t: F.struct(
+        (F.size(t["has"]) / F.size(t["pairs"])).alias("part"), own(t["family"]).alias("own"), t["template"].alias("template"), t["family"].alias("family"),
+        t["pairs"].alias("pairs"), t["has"].alias("has")))
+    rows = rows.select("at", "doc_id", "line", like.alias("like"), top_class.alias("class"),
+                       (F.exp(best - F.array_max("z")) / total).alias("among"), own(top_class).alias("own"))
+    similarity = F.coalesce(F.array_max(F.transform(F.filter("like", lambda t: t["family"] == F.col("class")), lambda t: t["part"])), F.lit(0.0))
+    sure = (F.col("among") >= model.least) & (similarity >= confirm)
+    top = F.max(F.struct(sure.alias("sure"), "own", "class", similarity.alias("part"))).alias("top")
+    # The piece where a template fits best speaks for it, so a paragraph has at most one entry a template.
+    fits = [F.max(F.get(F.filter("like", _is_template(i)), F.lit(0))).alias(f"t{i}") for i in range(len(TEMPLATES))]
+    with_fits = rows.groupBy("at", "doc_id", "line").agg(top, *fits)
+    with_fits = with_fits.select("doc_id", "line", "top", F.array_compact(F.array(*[f"t{i}" for i in range(len(TEMPLATES))])).alias("fits"))
+
+    def apart(t):
+        def from_other(u):
+            alone = F.size(F.array_except(t["pairs"], u["pairs"]))
+            return (u["family"] == t["family"]) | ((alone > 0) & (F.size(F.array_except(t["has"], u["pairs"])) >= confirm * alone))
+
+        return (t["own"] >= model.least_own) & F.forall("fits", from_other)
+
+    found = F.transform(F.filter("fits", apart), lambda t: F.struct(t["family"].alias("family"), t["own"].alias("own"), t["part"].alias("part")))
+    one = F.struct(F.when(F.col("top.sure"), F.col("top.class")).otherwise(len(FAMILIES)).alias("family"), F.col("top.own").alias("own"), F.col("top.part").alias("part"))
+    named = with_fits.select("doc_id", "line", "top", found.alias("found")).select(
+        "doc_id", "line", F.explode(F.when(F.size("found") > 0, _best_of_each(F.col("found"))).otherwise(F.array(one))).alias("f"))
+    name = F.element_at(F.array(*[F.lit(f) for f in (*FAMILIES, "unknown")]), F.col("f.family") + 1)
+    return named.select("doc_id", F.col("line").cast("int").alias("line"), name.alias("family"),
+                        F.round("f.own", 6).alias("probability"), F.round("f.part", 6).alias("similarity"))
+
+
+def _is_template(number: int):
+    return lambda t: t["template"] == number
+
+
+def _best_of_each(found):
+    """One entry a family, that of the highest similarity, the first of equal ones."""
+    better = lambda u, t: (u["family"] == t["family"]) & (u["part"] > t["part"])
+    same = lambda t: F.array_position(F.transform(found, lambda u: F.struct(u["family"], u["part"])), F.struct(t["family"], t["part"]))
+    return F.filter(found, lambda t, i: ~F.exists(found, lambda u: better(u, t)) & (same(t) == i + 1))

@@ -55,3 +55,22 @@ def test_train_and_empty(spark):
     small = L.train(docs, statements=200, steps=20)
     assert L.scan(docs.limit(0), small).count() == 0 and L.scan(docs, small).count() == 0
     assert L.train(docs.limit(0), statements=200, steps=20).features
+
+
+def test_wrapped_statements_and_several_families(spark, model):
+    import textwrap
+
+    long = [(k, f, t) for k, (f, t) in enumerate(L.TEMPLATES) if len(t.split()) >= 12]
+    rows = [(k, "x = 1\n\n" + "\n".join("# " + x for x in textwrap.wrap(t.capitalize() + ".", 50)) + "\n#\n# " + FILL) for k, _, t in long]
+    both = "Licensed under the MIT License. Licensed under the Apache License, Version 2.0."
+    rows += [(200, both), (201, both.replace(". ", ".\n")), (202, "Licensed under CC BY\nSA 4.0"), (203, (FILL + "\n") * 300 + "Redistribution and use in source and binary forms,\n"
+             "with or without modification, are permitted provided\nthat the following conditions are met:\n" + (FILL + "\n") * 300), (204, "to the public\ndomain of " + FILL)]
+    got = L.scan(spark.createDataFrame(rows, "doc_id long, text string"), model).collect()
+    found, lines = {}, {}
+    for r in got:
+        found.setdefault(r.doc_id, []).append(r.family)
+        lines.setdefault(r.doc_id, []).append(r.line)
+    assert {k: found.get(k) for k, _, _ in long} == {k: [f] for k, f, _ in long}
+    assert all(lines[k] == [2] for k, _, _ in long)
+    assert sorted(found[200]) == sorted(found[201]) == ["apache-2.0", "mit"]
+    assert found[202] == ["cc-by-sa"] and found[203] == ["bsd"] and found[204] == ["unknown"]
