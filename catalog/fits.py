@@ -317,29 +317,45 @@ def _(t):
     return out.withColumn("total", F.round("total", 1))
 
 
-_NOISE = "w - th * l1 + th * th * l2 - power(th, 3) * l3 + power(th, 4) * l4"
+def _arma_sql(tables: str, name: str, candidates: str, rows: str) -> str:
+    """Exact likelihood of candidates (g, ph, th) of an ARMA(1, 1), value by value: innovations of the values (e) and of a constant (c), with variance v."""
+    return f"""{tables}, {name}_n(g, ph, th, i, w, c, p, pc, v, ww, wc, cc, ld) AS (
+ SELECT * FROM (SELECT k.g, ph::DOUBLE, th::DOUBLE, i, w::DOUBLE, 1::DOUBLE, 0::DOUBLE, 0::DOUBLE, (1 + 2 * ph * th + th * th) / (1 - ph * ph) AS v, w * w / v, w / v, 1 / v, ln(v) FROM ({candidates}) k JOIN {rows} USING (g) WHERE i = 1)
+ UNION ALL SELECT g, ph, th, i, w, 1::DOUBLE, p, pc, v, ww + (w - p) * (w - p) / v, wc + (w - p) * (1 - pc) / v, cc + (1 - pc) * (1 - pc) / v, ld + ln(v) FROM (
+  SELECT n.g, ph, th, r.i, r.w, ph * n.w + th / v * (n.w - p) AS p, ph + th / v * (1 - pc) AS pc, 1 + th * th - th * th / v AS v, ww, wc, cc, ld FROM {name}_n n JOIN {rows} r ON r.g = n.g AND r.i = n.i + 1)),
+{name} AS (SELECT n.* FROM {name}_n n JOIN (SELECT g, max(i) AS i FROM {rows} GROUP BY 1) z USING (g, i))"""
+
+
+_MA = f"""{_DAILY}, y AS (SELECT event_type AS g, row_number() OVER (PARTITION BY event_type ORDER BY day) AS i, total - avg(total) OVER (PARTITION BY event_type) AS w,
+ avg(total) OVER (PARTITION BY event_type) AS centre FROM daily)"""
+_MA = _arma_sql(_MA, "a", "SELECT g, 0.0::DOUBLE AS ph, x / 1000.0 AS th FROM (SELECT DISTINCT g FROM y), range(-999, 1000) r(x)", "y")
+_MA += ", b0 AS (SELECT g, arg_min(th, i * ln((ww - wc * wc / cc) / i) + ld) AS t0 FROM a GROUP BY 1)"
+_MA = _arma_sql(_MA, "b", "SELECT g, 0.0::DOUBLE AS ph, greatest(-1, least(1, t0 + x / 1000000.0)) AS th FROM b0, range(-1000, 1001) r(x)", "y")
 
 
 @query("m14_arima_ma1", f"""
-WITH {_DAILY}, d AS (SELECT event_type, total AS w, lag(total, 1) OVER o AS l1, lag(total, 2) OVER o AS l2, lag(total, 3) OVER o AS l3, lag(total, 4) OVER o AS l4,
- row_number() OVER (PARTITION BY event_type ORDER BY day DESC) AS r FROM daily WINDOW o AS (PARTITION BY event_type ORDER BY day)),
-f AS (SELECT * FROM d WHERE l4 IS NOT NULL),
-g0 AS (SELECT event_type, th, var_pop({_NOISE}) AS v FROM f, (SELECT i / 1000.0 AS th FROM range(-998, 999) r(i)) GROUP BY 1, 2),
-b0 AS (SELECT event_type, arg_min(th, v) AS t0 FROM g0 GROUP BY 1),
-g1 AS (SELECT event_type, th, var_pop({_NOISE}) AS v, avg({_NOISE}) / (1 - any_value(th) + any_value(th) * any_value(th) - power(any_value(th), 3) + power(any_value(th), 4)) AS mu
- FROM (SELECT f.*, t0 + i / 1000000.0 AS th FROM f JOIN b0 USING (event_type), range(-1000, 1001) r(i)) GROUP BY 1, 2),
-b1 AS (SELECT event_type, arg_min(th, v) AS th, arg_min(mu, v) AS mu FROM g1 GROUP BY 1),
-e AS (SELECT event_type, mu, th, {_NOISE} - mu * (1 - th + th * th - power(th, 3) + power(th, 4)) AS e FROM f JOIN b1 USING (event_type) WHERE r = 1)
-SELECT event_type, k::INT AS step, round(mu + CASE WHEN k = 1 THEN th * e ELSE 0 END, 0) AS total FROM e, range(1, 4) s(k)""")
+WITH RECURSIVE {_MA}, f AS (SELECT g, arg_min(struct_pack(m := wc / cc, e := th * (w - p - wc / cc * (1 - pc)) / v), i * ln((ww - wc * wc / cc) / i) + ld) AS z FROM b GROUP BY 1)
+SELECT g AS event_type, k::INT AS step, round((SELECT any_value(centre) FROM y WHERE y.g = f.g) + z.m + CASE WHEN k = 1 THEN z.e ELSE 0 END, 1) AS total FROM f, range(1, 4) s(k)""")
 def _(t):
-    out = series.arima_forecast(daily(t), "total", "day", 0, 0, 1, 3, by="event_type", long_order=4)
-    return out.withColumn("total", F.round("total", 0))
+    out = series.arima_forecast(daily(t), "total", "day", 0, 0, 1, 3, by="event_type")
+    return out.withColumn("total", F.round("total", 1))
 
 
-@query("m14_arima_111")
+_MIXED = f"""{_DAILY}, o AS (SELECT event_type AS g, total, row_number() OVER (PARTITION BY event_type ORDER BY day) AS n, total - lag(total) OVER (PARTITION BY event_type ORDER BY day) AS w FROM daily),
+y AS (SELECT g, n - 1 AS i, w, total FROM o WHERE n > 1)"""
+_MIXED = _arma_sql(_MIXED, "a", "SELECT g, x / 50.0 AS ph, u / 50.0 AS th FROM (SELECT DISTINCT g FROM y), range(-49, 50) r(x), range(-50, 51) q(u)", "y")
+for _was, _now, _step in (("a", "b", 0.001), ("b", "c", 0.00005), ("c", "d", 0.0000025)):
+    _MIXED += f", {_now}0 AS (SELECT g, arg_min(struct_pack(ph := ph, th := th), i * ln(ww / i) + ld) AS z FROM {_was} GROUP BY 1)"
+    _MIXED = _arma_sql(_MIXED, _now, f"SELECT DISTINCT g, greatest(-0.9999999, least(0.9999999, z.ph + x * {_step})) AS ph, greatest(-1, least(1, z.th + u * {_step})) AS th FROM {_now}0, range(-22, 23) r(x), range(-22, 23) q(u)", "y")
+
+
+@query("m14_arima_111", f"""
+WITH RECURSIVE {_MIXED}, f AS (SELECT g, arg_min(struct_pack(ph := ph, x := ph * w + th / v * (w - p)), i * ln(ww / i) + ld) AS z FROM d GROUP BY 1),
+l AS (SELECT g, arg_max(total, i) AS total FROM y GROUP BY 1)
+SELECT g AS event_type, k::INT AS step, round(total + z.x * (1 - power(z.ph, k)) / (1 - z.ph), 1) AS total FROM f JOIN l USING (g), range(1, 6) s(k)""")
 def _(t):
-    out = series.arima_forecast(daily(t), "total", "day", 1, 1, 1, 5, by="event_type", long_order=4)
-    return out.withColumn("total", F.round("total", 3))
+    out = series.arima_forecast(daily(t), "total", "day", 1, 1, 1, 5, by="event_type")
+    return out.withColumn("total", F.round("total", 1))
 
 
 _CUT = "(SELECT max(ts)::DATE - 4 FROM events)"

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+import json
 import math
 from collections.abc import Iterator, Sequence
 
@@ -13,6 +15,9 @@ from tablewright.core.gram import moment_aggregates
 from tablewright.core.layout import LAG_BLOCK, as_names, lagged, row_index, running_sum
 from tablewright.core.session import stable
 from tablewright.core.types import quoted, require_numeric
+from tablewright.operators import arma
+
+ARMA_BLOCK = 1 << 18  # values of a series that one task sums up at once
 
 
 def _unpack(row: pd.Series, k: int) -> tuple[float, np.ndarray, np.ndarray]:
@@ -34,14 +39,6 @@ def _least_squares(mean: np.ndarray, cov: np.ndarray, constant: bool) -> tuple[n
     return np.linalg.lstsq(raw[1:, 1:], raw[1:, 0], rcond=None)[0], 0.0
 
 
-def _from_partial(partial: np.ndarray) -> np.ndarray:
-    """AR coefficients from partial autocorrelations inside (-1, 1): always stationary."""
-    phi = np.zeros(0)
-    for r in partial:
-        phi = np.append(phi - r * phi[::-1], r)
-    return phi
-
-
 def _to_partial(phi: np.ndarray) -> np.ndarray:
     out, cur = [], phi.copy()
     while len(cur):
@@ -106,11 +103,11 @@ def _exact_ar(n: float, mean: np.ndarray, cov: np.ndarray, first: np.ndarray,
     p = len(mean) - 1
     phi0, c0 = _least_squares(mean, cov, constant)
     partial0 = _to_partial(phi0)
-    phi0 = _from_partial(partial0)
+    phi0 = arma.from_partial(partial0)
     mu0 = c0 / max(1 - phi0.sum(), 1e-3) if constant else 0.0
 
     def loss(v: np.ndarray) -> float:
-        phi = _from_partial(np.tanh(v[:p]))
+        phi = arma.from_partial(np.tanh(v[:p]))
         mu = v[p] if constant else 0.0
         u = np.append(1.0, -phi)
         tail = n * (u @ cov @ u + (u @ mean - mu * (1 - phi.sum())) ** 2)
@@ -129,67 +126,76 @@ def _exact_ar(n: float, mean: np.ndarray, cov: np.ndarray, first: np.ndarray,
     scale = math.sqrt(max(cov[0, 0], 1e-12))
     step = np.append(np.full(p, 0.1), [0.1 * scale + 1e-6] if constant else [])
     best = _minimise(loss, x0, step)
-    return _from_partial(np.tanh(best[:p])), float(best[p]) if constant else 0.0
-
-
-def _lag_moments(n: int, lags: int, total: float, products: np.ndarray, head: np.ndarray,
-                 tail: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Means and covariances of (w_t, w_t-1, ..., w_t-lags) over t = lags+1..n.
-
-    Sums of w_t and of w_t * w_t-k are enough: a shifted sum differs from them by
-    values at the two ends only.
-    """
-    rows = n - lags
-
-    def first(t: int) -> float:  # 1-based position within the first `lags` values
-        return head[t - 1]
-
-    def last(t: int) -> float:  # position counted back from the end, 0 is the newest
-        return tail[len(tail) - 1 - t]
-
-    mean = np.array([total - sum(last(t) for t in range(i)) + sum(first(lags - t) for t in range(i))
-                     for i in range(lags + 1)]) / rows
-    raw = np.zeros((lags + 1, lags + 1))
-    for k in range(lags + 1):
-        value = products[k]
-        for i in range(lags + 1 - k):
-            if i:  # one step further back: drop the newest pair, take in an older one
-                value += first(lags + 1 - i) * first(lags + 1 - i - k) - last(i - 1) * last(i - 1 + k)
-            raw[i, i + k] = raw[i + k, i] = value / rows
-    return mean, raw - np.outer(mean, mean)
+    return arma.from_partial(np.tanh(best[:p])), float(best[p]) if constant else 0.0
 
 
-def _noise_weights(phi: np.ndarray, theta: np.ndarray, lags: int) -> np.ndarray:
-    """Weights u with noise e_t = sum of u_k * w_t-k, cut off after ``lags``."""
-    u = np.zeros(lags + 1)
-    u[0] = 1.0
-    for k in range(1, lags + 1):
-        ar = phi[k - 1] if k <= len(phi) else 0.0
-        u[k] = -ar - sum(theta[j - 1] * u[k - j] for j in range(1, min(k, len(theta)) + 1))
-    return u
+def _advanced(search: arma.Search, p: int, whole: arma.Stretch, constant: bool) -> list[float] | None:
+    """Take a round's sums; the mean and last state of the best model once the search is done."""
+    models = arma.Models.at(search.points(), p)
+    loss, mu, state = arma.concluded(models, whole, constant)
+    if search.done:
+        return [float(mu[0]), *state[0].tolist()]
+    search.tell(loss)
+    return None
 
 
-def _conditional_arma(mean: np.ndarray, cov: np.ndarray, p: int, q: int,
-                      constant: bool) -> tuple[np.ndarray, np.ndarray, float]:
-    """AR and MA coefficients and mean of least noise, from lag moments alone."""
-    lags = len(mean) - 1
+def _arma_fits(work: DataFrame, keys: list[str], p: int, q: int, constant: bool, block: int) -> DataFrame:
+    """(keys, _fit): the model of greatest exact likelihood for each series of ``work`` (keys, _i, _w), as text.
 
-    def parts(v: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
-        t = np.tanh(v[:p + q])
-        return _from_partial(t[:p]), -_from_partial(t[p:]), float(v[p + q]) if constant else 0.0
+    Values lie in blocks of ``block``, one row each. A series of one block is fitted where it
+    lies; the blocks of the others are summed up in parallel, round by round of the same search,
+    and the sums compose in order, 256 at a time.
+    """
+    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in work.select(*keys).schema.fields]
+    values = F.transform(F.array_sort(F.collect_list(F.struct("_i", "_w"))), lambda s: s["_w"])
+    home = F.floor((F.col("_i") - F.col("_i_min")) / block).cast("long")
+    blocks = stable(work.groupBy(*keys, home.alias("_block"), (F.col("_last") - F.col("_i_min") >= block).alias("_long")).agg(values.alias("_values")))
 
-    def loss(v: np.ndarray) -> float:
-        phi, theta, mu = parts(v)
-        u = _noise_weights(phi, theta, lags)
-        return math.log(max(float(u @ cov @ u + (u @ mean - mu * u.sum()) ** 2), 1e-300))
+    def fitted(search: arma.Search, final: list[float]) -> str:
+        return json.dumps({"point": search.best.tolist(), "mu": final[0], "state": final[1:]})
 
-    scale = math.sqrt(max(cov[0, 0], 1e-12))
-    step = np.append(np.full(p + q, 0.2), [0.1 * scale + 1e-9] if constant else [])
-    starts = []
-    for side in (0.0, 0.5, -0.5):
-        x0 = np.append(np.append(np.full(p, 0.1), np.full(q, side)), [mean[0]] if constant else [])
-        starts.append(_minimise(loss, x0, step))
-    return parts(min(starts, key=loss))
+    def alone(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            out = []
+            for row, v in zip(pdf[keys].itertuples(index=False), pdf["_values"], strict=True):
+                search, final, w = arma.Search(p + q), None, np.asarray(v, float)
+                while final is None:
+                    final = _advanced(search, p, arma.summed(arma.Models.at(search.points(), p), w), constant)
+                out.append([*row, fitted(search, final)])
+            yield pd.DataFrame(out, columns=[*keys, "_fit"])
+
+    fits = blocks.where("not _long").select(*keys, "_values").mapInPandas(alone, ", ".join([*fields, "_fit string"]))
+    long = blocks.where("_long")
+    state = stable(long.where("_block = 0").select(*keys, F.lit(json.dumps(arma.Search(p + q).state())).alias("_state"), F.lit(None).cast("string").alias("_fit")))
+
+    def sums(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            made = [arma.summed(arma.Models.at(arma.Search(p + q, json.loads(s)).points(), p), np.asarray(v, float)).to_row()
+                    for s, v in zip(pdf["_state"], pdf["_values"], strict=True)]
+            yield pdf[[*keys, "_block", "_state"]].assign(_sums=made)
+
+    def composed(pdf: pd.DataFrame) -> arma.Stretch:
+        search, r = arma.Search(p + q, json.loads(pdf["_state"].iloc[0])), max(p, q + 1)
+        parts = [arma.Stretch.from_row(v, len(search.points()), r) for v in pdf.sort_values("_block")["_sums"]]
+        return functools.reduce(arma.Stretch.then, parts)
+
+    def some(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pdf.sort_values("_block").head(1)[[*keys, "_block", "_state"]].assign(_sums=[composed(pdf).to_row()])
+
+    def told(pdf: pd.DataFrame) -> pd.DataFrame:
+        search = arma.Search(p + q, json.loads(pdf["_state"].iloc[0]))
+        final = _advanced(search, p, composed(pdf), constant)
+        return pdf.head(1)[keys].assign(_state=json.dumps(search.state()), _fit=fitted(search, final) if final else None)
+
+    summary = ", ".join([*fields, "_block long", "_state string", "_sums array<double>"])
+    done: list[DataFrame] = []
+    while not state.isEmpty():
+        got = _join_keys(long.drop("_long"), state.select(*keys, "_state"), keys).mapInPandas(sums, summary)
+        got = got.groupBy(*keys, F.floor(F.col("_block") / 256).alias("_of")).applyInPandas(lambda pdf: some(pdf), summary)
+        state = stable(got.groupBy(*keys).applyInPandas(told, ", ".join([*fields, "_state string", "_fit string"])))
+        done.append(state.where("_fit is not null").select(*keys, "_fit"))
+        state = state.where("_fit is null")
+    return functools.reduce(DataFrame.unionByName, done, fits)
 
 
 def _tails(rows: DataFrame, keys: list[str], value: str, count: int, name: str,
@@ -212,16 +218,13 @@ def _join_keys(left: DataFrame, right: DataFrame, keys: list[str], how: str = "i
 
 
 def arima_forecast(df: DataFrame, y: str, order_by, p: int, d: int, q: int, steps: int, by=None,
-                   limit: int = LAG_BLOCK, long_order: int | None = None, long_memory: int = 40) -> DataFrame:
+                   limit: int = LAG_BLOCK, block: int = ARMA_BLOCK) -> DataFrame:
     """Forecast ``steps`` values of each series with an ARIMA(p, d, q): (by..., step, y).
 
-    Without a moving-average part the coefficients maximise the exact Gaussian
-    likelihood, which needs only lag moments and the first p values. With one
-    they minimise the conditional sum of squares, the noise being a weighted sum
-    of past values, so lag moments are again enough. How many past values follows
-    each series' own length: a quarter of it up to ``long_memory``, or ``long_order``
-    where that is given; what further values would add shrinks geometrically.
-    No series has any part in the forecast of another.
+    The coefficients maximise the exact Gaussian likelihood. Without a moving-average part that
+    needs only lag moments and the first p values; with one, the noise of blocks of ``block``
+    values is summed up and composed (see ``arma``), which gives the same for every length
+    and every block. No series has any part in the forecast of another.
     Undifferenced models have a mean, differenced ones have none.
     """
     keys = as_names(by)
@@ -235,63 +238,50 @@ def arima_forecast(df: DataFrame, y: str, order_by, p: int, d: int, q: int, step
     rows = stable(rows.select(*keys, "_i", "_y"))  # read several times below
     centre = F.avg("_y") if constant else F.lit(0.0)
     size = (rows.groupBy(*keys) if keys else rows).agg(F.max("_i").alias("_n_all"), centre.alias("_centre"))
-    lags = (long_order or max(p, q) + max(2, long_memory)) if q else p
-    if q:
-        own = F.least(F.lit(long_memory), F.floor((F.col("_n_all") - d) / 4))
-        size = size.withColumn("_lags", F.lit(long_order).cast("int") if long_order else (F.greatest(own, F.lit(2)) + max(p, q)).cast("int"))
-    else:
-        size = size.withColumn("_lags", F.lit(p))
     rows = _join_keys(rows, size, keys)
     # d-th difference as a weighted sum of the value and its d lags
     work = lagged(rows, ["_y"], d, "_i", by, limit) if d else rows
     diff = sum((F.col(f"_y_lag{k}") * float((-1) ** k * math.comb(d, k)) for k in range(1, d + 1)), F.col("_y"))
-    work = work.withColumn("_w", diff).where(F.col("_i") > d).select(*keys, "_i", "_n_all", "_centre", "_lags", "_w")
+    work = work.withColumn("_w", diff).where(F.col("_i") > d).select(*keys, "_i", "_n_all", "_centre", "_w")
     work = work.withColumn("_i_min", F.lit(d + 1))
-    if q:  # moments of many lags: better conditioned around the mean
-        work = work.withColumn("_w", F.col("_w") - F.col("_centre"))
-    wide = lagged(work, ["_w"], lags, "_i", by, limit) if lags else work
-    full = wide.where(F.col("_i") > d + F.col("_lags"))
     if q:
-        aggs = [F.max("_n_all").alias("_n_all"), F.max("_centre").alias("_centre"), F.max("_lags").alias("_lags"), F.sum("_w").alias("_total")]
-        aggs += [F.sum(F.col("_w") * F.col(f"_w_lag{k}" if k else "_w")).alias(f"_g{k}") for k in range(lags + 1)]
+        # Around the mean, where there is one: better conditioned.
+        centred = work.select(*(keys or [F.lit(0).alias("_one")]), "_i", "_i_min", F.col("_n_all").alias("_last"), (F.col("_w") - F.col("_centre")).alias("_w"))
+        model = _arma_fits(centred, keys or ["_one"], p, q, constant, block)
+        model = _join_keys(model if keys else model.drop("_one"), size, keys)
+        parts = [_tails(rows, keys, "_y", max(d, 1), "_tail_y")]
     else:
+        wide = lagged(work, ["_w"], p, "_i", by, limit) if p else work
+        full = wide.where(F.col("_i") > d + p)
         aggs = moment_aggregates(["_w", *[f"_w_lag{k}" for k in range(1, p + 1)]])
-    model = full.groupBy(*keys).agg(*aggs) if keys else full.agg(*aggs)
-    ends = max(2 * lags, 1) if q else max(p, 1)
-    for part in (_tails(work, keys, "_w", ends, "_tail_w"), _tails(work, keys, "_w", max(lags, 1), "_head_w", newest=False),
-                 _tails(rows, keys, "_y", max(d, 1), "_tail_y")):
+        model = full.groupBy(*keys).agg(*aggs) if keys else full.agg(*aggs)
+        parts = [_tails(work, keys, "_w", max(p, 1), "_tail_w"), _tails(work, keys, "_w", max(p, 1), "_head_w", newest=False),
+                 _tails(rows, keys, "_y", max(d, 1), "_tail_y")]
+    for part in parts:
         model = _join_keys(model, part, keys)
     key_schema = [f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*keys).schema.fields] if keys else []
     schema = ", ".join([*key_schema, "step int", f"`{y}` double"])
 
+    def ahead(row: pd.Series) -> list[float]:
+        """The next values of the differenced series."""
+        if q:
+            fit = json.loads(row["_fit"])
+            return [v + float(row["_centre"]) for v in arma.forecast(arma.Models.at(np.array(fit["point"]), p), fit["mu"], np.array(fit["state"]), steps)]
+        n, mean, cov = _unpack(row, 1 + p)
+        phi, mu = np.zeros(0), mean[0] if constant else 0.0
+        if p:
+            phi, mu = _exact_ar(n, mean, cov, np.array(row["_head_w"], dtype=float), constant)
+        w = list(row["_tail_w"])
+        for _ in range(steps):
+            w.append(mu + sum(phi[k] * (w[-1 - k] - mu) for k in range(p)))
+        return w[len(w) - steps:]
+
     def forecast(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
             out = []
             for _, row in pdf.iterrows():  # one row per series
-                w, head = list(row["_tail_w"]), np.array(row["_head_w"], dtype=float)
-                theta, e, shift = np.zeros(0), [], 0.0
-                if q:
-                    lags = int(row["_lags"])
-                    g = np.array([row[f"_g{k}"] for k in range(lags + 1)], dtype=float)
-                    mean, cov = _lag_moments(int(row["_n_all"]) - d, lags, float(row["_total"]), g, head, np.array(w))
-                    phi, theta, mu = _conditional_arma(mean, cov, p, q, constant)
-                    u = _noise_weights(phi, theta, lags)
-                    for back in range(q - 1, -1, -1):  # the newest q noise values
-                        at = len(w) - 1 - back
-                        e.append(sum(u[k] * (w[at - k] - mu) for k in range(min(lags, at) + 1)))
-                    shift = float(row["_centre"])
-                else:
-                    n, mean, cov = _unpack(row, 1 + p)
-                    phi, mu = np.zeros(0), mean[0] if constant else 0.0
-                    if p:
-                        phi, mu = _exact_ar(n, mean, cov, head, constant)
                 level = [float(v) for v in row["_tail_y"]]
-                for s in range(1, steps + 1):
-                    nxt = mu + sum(phi[k] * (w[-1 - k] - mu) for k in range(p))
-                    nxt += sum(theta[k] * e[-1 - k] for k in range(q))
-                    w.append(nxt)
-                    e.append(0.0)
-                    value = nxt + shift
+                for s, value in enumerate(ahead(row), 1):
                     if d:
                         value -= sum((-1) ** k * math.comb(d, k) * level[-k] for k in range(1, d + 1))
                         level.append(value)

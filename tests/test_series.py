@@ -5,7 +5,7 @@ import math
 import numpy as np
 import pytest
 
-from tablewright.operators import series
+from tablewright.operators import arma, series
 
 
 def ar_frame(spark, n=150, phi=0.6, mu=20.0, seed=1, extra=()):
@@ -45,7 +45,7 @@ def test_ar1_maximises_the_exact_likelihood(spark, limit):
 
 def test_ar_helpers():
     phi = np.array([0.5, -0.3, 0.1])
-    assert np.allclose(series._from_partial(series._to_partial(phi)), phi)
+    assert np.allclose(arma.from_partial(series._to_partial(phi)), phi)
     v = series._start_covariance(np.array([0.6]))
     assert v[0, 0] == pytest.approx(1 / (1 - 0.36))
     g = series._start_covariance(np.array([0.5, 0.2]))
@@ -75,24 +75,68 @@ def test_moving_average_part_is_recovered(spark, limit):
     assert out[1].y == pytest.approx(10, abs=0.15)
 
 
-def test_lag_moments_from_sums_and_ends():
-    rng = np.random.default_rng(5)
-    w, lags = rng.normal(size=50) + 3, 6
-    x = np.column_stack([w[lags - k: len(w) - k] for k in range(lags + 1)])
-    products = np.array([(x[:, 0] * x[:, k]).sum() for k in range(lags + 1)])
-    mean, cov = series._lag_moments(50, lags, x[:, 0].sum(), products, w[:lags], w[-2 * lags:])
-    assert np.allclose(mean, x.mean(axis=0)) and np.allclose(cov, np.cov(x.T, ddof=0))
-
-
-def test_noise_weights_invert_the_model():
-    rng = np.random.default_rng(6)
-    e = rng.normal(size=400)
-    phi, theta = np.array([0.5, -0.2]), np.array([0.4, 0.3])
-    w = np.zeros(400)
-    for t in range(400):
-        w[t] = e[t] + sum(phi[i] * w[t - 1 - i] for i in range(2) if t > i) + sum(theta[i] * e[t - 1 - i] for i in range(2) if t > i)
-    u = series._noise_weights(phi, theta, 60)
-    assert sum(u[k] * w[-1 - k] for k in range(61)) == pytest.approx(e[-1], abs=1e-6)
+def dense(w, phi, theta, steps):
+    """Loss, mean and forecasts from the full covariance matrix of the series."""
+    m = arma.Models(np.array([phi], float).reshape(1, -1), np.array([theta], float).reshape(1, -1))
+    n, t, state, gamma = len(w), m.parts()[0][0], m.covariance()[0], []
+    for _ in range(n + steps):
+        gamma.append(state[0, 0])
+        state = t @ state
+    gamma = np.array(gamma)
+    inverse = np.linalg.inv(gamma[np.abs(np.subtract.outer(np.arange(n), np.arange(n)))])
+    mu = inverse.sum(axis=0) @ w / inverse.sum()
+    z = w - mu
+    ahead = [mu + gamma[n - 1 + h - np.arange(n)] @ inverse @ z for h in range(1, steps + 1)]
+    return math.log(z @ inverse @ z / n) - np.linalg.slogdet(inverse)[1] / n, mu, ahead
+
+
+@pytest.mark.parametrize(("phi", "theta"), [([], [0.98]), ([0.7], [-0.4]), ([0.5, -0.3], [0.8, 0.2]), ([0.99], []), ([], [-0.5, 0.3, 0.1])])
+def test_likelihood_against_dense_covariance(phi, theta):
+    rng = np.random.default_rng(4)
+    w = rng.normal(size=150).cumsum() / 5 + rng.normal(size=150) + 3
+    m = arma.Models(np.array([phi], float).reshape(1, -1), np.array([theta], float).reshape(1, -1))
+    loss, mu, ahead = dense(w, phi, theta, 3)
+    whole = arma.summed(m, w)
+    got, mean, state = arma.concluded(m, whole, True)
+    assert got[0] == pytest.approx(loss, abs=1e-10) and mean[0] == pytest.approx(mu, abs=1e-9) and arma.forecast(m, mean[0], state[0], 3) == pytest.approx(ahead, abs=1e-8)
+    for cuts in ([70], [1, 2, 149], [30, 60, 90]):
+        parts = [arma.summed(m, x) for x in np.split(w, cuts)]
+        joined = parts[0].then(parts[1])
+        for s in parts[2:]:
+            joined = joined.then(s)
+        row = arma.Stretch.from_row(joined.to_row(), 1, joined.out.shape[1])
+        assert np.allclose(row.gram, whole.gram) and np.allclose(row.out, whole.out) and row.n == 150
+
+
+def test_theta_near_one(spark):
+    """Slowly fading noise weights: the whole past counts, and the search ends at the best of a fine lattice."""
+    rng = np.random.default_rng(12)
+    e = rng.normal(size=2001)
+    w = e[1:] + 0.98 * e[:-1]
+    df = spark.createDataFrame([(i, float(v)) for i, v in enumerate(w)], "i int, y double")
+    got = series.arima_forecast(df, "y", "i", 0, 0, 1, 2).orderBy("step").collect()
+    best = []
+    for th in np.arange(0.9, 1.0, 0.0005):
+        m = arma.Models(np.zeros((1, 0)), np.array([[th]]))
+        loss, mu, state = arma.concluded(m, arma.summed(m, w), True)
+        best.append((loss[0], arma.forecast(m, mu[0], state[0], 2)))
+    assert [r.y for r in got] == pytest.approx(min(best)[1], abs=0.02)
+
+
+def test_any_blocks_give_the_same(spark):
+    """Series of one block and of many blocks, composed in rounds on Spark."""
+    rng = np.random.default_rng(10)
+    rows = []
+    for g, n in (("a", 400), ("b", 37), ("c", 5), (None, 90)):
+        e = rng.normal(size=n + 1)
+        rows += [(g, i, float(50 + v)) for i, v in enumerate(e[1:] + 0.6 * e[:-1])]
+    df = spark.createDataFrame(rows, "g string, i int, y double")
+    outs = [{(r.g, r.step): r.y for r in series.arima_forecast(df, "y", "i", p, d, 1, 2, by="g", block=block).collect()} for p, d in ((0, 0), (1, 1)) for block in (1 << 18, 16)]
+    for a, b in (outs[:2], outs[2:]):
+        assert len(a) == 8 and a == pytest.approx(b, abs=1e-5)
+    one = df.where("g = 'a'").select("i", "y")
+    whole, cut = ([r.y for r in series.arima_forecast(one, "y", "i", 0, 0, 1, 2, block=block).orderBy("step").collect()] for block in (1 << 18, 1))
+    assert whole == pytest.approx(cut, abs=1e-5) and whole == pytest.approx([outs[0]["a", 1], outs[0]["a", 2]], abs=1e-5)
 
 
 def test_mixed_model_is_recovered(spark):
