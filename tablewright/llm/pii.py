@@ -42,10 +42,11 @@ def _iban_form(length: int, codes: str) -> str:
 
 
 # A card number stops before digits that go on as a date, a phone or another number, where it can, and
-# a short number before one in four groups of four is not part of it.
-_CARD = r"(?!\d{1,3}[ -](?:\d{1,3}[ -])*\d{4}(?:[ -]?\d{4}){3}(?![\p{L}\p{N}]))\d(?:[ -]?\d){12,18}"
+# a short number before one in four groups of four is not part of it; from 19 short numbers away no
+# match reaches it. Repeated groups are bounded or possessive, as the others recurse in the JVM's matcher.
+_CARD = r"(?!\d{1,3}[ -](?:\d{1,3}[ -]){0,17}+\d{4}(?:[ -]?\d{4}){3}(?![\p{L}\p{N}]))\d(?:[ -]?\d){12,18}"
 KINDS = (
-    ("email", r"[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63})+"),
+    ("email", r"[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63})++"),
     ("iban", "(?:" + "|".join(_iban_form(n, codes) for n, codes in IBAN_LENGTHS.items()) + ")" + _AFTER),
     ("date", r"(?:\d{4}-\d{2}-\d{2}|\d{1,2}[./]\d{1,2}[./]\d{4})" + _AFTER),
     ("address", r"(?<!\.)\d{1,3}(?:\.\d{1,3}){3}(?!\.?[\p{L}\p{N}])"),
@@ -128,7 +129,8 @@ def _with(value, fn) -> Column:
     return F.transform(F.array(value), fn)[0]
 
 
-CARD_WALK = 24
+#: Steps of a walk, taken 32 at a time while it is not done.
+CARD_WALK = (64, 32)
 
 
 def _card_counts(m) -> Column:
@@ -168,8 +170,13 @@ def _card(m, key, back) -> Column:
             return F.when(s["done"], s).otherwise(_with(moved, lambda x: F.struct(
                 x.alias("d"), F.coalesce(_card_count(F.concat(x, rest), counts) == n, F.lit(False)).alias("done"))))
 
+        def steps(s, _):
+            return F.when(s["done"], s).otherwise(F.aggregate(F.sequence(F.lit(1), F.lit(CARD_WALK[1])), s, step))
+
+        # Every second step or so ends the walk, so it always ends here; were it cut, undoing would cut the digits elsewhere.
         start = F.struct(F.substring(d, F.lit(1), n).alias("d"), F.lit(False).alias("done"))
-        return F.aggregate(F.sequence(F.lit(1), F.lit(CARD_WALK)), start, step, lambda s: F.concat(s["d"], rest))
+        return F.aggregate(F.sequence(F.lit(1), F.lit(CARD_WALK[0])), start, steps, lambda s: F.when(s["done"], F.concat(s["d"], rest)).otherwise(
+            F.raise_error(F.lit("no card number reached")).cast("string")))
 
     return _with(F.struct(_digits_of(m).alias("d"), _card_counts(m).alias("counts")), lambda c: _with(
         _card_count(c["d"], c["counts"]), lambda n: F.when(n.isNotNull(), _refill(m, new(c["d"], c["counts"], n))).otherwise(m)))

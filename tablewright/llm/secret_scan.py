@@ -1,10 +1,15 @@
 """Secret scan: fixed patterns, and a battery of randomness tests for what no pattern names.
 
-Long tokens are tested in the encoding their characters suggest: chi-squared for an even use
-of the alphabet, a runs test around its middle, and the serial correlation of neighbouring
-symbols. The three p-values are combined; the higher the result, the more the token looks
-drawn at random. What ordinary text reaches is learned from decoys, one a document: letters
-of the text itself, written in an encoding and a length that the text's checksum chooses.
+Long tokens are tested in the encoding their characters suggest. Chi-squared asks for an even
+use of the alphabet, over cells large enough for short tokens: each case and the digits, letters
+that are frequent in prose apart from rare ones. A runs test asks whether vowels come as often
+next to each other as they would by chance, and the serial correlation of neighbouring symbols
+does the same for their places in the alphabet. The three p-values are combined; the higher
+the result, the more the token looks drawn at random.
+
+What ordinary text reaches is learned from decoys, one an encoding for each document: words of
+the text itself, from a place and up to a length that its checksum chooses, joined as names are
+in that encoding (capitalised, with the text's numbers or one from the checksum between them).
 Per encoding and length class the share of decoys that reach a token's value is the token's
 chance of being ordinary text, and a step-up rule over all tokens of the class keeps the
 expected share of false finds at ``rate``. Only counts by class and value reach the driver.
@@ -41,6 +46,22 @@ ENCODINGS = (
     ("base62", "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"),
 )
 _INDEX = [{c: k for k, c in enumerate(symbols)} for _, symbols in ENCODINGS]
+_VOWELS, _FREQUENT = set("aeiou"), set("tnsrhldc")
+
+
+def _cell(c: str) -> tuple:
+    """Cell of a symbol: digits; by case, vowels, consonants frequent in prose, and the others."""
+    return ("digit",) if c.isdigit() else (c.islower(), 0 if c.lower() in _VOWELS else 1 if c.lower() in _FREQUENT else 2)
+
+
+def _cells(symbols: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each symbol its cell and whether it is a vowel; of each cell its share of the symbols."""
+    names = sorted({_cell(c) for c in symbols}, key=str)
+    of = np.array([names.index(_cell(c)) for c in symbols])
+    return of, np.array([c.lower() in _VOWELS for c in symbols]), np.bincount(of) / len(symbols)
+
+
+_CELLS = [_cells(symbols) for _, symbols in ENCODINGS]
 LENGTHS = (20, 24, 32, 40, 56, 80)  # lower ends of the length classes
 BINS = 48  # of the combined p-value, four a power of ten
 
@@ -79,22 +100,22 @@ def encoding_of(token: str) -> tuple[int, str] | None:
     return 5, core
 
 
-def battery(x: np.ndarray, k: int) -> float:
-    """Combined p-value of symbols ``x`` being drawn evenly and independently from ``k``."""
+def battery(x: np.ndarray, code: int) -> float:
+    """Combined p-value of the symbols ``x`` being drawn evenly and independently from an encoding."""
     n = len(x)
-    counts = np.bincount(x, minlength=k)
-    chi, df = k / n * float((counts * counts).sum()) - n, k - 1
-    z = ((chi / df) ** (1 / 3) - (1 - 2 / (9 * df))) / math.sqrt(2 / (9 * df))
+    of, vowel, share = _CELLS[code]
+    counts, df = np.bincount(of[x], minlength=len(share)), len(share) - 1
+    chi = float((counts * counts / share).sum()) / n - n
+    z = ((max(chi, 0) / df) ** (1 / 3) - (1 - 2 / (9 * df))) / math.sqrt(2 / (9 * df))
     even = 0.5 * math.erfc(z / math.sqrt(2))
-    high = x >= k / 2
+    high = vowel[x]
     a = int(high.sum())
     b = n - a
+    runs_p = 1.0  # without both kinds the first test has said it all
     if a and b:
         runs, mean = 1 + int((high[1:] != high[:-1]).sum()), 2 * a * b / n + 1
         var = (mean - 1) * (mean - 2) / (n - 1)
         runs_p = math.erfc(abs(runs - mean) / math.sqrt(2 * var)) if var > 0 else 1.0
-    else:
-        runs_p = 2.0 ** (1 - n)
     d = x - x.mean()
     square = float(d @ d)
     r = float(d[1:] @ d[:-1]) / square if square else 1.0
@@ -122,25 +143,42 @@ def candidates(text: str, base: list[tuple[str, int, int]]) -> list[tuple[int, i
             continue
         code, core = found
         x = np.array([_INDEX[code].get(c, 0) for c in core])
-        out.append((m.start(), m.end(), code * len(LENGTHS) + length_class(len(core)), value_bin(battery(x, len(ENCODINGS[code][1])))))
+        out.append((m.start(), m.end(), code * len(LENGTHS) + length_class(len(core)), value_bin(battery(x, code))))
     return out
 
 
-def decoy(text: str) -> tuple[int, int] | None:
-    """(class, bin) of ordinary letters of the text; class, length and place follow its checksum."""
-    raw = text.encode("utf-8", "replace")
-    check = zlib.crc32(raw)
-    code, size = check % len(ENCODINGS), check // 8 % len(LENGTHS)
-    n = LENGTHS[size]
-    at = check // 64 % max(1, len(text) - 4 * n)
-    letters = [c for c in text[at:at + 4 * n].lower() if "a" <= c <= "z"][:n]
-    if len(letters) < n:
-        return None
-    k = len(ENCODINGS[code][1])
-    return code * len(LENGTHS) + size, value_bin(battery(np.array([ord(c) - 97 for c in letters]) % k, k))
+_NAME = re.compile(r"[A-Za-z]+|[0-9]+")
+
+
+def _written(words: list[str], code: int, number: str) -> str:
+    """Words joined as names of that encoding are; ``number`` comes in where the encoding has digits and the words have none."""
+    name = ENCODINGS[code][0]
+    if name in ("letters", "two-case"):
+        words = [w for w in words if w.isalpha()]
+    elif not any(w.isdigit() for w in words):
+        words = [*words[:1], number, *words[1:]]
+    if name in ("two-case", "base62"):
+        return "".join(w[:1].upper() + w[1:] for w in words)
+    text = "".join(words)
+    return text.upper() if name == "base32" else text.lower()
+
+
+def decoys(text: str) -> list[tuple[int, int]]:
+    """(class, bin) of the text's own words, written in each encoding; length and place follow its checksum."""
+    check = zlib.crc32(text.encode("utf-8", "replace"))
+    size = check % len(LENGTHS)
+    n, number, out = LENGTHS[size], str(check // 64 % 10_000), []
+    at = check // 8 % max(1, len(text) - 12 * n)
+    at = 0 if not at else text.find(" ", at) + 1  # whole words
+    words = _NAME.findall(text[at:at + 12 * n])
+    for code in range(len(ENCODINGS)):
+        symbols = [k for c in _written(words, code, number) if (k := _INDEX[code].get(c)) is not None][:n]
+        if len(symbols) == n:
+            out.append((code * len(LENGTHS) + size, value_bin(battery(np.array(symbols), code))))
+    return out
 
 
-def cut_offs(tokens: dict[tuple[int, int], int], decoys: dict[tuple[int, int], int], rate: float) -> dict[int, int]:
+def cut_offs(tokens: dict[tuple[int, int], int], ordinary: dict[tuple[int, int], int], rate: float) -> dict[int, int]:
     """Least accepted bin of each class by a step-up rule inside the class.
 
     A token's chance is the share of decoys that reach its bin, of its own encoding and of
@@ -150,7 +188,7 @@ def cut_offs(tokens: dict[tuple[int, int], int], decoys: dict[tuple[int, int], i
     for c in {c for c, _ in tokens}:
         own = {b: n for (k, b), n in tokens.items() if k == c}
         null = np.zeros(BINS)
-        for (k, b), n in decoys.items():
+        for (k, b), n in ordinary.items():
             if k // len(LENGTHS) == c // len(LENGTHS) and k <= c:
                 null[b] += n
         everything, so_far = sum(own.values()), 0
@@ -171,25 +209,25 @@ def find(docs: DataFrame, rate: float = 0.05) -> DataFrame:
     long = T.LongType()
     numbers = T.ArrayType(long)
     schema = T.StructType([T.StructField("doc_id", kind), T.StructField("base", T.ArrayType(numbers)),
-                           T.StructField("maybe", T.ArrayType(numbers)), T.StructField("decoy", numbers)])
+                           T.StructField("maybe", T.ArrayType(numbers)), T.StructField("decoys", T.ArrayType(numbers))])
     kinds = {k: i for i, k in enumerate(KINDS)}
 
     def scan(batches):
         nested = pa.list_(pa.list_(pa.int64()))
         for batch in sliced(batches):
-            base, maybe, decoys = [], [], []
+            base, maybe, null = [], [], []
             for text in batch.column(1).to_pylist():
                 text = text or ""
                 own = base_spans(text)
                 base.append([(kinds[k], s, e) for k, s, e in own])
                 maybe.append(candidates(text, own))
-                decoys.append(decoy(text))
+                null.append(decoys(text))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(base, nested), pa.array(maybe, nested),
-                                              pa.array(decoys, pa.list_(pa.int64()))], names=schema.names)
+                                              pa.array(null, nested)], names=schema.names)
 
     scanned = stage(docs.select("doc_id", "text").mapInArrow(scan, schema), "tokens")
     token = scanned.select(F.explode("maybe").alias("m")).select(F.lit(0).alias("side"), F.col("m")[2].alias("class"), F.col("m")[3].alias("bin"))
-    other = scanned.filter("decoy is not null").select(F.lit(1).alias("side"), F.col("decoy")[0].alias("class"), F.col("decoy")[1].alias("bin"))
+    other = scanned.select(F.explode("decoys").alias("m")).select(F.lit(1).alias("side"), F.col("m")[0].alias("class"), F.col("m")[1].alias("bin"))
     counts: list[dict] = [{}, {}]
     for r in token.unionAll(other).groupBy("side", "class", "bin").count().collect():  # at most 2 x 36 x 48 rows
         counts[r["side"]][r["class"], r["bin"]] = r["count"]

@@ -2,14 +2,17 @@
 
 Pages are written as gzip records, many archives at once; of equal payloads of at least
 ``least`` bytes one is a response and the others are revisit records that name it. The index
-sorts captures by reversed-host URL key into compressed blocks, and each index file ends with
-a sparse directory of its blocks (first key, place). A lookup finds the file by its first
-key, the block by binary search in the directory, reads only that block's range, and then
-only the record's range of the archive.
-
-Defined results: a null page counts as empty; a null url as an empty one; null ids come last
-when the smallest id is chosen; rows that repeat the smallest id with its payload are all
-responses; line breaks and blanks in a url are percent-encoded in headers and keys. Archives
+sorts captures by reversed-host URL key (then id, payload digest and kind) into compressed
+blocks, and each index file ends with a sparse directory of its blocks (first line, place). A
+lookup finds the file by its first line, the block by binary search in the directory, reads
+only that block's range, and then only the record's range of the archive. Everything is read
+back through the index: its blocks name the records, which are read in ranges of an archive,
+and the response that a revisit names is looked up.
+
+Defined results: ids are whole numbers; a null page counts as empty; a null url as an empty
+one; null ids come last when the smallest id is chosen; rows that repeat the smallest id with
+its payload are all responses; rows that repeat an id and url with other pages are captures of
+their own; line breaks and blanks in a url are percent-encoded in headers and keys. Archives
 of a task that was run again stay unread: only what the index names counts.
 """
 
@@ -97,11 +100,12 @@ def members(data: bytes) -> Iterator[bytes]:
         at = len(view) - len(one.unused_data)
 
 
-_CAPTURE = "key string, page_id bigint, url string, kind string, refers_to bigint, refers_key string, file string, at bigint, bytes bigint"
+_CAPTURE = "key string, page_id bigint, digest string, kind string, file string, at bigint, bytes bigint"
+_ORDER = ("key", "page_id", "digest", "kind")
 
 
 def write_archives(pages: DataFrame, folder: str, least: int = LEAST, level: int = 3, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
-    """Write every page and return its capture: key, ids, kind, and where its record lies (a written table)."""
+    """Write every page and return its capture: key, id, digest, kind, and where its record lies (a written table)."""
     payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
     rows = pages.select(F.col("page_id").cast("bigint").alias("page_id"), "url", payload.alias("payload"))
     rows = rows.withColumn("digest", F.sha2("payload", 256))
@@ -127,8 +131,7 @@ def write_archives(pages: DataFrame, folder: str, least: int = LEAST, level: int
                     refers = (best["page_id"], best["url"]) if revisit else None
                     data = gzip.compress(record(page_id, url, body, digest, refers), level, mtime=0)
                     out.write(data)
-                    made.append((url_key(url), page_id, url, "revisit" if revisit else "response", refers and refers[0], refers and url_key(refers[1]),
-                                 name, place, len(data)))
+                    made.append((url_key(url), page_id, digest, "revisit" if revisit else "response", name, place, len(data)))
                     place += len(data)
                 yield _batch(made, captures)
         finally:
@@ -145,16 +148,16 @@ def _batch(rows: list[tuple], schema: T.StructType) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(list(c), kinds[f.dataType.simpleString()]) for c, f in zip(cols, schema, strict=True)], names=schema.names)
 
 
-def _order(key: str, page_id) -> tuple:
-    return key, page_id is None, page_id or 0
+def _order(key: str, page_id, digest: str, kind: str) -> tuple:
+    return key, page_id is None, page_id or 0, digest, kind
 
 
 def write_index(captures: DataFrame, folder: str, block_lines: int = BLOCK_LINES) -> DataFrame:
-    """Write the index; one row a file: ``first_key, first_id, file, directory_at, directory_bytes``.
+    """Write the index; one row a file: its first line's ``key, page_id, digest, kind``, and ``file, directory_at, directory_bytes``.
 
-    The rows are range-partitioned by key and id, so that one very frequent key spreads too.
+    The rows are range-partitioned by the whole order, so that one very frequent key spreads too.
     """
-    schema = T._parse_datatype_string("first_key string, first_id bigint, file string, directory_at bigint, directory_bytes bigint")
+    schema = T._parse_datatype_string("key string, page_id bigint, digest string, kind string, file string, directory_at bigint, directory_bytes bigint")
 
     def run(batches):
         store, path = filesystem(folder)
@@ -164,16 +167,16 @@ def write_index(captures: DataFrame, folder: str, block_lines: int = BLOCK_LINES
         def flush():
             nonlocal place
             data = gzip.compress("\n".join(json.dumps(x, separators=(",", ":")) for x in lines).encode(), 6, mtime=0)
-            directory.append((lines[0][0], lines[0][1], place, len(data)))
+            directory.append((*lines[0][:4], place, len(data)))
             out.write(data)
             place += len(data)
             lines.clear()
 
         for batch in batches:
-            for key, page_id, kind, file, at, size in zip(*(batch.column(c).to_pylist() for c in ("key", "page_id", "kind", "file", "at", "bytes")), strict=True):
+            for line in zip(*(batch.column(c).to_pylist() for c in (*_ORDER, "file", "at", "bytes")), strict=True):
                 if out is None:
                     out = store.open_output_stream(f"{path}/{name}", compression=None)
-                lines.append((key, page_id, kind, file, at, size))
+                lines.append(line)
                 if len(lines) == block_lines:
                     flush()
         if out is None:
@@ -183,10 +186,27 @@ def write_index(captures: DataFrame, folder: str, block_lines: int = BLOCK_LINES
         data = gzip.compress(json.dumps(directory, separators=(",", ":")).encode(), 6, mtime=0)
         out.write(data)
         out.close()
-        yield _batch([(directory[0][0], directory[0][1], name, place, len(data))], schema)
+        yield _batch([(*directory[0][:4], name, place, len(data))], schema)
 
-    rows = captures.repartitionByRange("key", F.col("page_id").asc_nulls_last()).sortWithinPartitions("key", F.col("page_id").asc_nulls_last())
-    return stage(rows.mapInArrow(run, schema), "index")
+    order = [F.col(c).asc_nulls_last() for c in _ORDER]
+    return stage(captures.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(run, schema), "index")
+
+
+def read_index(index: DataFrame, folder: str) -> DataFrame:
+    """The captures that the index names, block by block of each of its files."""
+    schema = T._parse_datatype_string(_CAPTURE)
+    files = index.select("file", "directory_at", "directory_bytes")
+    files = files.repartition(min(max(1, files.count()), 20_000))  # the rows of a written table, one for each partition of the index
+
+    def run(batches):
+        store, path = filesystem(folder)
+        for batch in batches:
+            for file, at, size in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                with store.open_input_file(f"{path}/{file}") as f:
+                    for *_, place, block in json.loads(gzip.decompress(f.read_at(size, at))):
+                        yield _batch([tuple(json.loads(x)) for x in gzip.decompress(f.read_at(block, place)).decode().split("\n")], schema)
+
+    return files.mapInArrow(run, schema)
 
 
 class Reader:
@@ -196,7 +216,7 @@ class Reader:
         self.store, self.index_path = filesystem(index_folder)
         self.archive_path = filesystem(archive_folder)[1]
         self.files = files
-        self.firsts = [_order(f[0], f[1]) for f in files]
+        self.firsts = [_order(*f[:4]) for f in files]
         self.open: dict[str, object] = {}
         self.directory: tuple[int, list] = (-1, [])
         self.block: tuple[tuple[int, int], list] = ((-1, -1), [])
@@ -210,29 +230,29 @@ class Reader:
         self.ranges += 1
         return self.open[path].read_at(size, at)
 
-    def find(self, key: str, page_id) -> list | None:
-        """The index line of a capture: key, id, kind, archive, place, bytes."""
-        wanted = _order(key, page_id)
+    def find(self, key: str, page_id, digest: str, kind: str = "response") -> list | None:
+        """The index line of a capture: key, id, digest, kind, archive, place, bytes."""
+        wanted = _order(key, page_id, digest, kind)
         f = bisect_right(self.firsts, wanted) - 1
         if f < 0:
             return None
-        path = f"{self.index_path}/{self.files[f][2]}"
+        path = f"{self.index_path}/{self.files[f][4]}"
         if self.directory[0] != f:
-            self.directory = f, json.loads(gzip.decompress(self.range(path, self.files[f][3], self.files[f][4])))
+            self.directory = f, json.loads(gzip.decompress(self.range(path, self.files[f][5], self.files[f][6])))
         blocks = self.directory[1]
-        b = bisect_right(blocks, wanted, key=lambda x: _order(x[0], x[1])) - 1
+        b = bisect_right(blocks, wanted, key=lambda x: _order(*x[:4])) - 1
         if self.block[0] != (f, b):
-            text = gzip.decompress(self.range(path, blocks[b][2], blocks[b][3])).decode()
+            text = gzip.decompress(self.range(path, blocks[b][4], blocks[b][5])).decode()
             self.block = (f, b), [json.loads(x) for x in text.split("\n")]
         lines = self.block[1]
-        k = bisect_right(lines, wanted, key=lambda x: _order(x[0], x[1])) - 1
-        return lines[k] if k >= 0 and _order(lines[k][0], lines[k][1]) == wanted else None
+        k = bisect_right(lines, wanted, key=lambda x: _order(*x[:4])) - 1
+        return lines[k] if k >= 0 and _order(*lines[k][:4]) == wanted else None
 
     def read(self, line: list) -> tuple[dict[str, str], bytes]:
-        return parse(gzip.decompress(self.range(f"{self.archive_path}/{line[3]}", line[4], line[5])))
+        return parse(gzip.decompress(self.range(f"{self.archive_path}/{line[4]}", line[5], line[6])))
 
 
-_READ = "page_id bigint, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint, refers_key string"
+_READ = "page_id bigint, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint, refers_key string, refers_digest string"
 
 
 def _id(text: str | None):
@@ -240,7 +260,7 @@ def _id(text: str | None):
 
 
 def scan_archives(captures: DataFrame, folder: str) -> DataFrame:
-    """Every record read back from the archives, in ranges of about 16 MB of one archive a row."""
+    """Every record of ``captures`` read back from the archives, in ranges of about 16 MB of one archive a row."""
     ranges = captures.groupBy("file", F.floor(F.col("at") / RANGE_BYTES).alias("part")).agg(F.min("at").alias("at"), F.max(F.col("at") + F.col("bytes")).alias("end"))
     schema = T._parse_datatype_string(_READ)
     ranges = stage(ranges, "ranges")  # a few numbers for each 16 MB; dealt one by one, whatever their own size
@@ -258,32 +278,34 @@ def scan_archives(captures: DataFrame, folder: str) -> DataFrame:
                     revisit = fields["WARC-Type"] == "revisit"
                     own = (None, None) if revisit else (len(payload), hashlib.sha256(payload).hexdigest())
                     rows.append((_id(fields["Page-Id"]), *own, fields["WARC-Type"], _id(fields.get("Refers-To-Page-Id")) if revisit else None,
-                                 url_key(fields["WARC-Refers-To-Target-URI"]) if revisit else None))
+                                 url_key(fields["WARC-Refers-To-Target-URI"]) if revisit else None,
+                                 fields["WARC-Payload-Digest"].removeprefix("sha256:") if revisit else None))
                 yield _batch(rows, schema)
 
     return ranges.mapInArrow(run, schema)
 
 
+_TARGET = ("refers_key", "refers_to", "refers_digest")
+
+
 def resolve(targets: DataFrame, index: DataFrame, index_folder: str, archive_folder: str) -> DataFrame:
-    """``refers_key, refers_to, target_bytes, target_digest`` of the wanted captures, each by the index and two range reads."""
-    files = sorted(((r["first_key"], r["first_id"], r["file"], r["directory_at"], r["directory_bytes"]) for r in index.collect()),
-                   key=lambda f: _order(f[0], f[1]))  # one row an index file
-    schema = T._parse_datatype_string("refers_key string, refers_to bigint, target_bytes bigint, target_digest string")
+    """``refers_key, refers_to, refers_digest, target_bytes, target_digest`` of the wanted responses, each by the index and two range reads."""
+    files = sorted((tuple(r) for r in index.collect()), key=lambda f: _order(*f[:4]))  # one row an index file
+    schema = T._parse_datatype_string("refers_key string, refers_to bigint, refers_digest string, target_bytes bigint, target_digest string")
 
     def run(batches):
         reader = Reader(index_folder, archive_folder, files)
         for batch in batches:
             rows = []
-            for key, page_id in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                line = reader.find(key, page_id)
+            for key, page_id, digest in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                line = reader.find(key, page_id, digest)
                 if line is None:
                     raise LookupError(f"no capture of {key} with id {page_id}")
                 _, payload = reader.read(line)
-                rows.append((key, page_id, len(payload), hashlib.sha256(payload).hexdigest()))
+                rows.append((key, page_id, digest, len(payload), hashlib.sha256(payload).hexdigest()))
             yield _batch(rows, schema)
 
-    spread = targets.repartitionByRange("refers_key", "refers_to").sortWithinPartitions("refers_key", "refers_to")
-    return spread.mapInArrow(run, schema)
+    return targets.repartitionByRange(*_TARGET).sortWithinPartitions(*_TARGET).mapInArrow(run, schema)
 
 
 def round_trip(pages: DataFrame, folder: str | None = None, least: int = LEAST) -> DataFrame:
@@ -291,11 +313,11 @@ def round_trip(pages: DataFrame, folder: str | None = None, least: int = LEAST)
     spark: SparkSession = pages.sparkSession
     folder = folder or new_folder(spark, "warc")
     archives, blocks = f"{folder}/archive", f"{folder}/index"
-    captures = write_archives(pages, archives, least)
-    index = write_index(captures, blocks)
-    records = stage(scan_archives(captures, archives), "records")
-    wanted = records.filter("record_type = 'revisit'").select("refers_key", "refers_to").distinct()
+    index = write_index(write_archives(pages, archives, least), blocks)
+    records = stage(scan_archives(read_index(index, blocks), archives), "records")
+    wanted = records.filter("record_type = 'revisit'").select(*_TARGET).distinct()
     targets = resolve(wanted, index, blocks, archives)
-    joined = records.join(targets, records["refers_to"].eqNullSafe(targets["refers_to"]) & (records["refers_key"] == targets["refers_key"]), "left")
+    same = [records[c].eqNullSafe(targets[c]) for c in _TARGET]
+    joined = records.join(targets, same[0] & same[1] & same[2], "left")
     return joined.select("page_id", F.coalesce("payload_bytes", "target_bytes").alias("payload_bytes"),
                          F.coalesce("payload_digest", "target_digest").alias("payload_digest"), "record_type", records["refers_to"])

@@ -51,17 +51,30 @@ def test_index_reads_little(spark, tmp_path):
     folder = f"file://{tmp_path}"
     captures = W.write_archives(frame(spark, rows), folder + "/a")
     index = W.write_index(captures, folder + "/i", block_lines=16)
-    files = sorted((tuple(r) for r in index.collect()), key=lambda f: W._order(f[0], f[1]))
+    files = sorted((tuple(r) for r in index.collect()), key=lambda f: W._order(*f[:4]))
     reader = W.Reader(folder + "/i", folder + "/a", files)
+    digest = [hashlib.sha256(t.encode()).hexdigest() for _, _, t in rows]
     for i in (0, 7, 1_234, 1_999):
         before = reader.ranges
-        line = reader.find(W.url_key(rows[i][1]), i)
+        line = reader.find(W.url_key(rows[i][1]), i, digest[i])
         fields, payload = reader.read(line)
         assert payload.decode() == rows[i][2] and fields["WARC-Type"] == "response" and fields["WARC-Target-URI"] == rows[i][1]
         assert reader.ranges - before <= 3
-    assert reader.find("com,example,none)/", 1) is None and reader.find(W.url_key(rows[5][1]), 6) is None and reader.find("", 0) is None
-    keys = [tuple(r) for r in captures.select("key", "page_id").collect()]
-    assert len(set(keys)) == 2_000
+    assert reader.find("com,example,none)/", 1, digest[1]) is None and reader.find(W.url_key(rows[5][1]), 6, digest[6]) is None and reader.find("", 0, "") is None
+    assert reader.find(W.url_key(rows[5][1]), 5, digest[6]) is None and reader.find(W.url_key(rows[5][1]), 5, digest[5], "revisit") is None
+    assert sorted(map(tuple, W.read_index(index, folder + "/i").collect())) == sorted(map(tuple, captures.collect()))
+    assert sum(1 for _ in (tmp_path / "i").glob("*.cdx.gz")) == len(files)
+
+
+def test_pages_that_repeat_an_id_and_url(spark):
+    """Each capture has its own payload, and a revisit gets the one it repeats."""
+    a, b, c = ("<p>" + x * 200 for x in "abc")
+    rows = [(1, "u", a), (1, "u", b), (2, "v", a), (3, "w", b), (1, "u", c), (1, "u", c), (0, "t", c), (None, "u", a), (None, "u", "x"), (None, "u", "y")]
+    got = sorted(map(tuple, W.round_trip(frame(spark, rows)).collect()), key=key)
+    assert got == sorted(expected(rows), key=key)
+    many = [(1, "u", f"{i % 700} " * 40) for i in range(1_400)] + [(2, "v", f"{i} " * 40) for i in range(700)]
+    got = sorted(map(tuple, W.round_trip(frame(spark, many)).collect()), key=key)
+    assert got == sorted(expected(many), key=key)
 
 
 def test_keys_and_records():
