@@ -48,16 +48,29 @@ def stable(df: DataFrame) -> DataFrame:
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/table-{uuid.uuid4().hex}"
     _MADE.append(path)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stable_path = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Delete a table that ``stable`` returned, once nothing reads it any more."""
+    path = getattr(df, "stable_path", None)
+    if path in _MADE:
+        _MADE.remove(path)
+        _delete(path)
+
+
+def _delete(path: str) -> None:
+    store, plain = fs.FileSystem.from_uri(path if "://" in path else "file://" + path.removeprefix("file:"))
+    if store.get_file_info(plain).type == fs.FileType.Directory:
+        store.delete_dir(plain)
 
 
 def release() -> None:
     """Delete the tables written by ``stable``; done when the process ends."""
     while _MADE:
-        path = _MADE.pop()
-        store, plain = fs.FileSystem.from_uri(path if "://" in path else "file://" + path.removeprefix("file:"))
-        if store.get_file_info(plain).type == fs.FileType.Directory:
-            store.delete_dir(plain)
+        _delete(_MADE.pop())
 
 
 atexit.register(release)

@@ -13,6 +13,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tablewright.core.types import quoted
+from tablewright.operators.histtrees import TreeModel
 
 
 @dataclass(frozen=True)
@@ -121,7 +122,7 @@ class SparkModel:
 
 
 CLOSED_FORM = {c.__name__: c for c in
-               (LinearModel, MultiLinearModel, ExponentialModel, LogarithmModel, WeibullModel)}
+               (LinearModel, MultiLinearModel, ExponentialModel, LogarithmModel, WeibullModel, TreeModel)}
 
 
 def model_apply(df: DataFrame, model, out_fields: Sequence[str]) -> DataFrame:

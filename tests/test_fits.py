@@ -200,11 +200,6 @@ def test_models_are_versioned(spark, data, tmp_path):
         assert models.load_model(spark, root, "other") == m
 
 
-def test_depth_limits():
-    assert trees.depth_for(5, None) == 5 and trees.depth_for(-1, 31) == 5 and trees.depth_for(3, 1000) == 3
-    assert trees._smallest_node(10, 1, lambda: 100) == 5 and trees._smallest_node(0.5, 0.1, lambda: 100) == 25
-
-
 def test_tree_models_learn(spark, data):
     x, y, df, cols = data
     base = y.var()
@@ -225,10 +220,10 @@ def test_k_means_finds_groups(spark):
 
 def test_boosting_types(spark):
     df = spark.createDataFrame([(float(i), float(i % 7 > 3)) for i in range(60)], "x double, y double")
-    forest = trees.fit_boosted(df, ["x"], "y", "binary", "rf", num_leaves=16, num_boost_round=5)
-    assert {r.prediction for r in forest.predict(df).select("prediction").distinct().collect()} <= {0.0, 1.0}
-    for kind in ("dart", "goss"):
-        with pytest.raises(ValueError):
-            trees.fit_boosted(df, ["x"], "y", boosting_type=kind)
+    for kind in ("rf", "gbdt", "dart", "goss"):
+        model = trees.fit_boosted(df, ["x"], "y", "binary", kind, num_leaves=16, num_boost_round=5, min_data_in_leaf=1)
+        assert {r.prediction for r in model.predict(df).select("prediction").distinct().collect()} <= {0.0, 1.0}
+    with pytest.raises(ValueError):
+        trees.fit_boosted(df, ["x"], "y", boosting_type="other")
     with pytest.raises(ValueError):
-        trees.fit_random_forest(df, ["x"], "y", criterion="absolute_error")
+        trees.fit_random_forest(df, ["x"], "y", criterion="other")
