@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import math
 import uuid
 
 from pyspark.sql import functions as F
 
 from catalog.io import scratch
 from catalog.registry import query
+from catalog import tree_sql as ts
 from tablewright.operators import (
     analogy as ana, curvefit, custom, evaluate, models, regression as reg, series, trees,
 )
@@ -117,7 +119,64 @@ def _scores(t, model, y=Y):
     return evaluate.regression_evaluate(done, y, "prediction", ["r2", "rmse"]).withColumn("value", F.round("value", 3))
 
 
-@query("m05_decision_tree")
+X3 = ["l_quantity", "l_discount", "l_tax"]
+_XS = "l_quantity AS x0, l_discount AS x1, l_tax AS x2"
+_CELLS = f"c AS MATERIALIZED (SELECT {_XS}, count(*)::DOUBLE AS n, sum(l_extendedprice) AS a, count(*)::DOUBLE AS b, sum(l_extendedprice * l_extendedprice) AS q FROM lineitem GROUP BY ALL)"
+
+
+def _with(tables: list[str], rest: str) -> str:
+    return "WITH " + ",\n".join(tables) + "\n" + rest
+
+
+def _cell_scores(prediction: str) -> str:
+    """r2 and rmse from cells (n, a, q) and their prediction."""
+    return f"""SELECT unnest(['r2', 'rmse']) AS evaluate, round(unnest([1 - e / v, sqrt(e / n)]), 3) AS value FROM (
+ SELECT sum(n) AS n, sum(q) - sum(a) * sum(a) / sum(n) AS v, sum(q - 2 * p * a + n * p * p) AS e FROM ({prediction}))"""
+
+
+_DEPTH4 = _with([_CELLS, *ts.tree("t", "c", 3, 4, ts.SQUARED)], _cell_scores("SELECT n, a, q, value AS p FROM t JOIN t_v USING (leaf)"))
+_FIVE = _with([_CELLS, *ts.tree("t", "c", 3, 4, ts.SQUARED, leaves=5, least=100)],
+              "SELECT round(value, 2) AS prediction, sum(n)::BIGINT AS n FROM t JOIN t_v USING (leaf) GROUP BY 1")
+
+
+@query("m05_tree_five_leaves", _FIVE)
+def _(t):
+    model = trees.fit_decision_tree(t("lineitem"), X3, Y, None, min_samples_leaf=100, max_leaf_nodes=5)
+    return model.predict(t("lineitem", *X3)).groupBy(F.round("prediction", 2).alias("prediction")).agg(F.count(F.lit(1)).alias("n"))
+
+
+_POISSON = _with([_CELLS, *ts.tree("t", "c", 3, 3, "{a} * ln({a} / {n})", leaves=4, least=100, valid="al > 0 AND ar > 0")],
+                 "SELECT round(value, 2) AS prediction, sum(n)::BIGINT AS n FROM t JOIN t_v USING (leaf) GROUP BY 1")
+
+
+@query("m05_tree_poisson", _POISSON)
+def _(t):
+    model = trees.fit_decision_tree(t("lineitem"), X3, Y, None, min_samples_leaf=100, max_leaf_nodes=4, criterion="poisson")
+    return model.predict(t("lineitem", *X3)).groupBy(F.round("prediction", 2).alias("prediction")).agg(F.count(F.lit(1)).alias("n"))
+
+
+# Quantities with a few far outliers: the absolute error and the squared error cut differently.
+_FAR = "CASE WHEN l_discount = 0.03 AND l_linenumber = 1 THEN l_quantity * 100 ELSE l_quantity END"
+
+
+def _median_level(d: int) -> str:
+    return f"""h{d} AS MATERIALIZED (SELECT node, f, v, side, y FROM (SELECT node, y, unnest([0, 1]) AS f, unnest([x0, x1]) AS x FROM m{d}) r JOIN (
+  SELECT DISTINCT node, f, v FROM (SELECT node, unnest([0, 1]) AS f, unnest([x0, x1]) AS v FROM m{d}) QUALIFY v < max(v) OVER (PARTITION BY node, f)) c USING (node, f), (SELECT unnest([0, 1, 2]) AS side)
+  WHERE side = 2 OR (x <= v)::INT = side),
+e{d} AS MATERIALIZED (SELECT node, f, v, side, sum(abs(y - m)) AS away FROM (SELECT *, median(y) OVER (PARTITION BY node, f, v, side) AS m FROM h{d}) GROUP BY ALL),
+k{d} AS MATERIALIZED (SELECT node, f, v FROM (SELECT node, f, v, round(sum(CASE side WHEN 2 THEN away ELSE -away END), 9) AS gain FROM e{d} GROUP BY ALL) WHERE gain > 0 QUALIFY row_number() OVER (PARTITION BY node ORDER BY gain DESC, f, v) = 1),
+m{d + 1} AS MATERIALIZED (SELECT m.* REPLACE (CASE WHEN k.node IS NULL THEN -abs(m.node) WHEN [x0, x1][f + 1] <= v THEN 2 * m.node ELSE 2 * m.node + 1 END AS node) FROM m{d} m LEFT JOIN k{d} k USING (node))"""
+
+
+@query("m05_tree_absolute_error", f"""WITH m0 AS MATERIALIZED (SELECT l_discount AS x0, l_tax AS x1, ({_FAR})::DOUBLE AS y, 1 AS node FROM lineitem), {_median_level(0)}, {_median_level(1)}
+SELECT x0 AS l_discount, x1 AS l_tax, p AS prediction, count(*) AS n FROM (SELECT *, median(y) OVER (PARTITION BY node) AS p FROM m2) GROUP BY ALL""")
+def _(t):
+    li = t("lineitem").withColumn("far", F.expr(f"cast({_FAR} as double)"))
+    model = trees.fit_decision_tree(li, X3[1:], "far", 2, criterion="absolute_error")
+    return model.predict(t("lineitem", *X3[1:])).groupBy(*X3[1:], "prediction").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("m05_decision_tree", _DEPTH4)
 def _(t):
     return _scores(t, trees.fit_decision_tree(t("lineitem"), ["l_quantity", "l_discount", "l_tax"], Y, max_depth=4))
 
@@ -148,7 +207,8 @@ def _(t):
 
 @query("m07_boosted_one_cut", _STUMP_SQL)
 def _(t):
-    return _by_discount(t, trees.fit_boosted(t("lineitem"), ["l_discount"], Y, num_leaves=2, num_boost_round=1))
+    # at rate 1 the first tree takes the mean all the way to its leaves' means
+    return _by_discount(t, trees.fit_boosted(t("lineitem"), ["l_discount"], Y, num_leaves=2, num_boost_round=1, learning_rate=1.0))
 
 
 @query("m07_binary_one_cut", f"""WITH {_STUMP.format(y="(l_linestatus = 'O')::INT")}
@@ -158,23 +218,89 @@ def _(t):
     return _by_discount(t, trees.fit_boosted(li, ["l_discount"], "late", "binary", num_leaves=2, num_boost_round=1))
 
 
+_POISSON_COUNT = "CASE " + " ".join(f"WHEN u <= {sum(math.exp(-1) / math.factorial(j) for j in range(k + 1))!r} THEN {k}" for k in range(11)) + " ELSE 11 END"
+_FOREST = [f"k AS MATERIALIZED (SELECT {_XS}, l_extendedprice AS y, {ts.row_number('l_orderkey || chr(58) || l_linenumber', 3)} AS r FROM lineitem)"]
+for _i in range(4):
+    _FOREST.append(f"f{_i} AS MATERIALIZED (SELECT x0, x1, x2, sum(w)::DOUBLE AS n, sum(w * y) AS a, sum(w)::DOUBLE AS b FROM (SELECT *, {_POISSON_COUNT} AS w FROM (SELECT *, {ts.uniform('r', _i)} AS u FROM k)) GROUP BY ALL)")
+    _FOREST += ts.tree(f"t{_i}", f"f{_i}", 3, 3, ts.SQUARED, least=50)
+_FOREST_SQL = _with(_FOREST, "SELECT x0 AS l_quantity, x1 AS l_discount, x2 AS l_tax, round((" + " + ".join(f"v{_i}.value" for _i in range(4)) + ") / 4, 2) AS prediction FROM t0 "
+                    + " ".join(f"JOIN t{_i} USING (x0, x1, x2)" for _i in range(1, 4)) + " " + " ".join(f"JOIN t{_i}_v v{_i} ON v{_i}.leaf = t{_i}.leaf" for _i in range(4)))
+
+
+@query("m06_forest_of_samples", _FOREST_SQL)
+def _(t):
+    model = trees.fit_random_forest(t("lineitem"), X3, Y, 4, 3, min_samples_leaf=50, max_features="all", random_state=3, key=["l_orderkey", "l_linenumber"])
+    return model.predict(t("lineitem", *X3).distinct()).withColumn("prediction", F.round("prediction", 2))
+
+
 @query("m06_random_forest")
 def _(t):
     return _scores(t, trees.fit_random_forest(t("lineitem"), ["l_quantity", "l_discount", "l_tax"], Y, 8, 4))
 
 
-@query("m07_boosted_regression")
+_BOOST, _LAST = ts.boosted("c", 3, 5, 8, 0.1, "n * s{k} - a", "n", ["(SELECT sum(a) / sum(n) FROM c)"])
+
+
+@query("m07_boosted_regression", _with([_CELLS, *_BOOST], _cell_scores(f"SELECT n, a, q, s0 AS p FROM {_LAST}")))
 def _(t):
     return _scores(t, trees.fit_boosted(t("lineitem"), ["l_quantity", "l_discount", "l_tax"], Y, num_leaves=8, num_boost_round=5))
 
 
-@query("m07_boosted_binary")
+_LATE = f"c AS MATERIALIZED (SELECT {_XS}, count(*)::DOUBLE AS n, sum((l_linestatus = 'O')::INT)::DOUBLE AS a FROM lineitem GROUP BY ALL)"
+_BOOST2, _LAST2 = ts.boosted("c", 3, 3, 4, 0.1, "n / (1 + exp(-s{k})) - a", "n / (1 + exp(-s{k})) * (1 - 1 / (1 + exp(-s{k})))", ["(SELECT ln(sum(a) / (sum(n) - sum(a))) FROM c)"])
+
+
+@query("m07_boosted_binary", _with([_LATE, *_BOOST2], f"""
+, z AS (SELECT sum(n) AS n, sum(n) FILTER (s0 > 0) AS b, sum(a) AS a, coalesce(sum(a) FILTER (s0 > 0), 0) AS tp, coalesce(sum(n - a) FILTER (s0 <= 0), 0) AS tn FROM {_LAST2}),
+y AS (SELECT *, (tp + tn) / n AS po, (a * coalesce(b, 0) + (n - a) * (n - coalesce(b, 0))) / n / n AS pe FROM z)
+SELECT unnest(['precision', 'recall', 'f1', 'kappa']) AS evaluate, round(unnest([tp / b, tp / a, 2 * tp / (a + coalesce(b, 0)), (po - pe) / (1 - pe)]), 3) AS value FROM y"""))
 def _(t):
     li = t("lineitem").withColumn("late", (F.col("l_linestatus") == "O").cast("double"))
     model = trees.fit_boosted(li, ["l_quantity", "l_discount", "l_tax"], "late", "binary", num_leaves=4, num_boost_round=3)
     return evaluate.classification_evaluate(model.predict(li), "late", "prediction").withColumn("value", F.round("value", 3))
 
 
+_FLAGS = f"c AS MATERIALIZED (SELECT {_XS}, count(*)::DOUBLE AS n, " + ", ".join(f"sum((l_returnflag = '{v}')::INT)::DOUBLE AS a{k}" for k, v in enumerate("ANR")) + " FROM lineitem GROUP BY ALL)"
+_SOFT = "(exp(s{k}) / (exp(s0) + exp(s1) + exp(s2)))"
+_BOOST3, _LAST3 = ts.boosted("c", 3, 2, 4, 0.3, f"n * {_SOFT} - a{{k}}", f"n * {_SOFT} * (1 - {_SOFT}) * 1.5", [f"(SELECT ln(sum(a{k}) / sum(n)) FROM c)" for k in range(3)])
+
+
+@query("m07_boosted_flags", _with([_FLAGS, *_BOOST3], f"SELECT x0 AS l_quantity, x1 AS l_discount, x2 AS l_tax, CASE greatest(s0, s1, s2) WHEN s0 THEN 0.0 WHEN s1 THEN 1.0 ELSE 2.0 END AS prediction FROM {_LAST3}"))
+def _(t):
+    li = t("lineitem").withColumn("flag", F.instr(F.lit("ANR"), F.col("l_returnflag")).cast("double") - 1)
+    model = trees.fit_boosted(li, X3, "flag", "multiclass", num_leaves=4, num_boost_round=2, learning_rate=0.3)
+    return model.predict(t("lineitem", *X3).distinct())
+
+
+def _goss_sql() -> str:
+    """Two rounds over quantities: the fifth with the largest gradients, and a tenth of all rows from the others at eight times their weight."""
+    out = [f"k AS MATERIALIZED (SELECT l_discount AS x0, l_tax AS x1, ({_FAR})::DOUBLE AS y, {ts.row_number('l_orderkey || chr(58) || l_linenumber', 0)} AS r, avg(({_FAR})::DOUBLE) OVER () AS s FROM lineitem)"]
+    for i in range(2):
+        now = "k" if i == 0 else f"k{i}"
+        out.append(f"q{i} AS MATERIALIZED (SELECT quantile_disc(abs(s - y), 0.8) AS high FROM {now})")
+        out.append(f"w{i} AS MATERIALIZED (SELECT x0, x1, count(*) FILTER (w > 0)::DOUBLE AS n, sum(w * (s - y)) AS a, sum(w) AS b FROM (SELECT *, CASE WHEN abs(s - y) >= high THEN 1.0 WHEN {ts.uniform('r', i)} < 0.125 THEN 8.0 ELSE 0.0 END AS w FROM {now}, q{i}) GROUP BY ALL)")
+        out += ts.tree(f"t{i}", f"w{i}", 2, 3, ts.NEWTON, leaves=4, least=20, value="-sum(a) / sum(b)", valid="bl >= 1e-3 AND br >= 1e-3")
+        out.append(f"k{i + 1} AS MATERIALIZED (SELECT {now}.* REPLACE (s + 0.5 * value AS s) FROM {now} JOIN t{i} USING (x0, x1) JOIN t{i}_v USING (leaf))")
+    return _with(out, "SELECT x0 AS l_discount, x1 AS l_tax, round(any_value(s), 3) AS prediction FROM k2 GROUP BY ALL")
+
+
+@query("m07_goss", _goss_sql())
+def _(t):
+    li = t("lineitem").withColumn("far", F.expr(f"cast({_FAR} as double)"))
+    model = trees.fit_boosted(li, X3[1:], "far", boosting_type="goss", num_leaves=4, num_boost_round=2, learning_rate=0.5, key=["l_orderkey", "l_linenumber"])
+    return model.predict(t("lineitem", *X3[1:]).distinct()).withColumn("prediction", F.round("prediction", 3))
+
+
+# The second round leaves the first tree out and grows it again: each of the two then weighs half the rate.
+_DART, _ = ts.boosted("c", 3, 1, 4, 0.5, "n * s{k} - a", "n", ["(SELECT sum(a) / sum(n) FROM c)"])
+
+
+@query("m07_dart", _with([_CELLS, *_DART], "SELECT x0 AS l_quantity, x1 AS l_discount, x2 AS l_tax, round(s0, 2) AS prediction FROM r1"))
+def _(t):
+    model = trees.fit_boosted(t("lineitem"), X3, Y, boosting_type="dart", num_leaves=4, num_boost_round=2, learning_rate=0.5, skip_drop=0.0, drop_rate=1.0)
+    return model.predict(t("lineitem", *X3).distinct()).withColumn("prediction", F.round("prediction", 2))
+
+
 @query("m07_boosted_multiclass")
 def _(t):
     e = t("embeddings").select(*[F.col("embedding")[i].cast("double").alias(f"e{i}") for i in range(64)],
@@ -280,13 +406,13 @@ def _(t):
 
 
 _TWO_PEAKS = _weibull_sql("""q AS (SELECT ts::DATE AS day, sum(value) AS y FROM events GROUP BY 1), o AS (SELECT y, row_number() OVER (ORDER BY day) AS i FROM q WHERE day IS NOT NULL),
-d AS (SELECT (i > 15)::INT + 1 AS g, y, (CASE WHEN i > 15 THEN i - 15 ELSE i END)::DOUBLE AS t, sum(y) OVER (PARTITION BY i > 15) AS k FROM o WHERE i <= 31)""", 1.2, 0.05)
+d AS (SELECT (i > 15)::INT + 1 AS g, y, (CASE WHEN i > 15 THEN i - 15 ELSE i END)::DOUBLE AS t, sum(y) OVER (PARTITION BY i > 15) AS k FROM o)""", 1.2, 0.05)
 
 
 @query("m13_weibull_two_peaks", f"WITH RECURSIVE {_TWO_PEAKS} SELECT g AS peak, round(m, 3) AS m, round(a, 4) AS a FROM it WHERE s = 120")
 def _(t):
     all_days = t("events").groupBy(F.to_date("ts").alias("day")).agg(F.sum("value").alias("total"))
-    out = curvefit.fit_weibull(all_days, "total", "day", regions=[(1, 15), (16, 31)], guess=((1.2, 0.05), (1.2, 0.05)))
+    out = curvefit.fit_weibull(all_days, "total", "day", regions=[(1, 15), (16, all_days.where("day is not null").count())], guess=((1.2, 0.05), (1.2, 0.05)))
     return out.select("peak", F.round("m", 3).alias("m"), F.round("a", 4).alias("a"))
 
 

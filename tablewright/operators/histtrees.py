@@ -135,21 +135,21 @@ class Binned:
 
 def _cuts_of(rows: DataFrame, columns: list[str], most: int) -> list[np.ndarray]:
     """Cuts between neighbouring values, or at quantiles where there are more than ``most`` values."""
-    about = rows.agg(*[F.approx_count_distinct(c, 0.02).alias(c) for c in columns]).first()
-    few = [c for c in columns if about[c] <= 1.2 * most + 2]
-    values: dict[str, list[float]] = {c: [] for c in few}
-    if few:
-        pairs = rows.select(F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.col(c).alias("v")) for i, c in enumerate(few)])).alias("p"))
-        for i, v in pairs.select("p.i", "p.v").distinct().collect():  # at most about 1.3 * most a column
-            values[few[i]].append(v)
-    many = [c for c in columns if len(values.get(c, [None] * (most + 1))) > most]
-    marks = rows.approxQuantile(many, [k / most for k in range(1, most)], 0.2 / most) if many else []
-    out = dict(zip(many, (np.unique(m) for m in marks), strict=True))
-    for c in few:
-        if c not in out:
-            v = np.array(sorted(values[c]))
-            out[c] = (v[1:] + v[:-1]) / 2
-    return [out[c] for c in columns]
+    def pairs(which: list[int]) -> DataFrame:
+        return rows.select(F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.col(columns[i]).alias("v")) for i in which])).alias("p")).select("p.i", "p.v")
+
+    marks = F.percentile_approx("v", [k / most for k in range(1, most)], 5 * most)
+    about = {r["i"]: r for r in pairs(list(range(len(columns)))).groupBy("i").agg(F.approx_count_distinct("v", 0.02).alias("n"), marks.alias("marks")).collect()}  # one a column
+    few = [i for i, r in about.items() if r["n"] <= 1.2 * most + 2]
+    values: dict[int, list[float]] = {i: [] for i in few}
+    for i, v in pairs(few).distinct().collect() if few else []:  # at most about 1.3 * most a column
+        values[i].append(v)
+    out = []
+    for i in range(len(columns)):
+        v = np.array(sorted(values.get(i, [])))
+        by_value = i not in about or i in values and len(v) <= most  # a table without rows has no cuts
+        out.append((v[1:] + v[:-1]) / 2 if by_value else np.unique(about[i]["marks"]))
+    return out
 
 
 def binned(df: DataFrame, x: Sequence[str], y: str, max_bins: int, key: Sequence[str] | None, seed: int, labels: bool = False) -> Binned:
