@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from tablewright.llm.components import components
-from tablewright.llm.shared import sliced, stage
+from tablewright.llm.shared import sliced, stage, wrapped
 
 SEGMENTS = 16
 CROWD = 8
@@ -125,5 +125,6 @@ def hexadecimal(fp) -> F.Column:
 def keep_one(docs: DataFrame, size: int = 3, max_bits: int = 2) -> DataFrame:
     """``docs`` without the rows whose component has a smaller doc_id; rows without an id stay."""
     found = near_duplicates(docs, size, max_bits)
-    gone = found.filter(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == F.col("gone"), "left_anti")
+    # Written first: the ids' true size decides the join, and the rows with their texts move only where they are many.
+    gone = stage(found.filter(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("gone")).distinct(), "gone")
+    return wrapped(docs).join(gone, F.col("row")["doc_id"] == F.col("gone"), "left_anti").select("row.*")

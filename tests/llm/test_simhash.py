@@ -107,3 +107,10 @@ def test_documents(spark):
 def test_empty(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert S.near_duplicates(df).count() == 0 and S.keep_one(df).count() == 0
+
+
+def test_keep_one_with_clashing_names(spark):
+    rows = [(1, "a b c d", 5, "x"), (2, "a b c d", 6, "y"), (3, "other words here", 7, "z"), (None, "a b c d", 8, "q")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, gone long, component_id string")
+    out = S.keep_one(df)
+    assert out.columns == df.columns and sorted(map(tuple, out.collect()), key=str) == sorted([rows[0], rows[2], rows[3]], key=str)
