@@ -4,11 +4,13 @@ A paragraph is a run of lines with letters or digits in them; comment marks coun
 Paragraphs that hold none of the anchor words are no licence statements. The others are read in
 overlapping windows of words, and line by line, and each such piece is scored by a sparse logistic regression over the word n-grams of the
 templates. It is trained, in numpy on the driver, on statements made from the templates
-(words left out, words of the corpus around and between them) and on lines of the corpus and
-statements of made-up licences, both of the class ``unknown``, from a bounded sample. The
-least probability that counts is set on statements kept out of training, so that at most
-``false_rate`` of unknown ones pass. A family is confirmed when enough of a template's word
-pairs occur in the paragraph. Scoring is DataFrame functions alone: n-grams meet the weights
+(words left out, words of the corpus around and between them) and, of the class ``unknown``, on
+lines of the corpus from a bounded sample, on statements of made-up licences and on near
+misses: templates with the words that name their licence exchanged, and identifiers of other
+licences. The least probability that counts is set on statements kept out of training, so that
+at most ``false_rate`` of unknown ones, near misses included, pass. A family is confirmed when
+enough of a template's word pairs occur in the paragraph, and enough of those that no other
+family's template has. Scoring is DataFrame functions alone: n-grams meet the weights
 (a table of at most ``MOST_FEATURES`` rows) in a broadcast join.
 
 Defined results: null and empty texts have no paragraphs; repeated rows are reported each;
@@ -20,6 +22,7 @@ a paragraph below the least probability or without a confirming template is ``un
 from __future__ import annotations
 
 import random
+import re
 from dataclasses import dataclass
 
 import numpy as np
@@ -28,23 +31,30 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from tablewright.llm.shared import stage
 
 # Short statements and opening words of public licences.
-TEMPLATES = (
+STATEMENTS = (
     ("apache-2.0", "licensed under the apache license version 2 0"),
     ("apache-2.0", "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis"),
-    ("apache-2.0", "spdx license identifier apache 2 0"),
     ("mit", "released under the mit license"),
     ("mit", "licensed under the mit license"),
+    ("mit", "under the terms of the mit license"),
     ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files"),
-    ("mit", "spdx license identifier mit"),
+    ("mit", "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement"),
     ("gpl", "this work is licensed under the gnu general public license version 3"),
     ("gpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license"),
-    ("gpl", "spdx license identifier gpl 3 0 or later"),
+    ("gpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation"),
     ("lgpl", "licensed under the gnu lesser general public license version 2 1"),
     ("lgpl", "under the terms of the gnu lesser general public license as published by the free software foundation"),
+    ("lgpl", "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation"),
     ("agpl", "licensed under the gnu affero general public license version 3"),
+    ("agpl", "under the terms of the gnu affero general public license as published by the free software foundation"),
+    ("agpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation"),
     ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
+    ("bsd", "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer"),
+    ("bsd", "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution"),
+    ("bsd", "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"),
     ("bsd", "licensed under the bsd 3 clause license"),
     ("mpl-2.0", "this source code form is subject to the terms of the mozilla public license v 2 0"),
+    ("mpl-2.0", "licensed under the mozilla public license version 2 0"),
     ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"),
     ("cc-by", "licensed under cc by 4 0"),
     ("cc-by", "this work is licensed under a creative commons attribution 4 0 international license"),
@@ -57,6 +67,21 @@ TEMPLATES = (
     ("unlicense", "this is free and unencumbered software released into the public domain"),
     ("proprietary", "copyright all rights reserved no part may be reproduced without prior written permission"),
 )
+# Licence identifiers of the families, and some of other licences.
+IDENTIFIERS = {
+    "apache-2.0": "Apache-2.0", "mit": "MIT", "gpl": "GPL-2.0 GPL-2.0-only GPL-2.0-or-later GPL-3.0 GPL-3.0-only GPL-3.0-or-later",
+    "lgpl": "LGPL-2.1 LGPL-2.1-only LGPL-2.1-or-later LGPL-3.0 LGPL-3.0-only LGPL-3.0-or-later", "agpl": "AGPL-3.0 AGPL-3.0-only AGPL-3.0-or-later",
+    "bsd": "BSD-2-Clause BSD-3-Clause", "mpl-2.0": "MPL-2.0", "isc": "ISC", "cc-by": "CC-BY-4.0", "cc-by-sa": "CC-BY-SA-4.0", "cc-by-nc": "CC-BY-NC-4.0", "cc-by-nd": "CC-BY-ND-4.0",
+    "cc0": "CC0-1.0", "unlicense": "Unlicense",
+}
+OTHER_IDENTIFIERS = "EPL-2.0 Zlib BSL-1.0 Artistic-2.0 EUPL-1.2 OFL-1.1 WTFPL PostgreSQL MS-PL AFL-3.0 OSL-3.0 CECILL-2.1 Apache-1.1 MPL-1.1 GPL-1.0-only MIT-0 BSD-4-Clause CC-BY-3.0 CC-BY-NC-ND-4.0 NCSA".split()
+
+
+def _identified(identifier: str) -> str:
+    return "spdx license identifier " + " ".join(re.split(r"[^a-z0-9]+", identifier.lower())) + " spdxend"
+
+
+TEMPLATES = (*STATEMENTS, *((family, _identified(x)) for family, ids in IDENTIFIERS.items() for x in ids.split()))
 FAMILIES = tuple(dict.fromkeys(f for f, _ in TEMPLATES))
 ANCHOR = r"(?i)licen[cs]e|permission|redistribut|copyright|public domain|creative commons|warrant|spdx"
 _WORDS = r"[^a-z0-9]+"
@@ -90,30 +115,57 @@ class LicenceModel:
         return mask * (self.weights[:, :-1] - self.weights[:, -1:])
 
 
+def exclusive(number: int) -> set[str]:
+    """Word pairs of a template that no template of another family has."""
+    family, text = TEMPLATES[number]
+    return ngrams(text.split(), (2,)) - {g for f, t in TEMPLATES if f != family for g in ngrams(t.split(), (2,))}
+
+
+_EXCLUSIVE = [exclusive(k) for k in range(len(TEMPLATES))]
+
+
+def _near_miss(rng: random.Random, filler: list[str]) -> list[str]:
+    """A template without any of the pairs that set its family apart."""
+    k = rng.randrange(len(TEMPLATES))
+    words = TEMPLATES[k][1].split()
+    for i in range(len(words) - 1):
+        if f"{words[i]} {words[i + 1]}" in _EXCLUSIVE[k]:
+            words[i + (rng.random() < 0.5)] = rng.choice(filler)
+    return words
+
+
 def _made(rng: random.Random, filler: list[str]) -> tuple[list[str], int]:
-    """A statement made from a template, or of a made-up licence (class: one past the families)."""
+    """A statement made from a template, or of another or a made-up licence (class: one past the families)."""
     def fill(n):
         return [rng.choice(filler) for _ in range(rng.randrange(n + 1))]
 
     kind = rng.random()
-    if kind < 0.65:
-        family, text = rng.choice(TEMPLATES)
-        own = [w for w in text.split() if rng.random() > 0.06]
-        return fill(6) + own + fill(6), FAMILIES.index(family)
+    if kind < 0.55:
+        # The families alike, and within one its templates.
+        family = rng.choice(FAMILIES)
+        text = rng.choice([t for f, t in TEMPLATES if f == family])
+        return fill(6) + [w for w in text.split() if rng.random() > 0.06] + fill(6), FAMILIES.index(family)
+    if kind < 0.75:
+        return fill(6) + _near_miss(rng, filler) + fill(6), len(FAMILIES)
+    if kind < 0.85:
+        made = "-".join(rng.choice(filler) for _ in range(rng.randrange(1, 3))) + f"-{rng.randrange(1, 5)}.{rng.randrange(3)}"
+        return fill(6) + _identified(rng.choice([*OTHER_IDENTIFIERS, made])).split() + fill(6), len(FAMILIES)
     frame = rng.choice(("licensed under the {} license version {}", "released under the {} license", "this work is licensed under the {} public license",
                         "copyright {} {}", "permission of the {} is needed", "the {} license terms apply", "without warranty of {}"))
     text = frame.format(" ".join(rng.choice(filler) for _ in range(rng.randrange(1, 4))), rng.randrange(1, 9))
     return fill(6) + text.split() + fill(6), len(FAMILIES)
 
 
-def fit(lines: list[str], *, statements: int = 1_500, steps: int = 150, false_rate: float = 0.01, seed: int = 3) -> LicenceModel:
+def fit(lines: list[str], *, statements: int = 2_400, steps: int = 150, false_rate: float = 0.01, seed: int = 3) -> LicenceModel:
     """Train on made statements and on ``lines`` of the corpus that hold no anchor word (class unknown)."""
     rng = random.Random(seed)
     filler = sorted({w for x in lines for w in x.split()}) or ["thing", "other", "any", "work", "house", "green"]
     rows = [_made(rng, filler) for _ in range(statements)]
     rows += [(x.split()[:200], len(FAMILIES)) for x in lines]
     rng.shuffle(rows)
-    names = sorted({g for _, t in TEMPLATES for g in ngrams(t.split())})[:MOST_FEATURES]
+    names = sorted({g for _, t in TEMPLATES for g in ngrams(t.split())})
+    if len(names) > MOST_FEATURES:
+        raise ValueError("the templates have more n-grams than a broadcast may hold")
     features = {g: k for k, g in enumerate(names)}
     x = np.zeros((len(rows), len(names)), np.float32)
     for i, (words, _) in enumerate(rows):
@@ -138,7 +190,7 @@ def fit(lines: list[str], *, statements: int = 1_500, steps: int = 150, false_ra
     model = LicenceModel(features, w, b, 0.5, 0.5)
     p, own = _softmax(unknown @ w + b)[:, :-1].max(axis=1, initial=0), 1 / (1 + np.exp(-(unknown @ model.own() + b[:-1] - b[-1]).max(axis=1, initial=-np.inf)))
     if len(unknown):
-        model.least, model.least_own = (min(0.95, max(0.5, float(np.quantile(v, 1 - false_rate)))) for v in (p, own))
+        model.least, model.least_own = (float(np.quantile(v, 1 - false_rate)) for v in (p, own))
     return model
 
 
@@ -148,13 +200,22 @@ def _softmax(z: np.ndarray) -> np.ndarray:
 
 
 def _plain(text):
-    return F.trim(F.regexp_replace(F.lower(text), _WORDS, " "))
+    """Words in lower case, one spelling of licence, and a mark behind a licence identifier."""
+    low = F.regexp_replace(F.lower(text), "licence", "license")
+    low = F.regexp_replace(low, r"spdx-license-identifier: *([a-z0-9.+-]+)", "spdx license identifier $1 spdxend ")
+    return F.trim(F.regexp_replace(low, _WORDS, " "))
 
 
 def train(docs: DataFrame, sample_rows: int = 400, line_bytes: int = 2_000, **options) -> LicenceModel:
-    """Fit with one line each of the ``sample_rows`` documents whose ids hash lowest (lines cut at ``line_bytes`` for the sample)."""
-    lines = (docs.filter("text is not null and doc_id is not null").select("doc_id", F.substring(F.substring_index("text", "\n", 1), 1, line_bytes).alias("line"))
-             .filter(~F.col("line").rlike(ANCHOR)).orderBy(F.xxhash64("doc_id"), "doc_id", "line").limit(sample_rows))
+    """Fit with one line each of the ``sample_rows`` documents whose ids hash lowest (lines cut at ``line_bytes`` for the sample).
+
+    Tasks send only lines below a hash bound, which follows from the number of documents.
+    """
+    named = docs.filter("text is not null and doc_id is not null")
+    at = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))
+    bound = int(min(1.0, 4 * (sample_rows + 100) / max(1, named.count())) * (1 << 30))
+    lines = (named.filter(at < bound).select("doc_id", F.substring(F.substring_index("text", "\n", 1), 1, line_bytes).alias("line"))
+             .filter(~F.col("line").rlike(ANCHOR)).orderBy(at, "doc_id", "line").limit(sample_rows))
     return fit([r[0] for r in lines.select(_plain(F.col("line"))).collect()], **options)
 
 
@@ -166,11 +227,11 @@ def _weights(spark: SparkSession, model: LicenceModel) -> DataFrame:
 
 
 def _pairs(spark: SparkSession) -> DataFrame:
-    """One row for each word pair of each template: ``pair`` is its number, ``pairs`` are those of the whole template."""
+    """One row for each word pair of each template: ``pair`` is its number, ``pairs`` are those of the whole template, ``own`` those of its family alone."""
     of = [sorted(ngrams(t.split(), (2,))) for _, t in TEMPLATES]
     number = {g: k for k, g in enumerate(sorted({g for grams in of for g in grams}))}
-    rows = [(g, number[g], i, FAMILIES.index(f), [number[x] for x in of[i]]) for i, (f, _) in enumerate(TEMPLATES) for g in of[i]]
-    return spark.createDataFrame(rows, "gram string, pair int, template int, family int, pairs array<int>")
+    rows = [(g, number[g], i, FAMILIES.index(f), [number[x] for x in of[i]], [number[x] for x in sorted(_EXCLUSIVE[i])]) for i, (f, _) in enumerate(TEMPLATES) for g in of[i]]
+    return spark.createDataFrame(rows, "gram string, pair int, template int, family int, pairs array<int>, own array<int>")
 
 
 def _paragraphs(docs: DataFrame) -> DataFrame:
@@ -192,10 +253,10 @@ def _pieces(paragraphs: DataFrame) -> DataFrame:
     words = F.filter(F.split(F.array_join("lines", " "), " "), lambda x: x != "")
     read = paragraphs.withColumn("at", F.monotonically_increasing_id()).select("doc_id", "line", "at", "lines", words.alias("words"))
     starts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.size("words") - WINDOW // 2 - 1), F.lit(WINDOW // 2))
-    windows = F.transform(starts, lambda i: F.slice("words", i + 1, WINDOW))
-    by_line = F.transform("lines", lambda x: F.split(x, " "))
-    pieces = F.filter(F.array_distinct(F.concat(windows, by_line)), lambda w: F.array_join(w, " ").rlike(ANCHOR))
-    return read.select("doc_id", "line", "at", F.posexplode(pieces).alias("piece", "w"))
+    windows = F.transform(starts, lambda i: F.array_join(F.slice("words", i + 1, WINDOW), " "))
+    # Pieces as text: equal ones are found by hash, so long paragraphs take time in proportion.
+    pieces = F.filter(F.array_distinct(F.concat(windows, "lines")), lambda x: x.rlike(ANCHOR))
+    return read.select("doc_id", "line", "at", F.posexplode(pieces).alias("piece", "x")).select("doc_id", "line", "at", "piece", F.split("x", " ").alias("w"))
 
 
 def scan(docs: DataFrame, model: LicenceModel, confirm: float = CONFIRM) -> DataFrame:
@@ -213,8 +274,8 @@ def scan(docs: DataFrame, model: LicenceModel, confirm: float = CONFIRM) -> Data
     alone = F.array(*[F.col(f"w{classes + c}") + float(model.bias[c] - model.bias[-1]) for c in range(classes - 1)])
     scored = scored.select("at", "piece", "doc_id", "line", logits.alias("z"), alone.alias("alone"))
     shared = (met.select("at", "piece", "gram").join(F.broadcast(_pairs(spark)), "gram").groupBy("at", "piece", "template")
-              .agg(F.first("family").alias("family"), F.first("pairs").alias("pairs"), F.collect_list("pair").alias("has"))
-              .filter(F.size("has") >= confirm * F.size("pairs"))
+              .agg(F.first("family").alias("family"), F.first("pairs").alias("pairs"), F.first("own").alias("alone"), F.collect_set("pair").alias("has"))
+              .filter((F.size("has") >= confirm * F.size("pairs")) & (F.size(F.array_intersect("has", "alone")) >= confirm * F.size("alone")))
               .groupBy("at", "piece").agg(F.collect_list(F.struct("template", "family", "pairs", "has")).alias("like")))
     shared = shared.withColumnRenamed("at", "like_at").withColumnRenamed("piece", "like_piece")
     rows = scored.join(shared, (F.col("at") == F.col("like_at")) & (F.col("piece") == F.col("like_piece")), "left")
