@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, functions as F
 
 from tablewright.core.layout import as_names, running_sum
-from tablewright.core.session import stable
+from tablewright.core.session import discard, stable
 from tablewright.core.types import known, quoted, require_columns, require_numeric
 from tablewright.operators.prep import hash_unit
 
@@ -95,29 +95,29 @@ def chart_bubble(df: DataFrame, x: str, y: str, mode: str = "rows") -> DataFrame
     return df.groupBy(x, y).agg(F.count(F.lit(1)).alias("size"))
 
 
-def chart_tree(df: DataFrame, id: str, pid: str, name: str, value: str, mode: str = "rows",
-               max_depth: int = 64) -> DataFrame:
-    """Nodes, or nodes with the total value of their subtree.
+def chart_tree(df: DataFrame, id: str, pid: str, name: str, value: str, mode: str = "rows") -> DataFrame:
+    """Nodes, or nodes with the total value of their subtree; ``id`` names nodes, and a cycle is an error.
 
-    Sums climb one level per step, already added up per parent.
+    Pointers double: after k steps a node knows the sum of everything less than 2^k levels
+    below it and its ancestor 2^k levels up, so a tree of any depth takes the logarithm of it.
     """
     if _rows(df, [id, pid, name, value], mode):
         return df.select(*[quoted(c) for c in (id, pid, name, value)])
-    links = df.select(quoted(id).alias("_id"), quoted(pid).alias("_pid"))
-    climb = df.select(quoted(id).alias("_node"), quoted(value).cast("double").alias("_v"))
-    parts = climb
-    for depth in range(max_depth + 1):
-        up = (climb.join(links, F.col("_node") == F.col("_id")).where(F.col("_pid").isNotNull())
-              .groupBy(F.col("_pid").alias("_node")).agg(F.sum("_v").alias("_v")))
-        climb = stable(up)
-        if climb.isEmpty():
-            break
-        if depth == max_depth:
-            raise ValueError(f"tree deeper than {max_depth}, or a cycle")
-        parts = parts.unionByName(climb)
-    totals = parts.groupBy("_node").agg(F.sum("_v").alias("subtree_total"))
+    state = stable(df.where(quoted(id).isNotNull()).groupBy(quoted(id).alias("_node")).agg(
+        F.max(quoted(pid)).alias("_up"), F.sum(quoted(value).cast("double")).alias("_sum")))
+    steps = max(1, state.count()).bit_length() + 1  # no path is longer than the number of nodes
+    while not (live := state.where("_up is not null")).isEmpty():
+        if not steps:
+            raise ValueError(f"{id} and {pid} form a cycle")
+        steps -= 1
+        below = live.groupBy(F.col("_up").alias("_at")).agg(F.sum("_sum").alias("_more"))
+        further = state.select(F.col("_node").alias("_via"), F.col("_up").alias("_next"))
+        total = F.when(F.col("_more").isNull(), F.col("_sum")).otherwise(F.coalesce("_sum", F.lit(0.0)) + F.col("_more"))
+        moved = state.join(below, F.col("_node") == F.col("_at"), "left").join(further, F.col("_up") == F.col("_via"), "left")
+        old, state = state, stable(moved.select("_node", F.col("_next").alias("_up"), total.alias("_sum")))
+        discard(old)
     out = df.select(*[quoted(c) for c in (id, pid, name, value)])
-    return out.join(totals, quoted(id) == F.col("_node"), "left").drop("_node")
+    return out.join(state.select("_node", F.col("_sum").alias("subtree_total")), quoted(id) == F.col("_node"), "left").drop("_node")
 
 
 def chart_box(df: DataFrame, dimension, value: str, mode: str = "rows") -> DataFrame:

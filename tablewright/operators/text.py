@@ -84,9 +84,18 @@ def _dictionary_udf(dictionary: Mapping[str, float]):
     return cut
 
 
+def _spread(df: DataFrame) -> int:
+    """As many parts as a shuffle has, fixed, so that adaptive execution does not join them again for their bytes."""
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
 def cut_word(df: DataFrame, col: str, dictionary: Mapping[str, float] | None = None) -> DataFrame:
-    """Add ``seg_result``: the tokens joined by an ideographic comma."""
-    return df.withColumn("seg_result", F.array_join(tokens(quoted(col).cast("string"), dictionary), SEPARATOR))
+    """Add ``seg_result``: the tokens joined by an ideographic comma.
+
+    Rows are dealt out evenly first: cutting takes far longer than moving a text, and a file
+    of one row group, or one with all long texts, would otherwise be cut in one task.
+    """
+    return df.repartition(_spread(df)).withColumn("seg_result", F.array_join(tokens(quoted(col).cast("string"), dictionary), SEPARATOR))
 
 
 def token_counts(df: DataFrame, id: str, col: str, dictionary: Mapping[str, float] | None = None) -> DataFrame:

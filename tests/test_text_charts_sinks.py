@@ -46,13 +46,25 @@ def test_box_equals_percentiles(spark):
         assert (r.low, r.q1, r.median, r.q3, r.high) == pytest.approx(tuple(np.percentile(vals, [0, 25, 50, 75, 100])))
 
 
+def test_deep_trees(spark):
+    """A path of a thousand nodes, a star, values that are missing, and a node that is its own parent."""
+    path = [(i, i - 1 if i else None, float(i)) for i in range(1_000)]
+    star = [(5_000, None, None)] + [(5_001 + i, 5_000, 1.0 if i else None) for i in range(300)]
+    df = spark.createDataFrame(path + star + [(9_000, 8_999, 2.0)], "id long, pid long, v double").withColumn("n", F.col("id"))
+    out = {r.id: r.subtree_total for r in charts.chart_tree(df, "id", "pid", "n", "v", "aggregate").collect()}
+    assert all(out[i] == sum(range(i, 1_000)) for i in range(1_000)) and out[5_000] == 299 and out[5_001] is None and out[9_000] == 2
+    own = spark.createDataFrame([(1, 1, 1.0), (2, None, 1.0)], "id long, pid long, v double").withColumn("n", F.col("id"))
+    with pytest.raises(ValueError, match="cycle"):
+        charts.chart_tree(own, "id", "pid", "n", "v", "aggregate")
+
+
 def test_tree_totals_and_cycles(spark):
     df = spark.createDataFrame([("a", None, 1.0), ("b", "a", 2.0), ("c", "b", 3.0), ("d", "a", 4.0)], "id string, pid string, v double")
     out = {r.id: r.subtree_total for r in charts.chart_tree(df.withColumn("n", F.col("id")), "id", "pid", "n", "v", "aggregate").collect()}
     assert out == {"a": 10.0, "b": 5.0, "c": 3.0, "d": 4.0}
     loop = spark.createDataFrame([("a", "b", "a", 1.0), ("b", "a", "b", 1.0)], "id string, pid string, n string, v double")
     with pytest.raises(ValueError):
-        charts.chart_tree(loop, "id", "pid", "n", "v", "aggregate", max_depth=4)
+        charts.chart_tree(loop, "id", "pid", "n", "v", "aggregate")
 
 
 def test_charts_check_columns(spark):
