@@ -215,7 +215,7 @@ def _(t):
 SELECT l_discount, (CASE WHEN l_discount <= x THEN sl / nl ELSE (sa - sl) / (na - nl) END > 0.5)::INT::DOUBLE AS prediction, count(*) AS n FROM lineitem, b GROUP BY 1, 2""")
 def _(t):
     li = t("lineitem").withColumn("late", (F.col("l_linestatus") == "O").cast("double"))
-    return _by_discount(t, trees.fit_boosted(li, ["l_discount"], "late", "binary", num_leaves=2, num_boost_round=1))
+    return _by_discount(t, trees.fit_boosted(li, ["l_discount"], "late", "binary", num_leaves=2, num_boost_round=1, learning_rate=1.0))
 
 
 _POISSON_COUNT = "CASE " + " ".join(f"WHEN u <= {sum(math.exp(-1) / math.factorial(j) for j in range(k + 1))!r} THEN {k}" for k in range(11)) + " ELSE 11 END"
