@@ -14,8 +14,9 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tablewright.core.gram import moments
-from tablewright.core.layout import as_names, row_index
+from tablewright.core.layout import as_names
 from tablewright.core.numeric import fix_signs
+from tablewright.core.ranks import between, cut_at, row_digits
 from tablewright.core.session import hold
 from tablewright.core.types import Scaler, known, quoted, require_columns, require_numeric
 
@@ -186,7 +187,8 @@ def data_split(df: DataFrame, key, train: int = 80, test: int = 20, valid: int =
     """Split into train, test and (when asked for) valid parts by percentages.
 
     By default each row goes where the hash of its key falls, so the split is
-    stable and needs no shuffle. ``exact`` sizes the parts by rank of the hash.
+    stable and needs no shuffle. ``exact`` sizes the parts by rank of the hash (equal hashes
+    by a hash of the row), found from counts alone.
     ``override`` replaces computed parts with given tables; the other parts are computed.
     """
     if train + test + valid != 100:
@@ -198,23 +200,23 @@ def data_split(df: DataFrame, key, train: int = 80, test: int = 20, valid: int =
     names = as_names(key)
     require_columns(df, names)
     if exact:
-        h = hash_unit(names, seed, 2**31)
-        ranked = row_index(df.withColumn("_hash", h), ["_hash", *names], name="_at")
         total = df.count()
-        cut1 = total - -(-total * (test + valid) // 100)
-        cut2 = cut1 + -(-total * test // 100)
-        at, drop = F.col("_at") - 1, ("_hash", "_at")
-    else:
-        ranked = df.withColumn("_at", hash_unit(names, seed, 10_000))
-        cut1, cut2 = train * 100, (train + test) * 100
-        at, drop = F.col("_at"), ("_at",)
+        first = total - -(-total * (test + valid) // 100)
+        digits = row_digits(df, hash_unit(names, seed, 2**31))
+        cuts = [cut_at(df, digits, first), cut_at(df, digits, first + -(-total * test // 100)) if valid else None]
+        parts = {"train": between(df, digits, None, cuts[0]), "test": between(df, digits, cuts[0], cuts[1])}
+        if valid:
+            parts["valid"] = between(df, digits, cuts[1], None)
+        return parts | override
+    ranked, at = df.withColumn("_at", hash_unit(names, seed, 10_000)), F.col("_at")
+    cut1, cut2 = train * 100, (train + test) * 100
     parts = {
         "train": ranked.where(at < cut1),
         "test": ranked.where((at >= cut1) & (at < cut2)),
     }
     if valid:
         parts["valid"] = ranked.where(at >= cut2)
-    return {k: v.drop(*drop) for k, v in parts.items()} | override
+    return {k: v.drop("_at") for k, v in parts.items()} | override
 
 
 def to_vector(df: DataFrame, columns: Sequence[str], out: str = "features") -> DataFrame:

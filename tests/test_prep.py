@@ -118,6 +118,23 @@ def test_split_is_a_partition(spark, exact):
         assert abs(n["train"] - 900) < 80
 
 
+def test_exact_split_of_repeated_keys_and_rows(spark):
+    """A key with a third of the rows, and rows that are equal throughout, are cut in the middle."""
+    rows = [(i, f"r{i}") for i in range(200)] + [(7, f"s{i}") for i in range(90)] + [(8, "same")] * 110
+    df = spark.createDataFrame(rows, "k long, v string").repartition(6)
+    for shares, want in (((60, 15, 25), (240, 60, 100)), ((34, 33, 33), (136, 132, 132)), ((1, 98, 1), (4, 392, 4)), ((0, 50, 50), (0, 200, 200))):
+        for seed in range(3):
+            parts = prep.data_split(df, "k", *shares, seed=seed, exact=True)
+            got = {n: [tuple(r) for r in p.collect()] for n, p in parts.items()}
+            assert tuple(len(got[n]) for n in ("train", "test", "valid")) == want
+            assert sorted(sum(got.values(), [])) == sorted(rows)
+    two = prep.data_split(spark.createDataFrame([("a",)] * 10, "k string"), "k", 70, 30, exact=True)
+    assert (two["train"].count(), two["test"].count()) == (7, 3)
+    none = prep.data_split(df.limit(0), "k", 60, 20, 20, exact=True)
+    assert [p.count() for p in none.values()] == [0, 0, 0]
+    assert "Sort" not in two["train"]._jdf.queryExecution().executedPlan().toString()
+
+
 def test_split_rules(spark):
     df = spark.range(10)
     with pytest.raises(ValueError):
