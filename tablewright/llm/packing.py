@@ -296,7 +296,8 @@ def _pieces(tokens: DataFrame, window: int) -> DataFrame:
         else:
             counts[r["length"]] = r["n"]
     ahead = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = by_part.select("part", "length", F.coalesce(F.sum("n_here").over(ahead), F.lit(0)).alias("ahead"))
+    # One row a part and length, so it grows with the table: merged, never broadcast; the units are dealt by the same keys already.
+    offsets = by_part.select("part", "length", F.coalesce(F.sum("n_here").over(ahead), F.lit(0)).alias("ahead")).hint("merge")
     here = Window.partitionBy("part", "length").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
     ranked = units.withColumn("before", F.coalesce(F.sum("weight").over(here), F.lit(0))).join(offsets, ["part", "length"]).select(
         "at", "doc_id", "n", "length", "weight", "crcs", (F.col("ahead") + F.col("before")).alias("rank"))
