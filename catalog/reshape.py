@@ -45,6 +45,20 @@ def _(t):
     return rel.type_convert(text, {"a": "DATE", "b": "DATE"})
 
 
+@query("p04_free_form_dates", """
+SELECT o_orderkey, CASE WHEN o_orderkey % 10 IN (1, 3, 5) THEN date_trunc('day', o_orderdate) + INTERVAL (o_orderkey % 24) HOUR + INTERVAL (o_orderkey % 60) MINUTE
+ WHEN o_orderkey % 10 = 9 THEN NULL ELSE date_trunc('day', o_orderdate) END AS d FROM orders""")
+def _(t):
+    clock = "lpad(o_orderkey % 24, 2, '0') || ':' || lpad(o_orderkey % 60, 2, '0')"
+    half = ("if(o_orderkey % 12 = 0, 12, o_orderkey % 12) || ':' || lpad(o_orderkey % 60, 2, '0') || if(o_orderkey % 24 < 12, ' am', ' P.M.')")
+    shapes = ["date_format(o_orderdate, 'yyyyMMdd')", f"date_format(o_orderdate, 'EEE, d MMM yyyy ') || {clock} || ' +0100'",
+              "date_format(o_orderdate, 'MMMM d, yyyy')", f"date_format(o_orderdate, 'M/d/yyyy') || ' at ' || {half}",
+              "date_format(o_orderdate, 'd-MMM-yy')", f"{clock} || date_format(o_orderdate, ' yyyy.MM.dd')", "date_format(o_orderdate, 'yyyy/M/d')",
+              "date_format(o_orderdate, \"MMM d ''yy\")", "date_format(o_orderdate, 'dd') || 'th of ' || date_format(o_orderdate, 'MMM, yyyy')", "'NaT'"]
+    cell = "CASE o_orderkey % 10 " + " ".join(f"WHEN {k} THEN {s}" for k, s in enumerate(shapes)) + " END d"
+    return rel.type_convert(t("orders").selectExpr("o_orderkey", cell), {"d": "DATE"})
+
+
 @query("p05_to_text", """
 SELECT o_orderkey::VARCHAR AS o_orderkey, CASE WHEN o_orderstatus = 'F' THEN NULL ELSE o_custkey::DOUBLE::VARCHAR END AS v FROM orders""")
 def _(t):

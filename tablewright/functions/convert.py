@@ -2,31 +2,22 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column, functions as F
 
-# Free-form layouts tried after those; where day and month could change places, the month comes first.
-FREE_LAYOUTS = (
-    "yyyy/M/d", "yyyy.M.d", "yyyyMMdd", "d MMM yyyy", "d MMMM yyyy", "MMM d, yyyy", "MMMM d, yyyy", "MMM d yyyy",
-    "d-MMM-yyyy", "M/d/yyyy", "M-d-yyyy", "d/M/yyyy", "d.M.yyyy",
-)
-FREE_CLOCKS = ("", " H:mm", " H:mm:ss", " h:mm a")
+from tablewright.functions.dates import free_date
+
 # Date layouts tried in order.
 DATE_LAYOUTS = ("yyyy-MM-dd HH:mm:ss", "HH:mm:ss", "yyyy-MM-dd")
 # Cells that stand for a missing date.
 NO_DATE = ("nan", "NaT", "NaN", "")
 
 
-def _shape(layout: str) -> str:
-    """Regular expression of texts a layout may fit, so that few layouts are tried on a cell."""
-    parts = {"yyyy": r"\d{4}", "MMMM": "[A-Za-z]{3,9}", "MMM": "[A-Za-z]{3}", "MM": r"\d{2}", "dd": r"\d{2}", "M": r"\d{1,2}", "d": r"\d{1,2}",
-             "H": r"\d{1,2}", "h": r"\d{1,2}", "mm": r"\d{2}", "ss": r"\d{2}", "a": "[AaPp][Mm]"}
-    return "^" + re.sub(r"y+|M+|d+|H|h|m+|s+|a|\W", lambda m: parts.get(m[0], re.escape(m[0])), layout) + "$"
-
+def to_date_column(col: Column, strict: bool = True, default: Column | None = None) -> Column:
+    """Parse text as a timestamp; a bad cell raises when ``strict``.
 
-def to_date_column(col: Column, strict: bool = True) -> Column:
-    """Parse text as a timestamp; a bad cell raises when ``strict``."""
+    After the fixed layouts, texts are read as free-form dates (``dates.free_date``), where
+    ``default`` fills in what a text leaves out.
+    """
     text = F.trim(col.cast("string"))
     present = F.when(~text.isin(*NO_DATE), text)
 
@@ -40,9 +31,7 @@ def to_date_column(col: Column, strict: bool = True) -> Column:
         layout(present, full),
         layout(on_first_day, f"yyyy-MM-dd {clock}"),
         layout(present, day),
-        F.when(~present.rlike(r"^\d{5,}$"), present.try_cast("timestamp_ntz")),
-        *[layout(F.when(present.rlike(_shape(day_part + clock_part)), present), day_part + clock_part)
-          for day_part in FREE_LAYOUTS for clock_part in FREE_CLOCKS],
+        free_date(present, default),
     )
     if not strict:
         return value
