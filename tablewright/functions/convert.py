@@ -6,8 +6,6 @@ from pyspark.sql import Column, functions as F
 
 from tablewright.functions.dates import free_date
 
-# Date layouts tried in order.
-DATE_LAYOUTS = ("yyyy-MM-dd HH:mm:ss", "HH:mm:ss", "yyyy-MM-dd")
 # Cells that stand for a missing date.
 NO_DATE = ("nan", "NaT", "NaN", "")
 
@@ -21,17 +19,16 @@ def to_date_column(col: Column, strict: bool = True, default: Column | None = No
     text = F.trim(col.cast("string"))
     present = F.when(~text.isin(*NO_DATE), text)
 
-    def layout(text: Column, pattern: str) -> Column:
-        return F.try_to_timestamp(text, F.lit(pattern)).cast("timestamp_ntz")
+    def layout(shape: str, text: Column, pattern: str) -> Column:
+        return F.try_to_timestamp(F.when(present.rlike(shape), text), F.lit(pattern)).cast("timestamp_ntz")
 
-    full, clock, day = DATE_LAYOUTS
-    # A bare time of day belongs to the first day of 1900.
-    on_first_day = F.concat(F.lit("1900-01-01 "), present)
+    day, clock = r"\d{4}-\d{2}-\d{2}", r"\d{1,2}:\d{1,2}:\d{1,2}"
     value = F.coalesce(
-        layout(present, full),
-        layout(on_first_day, f"yyyy-MM-dd {clock}"),
-        layout(present, day),
-        free_date(present, default),
+        layout(rf"^{day} {clock}$", present, "yyyy-MM-dd H:m:s"),
+        # A bare time of day belongs to the first day of 1900.
+        layout(f"^{clock}$", F.concat(F.lit("1900-01-01 "), present), "yyyy-MM-dd H:m:s"),
+        layout(f"^{day}$", present, "yyyy-MM-dd"),
+        F.when(~present.rlike(f"^{clock}$"), free_date(present, default)),
     )
     if not strict:
         return value

@@ -33,16 +33,16 @@ MONTH_NAMES = ("jan(uary)?|feb(ruary)?|mar(ch)?|apr(il)?|may|june?|july?|aug(ust
 WEEKDAYS = "mon(day)?|tue(s|sday)?|wed(nesday)?|thu(r|rs|rsday)?|fri(day)?|sat(urday)?|sun(day)?"
 FILLERS = "at|on|and|ad|of"
 
-_HALF = r"(?i:\s*([ap])\.?(?:m\.?)?(?![a-z]))"
+_HALF = r"(?i:\s*(?<half>[ap])\.?(?:m\.?)?(?![a-z]))"
 _ZONE = (rf"(?:\s*(?!(?i:{MONTH_NAMES})\b)(?:[Zz]|[A-Z]{{3,5}})(?![A-Za-z]))?(?:\s*[+-]\d{{2}}(?::?\d{{2}})?(?!\d))?"
          r"(?:\s*\([A-Z]{3,5}\))?")
-# Each with the groups that hold hour, minute, second, fraction and half of the day.
 _CLOCKS = (
-    (rf"(?<![\d.:])(\d{{1,2}}):(\d{{1,2}})(?::(\d{{1,2}})(?:[.,](\d{{1,9}}))?)?{_HALF}?(?![\d:]){_ZONE}", (1, 2, 3, 4, 5)),
-    (r"(?i)(?<![\d.:])(\d{1,2})\s*h(?:ours?)?(?![a-z])(?:\s*(\d{1,2})\s*m(?:inutes?)?(?![a-z]))?"
-     r"(?:\s*(\d{1,2})(?:[.,](\d{1,9}))?\s*s(?:econds?)?(?![a-z]))?", (1, 2, 3, 4, None)),
-    (rf"(?<![\d.:/-])(\d{{1,2}}){_HALF}{_ZONE}", (1, None, None, None, 2)),
+    rf"(?<![\d.:])(?<h>\d{{1,2}}):(?<m>\d{{1,2}})(?::(?<s>\d{{1,2}})(?:[.,](?<f>\d{{1,9}}))?)?{_HALF}?(?![\d:]){_ZONE}",
+    r"(?i:(?<![\d.:])(?<h>\d{1,2})\s*h(?:ours?)?(?![a-z])(?:\s*(?<m>\d{1,2})\s*m(?:inutes?)?(?![a-z]))?"
+    r"(?:\s*(?<s>\d{1,2})(?:[.,](?<f>\d{1,9}))?\s*s(?:econds?)?(?![a-z]))?)",
+    rf"(?<![\d.:/-])(?<h>\d{{1,2}}){_HALF}{_ZONE}",
 )
+_FIELDS = ("h", "m", "s", "f", "half")
 _WORD = "[0-9]+|[a-z]+"
 
 
@@ -58,15 +58,21 @@ def _number(text: Column) -> Column:
 def _clock(text: Column) -> Column:
     """(h, m, s, rest): the clock of a text, null without one, and the text around it."""
     found = F.lit(None)
-    for pattern, groups in reversed(_CLOCKS):
-        hour, minute, second, fraction, half = [F.regexp_extract(text, pattern, g) if g else F.lit("") for g in groups]
-        h = _number(hour)
-        h = (F.when(half == "", h).when(h > 12, -1)
-             .otherwise(h % 12 + F.when(F.lower(half) == "p", 12).otherwise(0)))
-        s = F.concat(F.when(second == "", "0").otherwise(second), F.lit("."), F.rpad(fraction, 6, "0"))
-        around = F.struct(h.alias("h"), F.coalesce(_number(minute), F.lit(0)).alias("m"), s.try_cast("decimal(16,6)").alias("s"),
-                          F.lower(F.regexp_replace(text, f"(?s)^(.*?){pattern}", "$1 ")).alias("rest"))
-        found = F.when(text.rlike(pattern), around).otherwise(found)
+    for pattern in reversed(_CLOCKS):
+        # One pass: the fields, each behind the other, then the text around the first clock.
+        groups = "".join("${%s}\1" % f if f"<{f}>" in pattern else "\1" for f in _FIELDS)
+        cut = F.regexp_replace(text, f"(?s)^(?<before>.*?){pattern}(?<after>.*)$", groups + "${before} ${after}")
+
+        def around(parts: Column) -> Column:
+            hour, minute, second, fraction, half, rest = [F.get(parts, F.lit(k)) for k in range(6)]
+            h = _number(hour)
+            h = (F.when(half == "", h).when(h > 12, -1)
+                 .otherwise(h % 12 + F.when(F.lower(half) == "p", 12).otherwise(0)))
+            s = F.concat(F.when(second == "", "0").otherwise(second), F.lit("."), F.rpad(fraction, 6, "0"))
+            return F.struct(h.alias("h"), F.coalesce(_number(minute), F.lit(0)).alias("m"),
+                            s.try_cast("decimal(16,6)").alias("s"), F.lower(rest).alias("rest"))
+
+        found = F.when(text.rlike(pattern), _let(F.split(cut, "\1", 6), around)).otherwise(found)
     none = F.struct(F.lit(None).cast("int").alias("h"), F.lit(None).cast("int").alias("m"),
                     F.lit(None).cast("decimal(16,6)").alias("s"), F.lower(text).alias("rest"))
     return F.coalesce(found, none)
