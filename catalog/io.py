@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from catalog.registry import query
 from tablewright.core.session import ensure_checkpoint_dir
 from tablewright.operators.relational import column_filter
-from tablewright.sources import generators as gen, sinks, tables
+from tablewright.sources import files, generators as gen, sinks, tables
 
 
 def scratch(t, kind: str) -> str:
@@ -214,3 +214,34 @@ FROM supplier FULL JOIN customer ON s_suppkey = c_custkey""")
 def _(t):
     base = t("supplier").selectExpr("s_suppkey key", "s_name name", "s_acctbal balance")
     return sinks.upsert(base, t("customer").selectExpr("c_custkey key", "c_name name"), "key")
+
+
+def edited(t, df, key):
+    """Path of an editable table with the rows of ``df``."""
+    path = scratch(t, "files")
+    files.create_files(df, path, key)
+    return path
+
+
+@query("k07_update_files", """
+SELECT o_orderkey, o_custkey, CASE WHEN s_suppkey IS NULL THEN o_totalprice ELSE s_acctbal END AS o_totalprice
+FROM orders LEFT JOIN supplier ON s_suppkey = o_orderkey""")
+def _(t):
+    path = edited(t, t("orders", "o_orderkey", "o_custkey", "o_totalprice"), "o_orderkey")
+    new = t("supplier").selectExpr("s_suppkey o_orderkey", "s_acctbal o_totalprice")
+    return files.update_files(new, path, "o_orderkey").read(t.spark)
+
+
+@query("k08_delete_files", "SELECT o_orderkey, o_custkey FROM orders WHERE o_orderkey NOT IN (SELECT c_custkey FROM customer)")
+def _(t):
+    path = edited(t, t("orders", "o_orderkey", "o_custkey"), "o_orderkey")
+    return files.delete_files(t("customer").selectExpr("c_custkey o_orderkey"), path, "o_orderkey").read(t.spark)
+
+
+@query("k10_upsert_files", """
+SELECT coalesce(c_custkey, p_partkey) AS key, CASE WHEN p_partkey IS NULL THEN c_name ELSE p_name END AS name, c_acctbal AS balance, p_size::DOUBLE AS size
+FROM customer FULL JOIN part ON c_custkey = p_partkey""")
+def _(t):
+    path = edited(t, t("customer").selectExpr("c_custkey key", "c_name name", "c_acctbal balance"), "key")
+    files.add_file_column(path, "size", "NUMBER")
+    return files.upsert_files(t("part").selectExpr("p_partkey key", "p_name name", "p_size size"), path, "key").read(t.spark)
