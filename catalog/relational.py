@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from catalog.registry import query
 from tablewright.core.layout import row_index, running_sum
+from tablewright.core.session import ensure_checkpoint_dir
 from tablewright.operators import aggregate as agg, relational as rel
+from tablewright.sources.paging import paged
 from tablewright.sources.tables import page, page_with_total
 
 
@@ -204,6 +208,15 @@ def _(t):
     return page_with_total(t("orders", "o_orderkey", "o_totalprice"), [F.col("o_totalprice").desc(), F.col("o_orderkey")], 3, 25)
 
 
+@query("l02_deep_page", """
+SELECT l_orderkey, l_linenumber, l_extendedprice, (SELECT count(*) FROM lineitem) AS total
+FROM lineitem ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber LIMIT 5 OFFSET 4995""")
+def _(t):
+    rows = t("lineitem", "l_orderkey", "l_linenumber", "l_extendedprice")
+    path = f"{ensure_checkpoint_dir(t.spark).rstrip('/')}/pages-{uuid.uuid4().hex}"
+    return paged(rows, [F.col("l_extendedprice").desc(), "l_orderkey", "l_linenumber"], path).page_with_total(t.spark, 1000, 5)
+
+
 @query("l03_top_k_per_group", """
 SELECT o_orderpriority, o_orderkey, ranking FROM (SELECT *, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_totalprice DESC, o_orderkey) AS ranking
 FROM orders) WHERE ranking <= 3""")

@@ -1,9 +1,12 @@
 """Non-linear curve fits: exponential, logarithmic and Weibull.
 
-A fit needs sums of squares and cross-products of the Jacobian only. One series,
-or a series too long for one task, gets them from one Spark aggregate per
-Levenberg-Marquardt step; many short series are fitted side by side, each inside
-the task that holds it.
+Rows of equal x are first summed up as one point: their number, the mean of y and the squares
+around it. That is one pass over the input, loses nothing a least squares fit needs, and is
+written as a table that all steps read. A step needs sums of squares and cross-products of the
+Jacobian only. One series, or a series with more points than a task should hold, gets them
+from one Spark aggregate per Levenberg-Marquardt step; many short series are fitted side by
+side, each inside the task that holds it, by the same steps. ``converged`` says whether a fit
+came to rest within its steps.
 """
 
 from __future__ import annotations
@@ -16,7 +19,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tablewright.core.layout import as_names, row_index, running_sum
-from tablewright.core.session import GROUP_LIMIT, hold
+from tablewright.core.session import GROUP_LIMIT, stable
 from tablewright.core.types import quoted, require_columns, require_numeric
 from tablewright.operators.models import ExponentialModel, LogarithmModel, WeibullModel
 
@@ -95,95 +98,101 @@ class _Descent:
             self.trial = self.best + np.linalg.lstsq(lhs, g, rcond=None)[0]
 
 
-def _fit_arrays(curve: Curve, x, y, k, guess, max_iter: int) -> tuple[np.ndarray, float]:
+def _points(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """One row per key and x: number of rows, mean and sum of y, squares around the mean."""
+    return stable(rows.groupBy(*keys, "_x").agg(
+        F.count(F.lit(1)).alias("_n"), F.sum("_y").alias("_sum"), F.avg("_y").alias("_mean"),
+        (F.var_pop("_y") * F.count(F.lit(1))).alias("_within")))
+
+
+def _fit_arrays(curve: Curve, x, y, n, within: float, k, guess, max_iter: int) -> _Descent:
     d = _Descent(guess)
     for _ in range(max_iter):
         with np.errstate(all="ignore"):
             f, j = curve.numpy(d.trial, x, k)
             r, jac = y - f, np.column_stack(j)
-            d.offer(float(r @ r), jac.T @ jac, jac.T @ r)
+            d.offer(float(n @ (r * r)) + within, jac.T @ (jac * n[:, None]), jac.T @ (n * r))
         if d.done:
             break
-    return d.best, d.fit[0]
+    return d
 
 
-def _fit_distributed(curve: Curve, rows: DataFrame, keys: list[str], starts: dict, scales: dict,
+def _fit_distributed(curve: Curve, points: DataFrame, keys: list[str], starts: dict, scales: dict,
                      max_iter: int) -> dict:
-    """Fit every group of ``rows`` (keys, _x, _y); one aggregate per step for all of them."""
-    spark, q = rows.sparkSession, len(curve.params)
-    types = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
+    """Fit every group of ``points``; one aggregate per step for all of them."""
+    spark, q = points.sparkSession, len(curve.params)
+    types = {f.name: f.dataType.simpleString() for f in points.schema.fields}
     state = {g: _Descent(p) for g, p in starts.items()}
-    held = hold(rows)
-    try:
-        for _ in range(max_iter):
-            live = [g for g, d in state.items() if not d.done]
-            if not live:
-                break
-            if keys:
-                schema = ", ".join([f"`_g_{c}` {types[c]}" for c in keys]
-                                   + [f"_p{i} double" for i in range(q)] + ["_k double"])
-                table = spark.createDataFrame(
-                    [(*g, *map(float, state[g].trial), float(scales[g])) for g in live], schema)
-                cond = [F.col(c).eqNullSafe(F.col(f"_g_{c}")) for c in keys]
-                at = held.join(F.broadcast(table), cond)  # one row per long series
-                p, k = [F.col(f"_p{i}") for i in range(q)], F.col("_k")
-            else:
-                at = held
-                p, k = [F.lit(float(v)) for v in state[()].trial], F.lit(float(scales[()]))
-            f, j = curve.spark(p, F.col("_x"), k)
-            at = at.select(*keys, (F.col("_y") - f).alias("_r"),
-                           *[c.alias(f"_j{i}") for i, c in enumerate(j)])
-            aggs = [F.sum(F.col("_r") * F.col("_r")).alias("sse")]
-            aggs += [F.sum(F.col(f"_j{i}") * F.col("_r")).alias(f"g{i}") for i in range(q)]
-            aggs += [F.sum(F.col(f"_j{i}") * F.col(f"_j{h}")).alias(f"h{i}_{h}")
-                     for i in range(q) for h in range(i, q)]
-            got = at.groupBy(*keys).agg(*aggs).collect() if keys else [at.agg(*aggs).first()]
-            for row in got:
-                jtj = np.zeros((q, q))
-                for i in range(q):
-                    for h in range(i, q):
-                        jtj[i, h] = jtj[h, i] = row[f"h{i}_{h}"]
-                g = tuple(row[c] for c in keys)
-                state[g].offer(row["sse"], jtj, np.array([row[f"g{i}"] for i in range(q)]))
-    finally:
-        held.unpersist()
-    return {g: (d.best, d.fit[0]) for g, d in state.items()}
+    for _ in range(max_iter):
+        live = [g for g, d in state.items() if not d.done]
+        if not live:
+            break
+        if keys:
+            schema = ", ".join([f"`_g_{c}` {types[c]}" for c in keys]
+                               + [f"_p{i} double" for i in range(q)] + ["_k double"])
+            table = spark.createDataFrame(
+                [(*g, *map(float, state[g].trial), float(scales[g])) for g in live], schema)
+            cond = [F.col(c).eqNullSafe(F.col(f"_g_{c}")) for c in keys]
+            at = points.join(F.broadcast(table), cond)  # one row per long series
+            p, k = [F.col(f"_p{i}") for i in range(q)], F.col("_k")
+        else:
+            at = points
+            p, k = [F.lit(float(v)) for v in state[()].trial], F.lit(float(scales[()]))
+        f, j = curve.spark(p, F.col("_x"), k)
+        at = at.select(*keys, "_n", "_within", (F.col("_mean") - f).alias("_r"),
+                       *[c.alias(f"_j{i}") for i, c in enumerate(j)])
+        aggs = [F.sum(F.col("_n") * F.col("_r") * F.col("_r") + F.col("_within")).alias("sse")]
+        aggs += [F.sum(F.col("_n") * F.col(f"_j{i}") * F.col("_r")).alias(f"g{i}") for i in range(q)]
+        aggs += [F.sum(F.col("_n") * F.col(f"_j{i}") * F.col(f"_j{h}")).alias(f"h{i}_{h}")
+                 for i in range(q) for h in range(i, q)]
+        got = at.groupBy(*keys).agg(*aggs).collect() if keys else [at.agg(*aggs).first()]
+        for row in got:
+            jtj = np.zeros((q, q))
+            for i in range(q):
+                for h in range(i, q):
+                    jtj[i, h] = jtj[h, i] = row[f"h{i}_{h}"]
+            g = tuple(row[c] for c in keys)
+            state[g].offer(row["sse"], jtj, np.array([row[f"g{i}"] for i in range(q)]))
+    return state
 
 
 def _fit(curve: Curve, rows: DataFrame, keys: list[str], guesses: Callable[[tuple], Sequence[float]],
          limit: int, max_iter: int) -> DataFrame:
-    """Parameters per group: keys, params, k, n, sse."""
+    """Parameters per group: keys, params, k, n, sse, converged."""
     spark = rows.sparkSession
-    tail = ", ".join([f"`{p}` double" for p in curve.params] + ["k double", "n long", "sse double"])
+    tail = ", ".join([f"`{p}` double" for p in curve.params] + ["k double", "n long", "sse double", "converged boolean"])
     key_fields = [rows.schema[c] for c in keys]
     out_schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in key_fields] + [tail])
-    sizes = (rows.groupBy(*keys) if keys else rows).agg(
-        F.count(F.lit(1)).alias("n"), F.sum("_y").alias("k"))
-    # Series longer than the limit are few: at most rows / limit of them.
-    long = sizes.where(F.col("n") > limit).collect() if keys else [sizes.first()]
+    points = _points(rows, keys)
+    sizes = (points.groupBy(*keys) if keys else points).agg(
+        F.count(F.lit(1)).alias("points"), F.sum("_n").alias("n"), F.sum("_sum").alias("k"))
+    # Series of more points than the limit are few: at most rows / limit of them.
+    long = sizes.where(F.col("points") > limit).collect() if keys else [sizes.first()]
+    if not keys and not long[0]["points"]:
+        raise FitError("no rows to fit")
     outputs = []
     if long:
         names = {tuple(r[c] for c in keys): r for r in long}
-        big = rows
+        big = points
         if keys:
             kinds = ", ".join(f"`_b_{f.name}` {f.dataType.simpleString()}" for f in key_fields)
             table = F.broadcast(spark.createDataFrame([tuple(g) for g in names], kinds))
             cond = [F.col(c).eqNullSafe(F.col(f"_b_{c}")) for c in keys]
-            big = rows.join(table, cond, "left_semi")
+            big = points.join(table, cond, "left_semi")
         fits = _fit_distributed(curve, big, keys, {g: guesses(g) for g in names},
                                 {g: r["k"] for g, r in names.items()}, max_iter)
         outputs.append(spark.createDataFrame(
-            [(*g, *map(float, p), float(names[g]["k"]), int(names[g]["n"]), float(s))
-             for g, (p, s) in fits.items()], out_schema))
+            [(*g, *map(float, d.best), float(names[g]["k"]), int(names[g]["n"]), float(d.fit[0]), bool(d.done))
+             for g, d in fits.items()], out_schema))
     if keys:
         def fit_one(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-            x, y = pdf["_x"].to_numpy(float), pdf["_y"].to_numpy(float)
-            k = float(y.sum())
-            p, sse = _fit_arrays(curve, x, y, k, guesses(tuple(key)), max_iter)
-            return pd.DataFrame([[*key, *p, k, len(y), sse]],
-                                columns=[*keys, *curve.params, "k", "n", "sse"])
+            x, y, n = [pdf[c].to_numpy(float) for c in ("_x", "_mean", "_n")]
+            k, within = float(pdf["_sum"].sum()), float(pdf["_within"].sum())
+            d = _fit_arrays(curve, x, y, n, within, k, guesses(tuple(key)), max_iter)
+            return pd.DataFrame([[*key, *d.best, k, int(n.sum()), d.fit[0], bool(d.done)]],
+                                columns=[*keys, *curve.params, "k", "n", "sse", "converged"])
 
-        short = rows if not long else rows.join(table, cond, "left_anti")
+        short = points if not long else points.join(table, cond, "left_anti")
         outputs.append(short.groupBy(*keys).applyInPandas(fit_one, out_schema))
     out = outputs[0]
     for o in outputs[1:]:

@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tablewright.operators import curvefit, models, regression as reg, trees
 
@@ -143,6 +144,25 @@ def test_exponential_paths_agree(spark):
         assert local[g].n == 120
 
 
+@pytest.mark.parametrize("limit", [0, 10_000])
+def test_repeated_x_is_fitted_from_its_points(spark, limit):
+    rng = np.random.default_rng(4)
+    x = rng.integers(0, 12, 4000).astype(float)
+    y = 5 * np.exp(-0.3 * x) + 1 + 1000 + rng.normal(size=4000)
+    df = spark.createDataFrame([("g", float(a), float(b)) for a, b in zip(x, y)], "g string, x double, y double")
+    r = curvefit.fit_exponential(df, "x", "y", (4, 0.2, 900), by="g", limit=limit).first()
+    # Brute force over all rows: no step from the fit lowers the sum of squares.
+    def sse(a, b, c):
+        return float(((y - a * np.exp(-b * x) - c) ** 2).sum())
+    assert r.sse == pytest.approx(sse(r.a, r.b, r.c), rel=1e-9) and r.n == 4000 and r.converged
+    for step in np.vstack([np.eye(3), -np.eye(3)]) * 1e-3:
+        assert sse(*(np.array([r.a, r.b, r.c]) + step)) > r.sse
+    few = curvefit.fit_exponential(df, "x", "y", (4, 0.2, 900), by="g", limit=limit, max_iter=2).first()
+    assert not few.converged
+    points = curvefit._points(df.select("g", F.col("x").alias("_x"), F.col("y").alias("_y")), ["g"])
+    assert points.count() == 12
+
+
 def test_exponential_overflow_is_an_error(spark):
     df = spark.createDataFrame([(float(-i * 1000), 1.0) for i in range(5)], "x double, y double")
     with pytest.raises(curvefit.FitError):
