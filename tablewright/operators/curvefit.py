@@ -3,10 +3,10 @@
 Rows of equal x are first summed up as one point: their number, the mean of y and the squares
 around it. That is one pass over the input, loses nothing a least squares fit needs, and is
 written as a table that all steps read. A step needs sums of squares and cross-products of the
-Jacobian only. One series, or a series with more points than a task should hold, gets them
-from one Spark aggregate per Levenberg-Marquardt step; many short series are fitted side by
-side, each inside the task that holds it, by the same steps. ``converged`` says whether a fit
-came to rest within its steps.
+Jacobian only. A series of more points than a task should hold gets them from one Spark
+aggregate per Levenberg-Marquardt step; all others are fitted side by side, each inside the
+task that holds its points, by the same steps. ``converged`` says whether a fit came to rest
+within its steps.
 """
 
 from __future__ import annotations
@@ -16,6 +16,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+from pyspark.errors import PythonException
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tablewright.core.layout import as_names, row_index, running_sum
@@ -127,17 +128,13 @@ def _fit_distributed(curve: Curve, points: DataFrame, keys: list[str], starts: d
         live = [g for g, d in state.items() if not d.done]
         if not live:
             break
-        if keys:
-            schema = ", ".join([f"`_g_{c}` {types[c]}" for c in keys]
-                               + [f"_p{i} double" for i in range(q)] + ["_k double"])
-            table = spark.createDataFrame(
-                [(*g, *map(float, state[g].trial), float(scales[g])) for g in live], schema)
-            cond = [F.col(c).eqNullSafe(F.col(f"_g_{c}")) for c in keys]
-            at = points.join(F.broadcast(table), cond)  # one row per long series
-            p, k = [F.col(f"_p{i}") for i in range(q)], F.col("_k")
-        else:
-            at = points
-            p, k = [F.lit(float(v)) for v in state[()].trial], F.lit(float(scales[()]))
+        schema = ", ".join([f"`_g_{c}` {types[c]}" for c in keys]
+                           + [f"_p{i} double" for i in range(q)] + ["_k double"])
+        table = spark.createDataFrame(
+            [(*g, *map(float, state[g].trial), float(scales[g])) for g in live], schema)
+        cond = [F.col(c).eqNullSafe(F.col(f"_g_{c}")) for c in keys]
+        at = points.join(F.broadcast(table), cond)  # one row per long series
+        p, k = [F.col(f"_p{i}") for i in range(q)], F.col("_k")
         f, j = curve.spark(p, F.col("_x"), k)
         at = at.select(*keys, "_n", "_within", (F.col("_mean") - f).alias("_r"),
                        *[c.alias(f"_j{i}") for i, c in enumerate(j)])
@@ -145,8 +142,7 @@ def _fit_distributed(curve: Curve, points: DataFrame, keys: list[str], starts: d
         aggs += [F.sum(F.col("_n") * F.col(f"_j{i}") * F.col("_r")).alias(f"g{i}") for i in range(q)]
         aggs += [F.sum(F.col("_n") * F.col(f"_j{i}") * F.col(f"_j{h}")).alias(f"h{i}_{h}")
                  for i in range(q) for h in range(i, q)]
-        got = at.groupBy(*keys).agg(*aggs).collect() if keys else [at.agg(*aggs).first()]
-        for row in got:
+        for row in at.groupBy(*keys).agg(*aggs).collect():
             jtj = np.zeros((q, q))
             for i in range(q):
                 for h in range(i, q):
@@ -161,43 +157,41 @@ def _fit(curve: Curve, rows: DataFrame, keys: list[str], guesses: Callable[[tupl
     """Parameters per group: keys, params, k, n, sse, converged."""
     spark = rows.sparkSession
     tail = ", ".join([f"`{p}` double" for p in curve.params] + ["k double", "n long", "sse double", "converged boolean"])
+    if not keys:
+        one = _fit(curve, rows.withColumn("_all", F.lit(0)), ["_all"], lambda _: guesses(()), limit, max_iter)
+        try:
+            fit = one.drop("_all").first()
+        except PythonException as e:
+            raise FitError(e.getMessage()) from e
+        if fit is None:
+            raise FitError("no rows to fit")
+        return spark.createDataFrame([tuple(fit)], tail)
     key_fields = [rows.schema[c] for c in keys]
     out_schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in key_fields] + [tail])
     points = _points(rows, keys)
-    sizes = (points.groupBy(*keys) if keys else points).agg(
-        F.count(F.lit(1)).alias("points"), F.sum("_n").alias("n"), F.sum("_sum").alias("k"))
+    sizes = points.groupBy(*keys).agg(F.count(F.lit(1)).alias("points"), F.sum("_n").alias("n"), F.sum("_sum").alias("k"))
     # Series of more points than the limit are few: at most rows / limit of them.
-    long = sizes.where(F.col("points") > limit).collect() if keys else [sizes.first()]
-    if not keys and not long[0]["points"]:
-        raise FitError("no rows to fit")
-    outputs = []
-    if long:
-        names = {tuple(r[c] for c in keys): r for r in long}
-        big = points
-        if keys:
-            kinds = ", ".join(f"`_b_{f.name}` {f.dataType.simpleString()}" for f in key_fields)
-            table = F.broadcast(spark.createDataFrame([tuple(g) for g in names], kinds))
-            cond = [F.col(c).eqNullSafe(F.col(f"_b_{c}")) for c in keys]
-            big = points.join(table, cond, "left_semi")
-        fits = _fit_distributed(curve, big, keys, {g: guesses(g) for g in names},
-                                {g: r["k"] for g, r in names.items()}, max_iter)
-        outputs.append(spark.createDataFrame(
-            [(*g, *map(float, d.best), float(names[g]["k"]), int(names[g]["n"]), float(d.fit[0]), bool(d.done))
-             for g, d in fits.items()], out_schema))
-    if keys:
-        def fit_one(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-            x, y, n = [pdf[c].to_numpy(float) for c in ("_x", "_mean", "_n")]
-            k, within = float(pdf["_sum"].sum()), float(pdf["_within"].sum())
-            d = _fit_arrays(curve, x, y, n, within, k, guesses(tuple(key)), max_iter)
-            return pd.DataFrame([[*key, *d.best, k, int(n.sum()), d.fit[0], bool(d.done)]],
-                                columns=[*keys, *curve.params, "k", "n", "sse", "converged"])
-
-        short = points if not long else points.join(table, cond, "left_anti")
-        outputs.append(short.groupBy(*keys).applyInPandas(fit_one, out_schema))
-    out = outputs[0]
-    for o in outputs[1:]:
-        out = out.unionByName(o)
-    return out
+    names = {tuple(r[c] for c in keys): r for r in sizes.where(F.col("points") > limit).collect()}
+
+    def fit_one(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        x, y, n = [pdf[c].to_numpy(float) for c in ("_x", "_mean", "_n")]
+        k, within = float(pdf["_sum"].sum()), float(pdf["_within"].sum())
+        d = _fit_arrays(curve, x, y, n, within, k, guesses(tuple(key)), max_iter)
+        return pd.DataFrame([[*key, *d.best, k, int(n.sum()), d.fit[0], bool(d.done)]],
+                            columns=[*keys, *curve.params, "k", "n", "sse", "converged"])
+
+    if not names:
+        return points.groupBy(*keys).applyInPandas(fit_one, out_schema)
+    kinds = ", ".join(f"`_b_{f.name}` {f.dataType.simpleString()}" for f in key_fields)
+    table = F.broadcast(spark.createDataFrame([tuple(g) for g in names], kinds))
+    cond = [F.col(c).eqNullSafe(F.col(f"_b_{c}")) for c in keys]
+    fits = _fit_distributed(curve, points.join(table, cond, "left_semi"), keys, {g: guesses(g) for g in names},
+                            {g: r["k"] for g, r in names.items()}, max_iter)
+    long = spark.createDataFrame(
+        [(*g, *map(float, d.best), float(names[g]["k"]), int(names[g]["n"]), float(d.fit[0]), bool(d.done))
+         for g, d in fits.items()], out_schema)
+    short = points.join(table, cond, "left_anti").groupBy(*keys).applyInPandas(fit_one, out_schema)
+    return long.unionByName(short)
 
 
 def fit_exponential(df: DataFrame, x: str, y: str, guess: Sequence[float] = (1.0, 2.0, 3.0), by=None,
