@@ -3,14 +3,18 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tablewright.core.layout import as_names, running_sum
+from tablewright.core.layout import as_names
 from tablewright.core.session import discard, stable
 from tablewright.core.types import known, quoted, require_columns, require_numeric
 from tablewright.operators.prep import hash_unit
 
+QUARTILES = (0.0, 0.25, 0.5, 0.75, 1.0)
+BINS = 1 << 16  # bins that a range of values is counted in
+
 
 def _rows(df: DataFrame, columns: Sequence[str], mode: str) -> bool:
     require_columns(df, columns)
@@ -120,29 +124,61 @@ def chart_tree(df: DataFrame, id: str, pid: str, name: str, value: str, mode: st
     return out.join(state.select("_node", F.col("_sum").alias("subtree_total")), quoted(id) == F.col("_node"), "left").drop("_node")
 
 
-def chart_box(df: DataFrame, dimension, value: str, mode: str = "rows") -> DataFrame:
-    """Rows, or exact (low, q1, median, q3, high) per group by linear interpolation.
+def _bin(v: Column, low: Column, high: Column) -> Column:
+    """Number of the bin of a value in a range: the least and the greatest value have bins of their own."""
+    inner = F.floor(F.try_divide(v / 2 - low / 2, high / 2 - low / 2) * (BINS - 2))
+    inside = F.coalesce(F.greatest(F.lit(0), F.least(inner, F.lit(BINS - 3))), F.lit(0)) + 1
+    return F.when(v == low, 0).when(v == high, BINS - 1).otherwise(inside).cast("int")
+
 
-    Equal values are counted first; a quantile is where the running count passes it.
+def quantile_cells(cells: DataFrame, keys: Sequence[str], v: str, quantiles: Sequence[float]) -> DataFrame:
+    """The values at the ranks that the quantiles of each group need: (keys, _all, _rank, _low).
+
+    A rank is sought in a range of values, at first that of its group. Each step counts the values
+    of all open ranges in bins and goes on in the bin that holds the rank, until that bin
+    holds one value only. The rows are neither sorted nor copied: a step is one narrow aggregate
+    of at most ``BINS`` counts a range.
     """
+    at = [(F.col("_all") - 1) * q for q in quantiles]
+    ranks = F.array_distinct(F.array(*[whole(a).cast("long") for a in at for whole in (F.floor, F.ceil)]))
+    spans = cells.groupBy(*[quoted(k) for k in keys]).agg(
+        F.count(F.lit(1)).alias("_all"), F.min(v).alias("_low"), F.max(v).alias("_high")).where("_all > 0")
+    sought = stable(spans.withColumn("_rank", F.explode(ranks)).withColumn("_left", F.col("_rank")))
+    own = [*keys, "_low", "_high"]
+
+    def same(names: Sequence[str]) -> Column:
+        return reduce(lambda a, b: a & b, [quoted(c).eqNullSafe(quoted(f"_at_{c}")) for c in names], F.lit(True))
+
+    while not (live := sought.where("_low < _high")).isEmpty():
+        ranges = live.select(*[quoted(c).alias(f"_at_{c}") for c in own]).distinct()
+        if not keys:
+            ranges = F.broadcast(ranges)  # two rows a quantile
+        inside = cells.join(ranges, same(keys) & F.col(v).between(F.col("_at__low"), F.col("_at__high")))
+        per_range = [quoted(f"_at_{c}") for c in own]
+        counts = inside.groupBy(*per_range, _bin(F.col(v), F.col("_at__low"), F.col("_at__high")).alias("_bin")).agg(
+            F.count(F.lit(1)).alias("_n"), F.min(v).alias("_from"), F.max(v).alias("_to"))
+        before = F.sum("_n").over(Window.partitionBy(*per_range).orderBy("_bin")) - F.col("_n")
+        held = (F.col("_left") >= F.col("_before")) & (F.col("_left") < F.col("_before") + F.col("_n"))
+        moved = live.join(counts.withColumn("_before", before), same(own) & held).select(
+            *[quoted(k) for k in keys], "_all", F.col("_from").alias("_low"), F.col("_to").alias("_high"), "_rank",
+            (F.col("_left") - F.col("_before")).alias("_left"))
+        old, sought = sought, stable(sought.where("_low >= _high").unionByName(moved))
+        discard(old)
+    return sought.drop("_high", "_left")
+
+
+def chart_box(df: DataFrame, dimension, value: str, mode: str = "rows") -> DataFrame:
+    """Rows, or exact (low, q1, median, q3, high) per group by linear interpolation; missing values are left out."""
     keys = as_names(dimension)
     if _rows(df, [*keys, value], mode):
         return df.select(*[quoted(c) for c in (*keys, value)])
     v = quoted(value).cast("double").alias("_v")
-    counts = df.select(*keys, v).where("_v is not null and not isnan(_v)").groupBy(*keys, "_v").agg(
-        F.count(F.lit(1)).alias("_n"))
-    size = counts.groupBy(*keys).agg(F.sum("_n").alias("_all"))
-    upto = running_sum(counts, {"_upto": "_n"}, "_v", by=keys)
-    named = size.select(*[F.col(k).alias(f"_g_{k}") for k in keys], "_all")
-    rows = upto.join(named, [F.col(k).eqNullSafe(F.col(f"_g_{k}")) for k in keys])
+    cells = df.select(*[quoted(k) for k in keys], v).where("_v is not null and not isnan(_v)")
+    names = ("low", "q1", "median", "q3", "high")
+    found = quantile_cells(cells, keys, "_v", QUARTILES)
     aggs = []
-    for name, q in (("low", 0.0), ("q1", 0.25), ("median", 0.5), ("q3", 0.75), ("high", 1.0)):
+    for name, q in zip(names, QUARTILES, strict=True):
         at = (F.col("_all") - 1) * q
-
-        def value_at(pos):
-            return F.max(F.when((F.col("_upto") - F.col("_n") <= pos) & (pos < F.col("_upto")), F.col("_v")))
-
-        below, above = value_at(F.floor(at)), value_at(F.ceil(at))
-        part = F.max(at - F.floor(at))
-        aggs.append((below + (above - below) * part).alias(name))
-    return rows.groupBy(*keys).agg(*aggs)
+        below, above = [F.max(F.when(F.col("_rank") == whole(at), F.col("_low"))) for whole in (F.floor, F.ceil)]
+        aggs.append((below + (above - below) * F.max(at - F.floor(at))).alias(name))
+    return found.groupBy(*[quoted(k) for k in keys]).agg(*aggs)

@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -46,6 +48,32 @@ def test_box_equals_percentiles(spark):
         assert (r.low, r.q1, r.median, r.q3, r.high) == pytest.approx(tuple(np.percentile(vals, [0, 25, 50, 75, 100])))
 
 
+def test_box_of_odd_values(spark):
+    """Far outliers, infinities, equal values, tiny values, missing values, null groups and a table without groups."""
+    rng = np.random.default_rng(7)
+    groups = {"wide": np.concatenate([rng.normal(size=400), [1e300, -1e300, 1.7e308, -1.7e308]]), "power": 10.0 ** rng.uniform(-300, 300, 500),
+              "same": np.full(50, 3.25), "tiny": rng.integers(0, 5, 60) * 5e-324, "ends": np.array([-np.inf, 1.0, 2.0, 3.0, np.inf]), None: rng.normal(size=77)}
+    rows = [(g, float(v)) for g, vals in groups.items() for v in vals] + [("same", None), ("same", float("nan")), ("none", None)]
+    df = spark.createDataFrame(rows, "g string, v double").repartition(5)
+    got = {r.g: tuple(r)[1:] for r in charts.chart_box(df, "g", "v", "aggregate").collect()}
+    assert set(got) == set(groups)
+
+    def plain(vals):
+        vals, out = sorted(float(v) for v in vals), []
+        for q in charts.QUARTILES:
+            at = (len(vals) - 1) * q
+            low, high = vals[math.floor(at)], vals[math.ceil(at)]
+            out.append(low + (high - low) * (at - math.floor(at)) if low != high else low)
+        return out
+
+    for g, vals in groups.items():
+        for mine, want in zip(got[g], plain(vals), strict=True):
+            assert mine == want or (math.isinf(want) and not math.isfinite(mine)) or mine == pytest.approx(want, rel=1e-12, abs=0)
+    whole = charts.chart_box(df.where("g is null"), None, "v", "aggregate").first()
+    assert tuple(whole) == pytest.approx(plain(groups[None]))
+    assert charts.chart_box(df.where("false"), "g", "v", "aggregate").count() == 0
+
+
 def test_deep_trees(spark):
     """A path of a thousand nodes, a star, values that are missing, and a node that is its own parent."""
     path = [(i, i - 1 if i else None, float(i)) for i in range(1_000)]
