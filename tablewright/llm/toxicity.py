@@ -2,8 +2,8 @@
 
 A word's vector is the sum of the hashed embeddings of the word and of its prefixes.
 Filters of several widths run over the words of the whole text, each keeps its maximum,
-and a linear layer gives the score. Training is numpy on the driver over a bounded
-sample of labelled rows; scoring runs in the tasks on every whole text. Thresholds are
+and a linear layer gives the score. Training reads every labelled row in the tasks, which
+sum counts and gradients; scoring runs in the tasks on every whole text. Thresholds are
 calibrated by the language that the words of the text show, and folded into the score,
 so that 0.5 is the threshold everywhere.
 
@@ -37,6 +37,8 @@ _LANGUAGE = {w.encode(): k for k, ws in enumerate(FUNCTION_WORDS) for w in ws}
 _WORDS_KEPT = 300_000
 #: False alarms that weigh as much as one toxic row missed.
 MISSED = 2.0
+#: Parts of one that gradients, and steps of one that logits, are counted in.
+_UNIT, _GRID = 1 << 42, 1 << 10
 
 
 def words_of(text: bytes | None) -> list[bytes]:
@@ -157,164 +159,257 @@ class Scorer:
         return float(1 / (1 + np.exp(-np.clip(logit, -30, 30))))
 
 
-def fit(texts: list[bytes], labels: np.ndarray, *, dims: int = 8, filters: int = 6, widths: tuple[int, ...] = (1, 2, 3),
-        buckets: int = 1 << 22, min_docs: int = 3, epochs: int = 8, seed: int = 7, odds: float = 1.0) -> ToxicityModel:
-    """Train on given texts (a quarter of them calibrates the thresholds).
+class _Reader(dict):
+    """Row of each word met so far: 0 for words without a vector, then the function words, then words with one."""
 
-    ``odds`` is how much rarer toxic rows are in truth than in ``labels``; thresholds allow for it.
+    def __init__(self, rows: dict[int, int], buckets: int):
+        super().__init__()
+        self.known, self.buckets = rows, buckets
+        self.reset()
+
+    def reset(self) -> None:
+        self.clear()
+        self.own: list[list[int]] = [[]]
+        for w in _LANGUAGE:
+            self[w] = self.add(self.parts(w))
+
+    def parts(self, word: bytes) -> list[int]:
+        return [self.known[f] for f in features(word, self.buckets) if f in self.known]
+
+    def add(self, own: list[int]) -> int:
+        self.own.append(own)
+        return len(self.own) - 1
+
+    def __missing__(self, word: bytes) -> int:
+        own = self.parts(word)
+        k = self[word] = self.add(own) if own else 0
+        return k
+
+    def read(self, text: bytes | None, widest: int) -> tuple[int, np.ndarray, list[int], list[int]]:
+        """Language shown, words as numbers of the text's own list, embeddings of that list, and how many each word has.
+
+        Of a longer run of words without a vector ``widest`` stay: filters meet the same stretches as in the whole text.
+        """
+        if len(self) > _WORDS_KEPT:
+            self.reset()
+        words = words_of(text)
+        ids = np.fromiter(map(self.__getitem__, words), np.int64, len(words)) if words else np.zeros(1, np.int64)
+        language = _voted(np.bincount(np.where(ids <= len(_LANGUAGE), ids, 0), minlength=len(_LANGUAGE) + 1))
+        met = [int(k) for k in np.unique(ids) if self.own[k]]
+        place = np.searchsorted(met, ids) + 1 if met else np.zeros(len(ids), np.int64)
+        place[~np.isin(ids, met)] = 0
+        full = np.concatenate([[-1], np.flatnonzero(place)])
+        since = np.arange(len(place)) - full[np.searchsorted(full, np.arange(len(place)), "right") - 1]
+        return language, place[(place > 0) | (since <= widest)], [f for k in met for f in self.own[k]], [len(self.own[k]) for k in met]
+
+
+_READ = "toxic int, hold boolean, language int, seq array<int>, parts array<int>, sizes array<int>"
+
+
+def _read(batches, rows: dict[int, int], buckets: int, widest: int):
+    """Batches (text, toxic, hold) in the form that training needs."""
+    reader = _Reader(rows, buckets)
+    ints = pa.list_(pa.int32())
+    for batch in batches:
+        got = [reader.read(t, widest) for t in batch.column(0).to_pylist()]
+        yield pa.RecordBatch.from_arrays(
+            [batch.column(1).cast(pa.int32()), batch.column(2), pa.array([g[0] for g in got], pa.int32()), *[pa.array([g[k] for g in got], ints) for k in (1, 2, 3)]],
+            names=["toxic", "hold", "language", "seq", "parts", "sizes"])
+
+
+def _count(batches, buckets: int):
+    """(f, c0, c1): in how many texts of each class a feature occurs, from batches (text, toxic)."""
+    counts, known = np.zeros((2, buckets), np.int32), {}
+    for batch in batches:
+        for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            if len(known) > _WORDS_KEPT:
+                known.clear()
+            own = set()
+            for w in set(words_of(text)):
+                f = known.get(w)
+                if f is None:
+                    f = known[w] = features(w, buckets)
+                own.update(f)
+            counts[label, np.fromiter(own, np.int64, len(own))] += 1
+    met = np.flatnonzero(counts.any(axis=0))
+    for start in range(0, len(met), 100_000):
+        f = met[start:start + 100_000]
+        yield pa.RecordBatch.from_arrays([pa.array(f), *[pa.array(counts[k, f].astype(np.int64)) for k in (0, 1)]], names=["f", "c0", "c1"])
+
+
+@dataclass
+class _Layers:
+    """What training moves, and how a batch of read texts goes through it."""
+
+    embed: np.ndarray
+    filters: dict[int, np.ndarray]
+    bias: dict[int, np.ndarray]
+    out: np.ndarray
+    out_bias: np.ndarray
+
+    def parameters(self) -> dict[str, np.ndarray]:
+        """All but the embeddings, by name."""
+        return {"out": self.out, "ob": self.out_bias} | {f"k{w}": k for w, k in self.filters.items()} | {f"b{w}": b for w, b in self.bias.items()}
+
+    def forward(self, batch: pa.RecordBatch):
+        seq, parts, sizes = (batch.column(batch.schema.names.index(n)) for n in ("seq", "parts", "sizes"))
+        lengths, own = np.asarray(seq.value_lengths()).astype(np.int64), np.asarray(sizes.value_lengths()).astype(np.int64)
+        seq, parts, sizes = (np.asarray(c.flatten()).astype(np.int64) for c in (seq, parts, sizes))
+        widest, n = max(self.filters), len(lengths)
+        v = np.zeros((1 + len(sizes), self.embed.shape[1]))
+        if len(sizes):
+            v[1:] = np.add.reduceat(self.embed[parts], np.cumsum(sizes) - sizes, axis=0)
+        at = np.arange(len(seq)) + np.repeat(np.arange(n) * (widest - 1), lengths)
+        flat = np.zeros(len(seq) + n * (widest - 1), np.int64)
+        flat[at] = np.where(seq > 0, seq + np.repeat(np.cumsum(own) - own, lengths), 0)
+        begin = np.cumsum(lengths + widest - 1) - (lengths + widest - 1)
+        doc = np.repeat(np.arange(n), lengths)
+        top, where = [], []
+        for w in sorted(self.filters):
+            total = np.full((len(flat), self.filters[w].shape[2]), -np.inf)
+            total[at] = sum(np.einsum("wd,df->wf", v, self.filters[w][j])[flat[at + j]] for j in range(w))
+            best = np.maximum.reduceat(total, begin, axis=0)
+            place, f = np.nonzero(total[at] == best[doc])
+            first = np.zeros(best.shape, np.int64)
+            first[doc[place[::-1]], f[::-1]] = at[place[::-1]]  # of equal ones the first is written last
+            top.append(best + self.bias[w])
+            where.append(first)
+        z = np.concatenate(top, axis=1)
+        logit = (np.maximum(z, 0) * self.out).sum(axis=1) + self.out_bias[0]
+        return v, flat, parts, sizes, z, where, logit
+
+    def gradients(self, batches, weight: float, n: float):
+        """Whole numbers, so that sums do not depend on the order: of the embeddings, and of the other parameters by name."""
+        embed = np.zeros(self.embed.shape, np.int64)
+        rest = {k: np.zeros(x.shape, np.int64) for k, x in self.parameters().items()}
+        for batch in batches:
+            v, flat, parts, sizes, z, where, logit = self.forward(batch)
+            y = np.asarray(batch.column(batch.schema.names.index("toxic")))
+            g = (1 / (1 + np.exp(-np.clip(logit, -30, 30))) - y) * np.where(y == 1, weight, 1.0) / n
+            back = g[:, None] * self.out[None, :] * (z > 0)
+            rest["out"] += _whole(np.maximum(z, 0) * g[:, None]).sum(axis=0)
+            rest["ob"] += _whole(g).sum()
+            word_grad = np.zeros(v.shape, np.int64)
+            for i, w in enumerate(sorted(self.filters)):
+                many = self.filters[w].shape[2]
+                share = back[:, i * many:(i + 1) * many]
+                for j in range(w):
+                    word = flat[where[i] + j]  # (docs, filters)
+                    rest[f"k{w}"][j] += _whole(v[word] * share[:, :, None]).sum(axis=0).T
+                    own = (share != 0) & (word > 0)
+                    np.add.at(word_grad, word[own], _whole((share[:, :, None] * self.filters[w][j].T[None, :, :])[own]))
+                rest[f"b{w}"] += _whole(share).sum(axis=0)
+            np.add.at(embed, parts, np.repeat(word_grad[1:], sizes, axis=0))
+        return embed, rest
+
+
+def _whole(x: np.ndarray) -> np.ndarray:
+    return np.rint(x * _UNIT).astype(np.int64)
+
+
+def _cells(batches, layers: _Layers):
+    """(language, toxic, cell): the logit of each read text in steps of one to ``_GRID``."""
+    for batch in batches:
+        cell = np.floor(np.clip(layers.forward(batch)[-1], -20, 20) * _GRID).astype(np.int32)
+        yield pa.RecordBatch.from_arrays([batch.column(2), batch.column(0), pa.array(cell)], names=["language", "toxic", "cell"])
+
+
+def _learn(rows: list, counted: np.ndarray, n: tuple[float, float], summed, cells, *, dims: int = 8, filters: int = 6, widths: tuple[int, ...] = (1, 2, 3),
+           buckets: int = 1 << 22, min_docs: int = 3, epochs: int = 8, seed: int = 7, odds: float = 1.0) -> ToxicityModel:
+    """Train from counts of features and passes over all rows.
+
+    ``rows``: the features kept, ``counted``: their texts by class, ``n``: texts by class.
+    ``summed(layers, weight, n)`` gives the gradients over all texts to learn from, ``cells(layers)``
+    the number of texts to check by (language, toxic, cell).
     """
-    y = np.asarray(labels, np.float64)
-    empty = ToxicityModel(buckets, {}, np.zeros((1, dims)), {}, {}, np.zeros(0), 0.0)
-    if len(y) == 0 or y.min() == y.max():
-        empty.constant = float(y.mean()) if len(y) else 0.0
-        return empty
+    n0, n1 = n
     rng = np.random.default_rng(seed)
-    docs = [words_of(t) for t in texts]
-    held = np.arange(len(docs)) % 4 == 3
-    if y[held].min() == y[held].max() or y[~held].min() == y[~held].max():
-        held[:] = False
-    learn = np.flatnonzero(~held)
-
-    # Document frequencies of the features by class, over the learning part.
-    of_word: dict[bytes, list[int]] = {}
-    counts: dict[int, list[int]] = {}
-    for d in learn:
-        seen = set()
-        for w in set(docs[d]):
-            if w not in of_word:
-                of_word[w] = features(w, buckets)
-            seen.update(of_word[w])
-        for f in seen:
-            counts.setdefault(f, [0, 0])[int(y[d])] += 1
-    n1, n0 = y[learn].sum(), (1 - y[learn]).sum()
-    # A maximum only answers to evidence for the class; what is no more frequent there has no vector.
-    kept = sorted(f for f, c in counts.items() if sum(c) >= min_docs and c[1] * n0 > 3 * c[0] * n1)
-    rows = {f: k for k, f in enumerate(kept)}
-    a = np.array([counts[f][1] for f in kept] or [0], float) + 0.5
-    b = np.array([counts[f][0] for f in kept] or [0], float) + 0.5
+    a, b = (counted[:, 1], counted[:, 0]) if len(rows) else (np.zeros(1), np.zeros(1))
+    a, b = a + 0.5, b + 0.5
     log_odds = np.log(a / (n1 + 1)) - np.log(b / (n0 + 1))
-    embed = rng.normal(0, 0.02, (len(a), dims)).astype(np.float32)
+    embed = rng.normal(0, 0.02, (len(a), dims))
     embed[:, 0] = np.clip(log_odds / np.sqrt(1 / a + 1 / b), 0, 6) * np.clip(log_odds, 0, 6) / 12  # evidence of the class, as a start
-
-    model = ToxicityModel(buckets, rows, embed, {}, {}, np.zeros(len(widths) * filters), -1.0)
-    for w in widths:
+    layers = _Layers(embed, {}, {}, np.full(len(widths) * filters, 0.5), np.array([-1.0]))
+    for w in sorted(widths):
         kernel = rng.normal(0, 0.1, (w, dims, filters))
         kernel[:, 0, :] += 0.5 / w
-        model.filters[w], model.bias[w] = kernel, -np.linspace(0.2, 1.2, filters)
-    model.out[:] = 0.5
-
-    # Sparse rows: every distinct word once, with the embeddings that make it up.
-    vocab: dict[bytes, int] = {}
-    size = 1  # row 0: words without a vector
-    parts, owner = [], []
-    doc_rows = []
-    for words in docs:
-        ids = []
-        for w in words:
-            k = vocab.get(w)
-            if k is None:
-                own = [rows[f] for f in features(w, buckets) if f in rows]
-                if not own:
-                    k = vocab[w] = 0
-                else:
-                    k = vocab[w] = size
-                    size += 1
-                    parts += own
-                    owner += [k] * len(own)
-            ids.append(k)
-        doc_rows.append(np.array(ids or [0], np.int64))
-    parts, owner = np.array(parts, np.int64), np.array(owner, np.int64)
-    starts = np.searchsorted(owner, np.arange(size + 1))
-
-    widest = max(widths)
-    pad = np.zeros(widest - 1, np.int64)
-
-    def vectors() -> np.ndarray:
-        v = np.zeros((size, dims), np.float32)
-        if len(parts):
-            v[1:] = np.add.reduceat(model.embed[parts], starts[1:-1], axis=0)
-        return v
-
-    def pools(which: np.ndarray, v: np.ndarray):
-        lengths = np.array([len(doc_rows[d]) for d in which])
-        flat = np.concatenate([np.concatenate([doc_rows[d], pad]) for d in which])
-        begin = np.concatenate([[0], np.cumsum(lengths + widest - 1)[:-1]])
-        words = v[flat]
-        top, where = [], []
-        for w in widths:
-            total = np.zeros((filters, len(flat)), np.float32)
-            for j in range(w):
-                total[:, : len(flat) - j] += (words @ model.filters[w][j].astype(np.float32)).T[:, j:]
-            arg = np.stack([total[:, s:s + n].argmax(axis=1) + s for s, n in zip(begin, lengths, strict=True)])
-            top.append(total[np.arange(filters), arg] + model.bias[w])
-            where.append(arg)
-        return flat, top, where
-
-    steps = {"embed": np.zeros_like(model.embed), "out": np.zeros_like(model.out), "ob": np.zeros(1)}
-    steps |= {f"k{w}": np.zeros_like(model.filters[w]) for w in widths} | {f"b{w}": np.zeros(filters) for w in widths}
+        layers.filters[w], layers.bias[w] = kernel, -np.linspace(0.2, 1.2, filters)
+
+    steps = {"embed": np.zeros_like(embed)} | {k: np.zeros(x.shape) for k, x in layers.parameters().items()}
 
     def move(name: str, value: np.ndarray, grad: np.ndarray, rate: float) -> None:
         steps[name] += grad * grad  # Adagrad
         value -= rate * grad / np.sqrt(steps[name] + 1e-8)
 
-    weight = np.where(y == 1, n0 / max(n1, 1), 1.0) ** 0.5
-    ob = np.array([model.out_bias])
-    for epoch in range(epochs):
-        order = rng.permutation(learn)
-        v = vectors()
-        for s in range(0, len(order), 256):
-            batch = order[s:s + 256]
-            flat, top, where = pools(batch, v)
-            z = np.concatenate(top, axis=1)
-            act = np.maximum(z, 0)
-            p = 1 / (1 + np.exp(-np.clip(act @ model.out + ob[0], -30, 30)))
-            g = (p - y[batch]) * weight[batch] / len(batch)
-            back = g[:, None] * model.out[None, :] * (z > 0)
-            move("out", model.out, act.T @ g + 1e-4 * model.out, 0.05)
-            move("ob", ob, np.array([g.sum()]), 0.05)
-            grad_embed = np.zeros_like(model.embed)
-            for i, w in enumerate(widths):
-                share = back[:, i * filters:(i + 1) * filters]
-                grad_kernel = np.zeros_like(model.filters[w])
-                for j in range(w):
-                    word = flat[where[i] + j]  # (docs, filters)
-                    x = v[word]
-                    grad_kernel[j] = np.einsum("bfd,bf->df", x, share)
-                    pull = share[:, :, None] * model.filters[w][j].T[None, :, :]
-                    own = (share != 0) & (word > 0)
-                    for k, g_ in zip(word[own], pull[own], strict=True):
-                        grad_embed[parts[starts[k]:starts[k + 1]]] += g_
-                move(f"k{w}", model.filters[w], grad_kernel + 1e-4 * model.filters[w], 0.02)
-                move(f"b{w}", model.bias[w], share.sum(axis=0), 0.02)
-            move("embed", model.embed, grad_embed + 1e-5 * model.embed, 0.02)
-            v = vectors() if (s // 256) % 4 == 3 else v
-    model.out_bias = float(ob[0])
+    for _ in range(epochs):
+        grad, rest = summed(layers, (n0 / max(n1, 1)) ** 0.5, n0 + n1)
+        for name, value in layers.parameters().items():
+            decay = 1e-4 if name == "out" or name[0] == "k" else 0.0
+            move(name, value, rest[name] / _UNIT + decay * value, 0.05 if name[0] == "o" else 0.02)
+        move("embed", layers.embed, grad / _UNIT + 1e-5 * layers.embed, 0.02)
 
+    model = ToxicityModel(buckets, {f: k for k, f in enumerate(rows)}, layers.embed.astype(np.float32), layers.filters, layers.bias, layers.out, float(layers.out_bias[0]))
     # Thresholds: per shown language the cut with the least mistakes, drawn to the cut of all.
-    scorer = model.scorer()
-    check = np.flatnonzero(held) if held.any() else learn
-    s = np.array([scorer.score(texts[d]) for d in check])
-    logits, truth = np.log(np.clip(s, 1e-9, 1) / np.clip(1 - s, 1e-9, 1)), y[check]
-    shown = np.array([language_of(docs[d]) for d in check])
-    everywhere = _cut(logits, truth, MISSED * odds)
+    language, toxic, cell, count = (np.asarray(c) for c in cells(layers))
+    everywhere = _cut(cell, toxic, count, MISSED * odds)
     for k in range(len(model.shift)):
-        own = shown == k
-        few = min(truth[own].sum(), (1 - truth[own]).sum())
+        own = language == k
+        few = min(count[own & (toxic == 1)].sum(), count[own & (toxic == 0)].sum())
         trust = few / (few + 20)
-        model.shift[k] = trust * _cut(logits[own], truth[own], MISSED * odds) + (1 - trust) * everywhere if few else everywhere
+        model.shift[k] = trust * _cut(cell[own], toxic[own], count[own], MISSED * odds) + (1 - trust) * everywhere if few else everywhere
     return model
 
 
-def _cut(logits: np.ndarray, truth: np.ndarray, missed: float) -> float:
+def _kept(f: np.ndarray, c0: np.ndarray, c1: np.ndarray) -> tuple[list[int], np.ndarray]:
+    order = np.argsort(f)
+    return f[order].tolist(), np.column_stack([c0, c1])[order].astype(float)
+
+
+def _constant(share: float, options: dict) -> ToxicityModel:
+    return ToxicityModel(options.get("buckets", 1 << 22), {}, np.zeros((1, options.get("dims", 8))), {}, {}, np.zeros(0), 0.0, constant=share)
+
+
+def fit(texts: list[bytes], labels: np.ndarray, **options) -> ToxicityModel:
+    """Train on given texts (a quarter of them, by checksum, calibrates the thresholds); ``train`` does the same with tables.
+
+    ``odds`` is how much rarer toxic rows are in truth than in ``labels``; thresholds allow for it.
+    """
+    y = np.asarray(labels, np.int64)
+    if len(y) == 0 or y.min() == y.max():
+        return _constant(float(y.mean()) if len(y) else 0.0, options)
+    buckets, widest = options.get("buckets", 1 << 22), max(options.get("widths", (1, 2, 3)))
+    held = np.array([zlib.crc32(t) % 4 == 3 for t in texts])
+    split = not (y[held].sum() in (0, held.sum()) or y[~held].sum() in (0, (~held).sum()))
+    learn = ~held if split else np.ones(len(y), bool)
+    n1 = int(y[learn].sum())
+    n0 = int(learn.sum()) - n1
+    table = pa.RecordBatch.from_arrays([pa.array(texts, pa.binary()), pa.array(y, pa.int32()), pa.array(held & split)], names=["text", "toxic", "hold"])
+    got = pa.Table.from_batches(list(_count([table.filter(pa.array(learn))], buckets)) or [pa.RecordBatch.from_pylist([], pa.schema([(c, pa.int64()) for c in ("f", "c0", "c1")]))])
+    f, c0, c1 = (np.asarray(got.column(c)) for c in ("f", "c0", "c1"))
+    use = (c0 + c1 >= options.get("min_docs", 3)) & (c1 * n0 > 3 * c0 * n1)
+    rows, counted = _kept(f[use], c0[use], c1[use])
+    read = pa.Table.from_batches(list(_read(sliced([table]), {f: k for k, f in enumerate(rows)}, buckets, widest)))
+    mine = pa.array(learn)
+    learning, checking = read.filter(mine).to_batches(500), (read.filter(pa.array(held)) if split else read).to_batches(500)
+
+    def cells(layers):
+        at = np.concatenate([np.column_stack([np.asarray(c) for c in b.columns]) for b in _cells(checking, layers)])
+        at, count = np.unique(at, axis=0, return_counts=True)
+        return *at.T, count
+
+    return _learn(rows, counted, (n0, n1), lambda layers, weight, n: layers.gradients(learning, weight, n), cells, **options)
+
+
+def _cut(cell: np.ndarray, toxic: np.ndarray, count: np.ndarray, missed: float) -> float:
     """The middle of the widest stretch of cuts with the least mistakes; a missed toxic row counts as ``missed`` false alarms."""
-    order = np.argsort(logits, kind="stable")
-    z, t = logits[order], truth[order]
-    wrong = np.concatenate([[0], np.cumsum(t * missed)]) + np.concatenate([np.cumsum((1 - t)[::-1])[::-1], [0]])
+    z, at = np.unique(cell, return_inverse=True)
+    bad, good = (np.bincount(at, np.where(toxic == k, count, 0), len(z)) for k in (1, 0))
+    wrong = np.concatenate([[0], np.cumsum(bad) * missed]) + np.concatenate([np.cumsum(good[::-1])[::-1], [0]])
     best = np.flatnonzero(wrong == wrong.min())
-    low = np.where(best > 0, z[np.maximum(best - 1, 0)], z[0] - 1)
-    high = np.where(best < len(z), z[np.minimum(best, len(z) - 1)], z[-1] + 1)
+    low = np.where(best > 0, z[np.maximum(best - 1, 0)] + 1, z[0] - _GRID)
+    high = np.where(best < len(z), z[np.minimum(best, len(z) - 1)], z[-1] + 1 + _GRID)
     k = int(np.argmax(high - low))
-    return float((low[k] + high[k]) / 2)
+    return float(low[k] + high[k]) / 2 / _GRID
 
 
 def held_out(doc_id) -> F.Column:
@@ -322,7 +417,79 @@ def held_out(doc_id) -> F.Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 5 == 0, F.lit(True))
 
 
-def train(docs: DataFrame, labels: DataFrame, *, sample_rows: int = 5_000, sample_bytes: int = 48 << 20, toxic_share: float = 0.25, **options) -> ToxicityModel:
+def _known(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """Labels to learn from, one row an id."""
+    return (labels.select(F.col("doc_id").cast(docs.schema["doc_id"].dataType).alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
+            .filter("doc_id is not null and toxic in (0, 1)").filter(~held_out(F.col("doc_id")))
+            .groupBy("doc_id").agg(F.max("toxic").alias("toxic")))
+
+
+def train(docs: DataFrame, labels: DataFrame, *, sample_rows: int | None = None, sample_bytes: int | None = None, toxic_share: float = 0.25, **options) -> ToxicityModel:
+    """Fit on every labelled row that is not held out; with ``sample_rows`` or ``sample_bytes`` on a sample drawn class by class.
+
+    Tasks count the features of the whole texts, and the counts choose those that get an embedding.
+    The texts are then written as their words with an embedding. Each of the ``epochs`` is a pass
+    over them: tasks sum the gradients of all rows, the driver moves the weights. What reaches it
+    is bounded by the number of hash buckets, and by the steps of a logit for the thresholds.
+    """
+    if sample_rows is not None or sample_bytes is not None:
+        return _train_sample(docs, labels, sample_rows or 5_000, sample_bytes or 48 << 20, toxic_share, options)
+    spark = docs.sparkSession
+    body = F.coalesce(F.col("text"), F.lit("")).cast("binary")
+    # The same join at every size: the ids of labels grow with the input, so they are not sent out whole.
+    rows = docs.filter(~held_out(F.col("doc_id"))).select("doc_id", body.alias("text")).join(_known(docs, labels).hint("merge"), "doc_id")
+    labelled = stage(rows.select("text", "toxic", (F.crc32("text") % 4 == 3).alias("hold")), "labelled")
+    there = {(r["hold"], r["toxic"]): r["count"] for r in labelled.groupBy("hold", "toxic").count().collect()}
+    total = [sum(v for (_, label), v in there.items() if label == k) for k in (0, 1)]
+    if not min(total):
+        return _constant(float(total[1] > 0), options)
+    split = len(there) == 4  # otherwise all rows are learned from, and checked
+    if not split:
+        labelled = labelled.withColumn("hold", F.lit(False))
+    n0, n1 = (there[False, k] if split else total[k] for k in (0, 1))
+    buckets, widest = options.get("buckets", 1 << 22), max(options.get("widths", (1, 2, 3)))
+    counts = labelled.filter(~F.col("hold")).select("text", "toxic").mapInArrow(lambda batches: _count(sliced(batches), buckets), "f long, c0 long, c1 long")
+    found = counts.groupBy("f").agg(F.sum("c0").alias("c0"), F.sum("c1").alias("c1")).filter(
+        (F.col("c0") + F.col("c1") >= options.get("min_docs", 3)) & (F.col("c1") * n0 > 3 * F.col("c0") * n1)).toArrow()  # at most a row a bucket
+    kept, counted = _kept(*(found.column(c).to_numpy() for c in ("f", "c0", "c1")))
+    index = spark.sparkContext.broadcast({f: k for k, f in enumerate(kept)})
+    read = stage(labelled.mapInArrow(lambda batches: _read(sliced(batches), index.value, buckets, widest), _READ), "read")
+    learning, checking = read.filter(~F.col("hold")), read.filter("hold") if split else read
+
+    def summed(layers: _Layers, weight: float, n: float):
+        dims, shared = layers.embed.shape[1], spark.sparkContext.broadcast(layers)
+        names = [f"g{i}" for i in range(dims)]
+
+        def run(batches):
+            embed, rest = shared.value.gradients(sliced(batches), weight, n)
+            at = np.flatnonzero(embed.any(axis=1))
+            flat = np.concatenate([x.ravel() for x in rest.values()])
+            flat = np.concatenate([flat, np.zeros(-len(flat) % dims, np.int64)]).reshape(-1, dims)
+            for key, values in ((at, embed[at]), (-1 - np.arange(len(flat)), flat)):
+                for start in range(0, len(key), 100_000):
+                    yield pa.RecordBatch.from_arrays([pa.array(key[start:start + 100_000]), *[pa.array(values[start:start + 100_000, i]) for i in range(dims)]], names=["k", *names])
+
+        sums = learning.mapInArrow(run, "k long, " + ", ".join(f"{g} long" for g in names)).groupBy("k").agg(*[F.sum(g).alias(g) for g in names]).toArrow()
+        shared.destroy()
+        key, values = sums.column("k").to_numpy(), np.column_stack([sums.column(g).to_numpy() for g in names]).reshape(-1, dims)
+        embed = np.zeros(layers.embed.shape, np.int64)
+        embed[key[key >= 0]] = values[key >= 0]
+        flat = np.zeros((-min(int(key.min()), 0), dims), np.int64)
+        flat[-1 - key[key < 0]] = values[key < 0]
+        flat, rest, start = flat.ravel(), {}, 0
+        for name, x in layers.parameters().items():
+            rest[name] = flat[start:start + x.size].reshape(x.shape)
+            start += x.size
+        return embed, rest
+
+    def cells(layers: _Layers):
+        got = checking.mapInArrow(lambda batches: _cells(sliced(batches), layers), "language int, toxic int, cell int").groupBy("language", "toxic", "cell").count().toArrow()
+        return [c.to_numpy() for c in got.columns]
+
+    return _learn(kept, counted, (n0, n1), summed, cells, **options)
+
+
+def _train_sample(docs: DataFrame, labels: DataFrame, sample_rows: int, sample_bytes: int, toxic_share: float, options: dict) -> ToxicityModel:
     """Fit on at most ``sample_rows`` labelled rows that are not held out, drawn class by class.
 
     Each class gives the rows whose ids hash lowest: toxic ones up to ``toxic_share`` of the
@@ -333,9 +500,7 @@ def train(docs: DataFrame, labels: DataFrame, *, sample_rows: int = 5_000, sampl
     bound, which follows from the number of rows of the class.
     """
     spark, kind = docs.sparkSession, docs.schema["doc_id"].dataType
-    known = (labels.select(F.col("doc_id").cast(kind).alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
-             .filter("doc_id is not null and toxic in (0, 1)").filter(~held_out(F.col("doc_id")))
-             .groupBy("doc_id").agg(F.max("toxic").alias("toxic")))
+    known = _known(docs, labels)
     body = F.coalesce(F.col("text"), F.lit("")).cast("binary")
     key = ["doc_id", "size", "mark"]
     rows = docs.select("doc_id", body.alias("text")).select("doc_id", "text", F.length("text").alias("size"), F.xxhash64("text").alias("mark"))

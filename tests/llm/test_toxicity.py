@@ -147,3 +147,32 @@ def test_against_direct_convolution(spark):
     texts = {r.doc_id: (r.text or "").encode() for r in docs.collect()}
     for r in X.score(docs, model).collect():
         assert r.score == pytest.approx(plain_score(model, texts[r.doc_id]), abs=1e-5)
+
+
+def test_every_labelled_row_counts(spark):
+    """All rows are learned from, however many and however long: the model is that of all texts in one place."""
+    n = 9_000
+    texts = [f"word{i % 61} " + ("vilest" if i % 3 == 0 else f"word{i % 17}") for i in range(n)]
+    ids = [i for i in range(n) if zlib.crc32(b"%d" % i) % 5]
+    toxic = {i: int(i % 3 == 0) for i in ids}
+    long = ids[5]
+    texts[long], toxic[long] = "word1 " * 700_000 + "vilest", 1
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(5)
+    labels = spark.createDataFrame(list(toxic.items()), "doc_id long, toxic int")
+    got, want = X.train(docs, labels), X.fit([texts[i].encode() for i in ids], np.array([toxic[i] for i in ids]))
+    assert got.rows == want.rows and got.rows
+    assert (got.embed == want.embed).all() and (got.out == want.out).all() and (got.shift == want.shift).all()
+
+
+def test_shortened_texts_meet_the_same_stretches():
+    """What stays of a text for training gives the layers' maxima of the whole text."""
+    rows = {f: k for k, f in enumerate(sorted({X.features(w, 1 << 22)[0] for w in (b"aa", b"bb", b"der")}))}
+    rng = np.random.default_rng(1)
+    layers = X._Layers(rng.normal(size=(3, 4)), {w: rng.normal(size=(w, 4, 5)) for w in (1, 2, 3)}, {w: np.zeros(5) for w in (1, 2, 3)}, np.ones(15), np.zeros(1))
+    model = X.ToxicityModel(1 << 22, rows, layers.embed, layers.filters, layers.bias, layers.out, 0.0)
+    texts = [" ".join(rng.choice(["aa", "bb", "der", "x", "y", "z"], rng.integers(0, 40))).encode() for _ in range(200)] + [b"aa", b"", b"aa bb x x x x", b"x x x x aa"]
+    import pyarrow as pa
+    batch = pa.RecordBatch.from_arrays([pa.array(texts, pa.binary()), pa.array([0] * len(texts), pa.int32()), pa.array([False] * len(texts))], names=["text", "toxic", "hold"])
+    read, = X._read([batch], rows, 1 << 22, 3)
+    logit = layers.forward(read)[-1]
+    assert [1 / (1 + np.exp(-v)) for v in logit] == pytest.approx([plain_score(model, t) for t in texts], abs=1e-9)
