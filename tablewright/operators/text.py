@@ -89,6 +89,15 @@ def _spread(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
+PART_CHARACTERS = 4_000_000  # of the texts whose words one task counts
+
+
+def _parts(df: DataFrame, col: str) -> int:
+    """A number of parts that grows with the texts, so that the words of one part do not; never fewer than a shuffle has."""
+    characters = df.agg(F.sum(F.length(quoted(col).cast("string")))).first()[0] or 0
+    return max(_spread(df), -(-characters // PART_CHARACTERS))
+
+
 def cut_word(df: DataFrame, col: str, dictionary: Mapping[str, float] | None = None) -> DataFrame:
     """Add ``seg_result``: the tokens joined by an ideographic comma.
 
@@ -101,7 +110,7 @@ def cut_word(df: DataFrame, col: str, dictionary: Mapping[str, float] | None = N
 def token_counts(df: DataFrame, id: str, col: str, dictionary: Mapping[str, float] | None = None) -> DataFrame:
     """(id, word, n) per document."""
     # Dealt by id once: cutting is spread evenly, and the counts need no further shuffle.
-    words = df.select(quoted(id), quoted(col)).repartition(quoted(id)).select(quoted(id), F.explode(tokens(quoted(col).cast("string"), dictionary)).alias("word"))
+    words = df.select(quoted(id), quoted(col)).repartition(_parts(df, col), quoted(id)).select(quoted(id), F.explode(tokens(quoted(col).cast("string"), dictionary)).alias("word"))
     return words.groupBy(id, "word").agg(F.count(F.lit(1)).alias("n"))
 
 

@@ -190,3 +190,13 @@ def test_scatter_bins(spark):
     df = spark.createDataFrame([(0.0, 0.0), (1.0, 1.0), (0.1, 0.2), (float("nan"), 1.0), (None, 2.0)], "x double, y double")
     rows = charts.chart_scatter(df, "x", "y", "aggregate", 2).collect()
     assert {(r.x_low, r.y_low): r.n for r in rows} == {(0.0, 0.0): 2, (0.5, 0.5): 1}
+
+
+def test_parts_grow_with_the_texts(spark, monkeypatch):
+    """More text gives more parts, so that the words which one task counts do not grow; the counts stay the same."""
+    df = spark.createDataFrame([(i, f"alpha beta {i} alpha") for i in range(400)] + [(7, "alpha gamma"), (None, "beta")], "id long, text string")
+    want = sorted(map(tuple, text.token_counts(df, "id", "text").collect()), key=str)
+    monkeypatch.setattr(text, "PART_CHARACTERS", 100, raising=False)
+    counts = text.token_counts(df, "id", "text")
+    assert counts.select(F.spark_partition_id()).distinct().count() > 16
+    assert sorted(map(tuple, counts.collect()), key=str) == want
