@@ -107,10 +107,10 @@ def cut_word(df: DataFrame, col: str, dictionary: Mapping[str, float] | None = N
     return df.repartition(_spread(df)).withColumn("seg_result", F.array_join(tokens(quoted(col).cast("string"), dictionary), SEPARATOR))
 
 
-def token_counts(df: DataFrame, id: str, col: str, dictionary: Mapping[str, float] | None = None) -> DataFrame:
+def token_counts(df: DataFrame, id: str, col: str, dictionary: Mapping[str, float] | None = None, parts: int | None = None) -> DataFrame:
     """(id, word, n) per document."""
     # Dealt by id once: cutting is spread evenly, and the counts need no further shuffle.
-    words = df.select(quoted(id), quoted(col)).repartition(_parts(df, col), quoted(id)).select(quoted(id), F.explode(tokens(quoted(col).cast("string"), dictionary)).alias("word"))
+    words = df.select(quoted(id), quoted(col)).repartition(parts or _parts(df, col), quoted(id)).select(quoted(id), F.explode(tokens(quoted(col).cast("string"), dictionary)).alias("word"))
     return words.groupBy(id, "word").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -141,7 +141,8 @@ def word_tag(df: DataFrame, id: str, col: str, top_k: int = 20,
     (word, idf) table, unknown words get its median; without it the inverse
     document frequencies come from the table itself.
     """
-    counts = token_counts(df, id, col, dictionary).where(_is_keyword(F.col("word")))
+    parts = _parts(df, col)
+    counts = token_counts(df, id, col, dictionary, parts).where(_is_keyword(F.col("word")))
     if idf is None:
         # Used twice, and much smaller than the texts: cut them once.
         counts = stable(counts)
@@ -151,12 +152,13 @@ def word_tag(df: DataFrame, id: str, col: str, top_k: int = 20,
         middle = 0.0
     else:
         middle = idf.agg(F.percentile_approx("idf", 0.5)).first()[0]
-    # The optimizer knows the true size of the written counts; hot words are split where it sorts and merges.
-    weighted = counts.join(idf.select("word", "idf"), "word", "left")
+    # Dealt into as many parts as the texts ask for, by word and then by document, so that what a task sorts
+    # does not grow; a word has one row a document at most.
+    weighted = counts.repartition(parts, "word").join(idf.select("word", "idf"), "word", "left")
     # Dividing by the length of the document would not change the order of its words.
     weight = F.round(F.col("n") * F.coalesce("idf", F.lit(middle)), 9)
     w = Window.partitionBy(id).orderBy(F.col("_w").desc(), "word")
-    top = weighted.withColumn("_w", weight).withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= top_k)
+    top = weighted.withColumn("_w", weight).repartition(parts, quoted(id)).withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= top_k)
     ordered = F.array_sort(F.collect_list(F.struct("_r", "word")))  # top_k entries
     tags = top.groupBy(F.col(id).alias("_tag_id")).agg(
         F.array_join(F.transform(ordered, lambda s: s["word"]), SEPARATOR).alias("_tags"))

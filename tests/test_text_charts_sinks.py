@@ -196,7 +196,9 @@ def test_parts_grow_with_the_texts(spark, monkeypatch):
     """More text gives more parts, so that the words which one task counts do not grow; the counts stay the same."""
     df = spark.createDataFrame([(i, f"alpha beta {i} alpha") for i in range(400)] + [(7, "alpha gamma"), (None, "beta")], "id long, text string")
     want = sorted(map(tuple, text.token_counts(df, "id", "text").collect()), key=str)
+    tags = sorted(map(tuple, text.word_tag(df, "id", "text", 2).collect()), key=str)
     monkeypatch.setattr(text, "PART_CHARACTERS", 100, raising=False)
     counts = text.token_counts(df, "id", "text")
     assert counts.select(F.spark_partition_id()).distinct().count() > 16
     assert sorted(map(tuple, counts.collect()), key=str) == want
+    assert sorted(map(tuple, text.word_tag(df, "id", "text", 2).collect()), key=str) == tags
