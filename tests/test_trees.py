@@ -208,3 +208,37 @@ def test_continuous_features_and_odd_tables(spark):
     one = trees.fit_boosted(df.limit(1), X, "y", num_boost_round=2)
     assert len(set(predictions(one, df.limit(5)).tolist())) == 1
     assert trees.features_per_cut("sqrt", 9) == 3 and trees.features_per_cut("0.5", 9) == 5 and trees.features_per_cut(4, 9) == 4 and trees.features_per_cut(None, 9) == 9
+
+
+def test_rows_are_summed_by_combination_of_bins(spark, monkeypatch):
+    """Passes read a row a combination of bins, not the rows; trees, forests and boosting stay the same."""
+    rng = np.random.default_rng(5)
+    rows = [(float(a), float(b), float(a * b % 7 + rng.integers(0, 3))) for a, b in rng.integers(0, 5, (600, 2))] + [(None, 1.0, 2.0), (1.0, float("nan"), 2.0)]
+    df = spark.createDataFrame(rows, "a double, b double, y double").repartition(3)
+    made = []
+    plain = ht.binned
+
+    def seen(*args, **options):
+        made.append(plain(*args, **options))
+        made[-1].read = made[-1].table.count()
+        return made[-1]
+
+    monkeypatch.setattr(ht, "binned", seen)
+    fits = [lambda: trees.fit_boosted(df, ["a", "b"], "y", num_leaves=4, num_boost_round=2), lambda: trees.fit_random_forest(df, ["a", "b"], "y", 3, 3)]
+    summed = [f() for f in fits]
+    assert [(m.read, m.rows) for m in made] == [(25, 600)] * 2
+    monkeypatch.setattr(ht, "CELLS", 40)  # too few for the sums, so the rows themselves are read
+    for one, f in zip(summed, fits, strict=True):
+        other = f()
+        assert one.base == pytest.approx(other.base) and len(one.trees) == len(other.trees)
+        for s, t in zip(one.trees, other.trees, strict=True):
+            assert s[:4] == t[:4] and s[4] == pytest.approx(t[4])
+    assert [m.read for m in made[2:]] == [600] * 2
+
+
+@pytest.mark.parametrize("most", [2, 3, 4, 300])
+def test_cuts_between_values_or_at_quantiles(spark, most):
+    values = [1.0, 2.0, 2.0, 4.0, 8.0, 8.0]
+    df = spark.createDataFrame([(v, 0.5) for v in values], "a double, b double").repartition(3)
+    a, b = ht._cuts_of(df, ["a", "b"], most)
+    assert len(b) == 0 and (a.tolist() == [1.5, 3.0, 6.0] if most >= 4 else len(a) <= most - 1 and set(a) <= set(values))
