@@ -23,9 +23,9 @@ from tablewright.core.layout import row_index
 from tablewright.core.session import stable
 from tablewright.core.types import quoted, require_numeric
 
-BLOCK_ROWS = 10_000  # known rows compared at once
+BLOCK_ROWS = 2_000  # known rows compared at once
 SLICE_ROWS = 100_000  # targets that one task compares with a block
-SURE_ROWS = 512  # known rows that give every target a first bound
+SURE_ROWS = 4_096  # known rows that give every target a first bound
 BOXES = 20_000  # block descriptions sent out at once
 _DIGITS = 5
 
@@ -43,6 +43,16 @@ def _similarities(u: np.ndarray, v: np.ndarray) -> np.ndarray:
     return np.divide(low, high, out=np.zeros_like(low), where=high > 0)
 
 
+def _three_best(sim: np.ndarray) -> np.ndarray:
+    """Columns of the three greatest of each row, of equal ones the first."""
+    sim = sim.copy()
+    top, rows = [], np.arange(len(sim))
+    for _ in range(min(3, sim.shape[1])):
+        top.append(sim.argmax(axis=1))
+        sim[rows, top[-1]] = -1.0
+    return np.column_stack(top)
+
+
 def _caps(u: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
     """The most similar that any row inside a box can be to a row of ``u``."""
     low, high = np.zeros((len(u), len(lo))), np.zeros((len(u), len(lo)))
@@ -71,11 +81,11 @@ def _routed(wanted: DataFrame, blocks: DataFrame, sure: np.ndarray, vecs: list[s
         def run(batches):
             for batch in batches:
                 u = np.column_stack([batch.column(1 + i).to_numpy(zero_copy_only=False) for i in range(p)])
-                for start in range(0, len(u), 512):
-                    part = u[start:start + 512]
+                for start in range(0, len(u), 64):
+                    part = u[start:start + 64]
                     least = np.zeros(len(part))
                     if len(sure) >= 3:  # rounding may lift a row by half a unit of the last digit
-                        least = np.sort(_similarities(part, sure), axis=1)[:, -3] - 10.0**-_DIGITS
+                        least = np.partition(_similarities(part, sure), -3, axis=1)[:, -3] - 10.0**-_DIGITS
                     row, box = np.nonzero(_caps(part, lo, hi) >= least[:, None])
                     ids = batch.column(0).take(pa.array(row + start))
                     yield pa.RecordBatch.from_arrays([ids, *[pa.array(part[row, i]) for i in range(p)], pa.array(names[box])],
@@ -83,8 +93,10 @@ def _routed(wanted: DataFrame, blocks: DataFrame, sure: np.ndarray, vecs: list[s
 
         return run
 
+    # Few targets lie in one file, but each meets every block's bounds: deal them out.
+    wanted = wanted.repartition(int(wanted.sparkSession.conf.get("spark.sql.shuffle.partitions")), "_tid")
     held: list[list] = []
-    rows = bounds.select("_block", *[f"_{n}{i}" for i in range(p) for n in ("lo", "hi")]).toLocalIterator()  # a row for each 10,000 known ones
+    rows = bounds.select("_block", *[f"_{n}{i}" for i in range(p) for n in ("lo", "hi")]).toLocalIterator()  # a row for each 2,000 known ones
     for r in rows:
         held.append([float(v) for v in r])
         if len(held) == BOXES:
@@ -144,11 +156,11 @@ def analogy(base: DataFrame, targets: DataFrame, x: Sequence[str], y: str, weigh
             return pd.DataFrame(columns=names)
         right = right.sort_values("_ord", kind="stable")  # earlier rows first, so they win ties
         u, v, out = left[aims].to_numpy(float), right[vecs].to_numpy(float), []
-        for start in range(0, len(u), 256):
-            sim = np.floor(_similarities(u[start:start + 256], v) * 10**_DIGITS + 0.5) / 10**_DIGITS
-            top = np.argsort(-sim, axis=1, kind="stable")[:, :3]
+        for start in range(0, len(u), 64):
+            sim = np.floor(_similarities(u[start:start + 64], v) * 10**_DIGITS + 0.5) / 10**_DIGITS
+            top = _three_best(sim)
             part = right.iloc[top.ravel()]
-            ids = np.repeat(left["_tid"].to_numpy()[start:start + 256], top.shape[1])
+            ids = np.repeat(left["_tid"].to_numpy()[start:start + 64], top.shape[1])
             out.append(pd.DataFrame({"_tid": ids, "_sim": np.take_along_axis(sim, top, 1).ravel(),
                                      "_ord": part["_ord"].to_numpy(), "_y": part["_y"].to_numpy()}))
         return pd.concat(out)

@@ -114,3 +114,13 @@ def test_blocks_are_exact_and_few(spark, monkeypatch, features):
         assert got[1_000 + i] == pytest.approx(want, rel=1e-9)
     # rows sent on are targets by blocks, never targets by known rows
     assert routed[0] <= 70 * 10 and (features > 1 or routed[0] < 70 * 5)
+
+
+def test_three_best_are_the_first_of_equals():
+    from tablewright.operators.analogy import _three_best
+
+    sim = np.random.default_rng(2).integers(0, 4, (50, 30)) / 4
+    for width in (1, 2, 3, 30):
+        part = sim[:, :width].copy()
+        assert (_three_best(part) == np.argsort(-part, axis=1, kind="stable")[:, :3]).all()
+        assert (part == sim[:, :width]).all()
