@@ -68,6 +68,16 @@ def sliced(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.Re
             yield batch.slice(start, rows)
 
 
+def merged(df: DataFrame) -> DataFrame:
+    """``df`` as a side of a sort-merge join, whatever its estimated size.
+
+    Spark takes the size of written tables from their compressed files and does not see that
+    an explode or an Arrow function makes many rows of one, so it may broadcast a table that
+    the driver cannot hold.
+    """
+    return df.hint("merge")
+
+
 def wrapped(df: DataFrame, **extra) -> DataFrame:
     """All columns as one struct ``row`` beside helper columns, so that no name can clash."""
     return df.select(F.struct(*[df[c] for c in df.columns]).alias("row"), *[e.alias(k) for k, e in extra.items()])

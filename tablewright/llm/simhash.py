@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from tablewright.llm.components import components
-from tablewright.llm.shared import sliced, stage, wrapped
+from tablewright.llm.shared import merged, sliced, stage, wrapped
 
 SEGMENTS = 16
 CROWD = 8
@@ -94,15 +94,15 @@ def links(distinct: DataFrame, max_bits: int = 2, segments: int = SEGMENTS, crow
         raise ValueError("cells one grid step around each fingerprint meet for two bits")
     grid = entered(distinct, segments)
     shared = grid.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    members = stage(grid.join(shared, "cell"), "cells")
+    members = stage(grid.join(merged(shared), "cell"), "cells")
     few = members.filter(F.col("n") <= crowd)
-    pairs = (few.select("cell", F.col("fp").alias("u")).join(few.select("cell", F.col("fp").alias("v")), "cell")
+    pairs = (few.select("cell", F.col("fp").alias("u")).join(merged(few.select("cell", F.col("fp").alias("v"))), "cell")
              .filter((F.col("u") > F.col("v")) & (F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= max_bits)).select("u", "v").distinct())
     flips = F.array(F.lit(0).cast("long"), *[F.lit(1 << b if b < 63 else -(1 << 63)).cast("long") for b in range(64)])
     near = (members.filter(F.col("n") > crowd).select("fp").distinct()
             .select("fp", F.explode(flips).alias("flip")).select("fp", F.col("fp").bitwiseXOR(F.col("flip")).alias("near")))
     hubs = near.groupBy("near").agg(F.min("fp").alias("v"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("near", "v")
-    crowded = near.join(hubs, "near").filter("fp != v").select(F.greatest("fp", "v").alias("u"), F.least("fp", "v").alias("v")).distinct()
+    crowded = near.join(merged(hubs), "near").filter("fp != v").select(F.greatest("fp", "v").alias("u"), F.least("fp", "v").alias("v")).distinct()
     return pairs.unionAll(crowded)
 
 
@@ -111,11 +111,11 @@ def near_duplicates(docs: DataFrame, size: int = 3, max_bits: int = 2, segments:
     rows = stage(fingerprints(docs, size), "fingerprints")
     distinct = stage(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
     roots = stage(components(links(distinct, max_bits, segments, crowd)), "roots")
-    class_of = distinct.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").select(
+    class_of = distinct.join(merged(roots.select(F.col("node").alias("fp"), "root")), "fp", "left").select(
         "fp", F.coalesce("root", "fp").alias("root"), "least")
     smallest = class_of.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = class_of.join(smallest, "root").select("fp", "component_id")
-    return rows.join(named, "fp").select("doc_id", "fp", "component_id")
+    named = class_of.join(merged(smallest), "root").select("fp", "component_id")
+    return rows.join(merged(named), "fp").select("doc_id", "fp", "component_id")
 
 
 def hexadecimal(fp) -> F.Column:

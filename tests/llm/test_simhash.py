@@ -104,6 +104,30 @@ def test_documents(spark):
     assert ids == sorted(str(i) for i, t in rows if i is None or i == least[want[fp[t]]])
 
 
+@pytest.fixture
+def plans(monkeypatch):
+    """The plans of all tables that are staged."""
+    found, write = [], S.stage
+
+    def stage(df, name="stage"):
+        found.append(df._jdf.queryExecution().executedPlan().toString())
+        return write(df, name)
+
+    monkeypatch.setattr(S, "stage", stage)
+    monkeypatch.setattr(C, "stage", stage)
+    return found
+
+
+def test_no_join_trusts_the_estimated_size(spark, plans):
+    """A cell has more rows than Spark sees in the files of fingerprints, a flipped one 65 times as many."""
+    values = [int(np.uint64(v).astype(np.int64)) for v in clustered(7, 4, 20, 2)]
+    words = [" ".join(f"w{i}" for i in range(k, k + 40)) for k in (0, 1, 90)]
+    df = spark.createDataFrame([(i, words[i % 3]) for i in range(30)], "doc_id long, text string")
+    C.components(S.links(spark.createDataFrame([(v,) for v in values], "fp long"), crowd=4)).count()
+    plans.append(S.near_duplicates(df)._jdf.queryExecution().executedPlan().toString())
+    assert sum(p.count("SortMergeJoin") for p in plans) >= 8 and not any("Broadcast" in p for p in plans)
+
+
 def test_empty(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert S.near_duplicates(df).count() == 0 and S.keep_one(df).count() == 0
