@@ -5,6 +5,7 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tablewright.operators import histtrees as ht, trees
 
@@ -112,6 +113,26 @@ def test_nodes_in_parts_give_the_same(spark, monkeypatch):
     assert same(trees.fit_random_forest(df, X, "y", 3, 4, key=["id"]), model)
 
 
+def test_many_features(spark, tmp_path):
+    """Planning must not take time or memory that doubles with every feature."""
+    rng = np.random.default_rng(11)
+    v = rng.integers(0, 40, (300, 64)).astype(float)
+    label = (v[:, 5] > 12).astype(float) + (v[:, 5] > 25)
+    spark.createDataFrame([(i, a.tolist(), int(b)) for i, (a, b) in enumerate(zip(v, label, strict=True))], "id long, v array<float>, label int").repartition(5).write.parquet(f"{tmp_path}/t")
+    df = spark.read.parquet(f"{tmp_path}/t").select("id", *[F.col("v")[i].cast("double").alias(f"e{i}") for i in range(64)], F.col("label").cast("double").alias("label"))
+    model = trees.fit_boosted(df, [f"e{i}" for i in range(64)], "label", "multiclass", num_leaves=3, num_boost_round=3, learning_rate=1.0)
+    assert {f for t in model.trees for f in t[0]} == {-1, 5} and np.array_equal(predictions(model, df), label)
+
+
+def test_more_values_than_bins_in_many_tasks(spark):
+    """Tasks that meet few values each are together still found to have too many."""
+    df = spark.range(0, 400, 1, 8).select(F.col("id").cast("double").alias("a"), (F.col("id") % 7).cast("double").alias("b"))
+    many, few = ht._cuts_of(df, ["a", "b"], 64)
+    assert len(many) == 63 and few.tolist() == [0.5, 1.5, 2.5, 3.5, 4.5, 5.5]
+    assert ht._cuts_of(df.where("a < 65"), ["a", "b"], 65)[0].tolist() == [k + 0.5 for k in range(64)]
+    assert [c.tolist() for c in ht._cuts_of(df.where("a < 0"), ["a", "b"], 64)] == [[], []]
+
+
 def numbers(ids, seed):
     return np.array([int(hashlib.md5(f"{i}:{seed}".encode()).hexdigest()[:8], 16) % (ht._M - 1) + 1 for i in ids])
 
