@@ -26,6 +26,8 @@ from tablewright.llm.shared import merged, sliced, stage, wrapped
 
 SEGMENTS = 16
 CROWD = 8
+SENT = 10_000_000  # bytes of removed ids that are broadcast
+_ROW = 64  # bytes that a broadcast row takes besides its id
 _BLOCK = 32_768
 
 
@@ -127,4 +129,5 @@ def keep_one(docs: DataFrame, size: int = 3, max_bits: int = 2) -> DataFrame:
     found = near_duplicates(docs, size, max_bits)
     # Written first: the ids' true size decides the join, and the rows with their texts move only where they are many.
     gone = stage(found.filter(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("gone")).distinct(), "gone")
-    return wrapped(docs).join(gone, F.col("row")["doc_id"] == F.col("gone"), "left_anti").select("row.*")
+    size = gone.agg(F.sum(F.octet_length(F.col("gone").cast("string")) + _ROW)).first()[0] or 0
+    return wrapped(docs).join(F.broadcast(gone) if size <= SENT else merged(gone), F.col("row")["doc_id"] == F.col("gone"), "left_anti").select("row.*")

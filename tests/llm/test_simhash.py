@@ -138,3 +138,13 @@ def test_keep_one_with_clashing_names(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string, gone long, component_id string")
     out = S.keep_one(df)
     assert out.columns == df.columns and sorted(map(tuple, out.collect()), key=str) == sorted([rows[0], rows[2], rows[3]], key=str)
+
+
+def test_removed_ids_are_sent_out_only_where_they_are_few(spark, monkeypatch):
+    rows = [(i, f"words of group {i % 4} and more", i) for i in range(24)] + [(None, "words of group 1 and more", 99)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, n int")
+    want = sorted(map(tuple, S.keep_one(df).collect()), key=str)
+    monkeypatch.setattr(S, "SENT", 100, raising=False)
+    kept = S.keep_one(df)
+    assert "Broadcast" not in kept._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, kept.collect()), key=str) == want == sorted([*rows[:4], rows[-1]], key=str)
